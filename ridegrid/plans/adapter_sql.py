@@ -119,6 +119,50 @@ SELECT event_id AS RequestID, ts AS RequestTime,
 FROM events WHERE event_type='view'""",
     "complete_requests": """
 SELECT event_id AS RequestID, ts AS RequestTime, 'admin' AS user_role, CAST(1+event_id AS INT) AS LogID
+FROM events WHERE event_type='error'""",
+    # feeds of the admin / profile commands
+    "profile_requests": """
+SELECT event_id AS RequestID, ts AS RequestTime, CAST(1+(event_id*3)%(SELECT count(*)+10 FROM customer) AS INT) AS UserID,
+ CASE WHEN event_id%3=0 THEN '' ELSE 'Renamed ' || CAST(event_id AS VARCHAR) END AS name,
+ CASE WHEN event_id%4=0 THEN NULL ELSE props END AS password
+FROM events WHERE event_type='view'""",
+    "station_requests": """
+SELECT event_id AS RequestID, ts AS RequestTime, CASE WHEN event_id%7=0 THEN 'user' ELSE 'admin' END AS user_role,
+ 'Station ' || CAST(event_id AS VARCHAR) AS name,
+ CASE WHEN event_id%11=0 THEN '' ELSE 'Zone ' || CAST(event_id%50 AS VARCHAR) END AS location,
+ CAST(event_id%40 AS INT) AS capacity
+FROM events WHERE event_type='signup'""",
+    "deactivate_requests": """
+SELECT event_id AS RequestID, ts AS RequestTime, CASE WHEN event_id%9=0 THEN 'user' ELSE 'admin' END AS user_role,
+ CAST(1+(event_id*7)%(SELECT count(*)+5 FROM supplier) AS INT) AS StationID
+FROM events WHERE event_type='click'""",
+    "vehicle_add_requests": """
+SELECT event_id AS RequestID, ts AS RequestTime, CASE WHEN event_id%8=0 THEN 'user' ELSE 'admin' END AS user_role,
+ CASE WHEN event_id%13=0 THEN '' ELSE 'Scooter' END AS type, 'Model ' || CAST(event_id%97 AS VARCHAR) AS model,
+ 'Maker ' || CAST(event_id%11 AS VARCHAR) AS manufacturer, CAST(value AS DECIMAL(10,2)) AS rate_per_hour,
+ CASE WHEN event_id%10=0 THEN 'ka-' || lpad(CAST(event_id%(SELECT count(*) FROM part) AS VARCHAR),8,'0')
+      ELSE 'KA-NEW-' || CAST(event_id%700 AS VARCHAR) END AS registration_number,
+ CASE WHEN event_id%9=0 THEN NULL ELSE CAST(1+event_id%(SELECT count(*)+3 FROM supplier) AS INT) END AS station_id
+FROM events WHERE event_type='purchase'""",
+    "decommission_requests": """
+SELECT event_id AS RequestID, ts AS RequestTime, CASE WHEN event_id%6=0 THEN 'user' ELSE 'admin' END AS user_role,
+ CAST(1+(event_id*3)%(SELECT count(*)+20 FROM part) AS INT) AS VehicleID
+FROM events WHERE event_type='error'""",
+    "technician_add_requests": """
+SELECT event_id AS RequestID, ts AS RequestTime, CASE WHEN event_id%5=0 THEN 'user' ELSE 'admin' END AS user_role,
+ 'Tech ' || CAST(event_id AS VARCHAR) AS name,
+ CASE WHEN event_id%4=0 THEN '' ELSE 'Spec ' || CAST(event_id%6 AS VARCHAR) END AS specialization
+FROM events WHERE event_type='view'""",
+    "technician_update_requests": """
+SELECT event_id AS RequestID, ts AS RequestTime, CASE WHEN event_id%10=0 THEN 'user' ELSE 'admin' END AS user_role,
+ CAST(1+event_id%30 AS INT) AS TechnicianID,
+ CASE WHEN event_id%3=0 THEN 'Tech ' || CAST(event_id AS VARCHAR) END AS name,
+ CASE WHEN event_id%5=0 THEN 'Spec ' || CAST(event_id%6 AS VARCHAR) ELSE '' END AS specialization,
+ CASE WHEN event_id%4=0 THEN event_id%8=0 END AS is_available
+FROM events WHERE event_type='click'""",
+    "technician_delete_requests": """
+SELECT event_id AS RequestID, ts AS RequestTime, CASE WHEN event_id%10=0 THEN 'user' ELSE 'admin' END AS user_role,
+ CAST(1+event_id%30 AS INT) AS TechnicianID
 FROM events WHERE event_type='error'""",
 }
 
@@ -132,11 +176,16 @@ def _refs(text: str) -> set[str]:
 def with_tables(body: str, extra_ctes: list[tuple[str, str]] | None = None) -> str:
     """Prefix ``body`` with the adapter CTEs it uses (transitively), in order.
 
-    ``extra_ctes`` are query-specific CTEs placed after the adapter ones.
+    ``extra_ctes`` are query-specific CTEs placed after the adapter ones; they
+    are materialized (DuckDB then evaluates them once even when a recursive
+    CTE reads them on every step).  A body starting with ``WITH RECURSIVE``
+    is merged into the same WITH clause.
     """
     extra_ctes = extra_ctes or []
     need: set[str] = set()
-    todo = _refs(body) | set().union(*[_refs(t) for _, t in extra_ctes]) if extra_ctes else _refs(body)
+    todo = _refs(body)
+    for _, text in extra_ctes:
+        todo |= _refs(text)
     while todo:
         name = todo.pop()
         if name in need:
@@ -144,7 +193,13 @@ def with_tables(body: str, extra_ctes: list[tuple[str, str]] | None = None) -> s
         need.add(name)
         todo |= _refs(ADAPTER_CTES[name]) - need
     parts = [f"{n} AS ({ADAPTER_CTES[n].strip()})" for n in ADAPTER_CTES if n in need]
-    parts += [f"{n} AS ({t.strip()})" for n, t in extra_ctes]
+    parts += [f"{n} AS MATERIALIZED ({t.strip()})" for n, t in extra_ctes]
+    body = body.strip()
+    head = "WITH "
+    if body.upper().startswith("WITH RECURSIVE "):
+        head = "WITH RECURSIVE "
+        body = body[len("WITH RECURSIVE "):]
+        return head + ",\n".join(parts + [body]) if parts else head + body
     if not parts:
-        return body.strip()
-    return "WITH " + ",\n".join(parts) + "\n" + body.strip()
+        return body
+    return head + ",\n".join(parts) + "\n" + body

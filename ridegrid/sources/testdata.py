@@ -289,6 +289,100 @@ class TestData:
         )
 
 
+    # -- feeds for the admin / profile commands (M10-M17) -----------------------
+    def profile_requests(self) -> DataFrame:
+        key = F.col("event_id")
+        return self._events("view").select(
+            key.alias("RequestID"),
+            F.col("ts").alias("RequestTime"),
+            (F.lit(1) + (key * 3) % self._count("customer", 10)).cast("int").alias("UserID"),
+            F.when(key % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("Renamed "), key.cast("string"))).alias("name"),
+            F.when(key % 4 == 0, F.lit(None)).otherwise(F.col("props")).cast("string").alias("password"),
+        )
+
+    def station_requests(self) -> DataFrame:
+        key = F.col("event_id")
+        return self._events("signup").select(
+            key.alias("RequestID"),
+            F.col("ts").alias("RequestTime"),
+            F.when(key % 7 == 0, "user").otherwise("admin").alias("user_role"),
+            F.concat(F.lit("Station "), key.cast("string")).alias("name"),
+            F.when(key % 11 == 0, F.lit("")).otherwise(F.concat(F.lit("Zone "), (key % 50).cast("string"))).alias("location"),
+            (key % 40).cast("int").alias("capacity"),
+        )
+
+    def deactivate_requests(self) -> DataFrame:
+        key = F.col("event_id")
+        return self._events("click").select(
+            key.alias("RequestID"),
+            F.col("ts").alias("RequestTime"),
+            F.when(key % 9 == 0, "user").otherwise("admin").alias("user_role"),
+            (F.lit(1) + (key * 7) % self._count("supplier", 5)).cast("int").alias("StationID"),
+        )
+
+    def vehicle_add_requests(self) -> DataFrame:
+        key = F.col("event_id")
+        n_part = self._count("part")
+        return self._events("purchase").select(
+            key.alias("RequestID"),
+            F.col("ts").alias("RequestTime"),
+            F.when(key % 8 == 0, "user").otherwise("admin").alias("user_role"),
+            F.when(key % 13 == 0, F.lit("")).otherwise(F.lit("Scooter")).alias("type"),
+            F.concat(F.lit("Model "), (key % 97).cast("string")).alias("model"),
+            F.concat(F.lit("Maker "), (key % 11).cast("string")).alias("manufacturer"),
+            F.col("value").cast(MONEY).alias("rate_per_hour"),
+            F.when(key % 10 == 0, F.concat(F.lit("ka-"), F.lpad((key % n_part).cast("string"), 8, "0")))
+            .otherwise(F.concat(F.lit("KA-NEW-"), (key % 700).cast("string")))
+            .alias("registration_number"),
+            F.when(key % 9 == 0, F.lit(None))
+            .otherwise(F.lit(1) + key % self._count("supplier", 3))
+            .cast("int")
+            .alias("station_id"),
+        )
+
+    def decommission_requests(self) -> DataFrame:
+        key = F.col("event_id")
+        return self._events("error").select(
+            key.alias("RequestID"),
+            F.col("ts").alias("RequestTime"),
+            F.when(key % 6 == 0, "user").otherwise("admin").alias("user_role"),
+            (F.lit(1) + (key * 3) % self._count("part", 20)).cast("int").alias("VehicleID"),
+        )
+
+    def technician_add_requests(self) -> DataFrame:
+        key = F.col("event_id")
+        return self._events("view").select(
+            key.alias("RequestID"),
+            F.col("ts").alias("RequestTime"),
+            F.when(key % 5 == 0, "user").otherwise("admin").alias("user_role"),
+            F.concat(F.lit("Tech "), key.cast("string")).alias("name"),
+            F.when(key % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("Spec "), (key % 6).cast("string")))
+            .alias("specialization"),
+        )
+
+    def technician_update_requests(self) -> DataFrame:
+        key = F.col("event_id")
+        return self._events("click").select(
+            key.alias("RequestID"),
+            F.col("ts").alias("RequestTime"),
+            F.when(key % 10 == 0, "user").otherwise("admin").alias("user_role"),
+            (F.lit(1) + key % 30).cast("int").alias("TechnicianID"),
+            F.when(key % 3 == 0, F.concat(F.lit("Tech "), key.cast("string"))).alias("name"),
+            F.when(key % 5 == 0, F.concat(F.lit("Spec "), (key % 6).cast("string"))).otherwise(F.lit(""))
+            .alias("specialization"),
+            F.when(key % 4 == 0, key % 8 == 0).alias("is_available"),
+        )
+
+    def technician_delete_requests(self) -> DataFrame:
+        key = F.col("event_id")
+        return self._events("error").select(
+            key.alias("RequestID"),
+            F.col("ts").alias("RequestTime"),
+            F.when(key % 10 == 0, "user").otherwise("admin").alias("user_role"),
+            (F.lit(1) + key % 30).cast("int").alias("TechnicianID"),
+        )
+
+
 def load(spark: SparkSession, sf_dir: str) -> TestData:
     return TestData(spark, sf_dir)
 
