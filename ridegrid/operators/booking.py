@@ -7,8 +7,11 @@ them.  The operator decides requests in rounds:
 (a) a pending request whose vehicle is not available (initially, or taken by
     an accepted booking) is rejected: vehicles never come back within the run;
 (b) a pending request that is the earliest pending one of its vehicle and of
-    its user (or whose user's balance plays no part: unknown user or NULL
-    balance) sees final state and is decided against the current balance;
+    its user sees final state and is decided against the balance left by the
+    user's earlier accepted bookings.  The user condition is dropped when the
+    balance cannot fail: unknown user, NULL balance, or a request that is
+    "balance-safe" (opening balance minus the positive costs of all the
+    user's earlier requests still covers it);
 (c) accepted bookings mark their vehicle taken and add their cost to the
     user's spent total.
 
@@ -16,7 +19,7 @@ The earliest pending request is always decidable, so every round makes
 progress; in practice the number of rounds is the length of the longest
 chain of requests competing for one vehicle or one wallet.  Each round is a
 handful of aggregates and joins over the pending requests only; the pending
-set and the state are written with a reliable checkpoint every round, so
+set and the state are written to the shared checkpoint folder every round, so
 lineage stays short and a lost executor recomputes one round at most.
 """
 
@@ -30,6 +33,7 @@ from ridegrid.operators.commands import FK_REASON, CommandResult, _max_id, _repl
     first_failure, union_changes
 from ridegrid.operators.ids import assign_ids, prefix_sum
 from ridegrid.schemas import MONEY
+from ridegrid.session import materialize
 
 NOT_AVAILABLE = "Vehicle not available"
 NO_BALANCE = "Insufficient balance"
@@ -60,49 +64,66 @@ def price_requests(requests: DataFrame, users: DataFrame, vehicles: DataFrame, s
 def decide_bookings(priced: DataFrame, max_rounds: int = 10_000) -> tuple[DataFrame, int]:
     """Rounds (a)-(c); returns (RequestID, Reason) for every request and the round count."""
     spark = priced.sparkSession
-    pending = priced.select("RequestID", "UserID", "VehicleID", "Cost", "__free0", "__has_user", "__has_station",
-                            "__bal0").checkpoint(eager=True)
-    taken = spark.createDataFrame([], "VehicleID int")
-    spent = spark.createDataFrame([], f"UserID int, __spent {SPENT}")
-    decided = []
+    base = priced.select("RequestID", "UserID", "VehicleID", "Cost", "__free0", "__has_user", "__has_station", "__bal0")
+    # Static lower bound of the balance each request can meet: the opening balance minus the
+    # positive costs of *all* earlier requests of the user.  If that still covers the cost, the
+    # balance check passes whatever the earlier requests decide ("balance-safe").
+    bound = prefix_sum(base, ["UserID"], "RequestID", F.greatest(F.col("Cost"), F.lit(0)), "__pos_before")
+    pending = materialize(
+        bound.withColumn("__safe", E.holds(F.col("__bal0") - F.col("__pos_before") >= F.col("Cost")))
+        .drop("__pos_before"), "book-pending")
+    won_parts: list[DataFrame] = []
+    decided: list[DataFrame] = []
     rounds = 0
     while not pending.isEmpty():
         rounds += 1
         if rounds > max_rounds:
             raise RuntimeError("booking rounds exceeded max_rounds")
-        p = pending.join(taken.withColumn("__taken", F.lit(True)), "VehicleID", "left")
+        won_all = (_union(won_parts) if won_parts
+                   else spark.createDataFrame([], f"UserID int, RequestID long, VehicleID int, Cost {MONEY.simpleString()}"))
+        taken = won_all.select(F.col("VehicleID").alias("__tv")).withColumn("__taken", F.lit(True))
+        p = pending.join(taken, pending.VehicleID == taken.__tv, "left").drop("__tv")
         gone = ~F.col("__free0") | F.col("__taken").isNotNull()
-        decided.append(p.where(gone).select("RequestID", F.lit(NOT_AVAILABLE).alias("Reason")))
-        live = p.where(~gone).drop("__taken")
-        fu = live.groupBy("UserID").agg(F.min("RequestID").alias("__fu"))
-        fv = live.groupBy("VehicleID").agg(F.min("RequestID").alias("__fv"))
-        live = live.join(fu, "UserID", "left").join(fv, "VehicleID", "left")
-        free_of_user = ~F.col("__has_user") | F.col("__bal0").isNull()
-        ready = (F.col("RequestID") == F.col("__fv")) & ((F.col("RequestID") == F.col("__fu")) | free_of_user)
-        now = live.where(ready).join(spent, "UserID", "left")
+        fu = p.where(~gone).groupBy("UserID").agg(F.min("RequestID").alias("__fu"))
+        fv = p.where(~gone).groupBy("VehicleID").agg(F.min("RequestID").alias("__fv"))
+        p = p.join(fu, "UserID", "left").join(fv, "VehicleID", "left")
+        balance_free = ~F.col("__has_user") | F.col("__bal0").isNull() | F.col("__safe")
+        ready = ~gone & (F.col("RequestID") == F.col("__fv")) & ((F.col("RequestID") == F.col("__fu")) | balance_free)
+        exact = ready & ~balance_free
+        # spent before an exact request: accepted costs of the same user with a smaller RequestID
+        w = won_all.select(F.col("UserID").alias("__wu"), F.col("RequestID").alias("__wr"), F.col("Cost").alias("__wc"))
+        need = p.where(exact).select("RequestID", "UserID")
+        spent = (need.join(w, (need.UserID == w.__wu) & (w.__wr < need.RequestID))
+                 .groupBy(F.col("RequestID").alias("__sr")).agg(F.sum("__wc").alias("__spent")))
+        p = p.join(spent, p.RequestID == spent.__sr, "left")
         balance = F.col("__bal0") - F.coalesce(F.col("__spent"), F.lit(0))
-        now = now.withColumn("Reason", first_failure(
-            (balance < F.col("Cost"), NO_BALANCE),
-            (~F.col("__has_user"), FK_REASON.format("UserID")),
-            (~F.col("__has_station"), FK_REASON.format("StartStationID")),
-        )).checkpoint(eager=True)
-        decided.append(now.select("RequestID", "Reason"))
-        won = now.where(F.col("Reason").isNull())
-        taken = taken.unionByName(won.select("VehicleID")).checkpoint(eager=True)
-        spent = (spent.unionByName(won.where(F.col("__bal0").isNotNull())
-                                   .select("UserID", F.col("Cost").cast(SPENT).alias("__spent")))
-                 .groupBy("UserID").agg(F.sum("__spent").cast(SPENT).alias("__spent"))
-                 .checkpoint(eager=True))
-        pending = live.where(~ready).select(*pending.columns).checkpoint(eager=True)
-    result = decided[0] if decided else priced.select("RequestID", F.lit(None).cast("string").alias("Reason")).limit(0)
-    for part in decided[1:]:
-        result = result.unionByName(part)
-    return result, rounds
+        reason = (F.when(gone, F.lit(NOT_AVAILABLE))
+                  .when(ready, first_failure(
+                      (exact & (balance < F.col("Cost")), NO_BALANCE),
+                      (~F.col("__has_user"), FK_REASON.format("UserID")),
+                      (~F.col("__has_station"), FK_REASON.format("StartStationID")))))
+        state = F.when(gone | ready, F.lit("decided")).otherwise(F.lit("pending"))
+        out = materialize(p.select(*pending.columns, reason.alias("Reason"), state.alias("__state")), "book-round")
+        done = out.where(F.col("__state") == "decided")
+        decided.append(done.select("RequestID", "Reason"))
+        won = done.where(F.col("Reason").isNull()).select("UserID", "RequestID", "VehicleID", "Cost")
+        won_parts.append(materialize(won, "book-won"))
+        pending = out.where(F.col("__state") == "pending").select(*pending.columns)
+    if not decided:
+        return priced.select("RequestID", F.lit(None).cast("string").alias("Reason")).limit(0), 0
+    return _union(decided), rounds
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def book_rides(requests: DataFrame, users: DataFrame, vehicles: DataFrame, stations: DataFrame, plans: DataFrame,
                trips: DataFrame, payments: DataFrame) -> CommandResult:
-    priced = price_requests(requests, users, vehicles, stations, plans).checkpoint(eager=True)
+    priced = materialize(price_requests(requests, users, vehicles, stations, plans), "book-priced")
     reasons, rounds = decide_bookings(priced)
     d = decide(priced.join(reasons, "RequestID", "left"), F.col("Reason"))
     decisions = d.select("RequestID", "UserID", "VehicleID", "Cost", "Accepted", "Reason")

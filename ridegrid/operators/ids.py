@@ -6,9 +6,9 @@ pull every row into one task), and none collects data to the driver.
 * ``global_rank``: range-partition + sort, number rows inside each partition,
   add per-partition offsets.  The offsets table has one row per partition,
   so it is the only thing that is broadcast.  The numbered rows are written
-  with a reliable ``checkpoint`` first: the numbering depends on partition
-  layout, and the checkpoint pins it (and cuts the lineage) so a lost
-  executor cannot renumber rows between the two uses.
+  out first: the numbering depends on partition
+  layout; writing it to the shared checkpoint folder pins it (and cuts the
+  lineage) so a lost executor cannot renumber rows between the two uses.
 * ``prefix_sum``: running sum per key in RequestID order, split into fixed
   blocks of the order column so a key holding a third of all rows is still
   spread over many tasks.
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridegrid.session import ensure_checkpoint_dir
+from ridegrid.session import materialize
 
 ROW_BITS = 33  # monotonically_increasing_id keeps the record number in the low 33 bits
 PREFIX_BLOCK = 1 << 16
@@ -31,13 +31,12 @@ def _num_partitions(df: DataFrame) -> int:
 
 def global_rank(df: DataFrame, order_cols: list[str | Column], out: str = "Rank") -> DataFrame:
     """Add a 1-based, gapless rank following ``order_cols`` (which must be a total order)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    staged = (
+    staged = materialize(
         df.repartitionByRange(_num_partitions(df), *order_cols)
         .sortWithinPartitions(*order_cols)
         .withColumn("__pid", F.spark_partition_id())
-        .withColumn("__mono", F.monotonically_increasing_id())
-        .checkpoint(eager=True)
+        .withColumn("__mono", F.monotonically_increasing_id()),
+        "rank",
     )
     before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

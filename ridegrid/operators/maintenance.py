@@ -18,6 +18,7 @@ from ridegrid.operators.commands import FK_REASON, CommandResult, _max_id, _repl
     first_failure, union_changes
 from ridegrid.operators.ids import global_rank
 from ridegrid.operators.views import authorised_reports
+from ridegrid.session import materialize
 
 NOT_YOUR_VEHICLE = "You can only report issues for vehicles you have an ongoing ride with"
 
@@ -54,7 +55,7 @@ def report_and_assign(requests: DataFrame, trips: DataFrame, vehicles: DataFrame
            .withColumn("AssignmentID", F.when(F.col("TechnicianID").isNotNull(),
                                               (F.coalesce(_max_id(assignments, "AssignmentID"), F.lit(0))
                                                + F.col("__i")).cast("int"))))
-    acc = acc.checkpoint(eager=True)
+    acc = materialize(acc, "report-accepted")
     decisions = d.join(acc.select("RequestID", "LogID", "TechnicianID"), "RequestID", "left").select(
         "RequestID", "VehicleID", "Accepted", "Reason", "LogID", "TechnicianID")
 

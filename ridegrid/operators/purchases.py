@@ -27,6 +27,7 @@ from ridegrid.functions import exprs as E
 from ridegrid.operators.commands import CommandResult, _replace, change_rows, decide, first_failure
 from ridegrid.operators.ids import prefix_sum
 from ridegrid.schemas import MONEY
+from ridegrid.session import materialize
 
 BALANCE = "decimal(20,2)"
 NONE_BALANCE = "float() argument must be a string or a real number, not 'NoneType'"
@@ -45,15 +46,14 @@ def _phases(pending: DataFrame, max_phases: int) -> DataFrame:
         run = prefix_sum(cand.where(~inactive), ["UserID"], "RequestID", "__cost", "__cum", inclusive=True)
         fails = run.where(F.col("__cum") > F.col("__bal")).groupBy("UserID").agg(
             F.min(F.struct("RequestID", "__cost", (F.col("__cum") - F.col("__cost")).alias("before"))).alias("__f"))
-        run = run.join(fails, "UserID", "left").checkpoint(eager=True)
+        run = materialize(run.join(fails, "UserID", "left"), "purchase-run")
         fid = F.col("__f.RequestID")
         out.append(run.where(F.col("__f").isNull() | (F.col("RequestID") <= fid))
                    .select("RequestID", F.col("__f").isNull() | (F.col("RequestID") < fid)).toDF("RequestID", "__ok"))
-        todo = run.where(F.col("RequestID") > fid).select("RequestID", "UserID", "__cost").checkpoint(eager=True)
-        state = (fails.join(state, "UserID")
-                 .select("UserID", (F.col("__bal") - F.col("__f.before")).cast(BALANCE).alias("__bal"),
-                         F.col("__f.__cost").cast(BALANCE).alias("__thr"))
-                 .checkpoint(eager=True))
+        todo = materialize(run.where(F.col("RequestID") > fid).select("RequestID", "UserID", "__cost"), "purchase-todo")
+        state = materialize(fails.join(state, "UserID")
+                            .select("UserID", (F.col("__bal") - F.col("__f.before")).cast(BALANCE).alias("__bal"),
+                                    F.col("__f.__cost").cast(BALANCE).alias("__thr")), "purchase-state")
         if todo.isEmpty():
             break
     else:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # SQL settings that can be changed on a running session.  They do not change
 # results, only how the plans execute: AQE re-plans joins from runtime sizes
@@ -49,6 +50,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Write ``df`` as parquet under the shared checkpoint folder and read it back.
+
+    Used by iterative operators between rounds: the result has a one-node
+    plan (no lineage and no accumulated plan constraints, which otherwise grow
+    with every round), survives lost executors, and pins nondeterministic
+    columns.  The folder is the cluster's ``spark.checkpoint.dir``.
+    """
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/ridegrid-{label}-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """Local/test session builder.  Cluster jobs receive their session instead."""
     master = master or os.environ.get("RIDEGRID_MASTER", "local[*]")

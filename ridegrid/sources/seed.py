@@ -9,6 +9,7 @@ from __future__ import annotations
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ridegrid.schemas import SCHEMAS
 
@@ -117,9 +118,17 @@ TECHNICIANS = [
 # ---------------------------------------------------------------------------
 
 
+def _literal_table(spark: SparkSession, rows: list[tuple], table: str) -> DataFrame:
+    """A JVM-side inline table (LocalTableScan), typed by the table's schema."""
+    schema = SCHEMAS[table]
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, schema.fields)])
+               for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def membership_plans(spark: SparkSession) -> DataFrame:
-    """The three plans as a local relation (a fixed-size broadcast dimension)."""
-    return spark.createDataFrame(MEMBERSHIP_PLANS, SCHEMAS["membership_plans"])
+    """The three plans as an inline table (a fixed-size broadcast dimension)."""
+    return _literal_table(spark, MEMBERSHIP_PLANS, "membership_plans")
 
 
 def seed(spark: SparkSession) -> dict[str, DataFrame]:
