@@ -231,7 +231,7 @@ def cancel_trips_payments(td: TestData):
     return _cancel(td).tables["payments"].select("PaymentID", "Status")
 
 
-@register("audit_cancel_trips", _audit_sql(""), CANCEL_CTES + [("ch", """
+CANCEL_CH = """
 SELECT RequestID, 1 AS Step, 0 AS Sub, 'Trips' AS TableName, 'UPDATE' AS OperationType, TripID AS RecordID,
   'Trip updated from Status=' || ts || ' to Cancelled' AS msg, RequestTime AS ts, true AS fire FROM ap
 UNION ALL
@@ -249,7 +249,10 @@ FROM (SELECT ap.*, u.WalletBalance + coalesce(sum(ap.tc) OVER (PARTITION BY ap.t
 UNION ALL
 SELECT ap.RequestID, 4, p.PaymentID, 'Payments', 'UPDATE', p.PaymentID,
   'Payment status changed from ' || p.Status || ' to Refunded', ap.RequestTime, true
-FROM ap JOIN payments p ON p.TripID = ap.TripID AND p.UserID = ap.tu""")])
+FROM ap JOIN payments p ON p.TripID = ap.TripID AND p.UserID = ap.tu"""
+
+
+@register("audit_cancel_trips", _audit_sql(""), CANCEL_CTES + [("ch", CANCEL_CH)])
 def audit_cancel_trips(td: TestData):
     """T2/T6/T9/T5 rows of cancellations."""
     return A.audit(_cancel(td).changes, td.logs())
