@@ -480,3 +480,50 @@ def delete_technicians(requests: DataFrame, technicians: DataFrame, assignments:
     decisions = d.select("RequestID", "TechnicianID", "Accepted", "Reason")
     gone = d.where("Accepted").select("TechnicianID")
     return CommandResult(decisions, {"technicians": technicians.join(gone, "TechnicianID", "left_anti")}, None)
+
+
+# ----------------------------------------------------------------------------- M18
+def onboard_users(requests: DataFrame, users: DataFrame, plans: DataFrame) -> CommandResult:
+    """The registration page's flow: checks, then register -> top up -> buy the plan.
+
+    Requests: RequestID, RequestTime, name, email, password, topup (text), PlanID.
+    The three steps are the M6, M7 and M8 operators applied in turn.
+    """
+    from ridegrid.operators.purchases import purchase_memberships
+
+    p = F.broadcast(plans.select(F.col("PlanID").alias("__p"), F.col("Cost").alias("__cost")))  # fixed small table
+    r = requests.join(p, requests.PlanID == p.__p, "left").withColumn("__top", E.parse_amount("topup"))
+    checks = [
+        (F.col("__top").isNull() | (F.col("__top") <= 0), F.lit("Please enter a valid top-up amount")),
+        (~E.truthy_id("PlanID"), F.lit("Please select a membership plan")),
+        (F.col("__p").isNull(), F.lit("Invalid plan selected")),
+        (F.col("__top") < F.col("__cost"), F.concat(F.lit("Top-up amount must be at least ₹"),
+                                                   F.col("__cost").cast("string"),
+                                                   F.lit(" to purchase the selected plan"))),
+    ]
+    reason = None
+    for cond, text in checks:
+        reason = F.when(E.holds(cond), text) if reason is None else reason.when(E.holds(cond), text)
+    r = r.withColumn("__pre", reason.otherwise(F.lit(None).cast("string")))
+    ok = r.where(F.col("__pre").isNull())
+    reg = register_users(ok.select("RequestID", "RequestTime", "name", "email", "password"), users)
+    new = reg.tables["new_users"]
+    steps = new.select("UserID", "RequestID").join(ok.select("RequestID", "RequestTime", "__top", "PlanID"), "RequestID")
+    topped = wallet_topups(steps.select("RequestID", "RequestTime", "UserID",
+                                        F.col("__top").cast("string").alias("amount")),
+                           new.select(*users.columns))
+    bought = purchase_memberships(steps.select("RequestID", "RequestTime", "UserID", "PlanID"),
+                                  topped.tables["users"], plans)
+    final = bought.tables["users"]
+    d = (r.join(reg.decisions.select("RequestID", F.col("Reason").alias("__reg")), "RequestID", "left")
+         .join(bought.decisions.select("RequestID", F.col("Reason").alias("__buy")), "RequestID", "left")
+         .join(new.select("RequestID", "UserID"), "RequestID", "left"))
+    d = decide(d, F.coalesce(F.col("__pre"), F.col("__reg"), F.col("__buy")))
+    decisions = d.join(final.select(F.col("UserID").alias("__u"), "WalletBalance", F.col("PlanID").alias("__plan")),
+                       F.col("UserID") == F.col("__u"), "left").select(
+        "RequestID", F.col("email").alias("Email"), "Accepted", "Reason",
+        F.when(F.col("Accepted"), F.col("UserID")).alias("UserID"),
+        F.when(F.col("Accepted"), F.col("WalletBalance")).alias("WalletBalance"),
+        F.when(F.col("Accepted"), F.col("__plan")).alias("PlanID"))
+    return CommandResult(decisions, {"users": users.unionByName(final.select(*users.columns))},
+                         union_changes([topped.changes, bought.changes]))

@@ -160,6 +160,15 @@ SELECT event_id AS RequestID, ts AS RequestTime, CASE WHEN event_id%10=0 THEN 'u
  CASE WHEN event_id%5=0 THEN 'Spec ' || CAST(event_id%6 AS VARCHAR) ELSE '' END AS specialization,
  CASE WHEN event_id%4=0 THEN event_id%8=0 END AS is_available
 FROM events WHERE event_type='click'""",
+    "onboard_requests": """
+SELECT event_id AS RequestID, ts AS RequestTime, 'Onboard ' || CAST(event_id AS VARCHAR) AS name,
+ CASE WHEN event_id%6=0 THEN 'user' || CAST(event_id%(SELECT count(*) FROM customer) AS VARCHAR)
+      ELSE 'new' || CAST((event_id*7)%(SELECT 2*count(*) FROM customer) AS VARCHAR) END || '@example.com' AS email,
+ props AS password,
+ CASE WHEN event_id%9=0 THEN '0' WHEN event_id%9=1 THEN 'abc'
+      ELSE CAST(CAST(CAST(value AS DECIMAL(10,2))*100 AS DECIMAL(10,2)) AS VARCHAR) END AS topup,
+ CASE WHEN event_id%7=0 THEN NULL ELSE CAST(1+event_id%4 AS INT) END AS PlanID
+FROM events WHERE event_type='signup'""",
     "technician_delete_requests": """
 SELECT event_id AS RequestID, ts AS RequestTime, CASE WHEN event_id%10=0 THEN 'user' ELSE 'admin' END AS user_role,
  CAST(1+event_id%30 AS INT) AS TechnicianID

@@ -681,3 +681,31 @@ SELECT r.RequestID, r.TechnicianID, Reason IS NULL AS Accepted, Reason FROM (
 def delete_technicians(td: TestData):
     """M17 decisions."""
     return C.delete_technicians(td.technician_delete_requests(), td.technicians(), td.technician_assignments()).decisions
+
+
+# =============================================================================== M18 onboarding
+ONBOARD_CTES = [
+    ("o0", """
+SELECT q.*, p.Cost, TRY_CAST(TRY_CAST(trim(q.topup) AS DOUBLE) AS DECIMAL(10,2)) AS top_value
+FROM onboard_requests q LEFT JOIN membership_plans p ON p.PlanID = q.PlanID"""),
+    ("o", """
+SELECT o0.*, CASE WHEN top_value IS NULL OR top_value <= 0 THEN 'Please enter a valid top-up amount'
+   WHEN PlanID IS NULL OR PlanID = 0 THEN 'Please select a membership plan'
+   WHEN Cost IS NULL THEN 'Invalid plan selected'
+   WHEN top_value < Cost THEN 'Top-up amount must be at least ₹' || CAST(Cost AS VARCHAR) || ' to purchase the selected plan'
+   END AS pre
+FROM o0"""),
+    ("s", REG_S.replace("FROM register_requests q", "FROM o q WHERE q.pre IS NULL")),
+    ("d", REG_D),
+    ("acc", "SELECT d.*, row_number() OVER (ORDER BY RequestID) AS n FROM d WHERE Reason IS NULL"),
+]
+
+
+@register("onboard_users", """
+SELECT o.RequestID, o.email AS Email, coalesce(o.pre, d.Reason) IS NULL AS Accepted, coalesce(o.pre, d.Reason) AS Reason,
+       CAST((SELECT max(UserID) FROM users) + acc.n AS INT) AS UserID,
+       CAST(acc.top_value - acc.Cost AS DECIMAL(10,2)) AS WalletBalance, acc.PlanID
+FROM o LEFT JOIN d ON d.RequestID = o.RequestID LEFT JOIN acc ON acc.RequestID = o.RequestID""", ONBOARD_CTES)
+def onboard_users(td: TestData):
+    """Register -> top up -> buy plan, with the page's own checks first."""
+    return C.onboard_users(td.onboard_requests(), td.users(), td.membership_plans()).decisions

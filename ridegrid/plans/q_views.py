@@ -294,3 +294,10 @@ FROM ({ASSIGNMENTS_SQL}) a""")
 def assignment_vehicle_label(td: TestData):
     """E15."""
     return V.assignment_labels(assignments_view(td))
+
+
+@register("trip_history_json")
+def trip_history_json(td: TestData):
+    """SNK1: trip history as JSON objects (no SQL oracle: JSON text formats differ between engines)."""
+    from ridegrid.sources.sinks import to_json_rows
+    return to_json_rows(history(td))

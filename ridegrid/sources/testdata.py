@@ -382,6 +382,22 @@ class TestData:
             (F.lit(1) + key % 30).cast("int").alias("TechnicianID"),
         )
 
+    def onboard_requests(self) -> DataFrame:
+        key = F.col("event_id")
+        n_cust = self._count("customer")
+        email = (F.when(key % 6 == 0, F.concat(F.lit("user"), (key % n_cust).cast("string")))
+                 .otherwise(F.concat(F.lit("new"), ((key * 7) % (n_cust * 2)).cast("string"))))
+        return self._events("signup").select(
+            key.alias("RequestID"),
+            F.col("ts").alias("RequestTime"),
+            F.concat(F.lit("Onboard "), key.cast("string")).alias("name"),
+            F.concat(email, F.lit("@example.com")).alias("email"),
+            F.col("props").alias("password"),
+            F.when(key % 9 == 0, F.lit("0")).when(key % 9 == 1, F.lit("abc"))
+            .otherwise((F.col("value").cast(MONEY) * 100).cast(MONEY).cast("string")).alias("topup"),
+            F.when(key % 7 == 0, F.lit(None)).otherwise(F.lit(1) + key % 4).cast("int").alias("PlanID"),
+        )
+
 
 def load(spark: SparkSession, sf_dir: str) -> TestData:
     return TestData(spark, sf_dir)

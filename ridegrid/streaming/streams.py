@@ -29,6 +29,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ridegrid.operators import audit as A
 from ridegrid.operators import commands as C
 from ridegrid.session import ensure_checkpoint_dir
+from ridegrid.sources.sinks import read_snapshot, write_snapshot
 
 WATERMARK = "3650 days"  # redelivery horizon for request de-duplication
 
@@ -79,25 +80,21 @@ def stream_topups(spark: SparkSession, requests: DataFrame, users: DataFrame, pa
         first = spark.read.parquet(src).where(F.col("RequestID") <= requests.select(F.percentile_approx("RequestID", 0.25)).first()[0])
         first.write.mode("append").parquet(src)
     state, ckpt = _folder(spark, "users-state"), _folder(spark, "topups-ckpt")
-    users.withColumn("v", F.lit(-1).cast("long")).write.partitionBy("v").parquet(state)
+    write_snapshot(users, state, -1)
     schema = spark.read.parquet(src).schema
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         versions = spark.read.parquet(state)
         latest = versions.where(F.col("v") < batch_id).agg(F.max("v")).first()[0]
         current = versions.where(F.col("v") == latest).drop("v")
-        new = C.wallet_topups(batch, current).tables["users"]
-        (new.withColumn("v", F.lit(batch_id).cast("long")).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("v").parquet(state))
+        write_snapshot(C.wallet_topups(batch, current).tables["users"], state, batch_id)
 
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
               .withColumn("__event_time", F.col("RequestTime").cast("timestamp"))  # watermarks need TIMESTAMP
               .withWatermark("__event_time", WATERMARK).dropDuplicatesWithinWatermark(["RequestID"])
               .drop("__event_time"))
     _run(stream.writeStream.foreachBatch(apply).option("checkpointLocation", ckpt))
-    versions = spark.read.parquet(state)
-    last = versions.agg(F.max("v")).first()[0]
-    return versions.where(F.col("v") == last).drop("v")
+    return read_snapshot(spark.read, state)
 
 
 # ----------------------------------------------------------------------------- S3
