@@ -17,7 +17,10 @@ them.  The operator decides requests in rounds:
 
 The earliest pending request is always decidable, so every round makes
 progress; in practice the number of rounds is the length of the longest
-chain of requests competing for one vehicle or one wallet.  Each round is a
+chain of requests competing for one vehicle or one wallet.  Rounds shrink the
+pending set quickly; once it is at most ``TAIL_ROWS`` rows (a counted bound)
+the rest is replayed in order in a single task, which replaces the long thin
+tail of rounds by one cheap step.  Each round is a
 handful of aggregates and joins over the pending requests only; the pending
 set and the state are written to the shared checkpoint folder every round, so
 lineage stays short and a lost executor recomputes one round at most.
@@ -35,6 +38,7 @@ from ridegrid.operators.ids import assign_ids, prefix_sum
 from ridegrid.schemas import MONEY
 from ridegrid.session import materialize
 
+TAIL_ROWS = 20_000  # pending requests this few (a checked bound) are finished by one sequential replay task
 NOT_AVAILABLE = "Vehicle not available"
 NO_BALANCE = "Insufficient balance"
 SPENT = "decimal(22,2)"
@@ -61,8 +65,13 @@ def price_requests(requests: DataFrame, users: DataFrame, vehicles: DataFrame, s
     )
 
 
-def decide_bookings(priced: DataFrame, max_rounds: int = 10_000) -> tuple[DataFrame, int]:
-    """Rounds (a)-(c); returns (RequestID, Reason) for every request and the round count."""
+def decide_bookings(priced: DataFrame, max_rounds: int = 10_000, tail_rows: int = TAIL_ROWS) -> tuple[DataFrame, int]:
+    """Rounds (a)-(c); returns (RequestID, Reason) for every request and the round count.
+
+    When the pending requests are at most ``tail_rows`` (counted, so the bound
+    is checked), they are finished by ``_replay_tail`` in one task instead of
+    further rounds.
+    """
     spark = priced.sparkSession
     base = priced.select("RequestID", "UserID", "VehicleID", "Cost", "__free0", "__has_user", "__has_station", "__bal0")
     # Static lower bound of the balance each request can meet: the opening balance minus the
@@ -75,7 +84,13 @@ def decide_bookings(priced: DataFrame, max_rounds: int = 10_000) -> tuple[DataFr
     won_parts: list[DataFrame] = []
     decided: list[DataFrame] = []
     rounds = 0
-    while not pending.isEmpty():
+    while True:
+        n_pending = pending.count()
+        if n_pending == 0:
+            break
+        if n_pending <= tail_rows:
+            decided.append(_replay_tail(pending, won_parts))
+            break
         rounds += 1
         if rounds > max_rounds:
             raise RuntimeError("booking rounds exceeded max_rounds")
@@ -114,6 +129,63 @@ def decide_bookings(priced: DataFrame, max_rounds: int = 10_000) -> tuple[DataFr
     return _union(decided), rounds
 
 
+TAIL_SCHEMA = "RequestID long, Reason string"
+
+
+def _replay_tail(pending: DataFrame, won_parts: list[DataFrame]) -> DataFrame:
+    """Finish a bounded set of pending requests by replaying them in RequestID order.
+
+    Inputs per request, computed distributed: whether its vehicle is already
+    taken, and the user's accepted spending on earlier requests (a block-split
+    prefix sum over already-accepted rows).  The replay adds what it accepts.
+    """
+    spark = pending.sparkSession
+    won = (_union(won_parts) if won_parts
+           else spark.createDataFrame([], f"UserID int, RequestID long, VehicleID int, Cost {MONEY.simpleString()}"))
+    taken = won.select(F.col("VehicleID").alias("__tv")).distinct().withColumn("__taken", F.lit(True))
+    rows = pending.join(taken, pending.VehicleID == taken.__tv, "left").drop("__tv")
+    mixed = rows.select("RequestID", "UserID", F.lit(0).cast(MONEY).alias("__w"), F.lit(True).alias("__p")).unionByName(
+        won.select("RequestID", "UserID", F.col("Cost").alias("__w"), F.lit(False).alias("__p")))
+    before = prefix_sum(mixed, ["UserID"], "RequestID", "__w", "__known").where("__p").select(
+        F.col("RequestID").alias("__r"), "__known")
+    rows = rows.join(before, rows.RequestID == before.__r, "left").select(
+        F.lit(0).alias("grp"), "RequestID", "UserID", "VehicleID", F.col("Cost").cast("string").alias("Cost"),
+        F.col("__free0").alias("free0"), F.col("__has_user").alias("has_user"),
+        F.col("__has_station").alias("has_station"), F.col("__bal0").cast("string").alias("bal0"),
+        F.coalesce(F.col("__taken"), F.lit(False)).alias("taken"),
+        F.coalesce(F.col("__known"), F.lit(0)).cast("string").alias("known"))
+
+    def replay(pdf):
+        from decimal import Decimal
+
+        import pandas as pd
+        pdf = pdf.sort_values("RequestID")
+        taken_now, spent_now, out = set(), {}, []
+        for r in pdf.itertuples(index=False):
+            if not r.free0 or r.taken or r.VehicleID in taken_now:
+                out.append(NOT_AVAILABLE)
+                continue
+            cost = Decimal(r.Cost)
+            has_balance = r.has_user and isinstance(r.bal0, str)
+            reason = None
+            if has_balance:
+                balance = Decimal(r.bal0) - Decimal(r.known) - spent_now.get(r.UserID, Decimal(0))
+                if balance < cost:
+                    reason = NO_BALANCE
+            if reason is None and not r.has_user:
+                reason = FK_REASON.format("UserID")
+            if reason is None and not r.has_station:
+                reason = FK_REASON.format("StartStationID")
+            out.append(reason)
+            if reason is None:
+                taken_now.add(r.VehicleID)
+                if has_balance:
+                    spent_now[r.UserID] = spent_now.get(r.UserID, Decimal(0)) + cost
+        return pd.DataFrame({"RequestID": pdf["RequestID"].to_numpy(), "Reason": out})
+
+    return rows.groupBy("grp").applyInPandas(replay, TAIL_SCHEMA)
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
