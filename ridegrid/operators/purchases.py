@@ -34,26 +34,28 @@ NONE_BALANCE = "float() argument must be a string or a real number, not 'NoneTyp
 
 
 def _phases(pending: DataFrame, max_phases: int) -> DataFrame:
-    """pending: (RequestID, UserID, __cost, __bal0) -> (RequestID, __ok) for every row."""
-    state = pending.groupBy("UserID").agg(F.first("__bal0").cast(BALANCE).alias("__bal")) \
-        .withColumn("__thr", F.lit(None).cast(BALANCE))
-    todo = pending.select("RequestID", "UserID", "__cost")
+    """pending: (RequestID, UserID, __cost, __bal0) -> (RequestID, __ok) for every row.
+
+    One materialized frame per phase carries everything the next phase needs
+    (the rows after each user's first failure and that failure's balance and
+    cost), so a phase is one write plus one emptiness check.
+    """
+    todo = pending.select("RequestID", "UserID", "__cost", F.col("__bal0").cast(BALANCE).alias("__bal"),
+                          F.lit(None).cast(BALANCE).alias("__thr"))
     out = []
     for _ in range(max_phases):
-        cand = todo.join(state, "UserID")
         inactive = E.holds(F.col("__cost") >= F.col("__thr"))
-        out.append(cand.where(inactive).select("RequestID", F.lit(False).alias("__ok")))
-        run = prefix_sum(cand.where(~inactive), ["UserID"], "RequestID", "__cost", "__cum", inclusive=True)
+        out.append(todo.where(inactive).select("RequestID", F.lit(False).alias("__ok")))
+        run = prefix_sum(todo.where(~inactive), ["UserID"], "RequestID", "__cost", "__cum", inclusive=True)
         fails = run.where(F.col("__cum") > F.col("__bal")).groupBy("UserID").agg(
             F.min(F.struct("RequestID", "__cost", (F.col("__cum") - F.col("__cost")).alias("before"))).alias("__f"))
-        run = materialize(run.join(fails, "UserID", "left"), "purchase-run")
+        run = materialize(run.join(fails, "UserID", "left"), "purchase-phase")
         fid = F.col("__f.RequestID")
         out.append(run.where(F.col("__f").isNull() | (F.col("RequestID") <= fid))
-                   .select("RequestID", F.col("__f").isNull() | (F.col("RequestID") < fid)).toDF("RequestID", "__ok"))
-        todo = materialize(run.where(F.col("RequestID") > fid).select("RequestID", "UserID", "__cost"), "purchase-todo")
-        state = materialize(fails.join(state, "UserID")
-                            .select("UserID", (F.col("__bal") - F.col("__f.before")).cast(BALANCE).alias("__bal"),
-                                    F.col("__f.__cost").cast(BALANCE).alias("__thr")), "purchase-state")
+                   .select("RequestID", (F.col("__f").isNull() | (F.col("RequestID") < fid)).alias("__ok")))
+        todo = run.where(F.col("RequestID") > fid).select(
+            "RequestID", "UserID", "__cost", (F.col("__bal") - F.col("__f.before")).cast(BALANCE).alias("__bal"),
+            F.col("__f.__cost").cast(BALANCE).alias("__thr"))
         if todo.isEmpty():
             break
     else:
