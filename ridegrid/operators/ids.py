@@ -25,14 +25,12 @@ ROW_BITS = 33  # monotonically_increasing_id keeps the record number in the low
 PREFIX_BLOCK = 1 << 16
 
 
-def _num_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def global_rank(df: DataFrame, order_cols: list[str | Column], out: str = "Rank") -> DataFrame:
     """Add a 1-based, gapless rank following ``order_cols`` (which must be a total order)."""
+    # No partition count: AQE coalesces the range partitions to the data size; coalescing
+    # merges neighbouring ranges, so partition ids still follow the sort order.
     staged = materialize(
-        df.repartitionByRange(_num_partitions(df), *order_cols)
+        df.repartitionByRange(*order_cols)
         .sortWithinPartitions(*order_cols)
         .withColumn("__pid", F.spark_partition_id())
         .withColumn("__mono", F.monotonically_increasing_id()),

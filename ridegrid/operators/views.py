@@ -234,10 +234,16 @@ def ride_counts(history: DataFrame) -> DataFrame:
     return history.groupBy("UserID").agg(F.count(F.lit(1)).alias("TotalRides"))
 
 
-def fleet_counts(stations: DataFrame, details: DataFrame) -> DataFrame:
+def _listed_vehicles(vehicles: DataFrame) -> DataFrame:
+    """The rows of the vehicle list (J2) for counting: the station join cannot change
+    the count (StationID is a key), so it is left out."""
+    return vehicles.where(F.col("Status") != "decommissioned").select("Status")
+
+
+def fleet_counts(stations: DataFrame, vehicles: DataFrame) -> DataFrame:
     """A2/A4: the dashboard's global figures as one row."""
     n_stations = stations.where(F.col("IsActive")).select(F.count(F.lit(1)).alias("TotalStations"))
-    fleet = details.select(
+    fleet = _listed_vehicles(vehicles).select(
         F.count(F.lit(1)).alias("TotalVehicles"),
         F.count_if(F.col("Status") == "available").alias("AvailableVehicles"),
     )
@@ -245,15 +251,15 @@ def fleet_counts(stations: DataFrame, details: DataFrame) -> DataFrame:
                              fleet.select("AvailableVehicles").scalar().alias("AvailableVehicles"))
 
 
-def dashboard_kpis(stations: DataFrame, details: DataFrame, history: DataFrame, users: DataFrame) -> DataFrame:
+def dashboard_kpis(stations: DataFrame, vehicles: DataFrame, history: DataFrame, users: DataFrame) -> DataFrame:
     """A2: per user, the dashboard tiles; rides count is 0 for users without rides.
 
     The three global figures enter as scalar subqueries (computed once,
     broadcast as literals); rides are pre-aggregated per user before the join.
     """
     n_stations = stations.where(F.col("IsActive")).select(F.count(F.lit(1))).scalar()
-    n_vehicles = details.select(F.count(F.lit(1))).scalar()
-    n_available = details.select(F.count_if(F.col("Status") == "available")).scalar()
+    n_vehicles = _listed_vehicles(vehicles).select(F.count(F.lit(1))).scalar()
+    n_available = _listed_vehicles(vehicles).select(F.count_if(F.col("Status") == "available")).scalar()
     rides = ride_counts(history).withColumnRenamed("UserID", "r_user")
     u = users.select("UserID")
     return u.join(rides, u.UserID == rides.r_user, "left").select(

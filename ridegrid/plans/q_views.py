@@ -196,7 +196,7 @@ SELECT (SELECT count(*) FROM stations WHERE IsActive) AS TotalStations,
        (SELECT count(*) FROM ({DETAILS_SQL}) d WHERE d.Status = 'available') AS AvailableVehicles""")
 def fleet_available_count(td: TestData):
     """A4 (+ the other two global tiles)."""
-    return V.fleet_counts(td.stations(), details(td))
+    return V.fleet_counts(td.stations(), td.vehicles())
 
 
 @register("dashboard_kpis", f"""
@@ -209,7 +209,7 @@ FROM users u LEFT JOIN (SELECT UserID, count(*) AS n FROM ({HISTORY_SQL}) h GROU
   ON u.UserID = r.UserID""")
 def dashboard_kpis(td: TestData):
     """A2."""
-    return V.dashboard_kpis(td.stations(), details(td), history(td), td.users())
+    return V.dashboard_kpis(td.stations(), td.vehicles(), history(td), td.users())
 
 
 @register("technician_roster", "SELECT * FROM technicians ORDER BY lower(Name), TechnicianID")
