@@ -52,6 +52,14 @@ def stage_files(df: DataFrame, label: str, parts: int = 4, order: str = "Request
     return path
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path).limit(0).collect()
+        return True
+    except Exception:  # noqa: BLE001 - missing path
+        return False
+
+
 def _run(writer, timeout_s: int = 1800) -> None:
     q = writer.trigger(availableNow=True).start()
     q.awaitTermination(timeout_s)
@@ -73,14 +81,28 @@ def stream_audit(spark: SparkSession, changes: DataFrame, parts: int = 4) -> Dat
 
 # ----------------------------------------------------------------------------- S2
 def stream_topups(spark: SparkSession, requests: DataFrame, users: DataFrame, parts: int = 4,
-                  redeliver: bool = True) -> DataFrame:
-    """Apply top-up requests micro-batch by micro-batch; returns the last users snapshot."""
-    src = stage_files(requests, "topups", parts)
-    if redeliver:  # a second copy of the first range arrives later: must change nothing
-        first = spark.read.parquet(src).where(F.col("RequestID") <= requests.select(F.percentile_approx("RequestID", 0.25)).first()[0])
-        first.write.mode("append").parquet(src)
-    state, ckpt = _folder(spark, "users-state"), _folder(spark, "topups-ckpt")
-    write_snapshot(users, state, -1)
+                  redeliver: bool = True, workdir: str | None = None) -> DataFrame:
+    """Apply top-up requests micro-batch by micro-batch; returns the last users snapshot.
+
+    With ``workdir`` the source, state and checkpoint folders are fixed, so a
+    second call resumes from the checkpoint (and, with no new files, changes
+    nothing); without it every call starts fresh.
+    """
+    if workdir is None:
+        src = stage_files(requests, "topups", parts)
+        state, ckpt = _folder(spark, "users-state"), _folder(spark, "topups-ckpt")
+        fresh = True
+    else:
+        src, state, ckpt = f"{workdir}/source", f"{workdir}/state", f"{workdir}/checkpoint"
+        fresh = not _exists(spark, state)
+        if fresh:
+            staged = stage_files(requests, "topups", parts)
+            spark.read.parquet(staged).write.parquet(src)
+    if fresh:
+        if redeliver:  # a second copy of the first range arrives later: must change nothing
+            cut = requests.select(F.percentile_approx("RequestID", 0.25)).first()[0]
+            spark.read.parquet(src).where(F.col("RequestID") <= cut).write.mode("append").parquet(src)
+        write_snapshot(users, state, -1)
     schema = spark.read.parquet(src).schema
 
     def apply(batch: DataFrame, batch_id: int) -> None:
