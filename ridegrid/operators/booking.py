@@ -6,12 +6,18 @@ them.  The operator decides requests in rounds:
 
 (a) a pending request whose vehicle is not available (initially, or taken by
     an accepted booking) is rejected: vehicles never come back within the run;
-(b) a pending request that is the earliest pending one of its vehicle and of
-    its user sees final state and is decided against the balance left by the
-    user's earlier accepted bookings.  The user condition is dropped when the
-    balance cannot fail: unknown user, NULL balance, or a request that is
-    "balance-safe" (opening balance minus the positive costs of all the
-    user's earlier requests still covers it);
+(b) only the earliest pending request of a vehicle can take it.  For each
+    user, the *run* of its pending requests before the first one that still
+    waits for its vehicle is decided at once: a block-split prefix sum gives
+    every run member the exact balance left by accepted requests and earlier
+    run members, so the run is accepted up to its first failure, which is
+    rejected; the rest waits.  Requests whose balance check cannot fail
+    (unknown user, NULL balance, or "balance-safe": the opening balance minus
+    the positive costs of all the user's earlier requests still covers it)
+    need only be the earliest of their vehicle.  After a run's first failure,
+    later run members costing more than the balance there are rejected too
+    (with no negative costs the balance cannot rise), so a user without money
+    is finished in one round;
 (c) accepted bookings mark their vehicle taken and add their cost to the
     user's spent total.
 
@@ -78,9 +84,11 @@ def decide_bookings(priced: DataFrame, max_rounds: int = 10_000, tail_rows: int
     # positive costs of *all* earlier requests of the user.  If that still covers the cost, the
     # balance check passes whatever the earlier requests decide ("balance-safe").
     bound = prefix_sum(base, ["UserID"], "RequestID", F.greatest(F.col("Cost"), F.lit(0)), "__pos_before")
+    nonneg = base.groupBy(F.col("UserID").alias("__nu")).agg(
+        F.coalesce(F.min("Cost") >= 0, F.lit(False)).alias("__nonneg"))
     pending = materialize(
         bound.withColumn("__safe", E.holds(F.col("__bal0") - F.col("__pos_before") >= F.col("Cost")))
-        .drop("__pos_before"), "book-pending")
+        .drop("__pos_before").join(nonneg, F.col("UserID") == F.col("__nu"), "left").drop("__nu"), "book-pending")
     won_parts: list[DataFrame] = []
     decided: list[DataFrame] = []
     rounds = 0
@@ -99,22 +107,46 @@ def decide_bookings(priced: DataFrame, max_rounds: int = 10_000, tail_rows: int
         taken = won_all.select(F.col("VehicleID").alias("__tv")).withColumn("__taken", F.lit(True))
         p = pending.join(taken, pending.VehicleID == taken.__tv, "left").drop("__tv")
         gone = ~F.col("__free0") | F.col("__taken").isNotNull()
-        fu = p.where(~gone).groupBy("UserID").agg(F.min("RequestID").alias("__fu"))
         fv = p.where(~gone).groupBy("VehicleID").agg(F.min("RequestID").alias("__fv"))
-        p = p.join(fu, "UserID", "left").join(fv, "VehicleID", "left")
+        p = p.join(fv, "VehicleID", "left")
+        vf = ~gone & (F.col("RequestID") == F.col("__fv"))  # earliest pending request of its vehicle
+        # A user's "run": its pending requests before its first one that still waits for a vehicle.
+        nvf = p.where(~gone & ~vf).groupBy("UserID").agg(F.min("RequestID").alias("__nvf"))
+        p = p.join(nvf, "UserID", "left")
+        exact_user = F.col("__has_user") & F.col("__bal0").isNotNull()
+        in_run = vf & exact_user & (F.col("__nvf").isNull() | (F.col("RequestID") < F.col("__nvf")))
+        p = p.withColumn("__in_run", in_run)
+        # Exact balance before every run member, assuming the run members before it are accepted:
+        # opening balance minus accepted costs (earlier rounds) and run costs with smaller RequestID.
+        run = p.where("__in_run")
+        mixed = run.select("UserID", "RequestID", F.col("Cost").alias("__w"), F.lit(True).alias("__r")).unionByName(
+            won_all.join(run.select("UserID").distinct(), "UserID")
+            .select("UserID", "RequestID", F.col("Cost").alias("__w"), F.lit(False).alias("__r")))
+        pre = prefix_sum(mixed, ["UserID"], "RequestID", "__w", "__pre").where("__r").select(
+            F.col("RequestID").alias("__pr"), "__pre")
+        run = run.join(pre, run.RequestID == pre.__pr).withColumn("__bal", F.col("__bal0") - F.col("__pre"))
+        ok = (F.col("__bal") >= F.col("Cost")) & F.col("__has_station")
+        fails = run.where(~ok).groupBy(F.col("UserID").alias("__fu")).agg(
+            F.min(F.struct("RequestID", "__bal")).alias("__fs"))
+        run = run.join(fails, F.col("UserID") == F.col("__fu"), "left").withColumn("__f", F.col("__fs.RequestID"))
+        # After the first failure the balance is at most its balance there (a rejection consumes
+        # nothing and, with no negative costs, nothing adds money): any later run member costing
+        # more must fail too, whatever is decided in between.
+        hopeless = (F.col("RequestID") > F.col("__f")) & F.col("__nonneg") & (F.col("Cost") > F.col("__fs.__bal"))
+        run_done = run.where(F.col("__f").isNull() | (F.col("RequestID") <= F.col("__f")) | hopeless).select(
+            F.col("RequestID").alias("__dr"),
+            F.when((F.col("RequestID") == F.col("__f")) | hopeless,
+                   F.when(F.col("__bal") < F.col("Cost"), F.lit(NO_BALANCE))
+                   .when(hopeless, F.lit(NO_BALANCE))
+                   .otherwise(F.lit(FK_REASON.format("StartStationID")))).alias("__run_reason"))
+        p = p.join(run_done, p.RequestID == run_done.__dr, "left")
         balance_free = ~F.col("__has_user") | F.col("__bal0").isNull() | F.col("__safe")
-        ready = ~gone & (F.col("RequestID") == F.col("__fv")) & ((F.col("RequestID") == F.col("__fu")) | balance_free)
-        exact = ready & ~balance_free
-        # spent before an exact request: accepted costs of the same user with a smaller RequestID
-        w = won_all.select(F.col("UserID").alias("__wu"), F.col("RequestID").alias("__wr"), F.col("Cost").alias("__wc"))
-        need = p.where(exact).select("RequestID", "UserID")
-        spent = (need.join(w, (need.UserID == w.__wu) & (w.__wr < need.RequestID))
-                 .groupBy(F.col("RequestID").alias("__sr")).agg(F.sum("__wc").alias("__spent")))
-        p = p.join(spent, p.RequestID == spent.__sr, "left")
-        balance = F.col("__bal0") - F.coalesce(F.col("__spent"), F.lit(0))
+        decided_run = F.col("__dr").isNotNull()
+        free_now = vf & balance_free & ~decided_run
+        ready = decided_run | free_now
         reason = (F.when(gone, F.lit(NOT_AVAILABLE))
-                  .when(ready, first_failure(
-                      (exact & (balance < F.col("Cost")), NO_BALANCE),
+                  .when(decided_run, F.col("__run_reason"))
+                  .when(free_now, first_failure(
                       (~F.col("__has_user"), FK_REASON.format("UserID")),
                       (~F.col("__has_station"), FK_REASON.format("StartStationID")))))
         state = F.when(gone | ready, F.lit("decided")).otherwise(F.lit("pending"))

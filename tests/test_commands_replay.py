@@ -81,3 +81,29 @@ def test_slot_ranking_equals_greedy(spark, n_reports, loads):
     slots = maintenance.technician_slots(_df(spark, "technicians", techs), n_reports)
     got = dict((r.SlotRank, r.TechnicianID) for r in slots.collect())
     assert [got.get(i + 1) for i in range(n_reports)] == expected
+
+
+def test_hot_user_and_hot_vehicle_need_few_rounds(spark):
+    """One user holds a third of the requests (mostly unaffordable), one vehicle is wanted by many."""
+    rng = random.Random(11)
+    users, vehicles, stations = _world(rng, 10, 40, 2)
+    for v in vehicles:
+        v["Status"] = "available"
+    users[0]["WalletBalance"] = Decimal("900.00")  # the hot user can afford only a few rides
+    reqs = []
+    for i, rid in enumerate(rng.sample(range(10_000), 150)):
+        hot_user = i % 3 == 0
+        reqs.append(dict(RequestID=rid, UserID=1 if hot_user else rng.randint(2, 10),
+                         VehicleID=rng.randint(2, 40) if hot_user else (1 if i % 3 == 1 else rng.randint(2, 40)),
+                         StartStationID=1, DurationHours=Decimal(rng.randint(1, 16)) / 4))
+    expected, _ = replay_bookings(reqs, users, vehicles, stations, PLANS)
+    rdf = spark.createDataFrame(
+        [(r["RequestID"], __import__("datetime").datetime(2024, 1, 1), r["UserID"], r["VehicleID"],
+          r["StartStationID"], r["DurationHours"]) for r in reqs],
+        "RequestID long, RequestTime timestamp_ntz, UserID int, VehicleID int, StartStationID int, "
+        "DurationHours decimal(5,2)")
+    priced = booking.price_requests(rdf, _df(spark, "users", users), _df(spark, "vehicles", vehicles),
+                                    _df(spark, "stations", stations), membership_plans(spark))
+    reasons, rounds = booking.decide_bookings(priced, tail_rows=0)
+    assert {r.RequestID: r.Reason for r in reasons.collect()} == expected
+    assert rounds <= 25, rounds
