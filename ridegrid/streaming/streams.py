@@ -9,8 +9,9 @@
   requests are removed with ``dropDuplicatesWithinWatermark`` on RequestID.
 * ``stream_vehicle_state`` (S3): per-vehicle status and station from the
   decided events of the commands, applied in (RequestTime, RequestID) order by
-  ``applyInPandasWithState`` keyed by VehicleID.  Events older than the last
-  one applied to a vehicle are counted in ``LateEvents`` and not applied.
+  ``applyInPandasWithState`` keyed by VehicleID (a vectorised pandas fold per
+  vehicle and micro-batch).  Events older than the last one applied to a
+  vehicle are counted in ``LateEvents`` and not applied.
 
 All folders (sources, sinks, streaming checkpoints) live under the shared
 checkpoint folder of the cluster.  ``queries()`` runs these with
@@ -128,35 +129,47 @@ OUT_SCHEMA = "VehicleID int, Status string, CurrentStationID int, LastRequest lo
 NO_STATION = -(2 ** 31)  # pandas state cannot hold a NULL int: sentinel for "no station"
 
 
+SETS_STATUS = {"book": "in-use", "end": "available", "cancel": "available", "complete": "available",
+               "decommission": "decommissioned"}
+
+
 def _vehicle_fold(key, pdfs, state: GroupState):
-    """Apply one vehicle's events in (time, request, kind rank) order to its (status, station) state."""
+    """Apply one vehicle's new events to its (status, station) state, vectorised.
+
+    The state machine collapses to: the last status-setting event decides the
+    status, a report after it turns 'available' into 'under-maintenance', and
+    the last end / cancel / snapshot decides the station.  Events not after
+    the last applied (time, request, kind rank) are late: counted, not applied.
+    """
     if state.exists:
         status, station, last_t, last_r, last_k, late = state.get
     else:
         status, station, last_t, last_r, last_k, late = None, NO_STATION, -(2 ** 62), -(2 ** 62), -1, 0
-    events = pd.concat(list(pdfs), ignore_index=True)
-    events["t"] = events["RequestTime"].astype("int64")
-    events["k"] = events["Kind"].map(KIND_RANK)
-    events = events.sort_values(["t", "RequestID", "k"], kind="stable")
-    for ev in events.itertuples(index=False):
-        if (ev.t, ev.RequestID, ev.k) <= (last_t, last_r, last_k):
-            late += 1
-            continue
-        kind = ev.Kind
-        st = NO_STATION if pd.isna(ev.StationID) else int(ev.StationID)
-        if kind == "snapshot":
-            status, station = ev.Status, st
-        elif kind == "book":
-            status = "in-use"
-        elif kind in ("end", "cancel"):
-            status, station = "available", st
-        elif kind == "complete":
-            status = "available"
-        elif kind == "decommission":
-            status = "decommissioned"
-        elif kind == "report" and status == "available":
+    ev = pd.concat(list(pdfs), ignore_index=True)
+    ev["t"] = ev["RequestTime"].astype("int64")
+    ev["k"] = ev["Kind"].map(KIND_RANK)
+    ev = ev.sort_values(["t", "RequestID", "k"], kind="stable").reset_index(drop=True)
+    newer = (ev["t"] > last_t) | ((ev["t"] == last_t) & ((ev["RequestID"] > last_r)
+                                                         | ((ev["RequestID"] == last_r) & (ev["k"] > last_k))))
+    late += int((~newer).sum())
+    ev = ev[newer].reset_index(drop=True)
+    if len(ev):
+        sets = ev["Kind"].isin(list(SETS_STATUS) + ["snapshot"])
+        if sets.any():
+            last_set = ev.index[sets][-1]
+            row = ev.loc[last_set]
+            status = row["Status"] if row["Kind"] == "snapshot" else SETS_STATUS[row["Kind"]]
+            after = ev.loc[last_set + 1:]
+        else:
+            after = ev
+        if status == "available" and (after["Kind"] == "report").any():
             status = "under-maintenance"
-        last_t, last_r, last_k = int(ev.t), int(ev.RequestID), int(ev.k)
+        moves = ev[ev["Kind"].isin(["end", "cancel", "snapshot"])]
+        if len(moves):
+            st = moves["StationID"].iloc[-1]
+            station = NO_STATION if pd.isna(st) else int(st)
+        tail = ev.iloc[-1]
+        last_t, last_r, last_k = int(tail["t"]), int(tail["RequestID"]), int(tail["k"])
     state.update((status, station, last_t, last_r, last_k, late))
     yield pd.DataFrame({"VehicleID": [key[0]], "Status": [status],
                         "CurrentStationID": [None if station == NO_STATION else station],
