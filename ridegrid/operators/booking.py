@@ -6,7 +6,10 @@ them.  The operator decides requests in rounds:
 
 (a) a pending request whose vehicle is not available (initially, or taken by
     an accepted booking) is rejected: vehicles never come back within the run;
-(b) only the earliest pending request of a vehicle can take it.  For each
+(b) only the earliest pending *possible taker* of a vehicle can take it
+    (requests certain to be rejected -- unknown user or station, or a cost
+    above the opening balance -- never take it and do not block it), so the
+    vehicle is surely free for every request up to that one.  For each
     user, the *run* of its pending requests before the first one that still
     waits for its vehicle is decided at once: a block-split prefix sum gives
     every run member the exact balance left by accepted requests and earlier
@@ -86,9 +89,14 @@ def decide_bookings(priced: DataFrame, max_rounds: int = 10_000, tail_rows: int
     bound = prefix_sum(base, ["UserID"], "RequestID", F.greatest(F.col("Cost"), F.lit(0)), "__pos_before")
     nonneg = base.groupBy(F.col("UserID").alias("__nu")).agg(
         F.coalesce(F.min("Cost") >= 0, F.lit(False)).alias("__nonneg"))
+    # Requests certain to be rejected can never take their vehicle: unknown user, unknown station, or
+    # (no negative costs) a cost above the opening balance, since balances only fall.
+    non_taker = (~F.col("__has_user") | ~F.col("__has_station")
+                 | E.holds(F.col("__nonneg") & (F.col("Cost") > F.col("__bal0"))))
     pending = materialize(
         bound.withColumn("__safe", E.holds(F.col("__bal0") - F.col("__pos_before") >= F.col("Cost")))
-        .drop("__pos_before").join(nonneg, F.col("UserID") == F.col("__nu"), "left").drop("__nu"), "book-pending")
+        .drop("__pos_before").join(nonneg, F.col("UserID") == F.col("__nu"), "left").drop("__nu")
+        .withColumn("__non_taker", non_taker), "book-pending")
     won_parts: list[DataFrame] = []
     decided: list[DataFrame] = []
     rounds = 0
@@ -104,12 +112,14 @@ def decide_bookings(priced: DataFrame, max_rounds: int = 10_000, tail_rows: int
             raise RuntimeError("booking rounds exceeded max_rounds")
         won_all = (_union(won_parts) if won_parts
                    else spark.createDataFrame([], f"UserID int, RequestID long, VehicleID int, Cost {MONEY.simpleString()}"))
-        taken = won_all.select(F.col("VehicleID").alias("__tv")).withColumn("__taken", F.lit(True))
+        # a taken vehicle is unavailable only for requests after the one that took it
+        taken = won_all.groupBy(F.col("VehicleID").alias("__tv")).agg(F.min("RequestID").alias("__taken_by"))
         p = pending.join(taken, pending.VehicleID == taken.__tv, "left").drop("__tv")
-        gone = ~F.col("__free0") | F.col("__taken").isNotNull()
-        fv = p.where(~gone).groupBy("VehicleID").agg(F.min("RequestID").alias("__fv"))
+        gone = ~F.col("__free0") | E.holds(F.col("__taken_by") < F.col("RequestID"))
+        fv = p.where(~gone & ~F.col("__non_taker")).groupBy("VehicleID").agg(F.min("RequestID").alias("__fv"))
         p = p.join(fv, "VehicleID", "left")
-        vf = ~gone & (F.col("RequestID") == F.col("__fv"))  # earliest pending request of its vehicle
+        # the vehicle is surely free for requests up to its earliest pending possible taker
+        vf = ~gone & (F.col("__fv").isNull() | (F.col("RequestID") <= F.col("__fv")))
         # A user's "run": its pending requests before its first one that still waits for a vehicle.
         nvf = p.where(~gone & ~vf).groupBy("UserID").agg(F.min("RequestID").alias("__nvf"))
         p = p.join(nvf, "UserID", "left")
@@ -174,7 +184,7 @@ def _replay_tail(pending: DataFrame, won_parts: list[DataFrame]) -> DataFrame:
     spark = pending.sparkSession
     won = (_union(won_parts) if won_parts
            else spark.createDataFrame([], f"UserID int, RequestID long, VehicleID int, Cost {MONEY.simpleString()}"))
-    taken = won.select(F.col("VehicleID").alias("__tv")).distinct().withColumn("__taken", F.lit(True))
+    taken = won.groupBy(F.col("VehicleID").alias("__tv")).agg(F.min("RequestID").alias("__taken_by"))
     rows = pending.join(taken, pending.VehicleID == taken.__tv, "left").drop("__tv")
     mixed = rows.select("RequestID", "UserID", F.lit(0).cast(MONEY).alias("__w"), F.lit(True).alias("__p")).unionByName(
         won.select("RequestID", "UserID", F.col("Cost").alias("__w"), F.lit(False).alias("__p")))
@@ -184,7 +194,7 @@ def _replay_tail(pending: DataFrame, won_parts: list[DataFrame]) -> DataFrame:
         F.lit(0).alias("grp"), "RequestID", "UserID", "VehicleID", F.col("Cost").cast("string").alias("Cost"),
         F.col("__free0").alias("free0"), F.col("__has_user").alias("has_user"),
         F.col("__has_station").alias("has_station"), F.col("__bal0").cast("string").alias("bal0"),
-        F.coalesce(F.col("__taken"), F.lit(False)).alias("taken"),
+        E.holds(F.col("__taken_by") < F.col("RequestID")).alias("taken"),
         F.coalesce(F.col("__known"), F.lit(0)).cast("string").alias("known"))
 
     def replay(pdf):

@@ -107,3 +107,29 @@ def test_hot_user_and_hot_vehicle_need_few_rounds(spark):
     reasons, rounds = booking.decide_bookings(priced, tail_rows=0)
     assert {r.RequestID: r.Reason for r in reasons.collect()} == expected
     assert rounds <= 25, rounds
+
+
+def test_broke_crowd_on_one_vehicle_is_settled_in_few_rounds(spark):
+    """A third of the requests target one vehicle from users who cannot pay; then one who can."""
+    users = [dict(UserID=i, Name=f"u{i}", Email=f"u{i}@x", Password="p", Role="user",
+                  WalletBalance=Decimal("1.00") if i > 1 else Decimal("100000.00"),
+                  JoinDate=__import__("datetime").date(2024, 1, 1), PlanID=None) for i in range(1, 31)]
+    vehicles = [dict(VehicleID=i, RegistrationNumber=f"R{i}", Type="Car", Model="M", Manufacturer="X",
+                     RatePerHour=Decimal("50.00"), Status="available", CurrentStationID=1) for i in range(1, 61)]
+    stations = [dict(StationID=1, Name="s", Location="L", Capacity=10, IsActive=True)]
+    reqs = [dict(RequestID=i, UserID=2 + i % 29, VehicleID=1, StartStationID=1, DurationHours=Decimal("1.00"))
+            for i in range(40)]                                   # broke crowd on vehicle 1
+    reqs += [dict(RequestID=100 + i, UserID=2, VehicleID=2 + i, StartStationID=1, DurationHours=Decimal("1.00"))
+             for i in range(40)]                                  # one broke user everywhere
+    reqs += [dict(RequestID=500, UserID=1, VehicleID=1, StartStationID=1, DurationHours=Decimal("2.00"))]
+    expected, _ = replay_bookings(reqs, users, vehicles, stations, PLANS)
+    rdf = spark.createDataFrame(
+        [(r["RequestID"], __import__("datetime").datetime(2024, 1, 1), r["UserID"], r["VehicleID"],
+          r["StartStationID"], r["DurationHours"]) for r in reqs],
+        "RequestID long, RequestTime timestamp_ntz, UserID int, VehicleID int, StartStationID int, "
+        "DurationHours decimal(5,2)")
+    priced = booking.price_requests(rdf, _df(spark, "users", users), _df(spark, "vehicles", vehicles),
+                                    _df(spark, "stations", stations), membership_plans(spark))
+    reasons, rounds = booking.decide_bookings(priced, tail_rows=0)
+    assert {r.RequestID: r.Reason for r in reasons.collect()} == expected
+    assert rounds <= 2, rounds
