@@ -37,6 +37,9 @@ lineage stays short and a lost executor recomputes one round at most.
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +52,9 @@ from ridegrid.session import materialize
 
 TAIL_ROWS = 20_000  # pending requests this few (a checked bound) are finished by one sequential replay task
 NOT_AVAILABLE = "Vehicle not available"
+
+# The tail replay runs in a Python worker: ship this module's code by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 NO_BALANCE = "Insufficient balance"
 SPENT = "decimal(22,2)"
 

@@ -20,9 +20,11 @@ checkpoint folder of the cluster.  ``queries()`` runs these with
 
 from __future__ import annotations
 
+import sys
 import uuid
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -34,6 +36,11 @@ from ridegrid.sources.sinks import read_snapshot, write_snapshot
 
 WATERMARK = "3650 days"  # redelivery horizon for request de-duplication
 
+# The grouped-state function below runs in Python workers.  Ship this module's
+# code with the pickled function instead of importing ``ridegrid`` on the
+# executors, so the job works wherever the package is installed on the driver.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _folder(spark: SparkSession, label: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/ridegrid-{label}-{uuid.uuid4().hex}"
