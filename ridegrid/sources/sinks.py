@@ -11,19 +11,24 @@ def to_json_rows(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
 
 
+VERSION = "_version"  # partition column of versioned snapshots (reserved name)
+
+
 def write_snapshot(df: DataFrame, path: str, version: int) -> None:
-    """SNK2: write table state ``version`` as partition ``v=<version>``.
+    """SNK2: write table state ``version`` as partition ``_version=<version>``.
 
     Dynamic partition overwrite replaces only that version, so re-running a
     step (a retried batch) is idempotent and earlier versions stay readable.
     """
-    (df.withColumn("v", F.lit(version).cast("long")).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("v").parquet(path))
+    if VERSION in df.columns:
+        raise ValueError(f"column name {VERSION!r} is reserved for snapshot versions")
+    (df.withColumn(VERSION, F.lit(version).cast("long")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(VERSION).parquet(path))
 
 
 def read_snapshot(df_reader, path: str, version: int | None = None) -> DataFrame:
     """Read one version (default: the newest) of a snapshot written by ``write_snapshot``."""
     all_versions = df_reader.parquet(path)
     if version is None:
-        version = all_versions.agg(F.max("v")).first()[0]
-    return all_versions.where(F.col("v") == version).drop("v")
+        version = all_versions.agg(F.max(VERSION)).first()[0]
+    return all_versions.where(F.col(VERSION) == version).drop(VERSION)

@@ -4,7 +4,7 @@
   stateless projection appended to a Parquet sink.
 * ``stream_topups`` (S2): a command stream applied batch by batch with
   ``foreachBatch``.  Each micro-batch writes one snapshot version
-  (partition ``v=<batch id>``) with dynamic partition overwrite, so a replayed
+  (partition ``_version=<batch id>``) with dynamic partition overwrite, so a replayed
   batch rewrites its own version and nothing else (idempotent).  Redelivered
   requests are removed with ``dropDuplicatesWithinWatermark`` on RequestID.
 * ``stream_vehicle_state`` (S3): per-vehicle status and station from the
@@ -32,7 +32,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ridegrid.operators import audit as A
 from ridegrid.operators import commands as C
 from ridegrid.session import ensure_checkpoint_dir
-from ridegrid.sources.sinks import read_snapshot, write_snapshot
+from ridegrid.sources.sinks import VERSION, read_snapshot, write_snapshot
 
 WATERMARK = "3650 days"  # redelivery horizon for request de-duplication
 
@@ -115,8 +115,8 @@ def stream_topups(spark: SparkSession, requests: DataFrame, users: DataFrame, pa
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         versions = spark.read.parquet(state)
-        latest = versions.where(F.col("v") < batch_id).agg(F.max("v")).first()[0]
-        current = versions.where(F.col("v") == latest).drop("v")
+        latest = versions.where(F.col(VERSION) < batch_id).agg(F.max(VERSION)).first()[0]
+        current = read_snapshot(spark.read, state, latest)
         write_snapshot(C.wallet_topups(batch, current).tables["users"], state, batch_id)
 
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)

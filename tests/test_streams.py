@@ -12,10 +12,10 @@ def test_topup_stream_equals_batch_and_restart_changes_nothing(spark, td):
     work = f"{ensure_checkpoint_dir(spark).rstrip('/')}/test-topups-{uuid.uuid4().hex}"
     first = {r.UserID: r.WalletBalance for r in S.stream_topups(spark, td.topup_requests(), td.users(), workdir=work).collect()}
     assert first == batch
-    versions = spark.read.parquet(f"{work}/state").select("v").distinct().count()
+    versions = spark.read.parquet(f"{work}/state").select("_version").distinct().count()
     again = {r.UserID: r.WalletBalance for r in S.stream_topups(spark, td.topup_requests(), td.users(), workdir=work).collect()}
     assert again == batch
-    assert spark.read.parquet(f"{work}/state").select("v").distinct().count() == versions
+    assert spark.read.parquet(f"{work}/state").select("_version").distinct().count() == versions
 
 
 def test_audit_stream_equals_batch_messages(spark, td):
