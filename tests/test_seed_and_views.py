@@ -66,3 +66,19 @@ def test_booking_quote_rounding(spark):
             datetime.datetime(2024, 1, 1)), "h").alias("e")).first()
     assert row.c == Decimal("214.11")
     assert row.e == datetime.datetime(2024, 1, 1, 2)
+
+
+def test_expression_edge_cases(spark):
+    from pyspark.sql import functions as F
+
+    from ridegrid.functions import exprs as E
+    df = spark.createDataFrame([(None, None, "", 0, None), (Decimal("5.5"), "Tata", "Nexon", 7, "x")],
+                               "amt decimal(10,2), make string, model string, id int, txt string")
+    rows = df.select(E.money_text("amt").alias("m"), E.vehicle_label("make", F.lit("Car")).alias("l"),
+                     E.or_na("model").alias("n"), E.truthy_id("id").alias("i"), E.truthy_text("txt").alias("t"),
+                     E.plan_discount(F.lit(None).cast("string")).alias("d")).collect()
+    assert [tuple(r) for r in rows] == [
+        ("0.00", " • Car", "N/A", False, False, Decimal("0.00")),
+        ("5.50", "Tata • Car", "Nexon", True, True, Decimal("0.00")),
+    ]
+    assert [E.clamp_limit(x) for x in (None, "7", "abc", 0, 9999)] == [100, 7, 100, 100, 500]
