@@ -26,8 +26,29 @@ def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op5_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ridegrid.llm.bpe import encode_decode
+
+    prepare(spark)
+    return encode_decode(table(spark, sf_dir, "documents"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ridegrid.llm.token_counts import count_tokens
+
+    prepare(spark)
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ridegrid.llm.decontaminate import contamination, digest
+
+    prepare(spark)
+    return digest(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 QUERIES: dict[str, QueryFn] = {
-    f.__name__: f for f in (op1_exact_dedup, op4_hilbert_shards)
+    f.__name__: f for f in (op1_exact_dedup, op4_hilbert_shards, op5_bpe_stream, op7_token_counts, op8_decontaminate)
 }
 
 ORACLES: dict[str, str] = {
