@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ridegrid.llm.common import prepare, table
 
@@ -19,6 +20,14 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ridegrid.llm.chat_format import format_conversations, probe
+
+    prepare(spark)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    return format_conversations(rows.unionByName(probe(rows)))
+
+
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ridegrid.llm.hilbert_shards import assign_shards
 
@@ -33,6 +42,13 @@ def op5_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ridegrid.llm.language_id import identify
+
+    prepare(spark)
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ridegrid.llm.token_counts import count_tokens
 
@@ -48,7 +64,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, QueryFn] = {
-    f.__name__: f for f in (op1_exact_dedup, op4_hilbert_shards, op5_bpe_stream, op7_token_counts, op8_decontaminate)
+    f.__name__: f for f in (
+        op1_exact_dedup, op2_chat_format, op4_hilbert_shards, op5_bpe_stream, op6_language_id, op7_token_counts,
+        op8_decontaminate,
+    )
 }
 
 ORACLES: dict[str, str] = {
