@@ -28,6 +28,13 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_conversations(rows.unionByName(probe(rows)))
 
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ridegrid.llm.near_dedup import near_groups
+
+    prepare(spark)
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ridegrid.llm.hilbert_shards import assign_shards
 
@@ -63,10 +70,30 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op9_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ridegrid.llm.pii import digest, find_spans
+
+    prepare(spark)
+    return digest(find_spans(table(spark, sf_dir, "documents")))
+
+
+def op10_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ridegrid.llm.quality import score_quality
+
+    prepare(spark)
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, QueryFn] = {
     f.__name__: f for f in (
-        op1_exact_dedup, op2_chat_format, op4_hilbert_shards, op5_bpe_stream, op6_language_id, op7_token_counts,
-        op8_decontaminate,
+        op1_exact_dedup, op2_chat_format, op3_order_minhash, op4_hilbert_shards, op5_bpe_stream, op6_language_id,
+        op7_token_counts, op8_decontaminate, op9_pii_boosting, op10_attention_quality, pipeline,
     )
 }
 
