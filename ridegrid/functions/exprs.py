@@ -36,8 +36,8 @@ def plan_discount(plan_name: Column | str) -> Column:
 
 
 def ride_cost(rate: Column | str, hours: Column | str, discount: Column | str) -> Column:
-    """(rate * hours) * (1 - discount) stored as DECIMAL(10,2) (half-up)."""
-    return ((_c(rate) * _c(hours)) * (F.lit(1) - _c(discount))).cast(MONEY)
+    """(rate * hours) * (1 - discount) stored as DECIMAL(10,2) (half-up); NULL if that cannot hold it."""
+    return ((_c(rate) * _c(hours)) * (F.lit(1) - _c(discount))).try_cast(MONEY)
 
 
 def expected_end(start: Column | str, hours: Column | str) -> Column:
@@ -79,11 +79,6 @@ def money_text(amount: Column | str) -> Column:
     return F.coalesce(_c(amount).cast(MONEY).cast("string"), F.lit("0.00"))
 
 
-def supplied(new: Column | str, old: Column | str) -> Column:
-    """Keep the old value unless a non-empty new one is supplied."""
-    return F.coalesce(F.nullif(_c(new), F.lit("")), _c(old))
-
-
 def non_blank(text: Column | str) -> Column:
     """Text present after trimming."""
     return F.coalesce(F.trim(_c(text)) != F.lit(""), F.lit(False))

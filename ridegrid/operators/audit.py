@@ -71,7 +71,8 @@ def fires() -> Column:
     """Whether a change row produces a log row (trigger conditions; NULL comparisons do not fire)."""
     differs_status = F.coalesce(F.col("OldStatus") != F.col("NewStatus"), F.lit(False))
     differs_balance = F.coalesce(F.col("OldBalance") != F.col("NewBalance"), F.lit(False))
-    always = (F.col("TableName").isin("Trips", "Payments") | _is("MaintenanceLogs", "INSERT"))
+    always = (F.col("TableName") == "Trips") | _is("Payments", "INSERT") | _is("Payments", "UPDATE") | _is(
+        "MaintenanceLogs", "INSERT")  # a deleted payment has no trigger
     return (
         F.when(_is("Vehicles", "UPDATE") | _is("MaintenanceLogs", "UPDATE"), differs_status)
         .when(_is("Users", "UPDATE"), differs_balance)

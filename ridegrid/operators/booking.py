@@ -26,35 +26,29 @@ them.  The operator decides requests in rounds:
 
 The earliest pending request is always decidable, so every round makes
 progress; in practice the number of rounds is the length of the longest
-chain of requests competing for one vehicle or one wallet.  Rounds shrink the
-pending set quickly; once it is at most ``TAIL_ROWS`` rows (a counted bound)
-the rest is replayed in order in a single task, which replaces the long thin
-tail of rounds by one cheap step.  Each round is a
-handful of aggregates and joins over the pending requests only; the pending
-set and the state are written to the shared checkpoint folder every round, so
-lineage stays short and a lost executor recomputes one round at most.
+chain of requests competing for one vehicle or one wallet.  A round is one
+aggregate and one join by vehicle, two block-split passes by user and one
+write of the requests still pending or just accepted; it runs alike at every size.  That frame is
+all the next round reads: accepted requests stay in it for one round, in which
+their vehicle and cost are taken from the others.  It lies in the shared
+checkpoint folder, so lineage stays short and a lost executor recomputes one round at most.
+
+A price or balance that the money type cannot hold rejects its request alone.
 """
 
 from __future__ import annotations
 
-import sys
-
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridegrid.functions import exprs as E
-from ridegrid.operators.commands import FK_REASON, CommandResult, _max_id, _replace, change_rows, decide, \
-    first_failure, union_changes
-from ridegrid.operators.ids import assign_ids, prefix_sum
-from ridegrid.schemas import MONEY
+from ridegrid.operators.commands import FK_REASON, OUT_OF_RANGE, CommandResult, _max_id, _replace, change_rows, \
+    decide, first_failure, union_changes
+from ridegrid.operators.ids import global_rank, prefix_aggs, prefix_sum
+from ridegrid.schemas import MONEY, MONEY_MAX
 from ridegrid.session import materialize
 
-TAIL_ROWS = 20_000  # pending requests this few (a checked bound) are finished by one sequential replay task
 NOT_AVAILABLE = "Vehicle not available"
-
-# The tail replay runs in a Python worker: ship this module's code by value.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 NO_BALANCE = "Insufficient balance"
 SPENT = "decimal(22,2)"
 
@@ -64,7 +58,7 @@ def price_requests(requests: DataFrame, users: DataFrame, vehicles: DataFrame, s
     """Join every request once with the snapshot: rate, discount, cost and the static flags."""
     v = vehicles.select(F.col("VehicleID").alias("__v"), "RatePerHour", F.col("Status").alias("__vs"))
     u = users.select(F.col("UserID").alias("__u"), F.col("WalletBalance").alias("__bal0"), F.col("PlanID").alias("__plan"))
-    p = F.broadcast(plans.select(F.col("PlanID").alias("__p"), "PlanName"))  # fixed small table
+    p = plans.select(F.col("PlanID").alias("__p"), "PlanName")
     s = stations.select(F.col("StationID").alias("__s"))
     r = (requests.join(v, requests.VehicleID == v.__v, "left")
          .join(u, requests.UserID == u.__u, "left")
@@ -80,158 +74,93 @@ def price_requests(requests: DataFrame, users: DataFrame, vehicles: DataFrame, s
     )
 
 
-def decide_bookings(priced: DataFrame, max_rounds: int = 10_000, tail_rows: int = TAIL_ROWS) -> tuple[DataFrame, int]:
-    """Rounds (a)-(c); returns (RequestID, Reason) for every request and the round count.
-
-    When the pending requests are at most ``tail_rows`` (counted, so the bound
-    is checked), they are finished by ``_replay_tail`` in one task instead of
-    further rounds.
-    """
-    spark = priced.sparkSession
+def decide_bookings(priced: DataFrame) -> tuple[DataFrame, int]:
+    """Rounds (a)-(c); returns (RequestID, Reason) for every request and the round count."""
     base = priced.select("RequestID", "UserID", "VehicleID", "Cost", "__free0", "__has_user", "__has_station", "__bal0")
     # Static lower bound of the balance each request can meet: the opening balance minus the
     # positive costs of *all* earlier requests of the user.  If that still covers the cost, the
     # balance check passes whatever the earlier requests decide ("balance-safe").
-    bound = prefix_sum(base, ["UserID"], "RequestID", F.greatest(F.col("Cost"), F.lit(0)), "__pos_before")
-    nonneg = base.groupBy(F.col("UserID").alias("__nu")).agg(
-        F.coalesce(F.min("Cost") >= 0, F.lit(False)).alias("__nonneg"))
-    # Requests certain to be rejected can never take their vehicle: unknown user, unknown station, or
-    # (no negative costs) a cost above the opening balance, since balances only fall.
-    non_taker = (~F.col("__has_user") | ~F.col("__has_station")
-                 | E.holds(F.col("__nonneg") & (F.col("Cost") > F.col("__bal0"))))
-    pending = materialize(
-        bound.withColumn("__safe", E.holds(F.col("__bal0") - F.col("__pos_before") >= F.col("Cost")))
-        .drop("__pos_before").join(nonneg, F.col("UserID") == F.col("__nu"), "left").drop("__nu")
-        .withColumn("__non_taker", non_taker), "book-pending")
-    won_parts: list[DataFrame] = []
+    bound = prefix_sum(base, ["UserID"], "RequestID", F.greatest(F.col("Cost").cast(SPENT), F.lit(0)), "__pos_before")
+    raising = base.where(F.col("Cost") < 0).select(F.col("UserID").alias("__nu")).distinct()
+    nonneg = F.col("__nu").isNull()
+    # Requests certain to be rejected can never take their vehicle: unknown user, unknown station, no
+    # price, or (no negative costs) a cost above the opening balance, since balances only fall.
+    non_taker = (~F.col("__has_user") | ~F.col("__has_station") | F.col("Cost").isNull()
+                 | E.holds(nonneg & (F.col("Cost") > F.col("__bal0"))))
+    rows = materialize(
+        bound.join(raising, F.col("UserID") == F.col("__nu"), "left").select(
+            *base.columns, nonneg.alias("__nonneg"), non_taker.alias("__non_taker"),
+            E.holds(nonneg & (F.col("__bal0") - F.col("__pos_before") >= F.col("Cost"))).alias("__safe"),
+            F.lit(0).cast(SPENT).alias("__spent"), F.lit("pending").alias("__state"),
+            F.lit(None).cast("string").alias("Reason")), "book-pending")
     decided: list[DataFrame] = []
     rounds = 0
-    while True:
-        n_pending = pending.count()
-        if n_pending == 0:
-            break
-        if n_pending <= tail_rows:
-            decided.append(_replay_tail(pending, won_parts))
-            break
+    while not rows.where(F.col("__state") == "pending").isEmpty():
         rounds += 1
-        if rounds > max_rounds:
-            raise RuntimeError("booking rounds exceeded max_rounds")
-        won_all = (_union(won_parts) if won_parts
-                   else spark.createDataFrame([], f"UserID int, RequestID long, VehicleID int, Cost {MONEY.simpleString()}"))
-        # a taken vehicle is unavailable only for requests after the one that took it
-        taken = won_all.groupBy(F.col("VehicleID").alias("__tv")).agg(F.min("RequestID").alias("__taken_by"))
-        p = pending.join(taken, pending.VehicleID == taken.__tv, "left").drop("__tv")
-        gone = ~F.col("__free0") | E.holds(F.col("__taken_by") < F.col("RequestID"))
-        fv = p.where(~gone & ~F.col("__non_taker")).groupBy("VehicleID").agg(F.min("RequestID").alias("__fv"))
-        p = p.join(fv, "VehicleID", "left")
-        # the vehicle is surely free for requests up to its earliest pending possible taker
-        vf = ~gone & (F.col("__fv").isNull() | (F.col("RequestID") <= F.col("__fv")))
-        # A user's "run": its pending requests before its first one that still waits for a vehicle.
-        nvf = p.where(~gone & ~vf).groupBy("UserID").agg(F.min("RequestID").alias("__nvf"))
-        p = p.join(nvf, "UserID", "left")
-        exact_user = F.col("__has_user") & F.col("__bal0").isNotNull()
-        in_run = vf & exact_user & (F.col("__nvf").isNull() | (F.col("RequestID") < F.col("__nvf")))
-        p = p.withColumn("__in_run", in_run)
-        # Exact balance before every run member, assuming the run members before it are accepted:
-        # opening balance minus accepted costs (earlier rounds) and run costs with smaller RequestID.
-        run = p.where("__in_run")
-        mixed = run.select("UserID", "RequestID", F.col("Cost").alias("__w"), F.lit(True).alias("__r")).unionByName(
-            won_all.join(run.select("UserID").distinct(), "UserID")
-            .select("UserID", "RequestID", F.col("Cost").alias("__w"), F.lit(False).alias("__r")))
-        pre = prefix_sum(mixed, ["UserID"], "RequestID", "__w", "__pre").where("__r").select(
-            F.col("RequestID").alias("__pr"), "__pre")
-        run = run.join(pre, run.RequestID == pre.__pr).withColumn("__bal", F.col("__bal0") - F.col("__pre"))
-        ok = (F.col("__bal") >= F.col("Cost")) & F.col("__has_station")
-        fails = run.where(~ok).groupBy(F.col("UserID").alias("__fu")).agg(
-            F.min(F.struct("RequestID", "__bal")).alias("__fs"))
-        run = run.join(fails, F.col("UserID") == F.col("__fu"), "left").withColumn("__f", F.col("__fs.RequestID"))
-        # After the first failure the balance is at most its balance there (a rejection consumes
-        # nothing and, with no negative costs, nothing adds money): any later run member costing
-        # more must fail too, whatever is decided in between.
-        hopeless = (F.col("RequestID") > F.col("__f")) & F.col("__nonneg") & (F.col("Cost") > F.col("__fs.__bal"))
-        run_done = run.where(F.col("__f").isNull() | (F.col("RequestID") <= F.col("__f")) | hopeless).select(
-            F.col("RequestID").alias("__dr"),
-            F.when((F.col("RequestID") == F.col("__f")) | hopeless,
-                   F.when(F.col("__bal") < F.col("Cost"), F.lit(NO_BALANCE))
-                   .when(hopeless, F.lit(NO_BALANCE))
-                   .otherwise(F.lit(FK_REASON.format("StartStationID")))).alias("__run_reason"))
-        p = p.join(run_done, p.RequestID == run_done.__dr, "left")
-        balance_free = ~F.col("__has_user") | F.col("__bal0").isNull() | F.col("__safe")
-        decided_run = F.col("__dr").isNotNull()
-        free_now = vf & balance_free & ~decided_run
-        ready = decided_run | free_now
-        reason = (F.when(gone, F.lit(NOT_AVAILABLE))
-                  .when(decided_run, F.col("__run_reason"))
-                  .when(free_now, first_failure(
-                      (~F.col("__has_user"), FK_REASON.format("UserID")),
-                      (~F.col("__has_station"), FK_REASON.format("StartStationID")))))
-        state = F.when(gone | ready, F.lit("decided")).otherwise(F.lit("pending"))
-        out = materialize(p.select(*pending.columns, reason.alias("Reason"), state.alias("__state")), "book-round")
-        done = out.where(F.col("__state") == "decided")
-        decided.append(done.select("RequestID", "Reason"))
-        won = done.where(F.col("Reason").isNull()).select("UserID", "RequestID", "VehicleID", "Cost")
-        won_parts.append(materialize(won, "book-won"))
-        pending = out.where(F.col("__state") == "pending").select(*pending.columns)
+        out = materialize(_round(rows), "book-round")
+        decided.append(out.where(F.col("__state") != "pending").select("RequestID", "Reason"))
+        rows = out.where(F.col("__state") != "rejected")  # pending ones, and those that were just accepted
     if not decided:
         return priced.select("RequestID", F.lit(None).cast("string").alias("Reason")).limit(0), 0
     return _union(decided), rounds
 
 
-TAIL_SCHEMA = "RequestID long, Reason string"
-
+def _round(rows: DataFrame) -> DataFrame:
+    """Decide what can be decided now.
 
-def _replay_tail(pending: DataFrame, won_parts: list[DataFrame]) -> DataFrame:
-    """Finish a bounded set of pending requests by replaying them in RequestID order.
-
-    Inputs per request, computed distributed: whether its vehicle is already
-    taken, and the user's accepted spending on earlier requests (a block-split
-    prefix sum over already-accepted rows).  The replay adds what it accepts.
+    ``rows`` are the pending requests and those accepted in the round before
+    (still needed: they take their vehicle and their cost from later
+    requests); the result holds the pending ones with their new state.
     """
-    spark = pending.sparkSession
-    won = (_union(won_parts) if won_parts
-           else spark.createDataFrame([], f"UserID int, RequestID long, VehicleID int, Cost {MONEY.simpleString()}"))
-    taken = won.groupBy(F.col("VehicleID").alias("__tv")).agg(F.min("RequestID").alias("__taken_by"))
-    rows = pending.join(taken, pending.VehicleID == taken.__tv, "left").drop("__tv")
-    mixed = rows.select("RequestID", "UserID", F.lit(0).cast(MONEY).alias("__w"), F.lit(True).alias("__p")).unionByName(
-        won.select("RequestID", "UserID", F.col("Cost").alias("__w"), F.lit(False).alias("__p")))
-    before = prefix_sum(mixed, ["UserID"], "RequestID", "__w", "__known").where("__p").select(
-        F.col("RequestID").alias("__r"), "__known")
-    rows = rows.join(before, rows.RequestID == before.__r, "left").select(
-        F.lit(0).alias("grp"), "RequestID", "UserID", "VehicleID", F.col("Cost").cast("string").alias("Cost"),
-        F.col("__free0").alias("free0"), F.col("__has_user").alias("has_user"),
-        F.col("__has_station").alias("has_station"), F.col("__bal0").cast("string").alias("bal0"),
-        E.holds(F.col("__taken_by") < F.col("RequestID")).alias("taken"),
-        F.coalesce(F.col("__known"), F.lit(0)).cast("string").alias("known"))
-
-    def replay(pdf):
-        from decimal import Decimal
-
-        import pandas as pd
-        pdf = pdf.sort_values("RequestID")
-        taken_now, spent_now, out = set(), {}, []
-        for r in pdf.itertuples(index=False):
-            if not r.free0 or r.taken or r.VehicleID in taken_now:
-                out.append(NOT_AVAILABLE)
-                continue
-            cost = Decimal(r.Cost)
-            has_balance = r.has_user and isinstance(r.bal0, str)
-            reason = None
-            if has_balance:
-                balance = Decimal(r.bal0) - Decimal(r.known) - spent_now.get(r.UserID, Decimal(0))
-                if balance < cost:
-                    reason = NO_BALANCE
-            if reason is None and not r.has_user:
-                reason = FK_REASON.format("UserID")
-            if reason is None and not r.has_station:
-                reason = FK_REASON.format("StartStationID")
-            out.append(reason)
-            if reason is None:
-                taken_now.add(r.VehicleID)
-                if has_balance:
-                    spent_now[r.UserID] = spent_now.get(r.UserID, Decimal(0)) + cost
-        return pd.DataFrame({"RequestID": pdf["RequestID"].to_numpy(), "Reason": out})
-
-    return rows.groupBy("grp").applyInPandas(replay, TAIL_SCHEMA)
+    pending = F.col("__state") == "pending"
+    won = F.col("__state") == "accepted"
+    # A vehicle is unavailable only for requests after the one that took it, and surely free for
+    # requests up to its earliest pending possible taker.
+    vehicle = rows.groupBy(F.col("VehicleID").alias("__v")).agg(
+        F.min(F.when(won, F.col("RequestID"))).alias("__taken_by"),
+        F.min(F.when(pending & F.col("__free0") & ~F.col("__non_taker"), F.col("RequestID"))).alias("__fv"))
+    p = rows.join(vehicle, F.col("VehicleID") == F.col("__v"), "left")
+    gone = pending & (~F.col("__free0") | E.holds(F.col("__taken_by") < F.col("RequestID")))
+    surely = F.col("__taken_by").isNotNull() | F.col("__fv").isNull() | (F.col("RequestID") <= F.col("__fv"))
+    free = pending & ~gone & surely
+    exact = F.col("__has_user") & F.col("__bal0").isNotNull()
+    p = p.select(*rows.columns, gone.alias("__gone"), free.alias("__vf"), (free & exact).alias("__member"))
+    # A user's "run": its pending requests before its first one that still waits for a vehicle.  The
+    # balance before a run member, assuming the members before it are accepted, is the opening
+    # balance minus accepted costs (earlier rounds) and member costs with smaller RequestID.
+    cost = F.col("Cost").cast(SPENT)
+    p = prefix_aggs(p, ["UserID"], "RequestID", {
+        "__waits": ("sum", F.when(pending & ~F.col("__gone") & ~F.col("__vf"), 1)),
+        "__won_before": ("sum", F.when(won, cost)),
+        "__run_before": ("sum", F.when(F.col("__member"), cost)),
+    })
+    in_run = F.col("__member") & (F.col("__waits") == 0)
+    balance = F.col("__bal0") - F.col("__spent") - F.col("__won_before") - F.col("__run_before")
+    p = p.withColumn("__in_run", in_run).withColumn("__bal", balance.cast(SPENT))
+    too_big = F.col("Cost").isNull() | (F.col("__bal") - F.col("Cost") > MONEY_MAX)
+    ok = ~too_big & (F.col("__bal") >= F.col("Cost")) & F.col("__has_station")
+    p = prefix_aggs(p, ["UserID"], "RequestID", {
+        "__fail": ("min", F.when(F.col("__in_run") & ~ok, F.struct("RequestID", "__bal")))})
+    # The run is decided up to and including its first failure.  After it the balance is at most its
+    # balance there (a rejection consumes nothing and, with no negative costs, nothing adds money):
+    # any later run member costing more must fail too, whatever is decided in between.
+    up_to_failure = F.col("__in_run") & F.col("__fail").isNull()
+    hopeless = F.col("__in_run") & E.holds(F.col("__nonneg") & (F.col("Cost") > F.col("__fail.__bal")))
+    free_now = F.col("__vf") & (~F.col("__has_user") | F.col("__bal0").isNull() | F.col("__safe"))
+    reason = (
+        F.when(F.col("__gone"), F.lit(NOT_AVAILABLE))
+        .when(up_to_failure & F.col("Cost").isNull(), F.lit(OUT_OF_RANGE))
+        .when((up_to_failure & (F.col("__bal") < F.col("Cost"))) | hopeless, F.lit(NO_BALANCE))
+        .when(up_to_failure & too_big, F.lit(OUT_OF_RANGE))
+        .when(up_to_failure | free_now, first_failure(
+            (F.col("Cost").isNull(), OUT_OF_RANGE),
+            (~F.col("__has_user"), FK_REASON.format("UserID")),
+            (~F.col("__has_station"), FK_REASON.format("StartStationID")))))
+    decided = F.col("__gone") | up_to_failure | hopeless | free_now
+    p = p.where(pending).withColumn("Reason", reason)
+    state = F.when(~decided, F.lit("pending")).when(F.col("Reason").isNull(), F.lit("accepted")).otherwise(F.lit("rejected"))
+    spent = (F.col("__spent") + F.col("__won_before")).cast(SPENT)
+    return p.withColumn("__state", state).withColumn("__spent", spent).select(*rows.columns)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -247,9 +176,18 @@ def book_rides(requests: DataFrame, users: DataFrame, vehicles: DataFrame, stati
     reasons, rounds = decide_bookings(priced)
     d = decide(priced.join(reasons, "RequestID", "left"), F.col("Reason"))
     decisions = d.select("RequestID", "UserID", "VehicleID", "Cost", "Accepted", "Reason")
-    acc = d.where("Accepted")
-    acc = assign_ids(acc, ["RequestID"], _max_id(trips, "TripID"), "TripID")
-    acc = assign_ids(acc, ["RequestID"], _max_id(payments, "PaymentID"), "PaymentID")
+    return CommandResult(decisions, lambda: _booked(d, users, vehicles, trips, payments), rounds=rounds)
+
+
+def _booked(d: DataFrame, users: DataFrame, vehicles: DataFrame, trips: DataFrame,
+            payments: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """New snapshots and change rows of the accepted bookings."""
+    acc = global_rank(d.where("Accepted"), ["RequestID"], "__i")
+    acc = materialize(
+        prefix_sum(acc, ["UserID"], "RequestID", F.col("Cost").cast(SPENT), "__before")
+        .withColumn("TripID", (F.coalesce(_max_id(trips, "TripID"), F.lit(0)) + F.col("__i")).cast("int"))
+        .withColumn("PaymentID", (F.coalesce(_max_id(payments, "PaymentID"), F.lit(0)) + F.col("__i")).cast("int")),
+        "book-accepted")
     new_trips = acc.select("TripID", "UserID", "VehicleID", "StartStationID", F.lit(None).cast("int").alias("EndStationID"),
                            F.col("RequestTime").alias("StartTime"),
                            E.expected_end("RequestTime", "DurationHours").alias("EndTime"), "Cost",
@@ -258,22 +196,19 @@ def book_rides(requests: DataFrame, users: DataFrame, vehicles: DataFrame, stati
                               F.col("RequestTime").alias("Timestamp"), F.lit("Success").alias("Status"))
     per_vehicle = acc.groupBy("VehicleID").agg(F.lit(1).alias("__hit"))
     new_vehicles = _replace(vehicles, per_vehicle, "VehicleID", Status=F.lit("in-use"))
-    per_user = acc.groupBy("UserID").agg(F.sum("Cost").alias("__spent"), F.lit(1).alias("__hit"))
+    per_user = acc.groupBy("UserID").agg(F.sum(F.col("Cost").cast(SPENT)).alias("__spent"), F.lit(1).alias("__hit"))
     new_users = _replace(users, per_user, "UserID", WalletBalance=(F.col("WalletBalance") - F.col("__spent")).cast(MONEY))
 
     t1 = change_rows(acc, 1, "Trips", "INSERT", F.col("TripID"), UserID=F.col("UserID"), VehicleID=F.col("VehicleID"),
                      NewStatus=F.lit("Ongoing"))
     t6 = change_rows(acc, 2, "Vehicles", "UPDATE", F.col("VehicleID"), VehicleID=F.col("VehicleID"),
                      OldStatus=F.lit("available"), NewStatus=F.lit("in-use"))
-    run = prefix_sum(acc, ["UserID"], "RequestID", "Cost", "__before")
     old = F.col("__bal0") - F.col("__before")
-    t9 = change_rows(run, 3, "Users", "UPDATE", F.col("UserID"), UserID=F.col("UserID"), OldBalance=old.cast(MONEY),
+    t9 = change_rows(acc, 3, "Users", "UPDATE", F.col("UserID"), UserID=F.col("UserID"), OldBalance=old.cast(MONEY),
                      NewBalance=(old - F.col("Cost")).cast(MONEY))
     t4 = change_rows(acc, 4, "Payments", "INSERT", F.col("PaymentID"), UserID=F.col("UserID"), Amount=F.col("Cost"),
                      NewStatus=F.lit("Success"))
-    result = CommandResult(decisions, {
+    return {
         "trips": trips.unionByName(new_trips), "payments": payments.unionByName(new_payments),
         "vehicles": new_vehicles, "users": new_users, "new_trips": new_trips,
-    }, union_changes([t1, t6, t9, t4]))
-    result.rounds = rounds
-    return result
+    }, union_changes([t1, t6, t9, t4])

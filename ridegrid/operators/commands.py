@@ -20,7 +20,7 @@ block-split ``prefix_sum``.  Request time replaces NOW()/CURDATE().
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,12 +28,16 @@ from pyspark.sql import types as T
 
 from ridegrid.functions import exprs as E
 from ridegrid.operators.ids import assign_ids, prefix_sum
-from ridegrid.schemas import MONEY
+from ridegrid.operators.ordered import overflowing
+from ridegrid.schemas import MONEY, MONEY_MAX
+from ridegrid.session import materialize
 
 # Rejection texts of the reference.
 ADMIN_REQUIRED = "Admin access required"
 FK_REASON = "Foreign key constraint fails: {}"
 DUPLICATE_REASON = "Duplicate entry for key {}"
+OUT_OF_RANGE = "Out of range value for a money column"
+NOT_ONGOING = "Only ongoing trips can be cancelled"
 
 CHANGE_COLUMNS: list[tuple[str, T.DataType]] = [
     ("RequestID", T.LongType()),
@@ -55,11 +59,32 @@ CHANGE_COLUMNS: list[tuple[str, T.DataType]] = [
 CHANGE_SCHEMA = T.StructType([T.StructField(n, t, True) for n, t in CHANGE_COLUMNS])
 
 
-@dataclass
 class CommandResult:
-    decisions: DataFrame
-    tables: dict[str, DataFrame] = field(default_factory=dict)
-    changes: DataFrame | None = None
+    """Decisions at once; new snapshots and change rows when first asked for.
+
+    ``tables`` are the snapshots (with ``changes``), or a function returning
+    (tables, changes), which may materialize the decided rows: a caller that only
+    needs the decisions does not pay for it.
+    """
+
+    def __init__(self, decisions: DataFrame, tables: dict[str, DataFrame] | Callable, changes: DataFrame | None = None,
+                 rounds: int | None = None):
+        self.decisions, self.rounds = decisions, rounds
+        self._effects = tables if callable(tables) else lambda: (tables, changes)
+        self._made: tuple[dict[str, DataFrame], DataFrame | None] | None = None
+
+    def _get(self) -> tuple[dict[str, DataFrame], DataFrame | None]:
+        if self._made is None:
+            self._made = self._effects()
+        return self._made
+
+    @property
+    def tables(self) -> dict[str, DataFrame]:
+        return self._get()[0]
+
+    @property
+    def changes(self) -> DataFrame | None:
+        return self._get()[1]
 
 
 # ----------------------------------------------------------------------------- helpers
@@ -98,6 +123,22 @@ def change_rows(df: DataFrame, step: int, table: str, op: str | Column, record:
     return df.select(*out)
 
 
+def exploded_changes(df: DataFrame, events: list[dict]) -> DataFrame:
+    """Several change rows per row of ``df`` with one pass over it.
+
+    Each event has ``step``, ``table``, ``op``, ``record`` and payload columns.
+    """
+    rows = []
+    for event in events:
+        cols = {"Step": F.lit(event["step"]), "Sub": F.lit(0), "TableName": F.lit(event["table"]),
+                "OperationType": F.lit(event["op"]), "RecordID": event["record"]} | event
+        rows.append(F.struct(*[cols.get(name, F.lit(None)).cast(dtype).alias(name) for name, dtype in CHANGE_COLUMNS
+                               if name not in ("RequestID", "ChangeTimestamp")]))
+    out = df.select("RequestID", F.col("RequestTime").alias("ChangeTimestamp"), F.explode(F.array(*rows)).alias("__c"))
+    return out.select(*[F.col(name if name in ("RequestID", "ChangeTimestamp") else f"__c.{name}").cast(dtype).alias(name)
+                        for name, dtype in CHANGE_COLUMNS])
+
+
 def union_changes(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -127,7 +168,19 @@ def _replace(df: DataFrame, updates: DataFrame, key: str, **new_values: Column)
     return joined.select(*cols)
 
 
-def _status_transitions(applied: DataFrame, key: str, original: str, new_status: str) -> Column:
+def _headroom(balance: str) -> Column:
+    """What a balance can still take in before it leaves the money type."""
+    return (F.lit(MONEY_MAX) - F.col(balance)).alias("__room")
+
+
+def _marked(r: DataFrame, over: DataFrame | None) -> DataFrame:
+    """Add ``__over``: TRUE for the requests in ``over``."""
+    if over is None:
+        return r.withColumn("__over", F.lit(False))
+    return r.join(over, "RequestID", "left")
+
+
+def _status_transitions(key: str, original: str, new_status: str) -> Column:
     """Old status seen by each applied request: the original for the first request
     per key, ``new_status`` for later ones (the key is already in that state)."""
     return F.when(F.col("RequestID") == F.col(f"__first_{key}"), F.col(original)).otherwise(F.lit(new_status))
@@ -144,21 +197,30 @@ def wallet_topups(requests: DataFrame, users: DataFrame) -> CommandResult:
     u = users.select(F.col("UserID").alias("__u"), F.col("WalletBalance").alias("__bal0"))
     # the parsed value must not be called "Amount": column names resolve case-insensitively
     r = requests.join(u, requests.UserID == u.__u, "left").withColumn("__amt", E.parse_amount("amount"))
-    d = decide(r, first_failure(
+    r = r.withColumn("__static", first_failure(
         (F.col("amount").isNull(), "Missing 'amount' field"),
         (F.col("__amt").isNull(), "Invalid amount"),
         (F.col("__amt") <= 0, "Amount must be positive"),
         (F.col("__u").isNull(), "User not found"),
     ))
+    # A top-up that would lift the balance over the money type is rejected alone.
+    over = overflowing(r.where(F.col("__static").isNull()).select(
+        "RequestID", "UserID", F.col("__amt").alias("__cost"), _headroom("__bal0")))
+    d = decide(_marked(r, over), F.coalesce(F.col("__static"), F.when(F.col("__over"), F.lit(OUT_OF_RANGE))))
     decisions = d.select("RequestID", "UserID", F.col("__amt").alias("Amount"), "Accepted", "Reason")
-    acc = d.where("Accepted")
-    totals = acc.groupBy("UserID").agg(F.sum("__amt").alias("__add"), F.lit(1).alias("__hit"))
-    new_users = _replace(users, totals, "UserID", WalletBalance=(F.col("WalletBalance") + F.col("__add")).cast(MONEY))
-    run = prefix_sum(acc, ["UserID"], "RequestID", "__amt", "__before")
-    old = F.col("__bal0") + F.col("__before")
-    changes = change_rows(run, 1, "Users", "UPDATE", F.col("UserID"), UserID=F.col("UserID"),
-                          OldBalance=old.cast(MONEY), NewBalance=(old + F.col("__amt")).cast(MONEY))
-    return CommandResult(decisions, {"users": new_users}, changes)
+
+    def effects():
+        acc = materialize(prefix_sum(d.where("Accepted").select("RequestID", "RequestTime", "UserID", "__amt", "__bal0"),
+                                     ["UserID"], "RequestID", "__amt", "__before"), "topups")
+        totals = acc.groupBy("UserID").agg(F.sum("__amt").alias("__add"), F.lit(1).alias("__hit"))
+        new_users = _replace(users, totals, "UserID",
+                             WalletBalance=(F.col("WalletBalance") + F.col("__add")).cast(MONEY))
+        old = F.col("__bal0") + F.col("__before")
+        changes = change_rows(acc, 1, "Users", "UPDATE", F.col("UserID"), UserID=F.col("UserID"),
+                              OldBalance=old.cast(MONEY), NewBalance=(old + F.col("__amt")).cast(MONEY))
+        return {"users": new_users}, changes
+
+    return CommandResult(decisions, effects)
 
 
 # ----------------------------------------------------------------------------- M9
@@ -184,10 +246,10 @@ def submit_reviews(requests: DataFrame, trips: DataFrame, reviews: DataFrame) ->
     acc = d.where("Accepted").select(
         "RequestID", "TripID", F.col("__tu").alias("UserID"), F.col("__tv").alias("VehicleID"),
         F.col("__rating").alias("Rating"),
-        F.col("comment").alias("Comment"), F.col("RequestTime").cast("date").alias("ReviewDate"))
+        F.coalesce(F.col("comment"), F.lit("")).alias("Comment"), F.col("RequestTime").cast("date").alias("ReviewDate"))
     new = assign_ids(acc, ["RequestID"], _max_id(reviews, "ReviewID"), "ReviewID")
     new_reviews = reviews.unionByName(new.select(*reviews.columns))
-    return CommandResult(decisions, {"reviews": new_reviews, "new_reviews": new}, None)
+    return CommandResult(decisions, lambda: ({"reviews": new_reviews, "new_reviews": new}, None))
 
 
 # ----------------------------------------------------------------------------- M6
@@ -211,7 +273,7 @@ def register_users(requests: DataFrame, users: DataFrame) -> CommandResult:
         F.lit("0.00").cast(MONEY).alias("WalletBalance"), F.col("RequestTime").cast("date").alias("JoinDate"),
         F.lit(None).cast("int").alias("PlanID"))
     new = assign_ids(acc, ["RequestID"], _max_id(users, "UserID"), "UserID")
-    return CommandResult(decisions, {"users": users.unionByName(new.select(*users.columns)), "new_users": new}, None)
+    return CommandResult(decisions, lambda: ({"users": users.unionByName(new.select(*users.columns)), "new_users": new}, None))
 
 
 # ----------------------------------------------------------------------------- M2
@@ -225,7 +287,12 @@ def end_rides(requests: DataFrame, trips: DataFrame, vehicles: DataFrame, statio
          FK_REASON.format("EndStationID")),
     )).withColumn("Applied", F.col("Accepted") & F.col("__t").isNotNull())
     decisions = d.select("RequestID", "TripID", "EndStationID", "Accepted", "Reason", "Applied")
-    applied = d.where("Applied")
+    return CommandResult(decisions, lambda: _ended(d.where("Applied"), trips, vehicles))
+
+
+def _ended(applied: DataFrame, trips: DataFrame, vehicles: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    vs = vehicles.select(F.col("VehicleID").alias("__tv"), F.col("Status").alias("__vs"))
+    applied = materialize(_with_first(_with_first(applied, "TripID").join(vs, "__tv", "left"), "__tv"), "end-applied")
     last = F.max_by(F.struct("RequestTime", "EndStationID"), "RequestID")
     per_trip = applied.groupBy("TripID").agg(last.alias("__l"), F.lit(1).alias("__hit"))
     new_trips = _replace(trips, per_trip, "TripID", Status=F.lit("Completed"), EndTime=F.col("__l.RequestTime"),
@@ -234,16 +301,13 @@ def end_rides(requests: DataFrame, trips: DataFrame, vehicles: DataFrame, statio
     new_vehicles = _replace(vehicles, per_vehicle, "VehicleID", Status=F.lit("available"),
                             CurrentStationID=F.col("__l.EndStationID"))
     # change rows: T2 for every applied request, T6 candidates per vehicle
-    trip_steps = _with_first(applied, "TripID")
-    t2 = change_rows(trip_steps, 1, "Trips", "UPDATE", F.col("TripID"),
-                     OldStatus=_status_transitions(trip_steps, "TripID", "__ts", "Completed"),
-                     NewStatus=F.lit("Completed"))
-    vs = vehicles.select(F.col("VehicleID").alias("__tv"), F.col("Status").alias("__vs"))
-    veh_steps = _with_first(applied.join(vs, "__tv"), "__tv")
-    t6 = change_rows(veh_steps, 2, "Vehicles", "UPDATE", F.col("__tv"), VehicleID=F.col("__tv"),
-                     OldStatus=_status_transitions(veh_steps, "__tv", "__vs", "available"),
-                     NewStatus=F.lit("available"))
-    return CommandResult(decisions, {"trips": new_trips, "vehicles": new_vehicles}, union_changes([t2, t6]))
+    changes = exploded_changes(applied, [
+        dict(step=1, table="Trips", op="UPDATE", record=F.col("TripID"),
+             OldStatus=_status_transitions("TripID", "__ts", "Completed"), NewStatus=F.lit("Completed")),
+        dict(step=2, table="Vehicles", op="UPDATE", record=F.col("__tv"), VehicleID=F.col("__tv"),
+             OldStatus=_status_transitions("__tv", "__vs", "available"), NewStatus=F.lit("available")),
+    ])
+    return {"trips": new_trips, "vehicles": new_vehicles}, changes
 
 
 # ----------------------------------------------------------------------------- M3
@@ -252,16 +316,32 @@ def cancel_trips(requests: DataFrame, trips: DataFrame, vehicles: DataFrame, use
     """M3: only Ongoing trips; the first request per trip cancels it and refunds the cost."""
     t = trips.select(F.col("TripID").alias("__t"), F.col("UserID").alias("__tu"), F.col("VehicleID").alias("__tv"),
                      F.col("StartStationID").alias("__tss"), F.col("Cost").alias("__tc"), F.col("Status").alias("__ts"))
-    r = requests.join(t, requests.TripID == t.__t, "left")
+    bal = users.select(F.col("UserID").alias("__tu"), F.col("WalletBalance").alias("__bal0"))
+    r = requests.join(t, requests.TripID == t.__t, "left").join(bal, "__tu", "left")
     firsts = first_per(r.where(F.col("__ts") == "Ongoing"), ["TripID"])
     r = r.join(firsts, "TripID", "left")
-    d = decide(r, first_failure(
-        (F.col("__t").isNotNull() & ((F.col("__ts") != "Ongoing") | (F.col("RequestID") != F.col("__first"))),
-         "Only ongoing trips can be cancelled"),
+    # A refund that would lift the balance over the money type fails (C8); the trip stays ongoing, and
+    # as refunds only raise the balance, every later cancellation of it fails the same way.
+    over = overflowing(r.where((F.col("__ts") == "Ongoing") & (F.col("RequestID") == F.col("__first"))).select(
+        "RequestID", F.col("__tu").alias("UserID"), F.col("__tc").alias("__cost"), _headroom("__bal0")))
+    marked = r.withColumn("__over", F.lit(False)) if over is None else r.join(
+        over.withColumnRenamed("RequestID", "__first"), "__first", "left")
+    d = decide(marked, first_failure(
+        (F.col("__t").isNotNull() & (F.col("__ts") != "Ongoing"), NOT_ONGOING),
+        (F.col("__over"), OUT_OF_RANGE),
+        (F.col("__t").isNotNull() & (F.col("RequestID") != F.col("__first")), NOT_ONGOING),
     )).withColumn("Applied", F.col("Accepted") & F.col("__t").isNotNull())
     decisions = d.select("RequestID", "TripID", "Accepted", "Reason", "Applied")
-    applied = d.where("Applied")  # at most one per trip
+    return CommandResult(decisions, lambda: _cancelled(d.where("Applied"), trips, vehicles, users, payments))
 
+
+def _cancelled(applied: DataFrame, trips: DataFrame, vehicles: DataFrame, users: DataFrame,
+               payments: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Effects of the applied cancellations (at most one per trip)."""
+    vs = vehicles.select(F.col("VehicleID").alias("__tv"), F.col("Status").alias("__vs"))
+    applied = materialize(
+        prefix_sum(_with_first(applied.join(vs, "__tv", "left"), "__tv"), ["__tu"], "RequestID", "__tc", "__before"),
+        "cancel-applied")
     per_trip = applied.select("TripID", F.col("RequestTime").alias("__rt"), F.lit(1).alias("__hit"))
     new_trips = _replace(trips, per_trip, "TripID", Status=F.lit("Cancelled"), EndTime=F.col("__rt"))
     last = F.max_by(F.col("__tss"), "RequestID")
@@ -275,25 +355,22 @@ def cancel_trips(requests: DataFrame, trips: DataFrame, vehicles: DataFrame, use
     new_payments = p.select(*[F.when(F.col("__r").isNotNull(), F.lit("Refunded")).otherwise(F.col("Status")).alias("Status")
                               if c == "Status" else F.col(c) for c in payments.columns])
 
-    t2 = change_rows(applied, 1, "Trips", "UPDATE", F.col("TripID"), OldStatus=F.col("__ts"),
-                     NewStatus=F.lit("Cancelled"))
-    vs = vehicles.select(F.col("VehicleID").alias("__tv"), F.col("Status").alias("__vs"))
-    veh_steps = _with_first(applied.join(vs, "__tv"), "__tv")
-    t6 = change_rows(veh_steps, 2, "Vehicles", "UPDATE", F.col("__tv"), VehicleID=F.col("__tv"),
-                     OldStatus=_status_transitions(veh_steps, "__tv", "__vs", "available"),
-                     NewStatus=F.lit("available"))
-    bal = users.select(F.col("UserID").alias("__tu"), F.col("WalletBalance").alias("__bal0"))
-    run = prefix_sum(applied.join(bal, "__tu"), ["__tu"], "RequestID", "__tc", "__before")
     old = F.col("__bal0") + F.col("__before")
-    t9 = change_rows(run, 3, "Users", "UPDATE", F.col("__tu"), UserID=F.col("__tu"), OldBalance=old.cast(MONEY),
-                     NewBalance=(old + F.col("__tc")).cast(MONEY))
+    rows = exploded_changes(applied, [
+        dict(step=1, table="Trips", op="UPDATE", record=F.col("TripID"), OldStatus=F.col("__ts"),
+             NewStatus=F.lit("Cancelled")),
+        dict(step=2, table="Vehicles", op="UPDATE", record=F.col("__tv"), VehicleID=F.col("__tv"),
+             OldStatus=_status_transitions("__tv", "__vs", "available"), NewStatus=F.lit("available")),
+        dict(step=3, table="Users", op="UPDATE", record=F.col("__tu"), UserID=F.col("__tu"), OldBalance=old.cast(MONEY),
+             NewBalance=(old + F.col("__tc")).cast(MONEY)),
+    ])
     pays = payments.select(F.col("PaymentID").alias("__p"), F.col("TripID").alias("__pt"), F.col("UserID").alias("__pu"),
                            F.col("Status").alias("__ps"))
     touched = applied.join(pays, (applied.TripID == pays.__pt) & (applied.__tu == pays.__pu))
     t5 = change_rows(touched, 4, "Payments", "UPDATE", F.col("__p"), sub=F.col("__p"), OldStatus=F.col("__ps"),
                      NewStatus=F.lit("Refunded"))
-    return CommandResult(decisions, {"trips": new_trips, "vehicles": new_vehicles, "users": new_users,
-                                     "payments": new_payments}, union_changes([t2, t6, t9, t5]))
+    return {"trips": new_trips, "vehicles": new_vehicles, "users": new_users,
+            "payments": new_payments}, union_changes([rows, t5])
 
 
 # ----------------------------------------------------------------------------- M5
@@ -312,7 +389,14 @@ def complete_maintenance(requests: DataFrame, assignments: DataFrame, logs: Data
         ((F.col("__ms") == "Completed") | (F.col("RequestID") != F.col("__first")), "Maintenance log already completed"),
     ))
     decisions = d.select("RequestID", "LogID", F.col("__a.TechnicianID").alias("TechnicianID"), "Accepted", "Reason")
-    acc = d.where("Accepted").withColumn("__tech", F.col("__a.TechnicianID"))
+    return CommandResult(decisions, lambda: _completed(d.where("Accepted"), logs, technicians, vehicles))
+
+
+def _completed(acc: DataFrame, logs: DataFrame, technicians: DataFrame,
+               vehicles: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    vs = vehicles.select(F.col("VehicleID").alias("__mv"), F.col("Status").alias("__vs"))
+    acc = materialize(
+        _with_first(acc.withColumn("__tech", F.col("__a.TechnicianID")).join(vs, "__mv", "left"), "__mv"), "completed")
     done = acc.select("LogID", F.lit(1).alias("__hit"))
     new_logs = _replace(logs, done, "LogID", Status=F.lit("Completed"))
     per_tech = acc.groupBy(F.col("__tech").alias("TechnicianID")).agg(F.count(F.lit(1)).alias("__n"), F.lit(1).alias("__hit"))
@@ -320,15 +404,13 @@ def complete_maintenance(requests: DataFrame, assignments: DataFrame, logs: Data
                         ActiveAssignments=F.greatest(F.col("ActiveAssignments") - F.col("__n"), F.lit(0)).cast("int"))
     per_vehicle = acc.groupBy(F.col("__mv").alias("VehicleID")).agg(F.lit(1).alias("__hit"))
     new_vehicles = _replace(vehicles, per_vehicle, "VehicleID", Status=F.lit("available"))
-    t8 = change_rows(acc, 1, "MaintenanceLogs", "UPDATE", F.col("LogID"), OldStatus=F.col("__ms"),
-                     NewStatus=F.lit("Completed"))
-    vs = vehicles.select(F.col("VehicleID").alias("__mv"), F.col("Status").alias("__vs"))
-    veh_steps = _with_first(acc.join(vs, "__mv"), "__mv")
-    t6 = change_rows(veh_steps, 2, "Vehicles", "UPDATE", F.col("__mv"), VehicleID=F.col("__mv"),
-                     OldStatus=_status_transitions(veh_steps, "__mv", "__vs", "available"),
-                     NewStatus=F.lit("available"))
-    return CommandResult(decisions, {"maintenance_logs": new_logs, "technicians": new_tech, "vehicles": new_vehicles},
-                         union_changes([t8, t6]))
+    changes = exploded_changes(acc, [
+        dict(step=1, table="MaintenanceLogs", op="UPDATE", record=F.col("LogID"), OldStatus=F.col("__ms"),
+             NewStatus=F.lit("Completed")),
+        dict(step=2, table="Vehicles", op="UPDATE", record=F.col("__mv"), VehicleID=F.col("__mv"),
+             OldStatus=_status_transitions("__mv", "__vs", "available"), NewStatus=F.lit("available")),
+    ])
+    return {"maintenance_logs": new_logs, "technicians": new_tech, "vehicles": new_vehicles}, changes
 
 
 # ----------------------------------------------------------------------------- M10
@@ -413,13 +495,15 @@ def decommission_vehicles(requests: DataFrame, vehicles: DataFrame) -> CommandRe
     r = requests.join(v, requests.VehicleID == v.__v, "left")
     d = decide(r, first_failure((~E.is_admin("user_role"), ADMIN_REQUIRED), (F.col("__v").isNull(), "Vehicle not found")))
     decisions = d.select("RequestID", "VehicleID", "Accepted", "Reason")
-    acc = d.where("Accepted")
-    hits = acc.groupBy("VehicleID").agg(F.lit(1).alias("__hit"))
-    steps = _with_first(acc, "VehicleID")
-    t6 = change_rows(steps, 1, "Vehicles", "UPDATE", F.col("VehicleID"), VehicleID=F.col("VehicleID"),
-                     OldStatus=_status_transitions(steps, "VehicleID", "__vs", "decommissioned"),
-                     NewStatus=F.lit("decommissioned"))
-    return CommandResult(decisions, {"vehicles": _replace(vehicles, hits, "VehicleID", Status=F.lit("decommissioned"))}, t6)
+    def effects():
+        acc = materialize(_with_first(d.where("Accepted"), "VehicleID"), "decommissioned")
+        hits = acc.groupBy("VehicleID").agg(F.lit(1).alias("__hit"))
+        t6 = change_rows(acc, 1, "Vehicles", "UPDATE", F.col("VehicleID"), VehicleID=F.col("VehicleID"),
+                         OldStatus=_status_transitions("VehicleID", "__vs", "decommissioned"),
+                         NewStatus=F.lit("decommissioned"))
+        return {"vehicles": _replace(vehicles, hits, "VehicleID", Status=F.lit("decommissioned"))}, t6
+
+    return CommandResult(decisions, effects)
 
 
 # ----------------------------------------------------------------------------- M15 / M16 / M17
@@ -491,7 +575,7 @@ def onboard_users(requests: DataFrame, users: DataFrame, plans: DataFrame) -> Co
     """
     from ridegrid.operators.purchases import purchase_memberships
 
-    p = F.broadcast(plans.select(F.col("PlanID").alias("__p"), F.col("Cost").alias("__cost")))  # fixed small table
+    p = plans.select(F.col("PlanID").alias("__p"), F.col("Cost").alias("__cost"))
     r = requests.join(p, requests.PlanID == p.__p, "left").withColumn("__top", E.parse_amount("topup"))
     checks = [
         (F.col("__top").isNull() | (F.col("__top") <= 0), F.lit("Please enter a valid top-up amount")),

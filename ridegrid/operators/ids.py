@@ -9,9 +9,9 @@ pull every row into one task), and none collects data to the driver.
   out first: the numbering depends on partition
   layout; writing it to the shared checkpoint folder pins it (and cuts the
   lineage) so a lost executor cannot renumber rows between the two uses.
-* ``prefix_sum``: running sum per key in RequestID order, split into fixed
-  blocks of the order column so a key holding a third of all rows is still
-  spread over many tasks.
+* ``prefix_aggs`` / ``prefix_sum``: running sums and minima per key in
+  RequestID order, dealt by key and fixed block of the order column, so a key
+  holding a third of all rows is still spread over many tasks.
 """
 
 from __future__ import annotations
@@ -55,27 +55,43 @@ def assign_ids(df: DataFrame, order_cols: list[str | Column], existing_max: Colu
     return ranked.withColumn(out, (F.coalesce(existing_max, F.lit(0)) + F.col("__rank")).cast("int")).drop("__rank")
 
 
-def prefix_sum(df: DataFrame, keys: list[str], order_col: str, value: Column | str, out: str,
-               inclusive: bool = False, block: int = PREFIX_BLOCK) -> DataFrame:
-    """Running sum of ``value`` per ``keys`` in ``order_col`` order (exclusive by default).
+def prefix_aggs(df: DataFrame, keys: list[str], order_col: str, aggs: dict[str, tuple[str, Column]],
+                inclusive: bool = False, block: int = PREFIX_BLOCK) -> DataFrame:
+    """Running ``sum`` / ``min`` columns per ``keys`` in ``order_col`` order (exclusive by default).
 
-    ``order_col`` is a unique integer (RequestID).  Rows are grouped into
-    blocks of ``block`` consecutive order values: the window inside a block
-    holds at most ``block`` rows, and the window over block totals holds one
-    row per block of a key.  NULL values count as 0.
+    ``aggs`` maps an output column to ("sum" or "min", value).  ``order_col``
+    is a unique integer (RequestID).  Rows are dealt by (keys, block of ``block``
+    consecutive order values): the window inside a block holds at most
+    ``block`` rows and the window over block totals one row per block of a
+    key.  The explicit repartition keeps it so when the input is already dealt
+    by the keys alone (after a join on them).  NULL values do not count; a sum of nothing is 0.
     """
-    v = F.col(value) if isinstance(value, str) else value
+    fns = {"sum": F.sum, "min": F.min}
     end = 0 if inclusive else -1
     blk = F.floor(F.col(order_col) / F.lit(block)).cast("long")
-    staged = df.withColumn("__blk", blk).withColumn("__v", v)
+    names = list(aggs)
+    values = [aggs[n][1].alias(f"__v{i}") for i, n in enumerate(names)]
     in_block = Window.partitionBy(*keys, "__blk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, end)
-    local = staged.withColumn("__loc", F.sum("__v").over(in_block))
-    totals = staged.groupBy(*keys, "__blk").agg(F.sum("__v").alias("__tot"))
     before = Window.partitionBy(*keys).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
+    local = df.select("*", blk.alias("__blk"), *values).repartition(*keys, "__blk").select(
+        *df.columns, "__blk", *[fns[aggs[n][0]](f"__v{i}").over(in_block).alias(f"__l{i}") for i, n in enumerate(names)])
+    totals = df.select(*keys, blk.alias("__blk"), *values).groupBy(*keys, "__blk").agg(
+        *[fns[aggs[n][0]](f"__v{i}").alias(f"__t{i}") for i, n in enumerate(names)])
     offsets = totals.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__blk").alias("__b"),
-                            F.sum("__tot").over(before).alias("__boff"))
+                            *[fns[aggs[n][0]](f"__t{i}").over(before).alias(f"__o{i}") for i, n in enumerate(names)])
     cond = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys] + [F.col("__blk") == F.col("__b")]
-    joined = local.join(offsets, cond, "left")
-    total = F.coalesce(F.col("__boff"), F.lit(0)) + F.coalesce(F.col("__loc"), F.lit(0))
-    return joined.withColumn(out, total).drop("__blk", "__v", "__loc", "__b", "__boff",
-                                               *[f"__k_{k}" for k in keys])
+
+    def whole(i: int, kind: str) -> Column:
+        if kind == "sum":
+            return F.coalesce(F.col(f"__o{i}"), F.lit(0)) + F.coalesce(F.col(f"__l{i}"), F.lit(0))
+        return F.coalesce(F.least(f"__o{i}", f"__l{i}"), F.col(f"__o{i}"), F.col(f"__l{i}"))
+
+    return local.join(offsets, cond, "left").select(
+        *df.columns, *[whole(i, aggs[n][0]).alias(n) for i, n in enumerate(names)])
+
+
+def prefix_sum(df: DataFrame, keys: list[str], order_col: str, value: Column | str, out: str,
+               inclusive: bool = False, block: int = PREFIX_BLOCK) -> DataFrame:
+    """Running sum of ``value`` per ``keys`` in ``order_col`` order (exclusive by default)."""
+    v = F.col(value) if isinstance(value, str) else value
+    return prefix_aggs(df, keys, order_col, {out: ("sum", v)}, inclusive, block)

@@ -20,9 +20,14 @@ from ridegrid.operators.ids import global_rank
 from ridegrid.operators.views import authorised_reports
 from ridegrid.session import materialize
 
+# Rejection texts.
+BLANK_ISSUE = "Please describe the issue"
 NOT_YOUR_VEHICLE = "You can only report issues for vehicles you have an ongoing ride with"
 
 
+SLOT_BLOCK = 4096
+
+
 def technician_slots(technicians: DataFrame, n: int) -> DataFrame:
     """The n smallest (value, TechnicianID) slots of the available technicians, ranked 1..n
     (fewer only when no technician is available)."""
@@ -31,8 +36,14 @@ def technician_slots(technicians: DataFrame, n: int) -> DataFrame:
     if n == 0 or not stats["t"]:
         return avail.select("TechnicianID", F.lit(0).cast("long").alias("SlotRank")).limit(0)
     level = -(-(n + int(stats["s"] or 0)) // int(stats["t"]))  # ceil
-    slots = avail.where(F.col("ActiveAssignments") < level).select(
-        "TechnicianID", F.explode(F.sequence(F.col("ActiveAssignments"), F.lit(level - 1))).alias("SlotValue"))
+    # A technician's slots come out block by block, and the blocks are dealt to tasks before they
+    # are opened: the few technician rows do not decide how many tasks make the slots.
+    blocks = avail.where(F.col("ActiveAssignments") < level).select(
+        "TechnicianID", "ActiveAssignments",
+        F.explode(F.sequence(F.lit(0), F.floor((F.lit(level - 1) - F.col("ActiveAssignments")) / SLOT_BLOCK))).alias("__block"))
+    first = F.col("ActiveAssignments") + F.col("__block") * SLOT_BLOCK
+    slots = blocks.repartition("TechnicianID", "__block").select(
+        "TechnicianID", F.explode(F.sequence(first, F.least(first + SLOT_BLOCK - 1, F.lit(level - 1)))).alias("SlotValue"))
     ranked = global_rank(slots, ["SlotValue", "TechnicianID"], "SlotRank")
     return ranked.where(F.col("SlotRank") <= n).select("TechnicianID", "SlotRank")
 
@@ -42,6 +53,7 @@ def report_and_assign(requests: DataFrame, trips: DataFrame, vehicles: DataFrame
     v = vehicles.select(F.col("VehicleID").alias("__v"), F.col("Status").alias("__vs"))
     r = authorised_reports(requests, trips).join(v, F.col("VehicleID") == F.col("__v"), "left")
     d = decide(r, first_failure(
+        (F.col("IssueReported").isNotNull() & ~E.non_blank("IssueReported"), BLANK_ISSUE),
         (~E.truthy_id("UserID"), "User ID required"),
         (~F.col("Authorised"), NOT_YOUR_VEHICLE),
         (F.col("IssueReported").isNull(), "Column 'IssueReported' cannot be null"),
@@ -55,7 +67,7 @@ def report_and_assign(requests: DataFrame, trips: DataFrame, vehicles: DataFrame
            .withColumn("AssignmentID", F.when(F.col("TechnicianID").isNotNull(),
                                               (F.coalesce(_max_id(assignments, "AssignmentID"), F.lit(0))
                                                + F.col("__i")).cast("int"))))
-    acc = materialize(acc, "report-accepted")
+    acc = materialize(_with_first(acc, "VehicleID"), "report-accepted")
     decisions = d.join(acc.select("RequestID", "LogID", "TechnicianID"), "RequestID", "left").select(
         "RequestID", "VehicleID", "Accepted", "Reason", "LogID", "TechnicianID")
 
@@ -65,8 +77,7 @@ def report_and_assign(requests: DataFrame, trips: DataFrame, vehicles: DataFrame
     loads = new_asg.groupBy("TechnicianID").agg(F.count(F.lit(1)).alias("__n"), F.lit(1).alias("__hit"))
     new_tech = _replace(technicians, loads, "TechnicianID",
                         ActiveAssignments=(F.col("ActiveAssignments") + F.col("__n")).cast("int"))
-    steps = _with_first(acc, "VehicleID")
-    to_maint = steps.where((F.col("RequestID") == F.col("__first_VehicleID")) & (F.col("__vs") == "available"))
+    to_maint = acc.where((F.col("RequestID") == F.col("__first_VehicleID")) & (F.col("__vs") == "available"))
     hits = to_maint.select("VehicleID", F.lit(1).alias("__hit"))
     new_vehicles = _replace(vehicles, hits, "VehicleID", Status=F.lit("under-maintenance"))
 

@@ -1,21 +1,8 @@
 """M8: membership purchases, exactly equal to replaying them per user in order.
 
 A purchase is accepted iff the running balance is at least the plan cost, and
-an accepted purchase lowers the balance.  Plan costs are positive, so the
-balance never rises: once a purchase of cost c is rejected, every later
-purchase of cost >= c by that user is rejected too.  That turns the per-user
-fold into a few *phases*, each a distributed prefix sum:
-
-1. requests whose cost reached the user's rejected threshold are rejected;
-2. over the remaining requests, in RequestID order, running cost sums: all
-   requests up to the first whose running sum exceeds the balance are
-   accepted, that one is rejected and its cost becomes the new threshold;
-3. the balance drops by the accepted sum and the rest of the user's
-   requests go to the next phase.
-
-Each phase lowers the threshold to a smaller plan cost, so there are at most
-(number of distinct plan costs + 1) phases whatever the data, and no user's
-requests are ever gathered in one place.
+an accepted purchase lowers the balance: ``ordered.accept_in_order`` with the
+balance as room.  Its phases are at most one more than the distinct plan costs.
 """
 
 from __future__ import annotations
@@ -26,48 +13,15 @@ from pyspark.sql import functions as F
 from ridegrid.functions import exprs as E
 from ridegrid.operators.commands import CommandResult, _replace, change_rows, decide, first_failure
 from ridegrid.operators.ids import prefix_sum
+from ridegrid.operators.ordered import accept_in_order
 from ridegrid.schemas import MONEY
 from ridegrid.session import materialize
 
-BALANCE = "decimal(20,2)"
 NONE_BALANCE = "float() argument must be a string or a real number, not 'NoneType'"
 
 
-def _phases(pending: DataFrame, max_phases: int) -> DataFrame:
-    """pending: (RequestID, UserID, __cost, __bal0) -> (RequestID, __ok) for every row.
-
-    One materialized frame per phase carries everything the next phase needs
-    (the rows after each user's first failure and that failure's balance and
-    cost), so a phase is one write plus one emptiness check.
-    """
-    todo = pending.select("RequestID", "UserID", "__cost", F.col("__bal0").cast(BALANCE).alias("__bal"),
-                          F.lit(None).cast(BALANCE).alias("__thr"))
-    out = []
-    for _ in range(max_phases):
-        inactive = E.holds(F.col("__cost") >= F.col("__thr"))
-        out.append(todo.where(inactive).select("RequestID", F.lit(False).alias("__ok")))
-        run = prefix_sum(todo.where(~inactive), ["UserID"], "RequestID", "__cost", "__cum", inclusive=True)
-        fails = run.where(F.col("__cum") > F.col("__bal")).groupBy("UserID").agg(
-            F.min(F.struct("RequestID", "__cost", (F.col("__cum") - F.col("__cost")).alias("before"))).alias("__f"))
-        run = materialize(run.join(fails, "UserID", "left"), "purchase-phase")
-        fid = F.col("__f.RequestID")
-        out.append(run.where(F.col("__f").isNull() | (F.col("RequestID") <= fid))
-                   .select("RequestID", (F.col("__f").isNull() | (F.col("RequestID") < fid)).alias("__ok")))
-        todo = run.where(F.col("RequestID") > fid).select(
-            "RequestID", "UserID", "__cost", (F.col("__bal") - F.col("__f.before")).cast(BALANCE).alias("__bal"),
-            F.col("__f.__cost").cast(BALANCE).alias("__thr"))
-        if todo.isEmpty():
-            break
-    else:
-        raise RuntimeError("purchase phases did not converge: plan costs must be positive")
-    result = out[0]
-    for part in out[1:]:
-        result = result.unionByName(part)
-    return result
-
-
 def purchase_memberships(requests: DataFrame, users: DataFrame, plans: DataFrame) -> CommandResult:
-    p = F.broadcast(plans.select(F.col("PlanID").alias("__p"), F.col("Cost").alias("__cost")))  # fixed small table
+    p = plans.select(F.col("PlanID").alias("__p"), F.col("Cost").alias("__cost"))
     u = users.select(F.col("UserID").alias("__u"), F.col("WalletBalance").alias("__bal0"))
     r = requests.join(p, requests.PlanID == p.__p, "left").join(u, requests.UserID == u.__u, "left")
     static = first_failure(
@@ -77,12 +31,16 @@ def purchase_memberships(requests: DataFrame, users: DataFrame, plans: DataFrame
         (F.col("__bal0").isNull(), NONE_BALANCE),
     )
     r = r.withColumn("__static", static)
-    n_costs = plans.select("Cost").distinct().count()
-    ok = _phases(r.where(F.col("__static").isNull()).select("RequestID", "UserID", "__cost", "__bal0"), n_costs + 2)
+    r = materialize(r, "purchase-requests")
+    ok = accept_in_order(r.where(F.col("__static").isNull()).select(
+        "RequestID", "UserID", "__cost", F.col("__bal0").alias("__room")))
     d = decide(r.join(ok, "RequestID", "left"),
                F.coalesce(F.col("__static"), F.when(~F.col("__ok"), F.lit("Insufficient wallet balance"))))
     decisions = d.select("RequestID", "UserID", "PlanID", "Accepted", "Reason")
-    acc = d.where("Accepted")
+    return CommandResult(decisions, lambda: _bought(d.where("Accepted"), users))
+
+
+def _bought(acc: DataFrame, users: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
     per_user = acc.groupBy("UserID").agg(F.sum("__cost").alias("__spent"), F.max_by("PlanID", "RequestID").alias("__plan"),
                                          F.lit(1).alias("__hit"))
     new_users = _replace(users, per_user, "UserID",
@@ -92,4 +50,4 @@ def purchase_memberships(requests: DataFrame, users: DataFrame, plans: DataFrame
     old = F.col("__bal0") - F.col("__before")
     changes = change_rows(run, 1, "Users", "UPDATE", F.col("UserID"), UserID=F.col("UserID"),
                           OldBalance=old.cast(MONEY), NewBalance=(old - F.col("__cost")).cast(MONEY))
-    return CommandResult(decisions, {"users": new_users}, changes)
+    return {"users": new_users}, changes

@@ -38,12 +38,6 @@ def _keyed(key_col: str) -> Column:
     return F.concat(F.lit(f"{key_col}="), F.col(key_col).cast("string"))
 
 
-def pk_violations(table: str, df: DataFrame, pk: str) -> DataFrame:
-    """Primary-key values that occur more than once."""
-    dup = df.groupBy(pk).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    return _out(dup, "primary_key", table, _keyed(pk), F.concat(F.lit("count="), F.col("n").cast("string")))
-
-
 def unique_violations(table: str, df: DataFrame, cols: tuple[str, ...], case_insensitive: bool) -> DataFrame:
     """Unique keys (text compared case-insensitively where the collation is)."""
     keys = [F.lower(F.col(c)).alias(c) if case_insensitive else F.col(c) for c in cols]
@@ -53,40 +47,27 @@ def unique_violations(table: str, df: DataFrame, cols: tuple[str, ...], case_ins
     return _out(dup, "unique", table, key, F.concat(F.lit("count="), F.col("n").cast("string")))
 
 
-def not_null_violations(table: str, df: DataFrame, cols: list[str], key_col: str) -> DataFrame:
-    """NOT NULL columns; one scan, one output row per missing value."""
-    missing = F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in cols]), lambda x: x.isNotNull())
-    rows = df.select(_keyed(key_col).alias("k"), F.explode(missing).alias("col"))
-    return _out(rows, "not_null", table, F.col("k"), F.col("col"))
-
-
-def fk_violations(table: str, df: DataFrame, col: str, parent_table: str, parent: DataFrame, parent_col: str,
-                  key_col: str) -> DataFrame:
-    """C4: child values without a parent row; a NULL child passes."""
-    parents = parent.select(F.col(parent_col).alias("__pk"))
-    orphans = df.where(F.col(col).isNotNull()).join(parents, F.col(col) == F.col("__pk"), "left_anti")
-    detail = F.concat(F.lit(f"{col}="), F.col(col).cast("string"), F.lit(f" not in {parent_table}.{parent_col}"))
-    return _out(orphans, "foreign_key", table, _keyed(key_col), detail)
-
-
-def domain_violations(table: str, df: DataFrame, col: str, domain: tuple[str, ...], key_col: str) -> DataFrame:
-    """Enumerated domains (NULL is the NOT NULL rule's business)."""
-    bad = df.where(F.col(col).isNotNull() & ~F.col(col).isin(*domain))
-    return _out(bad, "domain", table, _keyed(key_col), F.concat(F.lit(f"{col}="), F.col(col)))
+def row_violations(table: str, df: DataFrame, key_col: str, not_null: list[str] = (), domains: dict | None = None,
+                   lengths: dict | None = None, ranges: dict | None = None) -> DataFrame:
+    """All rules that look at one row (C3, C5, C7), in one pass over the table.
 
-
-def length_violations(table: str, df: DataFrame, col: str, max_len: int, key_col: str) -> DataFrame:
-    """VARCHAR(n) limits."""
-    bad = df.where(F.length(F.col(col)) > max_len)
-    detail = F.concat(F.lit(f"{col} length "), F.length(F.col(col)).cast("string"), F.lit(f" > {max_len}"))
-    return _out(bad, "length", table, _keyed(key_col), detail)
-
-
-def range_violations(table: str, df: DataFrame, col: str, lo: int, hi: int, key_col: str) -> DataFrame:
-    """Integer text that must parse and lie in [lo, hi] (review ratings)."""
-    v = F.trim(F.col(col)).try_cast("int")
-    bad = df.where(v.isNull() | (v < lo) | (v > hi))
-    return _out(bad, "range", table, _keyed(key_col), F.concat(F.lit(f"{col}="), F.coalesce(F.col(col), F.lit("NULL"))))
+    ``domains``: column -> allowed values (NULL is the NOT NULL rule's business);
+    ``lengths``: column -> VARCHAR limit; ``ranges``: column of integer text -> (lo, hi).
+    """
+    checks = [("not_null", F.col(c).isNull(), F.lit(c)) for c in not_null]
+    for c, values in (domains or {}).items():
+        checks.append(("domain", ~F.col(c).isin(*values), F.concat(F.lit(f"{c}="), F.col(c))))
+    for c, n in (lengths or {}).items():
+        checks.append(("length", F.length(c) > n,
+                       F.concat(F.lit(f"{c} length "), F.length(c).cast("string"), F.lit(f" > {n}"))))
+    for c, (lo, hi) in (ranges or {}).items():
+        v = F.trim(F.col(c)).try_cast("int")
+        checks.append(("range", v.isNull() | (v < lo) | (v > hi),
+                       F.concat(F.lit(f"{c}="), F.coalesce(F.col(c), F.lit("NULL")))))
+    found = F.filter(F.array(*[F.when(cond, F.struct(F.lit(rule).alias("Rule"), detail.cast("string").alias("Detail")))
+                               for rule, cond, detail in checks]), lambda x: x.isNotNull())
+    rows = df.select(_keyed(key_col).alias("RecordKey"), F.explode(found).alias("v"))
+    return rows.select("v.Rule", F.lit(table).alias("TableName"), "RecordKey", "v.Detail")
 
 
 # ------------------------------------------------------------------ request feed rules
@@ -111,7 +92,10 @@ FEED_NOT_NULL = {
 }
 FEED_LENGTHS = [("register_requests", "name", 100), ("register_requests", "email", 100)]
 FEED_RANGES = [("review_requests", "rating", 1, 5)]
-FEEDS = ("booking_requests", "end_requests", "cancel_requests", "topup_requests", "report_requests",
+# Dirty copies of clean tables: (name, key column, the table whose rules hold).
+IMPORTS = [("imported_users", "UserID", "users")]
+FEEDS = ("redelivered_requests",
+         "booking_requests", "end_requests", "cancel_requests", "topup_requests", "report_requests",
          "register_requests", "purchase_requests", "review_requests", "complete_requests")
 
 
@@ -143,19 +127,50 @@ def dq_unique(td) -> DataFrame:
     return _union(parts)
 
 
-def dq_not_null(td) -> DataFrame:
-    parts = [not_null_violations(t, td.table(t), not_null_columns(t), PRIMARY_KEYS[t]) for t in PRIMARY_KEYS]
-    parts += [not_null_violations(f, td.table(f), cols, "RequestID") for f, cols in FEED_NOT_NULL.items()]
+def _row_rules(td, families: tuple[str, ...]) -> DataFrame:
+    """The row rules of the named families over every table, feed and import; each is scanned once."""
+    parts = []
+
+    def add(name: str, key: str, rules: dict) -> None:
+        wanted = {k: v for k, v in rules.items() if v and k in families}
+        if wanted:
+            parts.append(row_violations(name, td.table(name), key, **wanted))
+
+    domains = {**ENUM_DOMAINS, **CONVENTIONAL_DOMAINS}
+
+    def declared(table: str, columns: set[str] | None = None) -> dict:
+        def has(c: str) -> bool:
+            return columns is None or c in columns
+
+        return {
+            "not_null": [c for c in not_null_columns(table) if has(c)],
+            "domains": {c: d for (t, c), d in domains.items() if t == table and has(c)},
+            "lengths": {c: n for (t, c), n in MAX_LENGTHS.items() if t == table and has(c)},
+        }
+
+    for table, key in PRIMARY_KEYS.items():
+        add(table, key, declared(table))
+    for name, key, like in IMPORTS:
+        add(name, key, declared(like, set(td.table(name).columns)))
+    for feed in FEEDS:
+        add(feed, "RequestID", {
+            "not_null": FEED_NOT_NULL.get(feed, []),
+            "lengths": {c: n for f, c, n in FEED_LENGTHS if f == feed},
+            "ranges": {c: (lo, hi) for f, c, lo, hi in FEED_RANGES if f == feed},
+        })
     return _union(parts)
 
 
+def dq_not_null(td) -> DataFrame:
+    return _row_rules(td, ("not_null",))
+
+
 def dq_fk(td) -> DataFrame:
     """C4 for all 25 references with one anti join.
 
-    Each child table is scanned once; its foreign-key columns become
-    (Parent, Value) reference rows.  All parents' keys form one key set, and a
-    single ``left_anti`` on (Parent, Value) finds every dangling reference.  A
-    very common value is one hot join key, which AQE's skew handling splits.
+    A child table's foreign-key columns become (Parent, Value) reference rows,
+    all parents' keys one key set.  The distinct references are
+    anti-joined with it; what is left, usually little, is joined back.
     """
     by_child: dict[tuple[str, str], list[tuple[str, str, str]]] = {}
     for child, col, parent, pcol in FOREIGN_KEYS:
@@ -173,24 +188,22 @@ def dq_fk(td) -> DataFrame:
     keys = _union([td.table(p).select(F.lit(p).alias("Parent"), F.col(pc).cast("long").alias("Value"))
                    for p, pc in parents])
     r = _union(refs).select("TableName", "RecordKey", "r.*").where(F.col("Value").isNotNull())
-    orphans = r.join(keys, ["Parent", "Value"], "left_anti")
+    # Distinct references first (combined map-side: a common value is one row per task), then the
+    # few dangling ones back to their rows.
+    dangling = r.select("Parent", "Value").distinct().join(keys, ["Parent", "Value"], "left_anti")
+    orphans = r.join(dangling, ["Parent", "Value"], "left_semi")
     return orphans.select(F.lit("foreign_key").alias("Rule"), "TableName", "RecordKey",
                           F.concat(F.col("Col"), F.col("Value").cast("string"), F.col("Target")).alias("Detail"))
 
 
 def dq_enum(td) -> DataFrame:
-    domains = {**ENUM_DOMAINS, **CONVENTIONAL_DOMAINS}
-    parts = [domain_violations(t, td.table(t), c, d, PRIMARY_KEYS[t]) for (t, c), d in domains.items()]
-    parts += [range_violations(f, td.table(f), c, lo, hi, "RequestID") for f, c, lo, hi in FEED_RANGES]
-    return _union(parts)
+    return _row_rules(td, ("domains", "ranges"))
 
 
 def dq_length(td) -> DataFrame:
-    parts = [length_violations(t, td.table(t), c, n, PRIMARY_KEYS[t]) for (t, c), n in MAX_LENGTHS.items()]
-    parts += [length_violations(f, td.table(f), c, n, "RequestID") for f, c, n in FEED_LENGTHS]
-    return _union(parts)
+    return _row_rules(td, ("lengths",))
 
 
 def dq_report(td) -> DataFrame:
-    """All rules in one result (each family is a separate scan; Spark runs them as one job)."""
-    return _union([dq_pk(td), dq_unique(td), dq_not_null(td), dq_fk(td), dq_enum(td), dq_length(td)])
+    """All rules in one result: one pass per table for the row rules, one shuffle for keys, one for references."""
+    return _union([dq_pk(td), dq_unique(td), _row_rules(td, ("not_null", "domains", "lengths", "ranges")), dq_fk(td)])

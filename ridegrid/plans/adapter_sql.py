@@ -9,14 +9,14 @@ from __future__ import annotations
 
 import re
 
+from ridegrid.sources.seed import MEMBERSHIP_PLANS
+
 # Name -> SELECT text.  Order matters: later entries refer to earlier ones.
 ADAPTER_CTES: dict[str, str] = {
-    "membership_plans": """
-SELECT * FROM (VALUES
- (1, 'Basic Plan', CAST(499.00 AS DECIMAL(10,2)), 1, 'Standard access to all vehicles, 5% discount on rides'),
- (2, 'Premium Plan', CAST(1299.00 AS DECIMAL(10,2)), 3, 'Priority booking, 10% discount on rides, free cancellation'),
- (3, 'Annual Plan', CAST(3999.00 AS DECIMAL(10,2)), 12, 'Maximum discount 15%, free vehicle maintenance report, priority support')
-) AS p(PlanID, PlanName, Cost, DurationMonths, Benefits)""",
+    "membership_plans": "SELECT * FROM (VALUES\n" + ",\n".join(
+        f" ({i}, '{name}', CAST({cost} AS DECIMAL(10,2)), {months}, '{benefits}')"
+        for i, name, cost, months, benefits in MEMBERSHIP_PLANS
+    ) + "\n) AS p(PlanID, PlanName, Cost, DurationMonths, Benefits)",
     "stations": """
 SELECT CAST(s_suppkey+1 AS INT) AS StationID, s_name AS Name, n_name AS Location,
  CAST(15+s_suppkey%16 AS INT) AS Capacity, s_suppkey%10<>4 AS IsActive
@@ -61,7 +61,7 @@ SELECT CAST(event_id+1 AS INT) AS LogID, CAST(1+event_id%(SELECT count(*) FROM p
  CASE WHEN event_id%3=0 THEN 'Pending' WHEN event_id%3=1 THEN 'In-Progress' ELSE 'Completed' END AS Status
 FROM events WHERE event_type='error'""",
     "technician_assignments": """
-SELECT LogID AS AssignmentID, LogID, CAST(1+LogID%25 AS INT) AS TechnicianID
+SELECT LogID AS AssignmentID, LogID, CAST(1+LogID%20 AS INT) AS TechnicianID
 FROM maintenance_logs WHERE Status<>'Pending'""",
     "reviews": """
 SELECT TripID AS ReviewID, TripID, UserID, VehicleID, CAST(1+TripID%5 AS INT) AS Rating, '' AS Comment,
@@ -83,7 +83,7 @@ SELECT event_id AS RequestID, ts AS RequestTime, CAST(user_id+1 AS INT) AS UserI
  CAST(0.25*(1+event_id%16) AS DECIMAL(5,2)) AS DurationHours
 FROM events WHERE event_type='purchase'""",
     "end_requests": """
-SELECT event_id AS RequestID, ts AS RequestTime, CAST(1+(event_id*7)%(SELECT count(*) FROM orders) AS INT) AS TripID,
+SELECT event_id AS RequestID, ts AS RequestTime, CAST(1+(event_id*7)%(SELECT count(*)+50 FROM orders) AS INT) AS TripID,
  CAST(1+event_id%(SELECT count(*)+1 FROM supplier) AS INT) AS EndStationID
 FROM events WHERE event_type='view'""",
     "cancel_requests": """
@@ -91,8 +91,9 @@ SELECT event_id AS RequestID, ts AS RequestTime,
  CAST(1+(event_id*11)%(SELECT count(*)+50 FROM orders) AS INT) AS TripID
 FROM events WHERE event_type='signup'""",
     "topup_requests": """
-SELECT event_id AS RequestID, ts AS RequestTime, CAST(user_id+1 AS INT) AS UserID,
- CASE WHEN event_id%20=0 THEN 'abc' WHEN event_id%20=1 THEN '-5'
+SELECT event_id AS RequestID, ts AS RequestTime,
+ CAST(user_id+CASE WHEN event_id%50=3 THEN 1000000000 ELSE 1 END AS INT) AS UserID,
+ CASE WHEN event_id%20=0 THEN 'abc' WHEN event_id%20=1 THEN '-5' WHEN event_id%20=2 THEN NULL
       ELSE CAST(CAST(value AS DECIMAL(10,2)) AS VARCHAR) END AS amount
 FROM events WHERE event_type='click'""",
     "report_requests": """
@@ -100,7 +101,7 @@ SELECT e.event_id AS RequestID, e.ts AS RequestTime,
  CAST(CASE WHEN e.event_id%10=0 THEN NULL WHEN o.o_orderkey IS NULL THEN e.user_id+1 ELSE o.o_custkey+1 END AS INT) AS UserID,
  CASE WHEN e.event_id%5=0 THEN 'user' ELSE 'admin' END AS user_role,
  CAST(1+COALESCE(o.o_orderkey, e.event_id)%(SELECT count(*) FROM part) AS INT) AS VehicleID,
- 'fault ' || e.props AS IssueReported
+ CASE WHEN e.event_id%40=7 THEN '   ' ELSE 'fault ' || e.props END AS IssueReported
 FROM events e LEFT JOIN orders o ON o.o_orderkey=e.event_id AND e.event_id%5=0
 WHERE e.event_type='error'""",
     "register_requests": """
@@ -118,7 +119,8 @@ SELECT event_id AS RequestID, ts AS RequestTime,
  CASE WHEN event_id%25=0 THEN 'x' ELSE CAST(event_id%7 AS VARCHAR) END AS rating, props AS comment
 FROM events WHERE event_type='view'""",
     "complete_requests": """
-SELECT event_id AS RequestID, ts AS RequestTime, 'admin' AS user_role, CAST(1+event_id AS INT) AS LogID
+SELECT event_id AS RequestID, ts AS RequestTime, CASE WHEN event_id%8=0 THEN 'user' ELSE 'admin' END AS user_role,
+ CAST(1+event_id AS INT) AS LogID
 FROM events WHERE event_type='error'""",
     # feeds of the admin / profile commands
     "profile_requests": """
@@ -134,7 +136,7 @@ SELECT event_id AS RequestID, ts AS RequestTime, CASE WHEN event_id%7=0 THEN 'us
 FROM events WHERE event_type='signup'""",
     "deactivate_requests": """
 SELECT event_id AS RequestID, ts AS RequestTime, CASE WHEN event_id%9=0 THEN 'user' ELSE 'admin' END AS user_role,
- CAST(1+(event_id*7)%(SELECT count(*)+5 FROM supplier) AS INT) AS StationID
+ CAST(1+(event_id*7)%(SELECT count(*)+6 FROM supplier) AS INT) AS StationID
 FROM events WHERE event_type='click'""",
     "vehicle_add_requests": """
 SELECT event_id AS RequestID, ts AS RequestTime, CASE WHEN event_id%8=0 THEN 'user' ELSE 'admin' END AS user_role,
@@ -169,6 +171,14 @@ SELECT event_id AS RequestID, ts AS RequestTime, 'Onboard ' || CAST(event_id AS
       ELSE CAST(CAST(CAST(value AS DECIMAL(10,2))*100 AS DECIMAL(10,2)) AS VARCHAR) END AS topup,
  CASE WHEN event_id%7=0 THEN NULL ELSE CAST(1+event_id%4 AS INT) END AS PlanID
 FROM events WHERE event_type='signup'""",
+    # dirty copies
+    "redelivered_requests": """
+SELECT RequestID, UserID FROM booking_requests
+UNION ALL SELECT RequestID, UserID FROM booking_requests WHERE RequestID%25=4""",
+    "imported_users": """
+SELECT UserID, CASE WHEN UserID%40=7 THEN Name || ' ' || repeat('x', 100) ELSE Name END AS Name,
+ CASE WHEN UserID%40<>9 THEN Email END AS Email, CASE WHEN UserID%40=11 THEN 'root' ELSE Role END AS Role
+FROM users""",
     "technician_delete_requests": """
 SELECT event_id AS RequestID, ts AS RequestTime, CASE WHEN event_id%10=0 THEN 'user' ELSE 'admin' END AS user_role,
  CAST(1+event_id%30 AS INT) AS TechnicianID

@@ -95,7 +95,7 @@ def submit_reviews(td: TestData):
 
 @register("submit_reviews_new", """
 SELECT CAST((SELECT max(ReviewID) FROM reviews) + row_number() OVER (ORDER BY RequestID) AS INT) AS ReviewID,
-       RequestID, TripID, tu AS UserID, tv AS VehicleID, rating_value AS Rating, comment AS Comment, CAST(RequestTime AS DATE) AS ReviewDate
+       RequestID, TripID, tu AS UserID, tv AS VehicleID, rating_value AS Rating, coalesce(comment, '') AS Comment, CAST(RequestTime AS DATE) AS ReviewDate
 FROM d WHERE Reason IS NULL""", [("s", REVIEW_S), ("d", REVIEW_D)])
 def submit_reviews_new(td: TestData):
     """M9 new review rows with ids continuing after the existing maximum."""
@@ -313,7 +313,8 @@ def audit_complete_maintenance(td: TestData):
 # =============================================================================== M4 report and assign
 REPORT_D = f"""
 SELECT q.*, v.Status AS vs,
-  CASE WHEN q.UserID IS NULL OR q.UserID = 0 THEN 'User ID required'
+  CASE WHEN trim(q.IssueReported) = '' THEN {_txt(maintenance.BLANK_ISSUE)}
+       WHEN q.UserID IS NULL OR q.UserID = 0 THEN 'User ID required'
        WHEN NOT (coalesce(q.user_role, 'user') = 'admin' OR EXISTS (SELECT 1 FROM trips t WHERE t.Status = 'Ongoing'
                  AND t.UserID = q.UserID AND t.VehicleID = q.VehicleID))
          THEN {_txt(maintenance.NOT_YOUR_VEHICLE)}

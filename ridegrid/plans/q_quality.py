@@ -78,12 +78,15 @@ UNIQUE_SQL = _u(
                    ("Email",), True)]
 )
 NOT_NULL_SQL = _u([_nn_sql(t, not_null_columns(t), PRIMARY_KEYS[t]) for t in PRIMARY_KEYS]
+                  + [_nn_sql("imported_users", ["UserID", "Name", "Email", "Role"], "UserID")]
                   + [_nn_sql(f, cols, "RequestID") for f, cols in Q.FEED_NOT_NULL.items()])
 FK_SQL = _u([_fk_sql(c, cc, p, pc, PRIMARY_KEYS[c]) for c, cc, p, pc in FOREIGN_KEYS]
             + [_fk_sql(c, cc, p, pc, "RequestID") for c, cc, p, pc in Q.FEED_FOREIGN_KEYS])
 ENUM_SQL = _u([_domain_sql(t, c, d, PRIMARY_KEYS[t]) for (t, c), d in {**ENUM_DOMAINS, **CONVENTIONAL_DOMAINS}.items()]
+              + [_domain_sql("imported_users", "Role", ENUM_DOMAINS["users", "Role"], "UserID")]
               + [_range_sql(f, c, lo, hi, "RequestID") for f, c, lo, hi in Q.FEED_RANGES])
 LENGTH_SQL = _u([_length_sql(t, c, n, PRIMARY_KEYS[t]) for (t, c), n in MAX_LENGTHS.items()]
+                + [_length_sql("imported_users", c, MAX_LENGTHS["users", c], "UserID") for c in ("Name", "Email")]
                 + [_length_sql(f, c, n, "RequestID") for f, c, n in Q.FEED_LENGTHS])
 
 

@@ -28,7 +28,7 @@ SELECT u.UserID, CASE WHEN s.UserID IS NULL THEN u.WalletBalance
 FROM users u LEFT JOIN (SELECT UserID, sum(amount_value) AS added FROM d WHERE Reason IS NULL GROUP BY UserID) s
   ON s.UserID = u.UserID""", [("d", QC.TOPUP_D)])
 def stream_topups_balances(td: TestData):
-    """Top-ups applied per micro-batch (with a redelivered file) give the batch balances."""
+    """Top-ups applied per micro-batch give the batch balances."""
     return S.stream_topups(td.spark, td.topup_requests(), td.users()).select("UserID", "WalletBalance")
 
 
@@ -105,7 +105,7 @@ base AS (
          CASE WHEN s.VehicleID IS NULL THEN v.CurrentStationID ELSE s.StationID END AS station
   FROM vehicles v LEFT JOIN last_set l ON l.VehicleID = v.VehicleID LEFT JOIN last_station s ON s.VehicleID = v.VehicleID)
 SELECT VehicleID, CASE WHEN st = 'available' AND reported_after THEN 'under-maintenance' ELSE st END AS Status,
-       station AS CurrentStationID, CAST(0 AS BIGINT) AS LateEvents
+       station AS CurrentStationID
 FROM base"""
 
 

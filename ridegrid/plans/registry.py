@@ -42,7 +42,6 @@ def register(key: str, sql: str | None = None, ctes: list[tuple[str, str]] | Non
 def _load_all() -> None:
     # Importing the modules fills the registry.
     from ridegrid.plans import (  # noqa: F401
-        q_audit,
         q_commands,
         q_quality,
         q_streams,

@@ -6,9 +6,12 @@ The constraint catalogues below drive the data-quality operators
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(10, 2)
+MONEY_MAX = Decimal("99999999.99")  # largest value of MONEY
 RATE = T.DecimalType(5, 2)  # discounts and durations
 
 

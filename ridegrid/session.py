@@ -34,8 +34,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is used
-    as is.  Only when nothing is set (unit tests, a laptop) a folder under the
-    system temp dir is created.
+    as is.  Only when nothing is set and the master is local (unit tests, a
+    laptop) a folder under the system temp dir is created.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -45,6 +45,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            # On a cluster a folder of this machine is another folder on every executor.
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="ridegrid-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

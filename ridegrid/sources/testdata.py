@@ -19,7 +19,17 @@ from pyspark.sql import functions as F
 from ridegrid.schemas import MONEY, RATE, SCHEMAS
 from ridegrid.sources.seed import membership_plans
 
-SOURCE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "events")
+# Declared source columns: no schema is inferred from the files.
+SOURCE_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
 
 
 class TestData:
@@ -28,14 +38,17 @@ class TestData:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._counts: dict[str, Column] = {}
 
     # -- raw source tables -------------------------------------------------
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self.spark.read.schema(SOURCE_SCHEMAS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
     def _count(self, name: str, plus: int = 0) -> Column:
-        """Row count of a source table as a scalar subquery Column."""
-        return self.raw(name).select(F.count(F.lit(1)) + F.lit(plus)).scalar()
+        """Row count of a source table as a scalar subquery Column, the same one at every call."""
+        if name not in self._counts:
+            self._counts[name] = self.raw(name).select(F.count(F.lit(1))).scalar()
+        return self._counts[name] + F.lit(plus)
 
     def _events(self, event_type: str) -> DataFrame:
         return self.raw("events").where(F.col("event_type") == event_type)
@@ -151,7 +164,7 @@ class TestData:
         return self.maintenance_logs().where(F.col("Status") != "Pending").select(
             F.col("LogID").alias("AssignmentID"),
             "LogID",
-            (F.lit(1) + F.col("LogID") % 25).cast("int").alias("TechnicianID"),
+            (F.lit(1) + F.col("LogID") % 20).cast("int").alias("TechnicianID"),
         )
 
     def reviews(self) -> DataFrame:
@@ -186,8 +199,16 @@ class TestData:
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)()
 
+    def checked_table(self, name: str) -> DataFrame:
+        """A rental table whose columns must be those of ``SCHEMAS`` (names, order, types)."""
+        df = self.table(name)
+        declared = [(f.name, f.dataType.simpleString()) for f in SCHEMAS[name].fields]
+        if df.dtypes != declared:
+            raise TypeError(f"{name}: columns {df.dtypes}, declared {declared}")
+        return df
+
     def tables(self) -> dict[str, DataFrame]:
-        return {name: self.table(name) for name in SCHEMAS}
+        return {name: self.checked_table(name) for name in SCHEMAS}
 
     # -- request feeds (inputs of the command operators) ----------------------
     def booking_requests(self) -> DataFrame:
@@ -206,7 +227,7 @@ class TestData:
         return self._events("view").select(
             key.alias("RequestID"),
             F.col("ts").alias("RequestTime"),
-            (F.lit(1) + (key * 7) % self._count("orders")).cast("int").alias("TripID"),
+            (F.lit(1) + (key * 7) % self._count("orders", 50)).cast("int").alias("TripID"),
             (F.lit(1) + key % self._count("supplier", 1)).cast("int").alias("EndStationID"),
         )
 
@@ -223,9 +244,10 @@ class TestData:
         return self._events("click").select(
             key.alias("RequestID"),
             F.col("ts").alias("RequestTime"),
-            (F.col("user_id") + 1).cast("int").alias("UserID"),
+            (F.col("user_id") + F.when(key % 50 == 3, 1_000_000_000).otherwise(1)).cast("int").alias("UserID"),
             F.when(key % 20 == 0, "abc")
             .when(key % 20 == 1, "-5")
+            .when(key % 20 == 2, F.lit(None).cast("string"))
             .otherwise(F.col("value").cast(MONEY).cast("string"))
             .alias("amount"),
         )
@@ -245,13 +267,13 @@ class TestData:
             .alias("UserID"),
             F.when(key % 5 == 0, "user").otherwise("admin").alias("user_role"),
             (F.lit(1) + F.coalesce(F.col("o.o_orderkey"), key) % self._count("part")).cast("int").alias("VehicleID"),
-            F.concat(F.lit("fault "), F.col("e.props")).alias("IssueReported"),
+            F.when(key % 40 == 7, "   ").otherwise(F.concat(F.lit("fault "), F.col("e.props"))).alias("IssueReported"),
         )
 
     def register_requests(self) -> DataFrame:
         key = F.col("event_id")
         prefix = F.when(key % 2 == 0, "USER").otherwise("user")
-        n = (key * 3) % self.raw("customer").select(F.count(F.lit(1)) * 2).scalar()
+        n = (key * 3) % (self._count("customer") * 2)
         return self._events("signup").select(
             key.alias("RequestID"),
             F.col("ts").alias("RequestTime"),
@@ -284,7 +306,7 @@ class TestData:
         return self._events("error").select(
             key.alias("RequestID"),
             F.col("ts").alias("RequestTime"),
-            F.lit("admin").alias("user_role"),
+            F.when(key % 8 == 0, "user").otherwise("admin").alias("user_role"),
             (F.lit(1) + key).cast("int").alias("LogID"),
         )
 
@@ -317,7 +339,7 @@ class TestData:
             key.alias("RequestID"),
             F.col("ts").alias("RequestTime"),
             F.when(key % 9 == 0, "user").otherwise("admin").alias("user_role"),
-            (F.lit(1) + (key * 7) % self._count("supplier", 5)).cast("int").alias("StationID"),
+            (F.lit(1) + (key * 7) % self._count("supplier", 6)).cast("int").alias("StationID"),
         )
 
     def vehicle_add_requests(self) -> DataFrame:
@@ -399,6 +421,23 @@ class TestData:
         )
 
 
+    # -- dirty copies: inputs of the data-quality rules only ---------------------
+    def redelivered_requests(self) -> DataFrame:
+        """Booking requests, some delivered twice."""
+        feed = self.booking_requests().select("RequestID", "UserID")
+        return feed.unionByName(feed.where(F.col("RequestID") % 25 == 4))
+
+    def imported_users(self) -> DataFrame:
+        """Users as a careless import leaves them: unknown roles, overlong names, missing e-mails."""
+        key = F.col("UserID")
+        return self.users().select(
+            "UserID",
+            F.when(key % 40 == 7, F.concat("Name", F.lit(" "), F.repeat(F.lit("x"), 100))).otherwise(F.col("Name")).alias("Name"),
+            F.when(key % 40 != 9, F.col("Email")).alias("Email"),
+            F.when(key % 40 == 11, "root").otherwise(F.col("Role")).alias("Role"),
+        )
+
+
 def load(spark: SparkSession, sf_dir: str) -> TestData:
     return TestData(spark, sf_dir)
 

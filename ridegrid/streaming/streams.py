@@ -2,16 +2,19 @@
 
 * ``stream_audit`` (S1): change rows arriving as files -> audit rows; a
   stateless projection appended to a Parquet sink.
-* ``stream_topups`` (S2): a command stream applied batch by batch with
-  ``foreachBatch``.  Each micro-batch writes one snapshot version
-  (partition ``_version=<batch id>``) with dynamic partition overwrite, so a replayed
-  batch rewrites its own version and nothing else (idempotent).  Redelivered
-  requests are removed with ``dropDuplicatesWithinWatermark`` on RequestID.
+* ``stream_commands`` (S2): requests applied batch by batch with
+  ``foreachBatch``.  Each micro-batch reads the newest snapshot, runs the batch
+  operator and writes the next version (partition ``_version=<batch id>``) with
+  dynamic partition overwrite, so a replayed batch rewrites its own version and
+  nothing else (idempotent); versions that no replay can need any more are
+  removed.  Redelivered requests are removed with
+  ``dropDuplicatesWithinWatermark`` on RequestID.
 * ``stream_vehicle_state`` (S3): per-vehicle status and station from the
-  decided events of the commands, applied in (RequestTime, RequestID) order by
-  ``applyInPandasWithState`` keyed by VehicleID (a vectorised pandas fold per
-  vehicle and micro-batch).  Events older than the last one applied to a
-  vehicle are counted in ``LateEvents`` and not applied.
+  decided events of the commands, by built-in streaming aggregates.  Per
+  vehicle the state keeps the last status-setting event, the last moving event and
+  the last report, each the maximum in (RequestTime, RequestID, kind) order:
+  maxima do not depend on the order of delivery and ignore repeated events, and
+  they combine before the shuffle, so a busy vehicle is one row per task.
 
 All folders (sources, sinks, streaming checkpoints) live under the shared
 checkpoint folder of the cluster.  ``queries()`` runs these with
@@ -20,200 +23,166 @@ checkpoint folder of the cluster.  ``queries()`` runs these with
 
 from __future__ import annotations
 
-import sys
 import uuid
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ridegrid.operators import audit as A
 from ridegrid.operators import commands as C
 from ridegrid.session import ensure_checkpoint_dir
-from ridegrid.sources.sinks import VERSION, read_snapshot, write_snapshot
+from ridegrid.sources.sinks import drop_snapshots, newest_version, read_snapshot, write_snapshot
 
-WATERMARK = "3650 days"  # redelivery horizon for request de-duplication
-
-# The grouped-state function below runs in Python workers.  Ship this module's
-# code with the pickled function instead of importing ``ridegrid`` on the
-# executors, so the job works wherever the package is installed on the driver.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+HORIZON = "30 days"  # how long after a request (in event time) its redelivery is recognised
+FILES_PER_BATCH = 4
 
 
 def _folder(spark: SparkSession, label: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/ridegrid-{label}-{uuid.uuid4().hex}"
 
 
-def stage_files(df: DataFrame, label: str, parts: int = 4, order: str = "RequestID") -> str:
-    """Write ``df`` as ``parts`` files holding consecutive ranges of ``order``, one after the
-    other, so the file source (which lists files by modification time) sees them in order."""
-    spark = df.sparkSession
-    path = _folder(spark, label)
-    ranged = df.repartitionByRange(parts, order).withColumn("__part", F.spark_partition_id())
-    tmp = _folder(spark, label + "-ranges")
-    ranged.write.partitionBy("__part").parquet(tmp)
-    staged = spark.read.parquet(tmp)
-    for part in range(parts):
-        staged.where(F.col("__part") == part).drop("__part").coalesce(1).write.mode("append").parquet(path)
+def stage_files(df: DataFrame, label: str) -> str:
+    """Write ``df`` as the source folder of a stream, in as many files as Spark's partitions give."""
+    path = _folder(df.sparkSession, label)
+    df.write.parquet(path)
     return path
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).limit(0).collect()
-        return True
-    except Exception:  # noqa: BLE001 - missing path
-        return False
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
-def _run(writer, timeout_s: int = 1800) -> None:
-    q = writer.trigger(availableNow=True).start()
-    q.awaitTermination(timeout_s)
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+def _run(writer) -> None:
+    """Run the stream over everything available, however long that takes; a failed stream raises."""
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
 
 
 # ----------------------------------------------------------------------------- S1
-def stream_audit(spark: SparkSession, changes: DataFrame, parts: int = 4) -> DataFrame:
-    src = stage_files(changes, "changes", parts)
+def stream_audit(spark: SparkSession, changes: DataFrame, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+    src = stage_files(changes, "changes")
     out, ckpt = _folder(spark, "audit-out"), _folder(spark, "audit-ckpt")
-    stream = spark.readStream.schema(C.CHANGE_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+    stream = spark.readStream.schema(C.CHANGE_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(src)
     rows = stream.where(A.fires()).select(
         "RequestID", "Step", "Sub", "TableName", "OperationType", "RecordID",
         A.message().alias("ChangeDescription"), "ChangeTimestamp")
     _run(rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", ckpt).option("path", out))
-    return spark.read.parquet(out)
+    return spark.read.schema(rows.schema).parquet(out)
 
 
 # ----------------------------------------------------------------------------- S2
-def stream_topups(spark: SparkSession, requests: DataFrame, users: DataFrame, parts: int = 4,
-                  redeliver: bool = True, workdir: str | None = None) -> DataFrame:
-    """Apply top-up requests micro-batch by micro-batch; returns the last users snapshot.
-
+def stream_commands(spark: SparkSession, requests: DataFrame, tables: dict[str, DataFrame],
+                    apply: Callable[[DataFrame, dict[str, DataFrame]], dict[str, DataFrame]],
+                    workdir: str | None = None, files_per_batch: int | None = FILES_PER_BATCH,
+                    horizon: str = HORIZON) -> dict[str, DataFrame]:
+    """Apply a command operator to a stream of requests; returns the last snapshots of ``tables``.
+
+    ``apply(batch, tables)`` returns the tables that the batch changed.  Inside
+    a batch requests are applied in RequestID order, and batches in order of
+    arrival; ``files_per_batch=None`` takes all files at hand as one batch.
     With ``workdir`` the source, state and checkpoint folders are fixed, so a
     second call resumes from the checkpoint (and, with no new files, changes
     nothing); without it every call starts fresh.
     """
-    if workdir is None:
-        src = stage_files(requests, "topups", parts)
-        state, ckpt = _folder(spark, "users-state"), _folder(spark, "topups-ckpt")
-        fresh = True
-    else:
-        src, state, ckpt = f"{workdir}/source", f"{workdir}/state", f"{workdir}/checkpoint"
-        fresh = not _exists(spark, state)
-        if fresh:
-            staged = stage_files(requests, "topups", parts)
-            spark.read.parquet(staged).write.parquet(src)
-    if fresh:
-        if redeliver:  # a second copy of the first range arrives later: must change nothing
-            cut = requests.select(F.percentile_approx("RequestID", 0.25)).first()[0]
-            spark.read.parquet(src).where(F.col("RequestID") <= cut).write.mode("append").parquet(src)
-        write_snapshot(users, state, -1)
-    schema = spark.read.parquet(src).schema
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        versions = spark.read.parquet(state)
-        latest = versions.where(F.col(VERSION) < batch_id).agg(F.max(VERSION)).first()[0]
-        current = read_snapshot(spark.read, state, latest)
-        write_snapshot(C.wallet_topups(batch, current).tables["users"], state, batch_id)
-
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-              .withColumn("__event_time", F.col("RequestTime").cast("timestamp"))  # watermarks need TIMESTAMP
-              .withWatermark("__event_time", WATERMARK).dropDuplicatesWithinWatermark(["RequestID"])
-              .drop("__event_time"))
-    _run(stream.writeStream.foreachBatch(apply).option("checkpointLocation", ckpt))
-    return read_snapshot(spark.read, state)
+    work = workdir or _folder(spark, "commands")
+    src, ckpt = f"{work}/source", f"{work}/checkpoint"
+    state = {name: f"{work}/state/{name}" for name in tables}
+    if not _exists(spark, src):
+        requests.write.parquet(src)
+    for name, df in tables.items():
+        if not _exists(spark, state[name]):
+            write_snapshot(df, state[name], -1)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        base = {name: newest_version(spark.read, path, batch_id) for name, path in state.items()}
+        now = {name: read_snapshot(spark.read, path, base[name]) for name, path in state.items()}
+        for name, df in apply(batch, now).items():
+            write_snapshot(df, state[name], batch_id)
+            drop_snapshots(spark, state[name], base[name])  # a replay of this batch needs ``base``
+
+    stream = spark.readStream.schema(spark.read.parquet(src).schema)
+    if files_per_batch is not None:
+        stream = stream.option("maxFilesPerTrigger", files_per_batch)
+    once = (stream.parquet(src)
+            .withColumn("__event_time", F.col("RequestTime").cast("timestamp"))  # watermarks need TIMESTAMP
+            .withWatermark("__event_time", horizon).dropDuplicatesWithinWatermark(["RequestID"])
+            .drop("__event_time"))
+    _run(once.writeStream.foreachBatch(step).option("checkpointLocation", ckpt))
+    return {name: read_snapshot(spark.read, path) for name, path in state.items()}
+
+
+def stream_topups(spark: SparkSession, requests: DataFrame, users: DataFrame, workdir: str | None = None) -> DataFrame:
+    """M7 as a stream: the last users snapshot.  Top-ups commute, so files may arrive in any order."""
+    return stream_commands(spark, requests, {"users": users},
+                           lambda batch, now: {"users": C.wallet_topups(batch, now["users"]).tables["users"]},
+                           workdir)["users"]
 
 
 # ----------------------------------------------------------------------------- S3
-VEHICLE_EVENT_SCHEMA = "VehicleID int, RequestID long, RequestTime timestamp_ntz, Kind string, StationID int"
-STATE_SCHEMA = "Status string, StationID int, LastTime long, LastRequest long, LastRank int, Late long"
+VEHICLE_EVENT_SCHEMA = "VehicleID int, RequestID long, RequestTime timestamp_ntz, Kind string, StationID int, Status string"
 # Tie-break when two command feeds carry the same request id and time (a total event order).
 KIND_RANK = {"snapshot": 0, "book": 1, "end": 2, "cancel": 3, "report": 4, "complete": 5, "decommission": 6}
-OUT_SCHEMA = "VehicleID int, Status string, CurrentStationID int, LastRequest long, LastRank int, LateEvents long"
-NO_STATION = -(2 ** 31)  # pandas state cannot hold a NULL int: sentinel for "no station"
-
-
 SETS_STATUS = {"book": "in-use", "end": "available", "cancel": "available", "complete": "available",
                "decommission": "decommissioned"}
 
 
-def _vehicle_fold(key, pdfs, state: GroupState):
-    """Apply one vehicle's new events to its (status, station) state, vectorised.
-
-    The state machine collapses to: the last status-setting event decides the
-    status, a report after it turns 'available' into 'under-maintenance', and
-    the last end / cancel / snapshot decides the station.  Events not after
-    the last applied (time, request, kind rank) are late: counted, not applied.
-    """
-    if state.exists:
-        status, station, last_t, last_r, last_k, late = state.get
-    else:
-        status, station, last_t, last_r, last_k, late = None, NO_STATION, -(2 ** 62), -(2 ** 62), -1, 0
-    ev = pd.concat(list(pdfs), ignore_index=True)
-    ev["t"] = ev["RequestTime"].astype("int64")
-    ev["k"] = ev["Kind"].map(KIND_RANK)
-    ev = ev.sort_values(["t", "RequestID", "k"], kind="stable").reset_index(drop=True)
-    newer = (ev["t"] > last_t) | ((ev["t"] == last_t) & ((ev["RequestID"] > last_r)
-                                                         | ((ev["RequestID"] == last_r) & (ev["k"] > last_k))))
-    late += int((~newer).sum())
-    ev = ev[newer].reset_index(drop=True)
-    if len(ev):
-        sets = ev["Kind"].isin(list(SETS_STATUS) + ["snapshot"])
-        if sets.any():
-            last_set = ev.index[sets][-1]
-            row = ev.loc[last_set]
-            status = row["Status"] if row["Kind"] == "snapshot" else SETS_STATUS[row["Kind"]]
-            after = ev.loc[last_set + 1:]
-        else:
-            after = ev
-        if status == "available" and (after["Kind"] == "report").any():
-            status = "under-maintenance"
-        moves = ev[ev["Kind"].isin(["end", "cancel", "snapshot"])]
-        if len(moves):
-            st = moves["StationID"].iloc[-1]
-            station = NO_STATION if pd.isna(st) else int(st)
-        tail = ev.iloc[-1]
-        last_t, last_r, last_k = int(tail["t"]), int(tail["RequestID"]), int(tail["k"])
-    state.update((status, station, last_t, last_r, last_k, late))
-    yield pd.DataFrame({"VehicleID": [key[0]], "Status": [status],
-                        "CurrentStationID": [None if station == NO_STATION else station],
-                        "LastRequest": [last_r], "LastRank": [last_k], "LateEvents": [late]})
-
-
 def vehicle_events(snapshot: DataFrame, *decided: DataFrame) -> DataFrame:
     """Snapshot rows (ordered before everything) plus decided command events."""
-    snap = snapshot.select("VehicleID", F.lit(-1).cast("long").alias("RequestID"),
-                           F.lit("1900-01-01 00:00:00").cast("timestamp_ntz").alias("RequestTime"),
-                           F.concat(F.lit("snapshot:"), F.col("Status")).alias("Kind"),
-                           F.col("CurrentStationID").alias("StationID"))
-    out = snap
+    out = snapshot.select("VehicleID", F.lit(-1).cast("long").alias("RequestID"),
+                          F.lit("1900-01-01 00:00:00").cast("timestamp_ntz").alias("RequestTime"),
+                          F.lit("snapshot").alias("Kind"), F.col("CurrentStationID").alias("StationID"), "Status")
     for d in decided:
-        out = out.unionByName(d.select("VehicleID", "RequestID", "RequestTime", "Kind", "StationID"))
+        out = out.unionByName(d.select("VehicleID", "RequestID", "RequestTime", "Kind", "StationID",
+                                       F.lit(None).cast("string").alias("Status")))
     return out
 
 
-def _fold_entry(key, pdfs, state):
-    # snapshot kinds carry the status in the kind text ("snapshot:<status>")
-    def split(pdf):
-        snap = pdf["Kind"].str.startswith("snapshot:")
-        pdf = pdf.copy()
-        pdf["Status"] = pdf["Kind"].where(snap).str.slice(len("snapshot:"))
-        pdf.loc[snap, "Kind"] = "snapshot"
-        return pdf
-    yield from _vehicle_fold(key, (split(p) for p in pdfs), state)
+def _choose(values: dict[str, Column], otherwise: Column) -> Column:
+    expr = None
+    for kind, value in values.items():
+        cond = F.col("Kind") == kind
+        expr = F.when(cond, value) if expr is None else expr.when(cond, value)
+    return expr.otherwise(otherwise)
+
+
+def vehicle_state(events: DataFrame) -> DataFrame:
+    """Per vehicle: the last status-setting event, the last moving one, the last report (batch or stream)."""
+    rank = _choose({k: F.lit(v) for k, v in KIND_RANK.items()}, F.lit(-1))
+    order = (F.col("RequestTime").alias("t"), F.col("RequestID").alias("r"), rank.alias("k"))
+    status = _choose({k: F.lit(v) for k, v in SETS_STATUS.items()}, F.col("Status"))
+    sets = F.col("Kind").isin("snapshot", *SETS_STATUS)
+    moves = F.col("Kind").isin("snapshot", "end", "cancel")
+    return events.groupBy("VehicleID").agg(
+        F.max(F.when(sets, F.struct(*order, status.alias("Status")))).alias("set"),
+        F.max(F.when(moves, F.struct(*order, F.col("StationID")))).alias("move"),
+        F.max(F.when(F.col("Kind") == "report", F.struct(*order))).alias("report"),
+    )
+
 
+def current_state(state: DataFrame) -> DataFrame:
+    """(VehicleID, Status, CurrentStationID): a report after the last setting event takes an available vehicle out."""
+    last_set = F.struct("set.t", "set.r", "set.k")
+    reported = F.col("report").isNotNull() & (F.col("set").isNull() | (F.col("report") > last_set))
+    status = F.when((F.col("set.Status") == "available") & reported, F.lit("under-maintenance")).otherwise(F.col("set.Status"))
+    return state.select("VehicleID", status.alias("Status"), F.col("move.StationID").alias("CurrentStationID"))
 
-def stream_vehicle_state(spark: SparkSession, events: DataFrame, parts: int = 4) -> DataFrame:
-    src = stage_files(events.withColumn("__o", F.coalesce(F.col("RequestID"), F.lit(-1))), "vehicle-events", parts, "__o")
+
+def stream_vehicle_state(spark: SparkSession, events: DataFrame, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+    """S3: the state table after all events; the sink gets the changed vehicles of every batch."""
+    src = stage_files(events, "vehicle-events")
     out, ckpt = _folder(spark, "vehicle-state-out"), _folder(spark, "vehicle-state-ckpt")
-    stream = spark.readStream.schema(VEHICLE_EVENT_SCHEMA + ", __o long").option("maxFilesPerTrigger", 1).parquet(src)
-    folded = stream.drop("__o").groupBy("VehicleID").applyInPandasWithState(
-        _fold_entry, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-    _run(folded.writeStream.format("parquet").outputMode("append").option("checkpointLocation", ckpt).option("path", out))
-    res = spark.read.parquet(out)
-    latest = F.max_by(F.struct("Status", "CurrentStationID", "LateEvents"), F.struct("LastRequest", "LastRank"))
-    return res.groupBy("VehicleID").agg(latest.alias("s")).select("VehicleID", "s.Status", "s.CurrentStationID",
-                                                                   "s.LateEvents")
+    stream = spark.readStream.schema(VEHICLE_EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(src)
+    state = vehicle_state(stream)
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        write_snapshot(batch, out, batch_id)  # the changed vehicles; a replayed batch replaces its own version
+
+    _run(state.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", ckpt))
+    changed = spark.read.parquet(out)
+    newest = changed.groupBy("VehicleID").agg(F.max_by(F.struct("set", "move", "report"), "_version").alias("s"))
+    return current_state(newest.select("VehicleID", "s.*"))

@@ -66,12 +66,67 @@ def test_snapshot_audit_vehicle_status(spark):
         (1, "UPDATE", "available", "in-use"), (3, "INSERT", None, "available")]
 
 
-def test_quality_rules_find_violations(spark):
+class Dirty:
+    """A data set with one violation of every rule family, on top of the clean seed tables."""
+
+    def __init__(self, td):
+        self.td, self.spark = td, td.spark
+
+    def table(self, name):
+        df = self.td.table(name)
+        if name == "stations":
+            df = df.union(df.where("StationID = 1"))  # a key twice
+        if name == "trips":
+            df = df.withColumn("VehicleID", F.when(F.col("TripID") == 2, F.lit(-5)).otherwise(F.col("VehicleID")))
+            df = df.withColumn("Status", F.when(F.col("TripID") == 3, F.lit("Lost")).otherwise(F.col("Status")))
+        if name == "technicians":
+            df = df.withColumn("Name", F.when(F.col("TechnicianID") == 4, F.repeat(F.lit("n"), 101)).otherwise(F.col("Name")))
+        if name == "vehicles":
+            df = df.withColumn("Model", F.when(F.col("VehicleID") != 6, F.col("Model")))
+        return df
+
+    def __getattr__(self, name):
+        return getattr(self.td, name)
+
+
+def test_quality_families_find_each_violation(spark, td):
+    clean, dirty = td, Dirty(td)
+
+    def new(family):
+        rows = {tuple(r) for r in family(dirty).collect()} - {tuple(r) for r in family(clean).collect()}
+        return sorted((r[0], r[1], r[2], r[3]) for r in rows)
+
+    assert new(Q.dq_pk) == [("primary_key", "stations", "StationID=1", "count=2")]
+    assert ("foreign_key", "trips", "TripID=2", "VehicleID=-5 not in vehicles.VehicleID") in new(Q.dq_fk)
+    assert new(Q.dq_enum) == [("domain", "trips", "TripID=3", "Status=Lost")]
+    assert new(Q.dq_length) == [("length", "technicians", "TechnicianID=4", "Name length 101 > 100")]
+    assert new(Q.dq_not_null) == [("not_null", "vehicles", "VehicleID=6", "Model")]
+    rules = {r[0] for r in new(Q.dq_report)}
+    assert rules == {"primary_key", "foreign_key", "domain", "length", "not_null"}
+
+
+def test_unique_rule_ignores_case(spark):
     users = spark.createDataFrame([(1, "a@x"), (2, "A@X"), (3, None)], "UserID int, Email string")
-    plans = spark.createDataFrame([(1,)], "PlanID int")
-    kids = spark.createDataFrame([(1, 1), (2, 7), (3, None)], "UserID int, PlanID int")
     assert Q.unique_violations("users", users, ("Email",), True).count() == 1
-    assert [r.Detail for r in Q.not_null_violations("users", users, ["Email"], "UserID").collect()] == ["Email"]
-    fk = Q.fk_violations("users", kids, "PlanID", "membership_plans", plans, "PlanID", "UserID").collect()
-    assert [r.RecordKey for r in fk] == ["UserID=2"]
-    assert Q.pk_violations("users", users.union(users.limit(1)), "UserID").count() == 1
+
+
+def test_deleted_payment_has_no_trigger(spark):
+    before = spark.createDataFrame([(1, "Success"), (2, "Success")], "PaymentID int, Status string")
+    after = before.where("PaymentID = 1")
+    changes = A.snapshot_audit("Payments", before, after, "PaymentID")
+    assert changes.count() == 1 and A.audit(changes).count() == 0
+
+
+def test_prefix_blocks_are_dealt_by_key_and_block(spark):
+    """Also when the input is already dealt by the key alone: a hot user is not one task."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        a = spark.range(100).select(F.col("id").alias("RequestID"), (F.col("id") % 3).alias("UserID"))
+        b = spark.range(3).select(F.col("id").alias("UserID"), F.lit(1).alias("v"))
+        df = prefix_sum(a.join(b, "UserID"), ["UserID"], "RequestID", "v", "s", block=8)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        window = plan.index("windowspecdefinition(UserID#")
+        below = plan[window:]
+        assert "__blk" in below[below.index("Exchange hashpartitioning"):].split("\n")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -12,10 +12,50 @@ def test_topup_stream_equals_batch_and_restart_changes_nothing(spark, td):
     work = f"{ensure_checkpoint_dir(spark).rstrip('/')}/test-topups-{uuid.uuid4().hex}"
     first = {r.UserID: r.WalletBalance for r in S.stream_topups(spark, td.topup_requests(), td.users(), workdir=work).collect()}
     assert first == batch
-    versions = spark.read.parquet(f"{work}/state").select("_version").distinct().count()
+    versions = spark.read.parquet(f"{work}/state/users").select("_version").distinct().count()
+    assert versions <= 2  # older states are gone
     again = {r.UserID: r.WalletBalance for r in S.stream_topups(spark, td.topup_requests(), td.users(), workdir=work).collect()}
     assert again == batch
-    assert spark.read.parquet(f"{work}/state").select("_version").distinct().count() == versions
+    assert spark.read.parquet(f"{work}/state/users").select("_version").distinct().count() == versions
+
+
+def test_redelivered_topups_change_nothing(spark, td):
+    requests = td.topup_requests()
+    batch = {r.UserID: r.WalletBalance for r in C.wallet_topups(requests, td.users()).tables["users"].collect()}
+    twice = requests.union(requests.where("RequestID % 4 = 1"))
+    streamed = {r.UserID: r.WalletBalance for r in S.stream_topups(spark, twice.repartition(6), td.users()).collect()}
+    assert streamed == batch
+
+
+def test_vehicle_state_does_not_depend_on_delivery(spark, td):
+    """Shuffled files, repeated events and one event per batch give the batch state."""
+    from pyspark.sql import functions as F
+
+    from ridegrid.plans.q_streams import decided_vehicle_events
+
+    events = S.vehicle_events(td.vehicles(), decided_vehicle_events(td)).cache()
+    expected = sorted(tuple(r) for r in S.current_state(S.vehicle_state(events)).collect())
+    mixed = events.union(events.where("RequestID % 3 = 0")).repartition(7, F.rand(5))
+    assert sorted(map(tuple, S.stream_vehicle_state(spark, mixed, 1).collect())) == expected
+
+
+def test_late_event_is_applied_in_event_time(spark):
+    rows = [(1, -1, "1900-01-01", "snapshot", 3, "available"), (1, 9, "2024-01-02", "report", None, None),
+            (1, 5, "2024-01-01", "end", 7, None)]
+    df = spark.createDataFrame(rows, "VehicleID int, RequestID long, RequestTime string, Kind string, StationID int, Status string")
+    df = df.withColumn("RequestTime", df.RequestTime.cast("timestamp_ntz"))
+    state = S.stream_vehicle_state(spark, df.repartition(3, "RequestID"), 1).collect()
+    assert [tuple(r) for r in state] == [(1, "under-maintenance", 7)]
+
+
+def test_failed_stream_raises(spark, td):
+    import pytest
+
+    def broken(batch, now):
+        raise ValueError("broken batch")
+
+    with pytest.raises(Exception, match="broken batch"):
+        S.stream_commands(spark, td.topup_requests(), {"users": td.users()}, broken)
 
 
 def test_audit_stream_equals_batch_messages(spark, td):
