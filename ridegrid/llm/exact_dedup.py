@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridegrid.llm.common import ascii_lower, stage
+from ridegrid.llm.common import ascii_lower, fresh, stage
 
 CAPACITY = 1 << 12  # distinct keys a bucket holds before it splits
 MAX_DEPTH = 20  # key bits that the directory can use; beyond them keys chain in their bucket
@@ -119,9 +119,9 @@ def drop_exact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
 
     Of rows that repeat id and text, one stays.
     """
-    rid = "__rg_rid"
+    rid = fresh(docs, "row_number")
     staged = stage(docs.withColumn(rid, F.monotonically_increasing_id()), "dedup-docs")
-    slim = staged.select(F.struct(F.col(id_col), F.col(rid)).alias("row"), F.col(text_col).alias("text"))
+    slim = staged.select(F.struct(F.col(id_col).alias("id"), F.col(rid).alias("rid")).alias("row"), F.col(text_col).alias("text"))
     # The pair (id, row id) is the id here: it is unique and orders as the id does.
-    losers = exact_groups(slim, "text", "row").where(~F.col("kept")).select(F.col(f"doc_id.{rid}").alias(rid))
+    losers = exact_groups(slim, "text", "row").where(~F.col("kept")).select(F.col("doc_id.rid").alias(rid))
     return staged.join(losers, rid, "left_anti").drop(rid)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridegrid.llm.common import stage
+from ridegrid.llm.common import fresh, stage
 from ridegrid.operators.ids import global_rank
 
 BITS = 5
@@ -150,10 +150,11 @@ def write_shards(docs: DataFrame, path: str, dims: tuple[str, ...] = ("lang", "s
     ``id_col`` must be unique.  Several files per shard at scale: each shard is
     split by slot ranges, so no task holds a whole shard.
     """
+    key, shard, slot = fresh(docs, "shard_key"), fresh(docs, "shard"), fresh(docs, "shard_slot")
     placed = assign_shards(docs, dims, shards, BITS, text_col, id_col).select(
-        F.col("doc_id").alias("__rg_id"), F.col("shard").alias("__rg_shard"), F.col("slot").alias("__rg_slot"))
+        F.col("doc_id").alias(key), F.col("shard").alias(shard), F.col("slot").alias(slot))
     (
-        docs.join(placed, docs[id_col].eqNullSafe(F.col("__rg_id"))).drop("__rg_id")
-        .repartitionByRange("__rg_shard", "__rg_slot").sortWithinPartitions("__rg_shard", "__rg_slot")
-        .drop("__rg_slot").write.partitionBy("__rg_shard").parquet(path)
+        docs.join(placed, docs[id_col].eqNullSafe(F.col(key))).drop(key)
+        .repartitionByRange(shard, slot).sortWithinPartitions(shard, slot)
+        .drop(slot).write.partitionBy(shard).parquet(path)
     )

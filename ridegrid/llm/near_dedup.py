@@ -44,7 +44,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridegrid.llm.common import ascii_lower, map_texts, stage
+from ridegrid.llm.common import ascii_lower, fresh, map_texts, stage
 
 K = 5
 TUPLE = 3
@@ -329,8 +329,8 @@ def _grouped(docs: DataFrame, text_col: str, id_col: str, small: int) -> DataFra
 
 def drop_near(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", small: int = SMALL) -> DataFrame:
     """One row of each near-duplicate group (the least id), all columns."""
-    rid = "__rg_rid"
+    rid = fresh(docs, "row_number")
     staged = stage(docs.withColumn(rid, F.monotonically_increasing_id()), "near-docs")
-    slim = staged.select(F.struct(F.col(id_col), F.col(rid)).alias("row"), F.col(text_col).alias("text"))
-    losers = _grouped(slim, "text", "row", small).where(~F.col("kept")).select(F.col(f"doc_id.{rid}").alias(rid))
+    slim = staged.select(F.struct(F.col(id_col).alias("id"), F.col(rid).alias("rid")).alias("row"), F.col(text_col).alias("text"))
+    losers = _grouped(slim, "text", "row", small).where(~F.col("kept")).select(F.col("doc_id.rid").alias(rid))
     return staged.join(losers, rid, "left_anti").drop(rid)
