@@ -11,21 +11,25 @@ when their word edit distance is at most ``1 - SIMILARITY`` of the longer one.
   ``TUPLE`` least of them, taken in text order, are one bucket key.  Collisions
   follow the edit similarity: they need the same k-mers in the same order.
 * *Verification* goes star by star: in each bucket all members are
-  aligned with one centre, the least id.  Linked members are then represented
-  by the centre, provided that no member left over can be close to one of
-  them: by the triangle inequality a text further from the centre than
-  the star's radius plus the limit has no link into the star.  Where this
-  cannot be ruled out, the star's members stay in the bucket.  Buckets with
-  members left over go on: large ones with another star, those of at
-  most ``SMALL`` members are finished in one group.  No pair of a bucket is skipped without
-  such a proof, and no pair list of a bucket is ever written.
+  aligned with one centre, the least id, and links are joined to groups.  A member that is
+  in another group than the centre has no link into the star if it is further from the
+  centre than the star's radius plus the limit (triangle inequality).  The few for which this
+  cannot be ruled out are compared with the centre's whole group, in blocks.  The members left over still have to be
+  compared with each other: buckets of at most ``SMALL`` of them are finished in
+  one group, all pairs, without writing a pair list.
+* *Longer keys* where a passage is common: texts that share little but a frequent passage
+  collide when all k-mers of a tuple fall into it, and such buckets grow with the corpus.
+  What is left of a bucket of more than ``SMALL`` goes under longer keys, its own
+  sketch and one of ``WAYS`` further ones, and starts again (a forest of growing
+  keys).  Near duplicates agree in many sketches, mostly outside the passage, and stay together.
 * The alignment is a bit-parallel edit distance inside a diagonal band;
   the band doubles until it holds the distance or exceeds the limit.
 * Links are joined to groups by label propagation with pointer jumping.
 
 Recall is that of the sketches: a pair whose shared part of k-mers is J
 collides in one of ``SKETCHES`` keys with probability 1-(1-J^TUPLE)^SKETCHES, 0.99 at
-J = 0.45.  Precision is exact: every link is verified on whole texts.
+J = 0.45; a share f of passages so common that their buckets are large takes
+f^TUPLE from J^TUPLE in it, before longer keys.  Precision is exact: every link is verified on whole texts.
 
 Defined results: null, empty and wordless texts are each a group of their own.
 The group's id is its least doc_id (null below all); of a group, the row with the
@@ -38,6 +42,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -51,6 +56,8 @@ TUPLE = 3
 SKETCHES = 48
 SIMILARITY = 0.8
 SMALL = 96
+WAYS = 8
+BLOCK = 256
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -113,6 +120,7 @@ def banded(a: list, b: list, band: int) -> int:
     mask, top = (1 << width) - 1, 1 << (width - 1)
     vp = ((1 << band) - 1) << (band + 1)  # rows 1..band of column 0
     vn, dist = 0, min(m, band)
+    most = 2 * band + n - m  # along the last row each column can take off one
     get = peq.get
     for j in range(1, n + 1):
         x = (get(b[j - 1], 0) >> (j - 1)) & mask
@@ -122,6 +130,8 @@ def banded(a: list, b: list, band: int) -> int:
         hn = vp & d0
         if j <= m - band:
             dist += not d0 & top
+            if dist > most:  # the columns that are left cannot bring it back
+                return band + 1
         else:
             at = m - j + band
             dist += (hp >> at & 1) - (hn >> at & 1)
@@ -202,12 +212,35 @@ def _map_pairs(joined: DataFrame, make) -> DataFrame:
     return joined.mapInArrow(run, "id long, centre long, linked boolean, dist int")
 
 
+class _Texts:
+    """Texts of one task, ready for bounding distances from below by their words' hash classes."""
+
+    def __init__(self, norms: list[str]):
+        self.words = [t.split(" ") for t in norms]
+        self.sizes = np.array([len(w) for w in self.words])
+        self.classes = np.stack([
+            np.bincount(np.fromiter((zlib.crc32(x.encode()) % 256 for x in w), np.int64, len(w)), minlength=256)
+            for w in self.words]).astype(np.int32)
+
+    def near(self, j: int, others: np.ndarray) -> list[tuple[int, int]]:
+        """(i, limit) of those ``others`` that may be close to text j, the likeliest first."""
+        limits = ((1 - SIMILARITY) * np.maximum(self.sizes[others], self.sizes[j]) + 1e-9).astype(int)
+        more = np.maximum(self.classes[others] - self.classes[j], 0).sum(1)
+        low = np.maximum(more, more + self.sizes[j] - self.sizes[others])
+        order = np.argsort(low, kind="stable")
+        order = order[low[order] <= limits[order]]
+        return list(zip(others[order].tolist(), limits[order].tolist(), strict=True))
+
+    def linked(self, i: int, j: int, limit: int) -> bool:
+        return align(self.words[i], self.words[j], limit)[0]
+
+
 def _finish(pdf: pd.DataFrame) -> pd.DataFrame:
     """All links of one small bucket; pairs already in one group are not aligned again."""
     pdf = pdf.sort_values("id")
-    ids, words = pdf["id"].tolist(), [t.split(" ") for t in pdf["norm"]]
-    bags = [Counter(w) for w in words]
-    group = list(range(len(ids)))
+    ids, texts = pdf["id"].tolist(), _Texts(pdf["norm"].tolist())
+    first: dict[int, int] = {}
+    group = [first.setdefault(label, i) for i, label in enumerate(pdf["label"].tolist())]
 
     def root(i: int) -> int:
         while group[i] != i:
@@ -217,60 +250,142 @@ def _finish(pdf: pd.DataFrame) -> pd.DataFrame:
 
     out = []
     for j in range(1, len(ids)):
-        for i in range(j):
-            longer = max(len(words[i]), len(words[j]))
-            limit = limit_of(longer)
-            if abs(len(words[i]) - len(words[j])) > limit or root(i) == root(j):
-                continue
-            if (bags[i] - bags[j]).total() > limit or (bags[j] - bags[i]).total() > limit:
-                continue
-            if align(words[i], words[j], limit)[0]:
+        for i, limit in texts.near(j, np.arange(j)):
+            if root(i) != root(j) and texts.linked(i, j, limit):
                 out.append((ids[j], ids[i]))
                 group[root(j)] = root(i)
     return pd.DataFrame(out, columns=["id", "centre"]).astype("int64")
 
 
-def links(texts: DataFrame, entries: DataFrame, small: int = SMALL) -> DataFrame:
+def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One link of each asking text (if any) into a block of a group's members."""
+    ids, texts, asks = pdf["id"].tolist(), _Texts(pdf["norm"].tolist()), pdf["asks"].to_numpy()
+    members = np.flatnonzero(~asks)
+    out = []
+    for j in np.flatnonzero(asks).tolist():
+        for i, limit in texts.near(j, members):
+            if texts.linked(i, j, limit):
+                out.append((ids[j], ids[i]))
+                break
+    return pd.DataFrame(out, columns=["id", "centre"]).astype("int64")
+
+
+def _against_groups(asking: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links of ``asking`` (part, id) into the parts of ``members`` (part, id): a query set against all members, in blocks."""
+    sizes = members.join(asking.select("part").distinct(), "part", "left_semi").groupBy("part").agg(
+        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("m_blocks"))
+    sizes = sizes.join(asking.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("a_blocks")), "part")
+    sizes = stage(sizes, "near-blocks")
+
+    def dealt(rows: DataFrame, own: str, other: str, asks: bool) -> DataFrame:
+        return rows.select("part", "id").join(sizes, "part").select(
+            "part", "id", F.lit(asks).alias("asks"), F.pmod(F.xxhash64("id"), F.col(f"{own}_blocks")).cast("int").alias(own),
+            F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)).alias(other)).select("part", "m", "a", "id", "asks")
+
+    rows = dealt(members, "m", "a", False).unionByName(dealt(asking, "a", "m", True))
+    return rows.join(texts, "id").groupBy("part", "m", "a").applyInPandas(_compare, "id long, centre long")
+
+
+def _not_asked(asking: DataFrame, labels: DataFrame, before: DataFrame | None,
+               asked: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """``asking`` (label, id) and the groups' members by part: a group's parts are the groups of the last level
+    and its new members.  Parts that were asked for an id at the last level are left out."""
+    if before is None:
+        parts = labels.select("id", "label", F.struct("label", F.lit(None).cast("long").alias("was")).alias("part"))
+        return asking.select(F.struct("label", F.lit(None).cast("long").alias("was")).alias("part"), "id"), parts
+    was = before.select("id", F.col("label").alias("was"))
+    parts = labels.join(was, "id", "left").select("id", "label", F.struct("label", "was").alias("part"))
+    wanted = asking.join(parts.select("label", "part").distinct(), "label")
+    seen = asked.select(F.col("label").alias("s"), F.col("id").alias("i"))
+    return wanted.join(seen, (F.col("part.was") == F.col("s")) & (F.col("id") == F.col("i")), "left_anti").select("part", "id"), parts
+
+
+def _star_round(entries: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Align all members of each bucket with its centre: (links, judged members); None if no bucket has two."""
+    sizes = entries.groupBy("bucket").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("members"))
+    sizes = stage(sizes.where(F.col("members") > 1), "near-stars")
+    if sizes.isEmpty():
+        return None
+    centre_n = entries.select("bucket", F.col("id").alias("centre"), F.col("n").alias("centre_n"))
+    stars = sizes.join(centre_n, ["bucket", "centre"])
+    members = stage(entries.join(stars, "bucket").where(F.col("id") != F.col("centre")), "near-members")
+    longer = F.greatest("n", "centre_n")
+    apart = F.abs(F.col("n") - F.col("centre_n"))
+    close = apart <= (1 - SIMILARITY) * longer + 1e-9
+    pairs = members.where(close).select("id", "centre").distinct()
+    checked = stage(_verify(pairs, texts), "near-checked")
+    judged = members.join(checked, ["id", "centre"], "left").select(
+        "bucket", "id", "centre", "n", "used", F.coalesce("linked", F.lit(False)).alias("linked"),
+        F.coalesce("dist", apart).alias("dist"), longer.alias("longer"))
+    return checked.where("linked").select("id", "centre"), judged
+
+
+def _outside(judged: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members that are in another group than their bucket's centre, with their own and the centre's label.
+
+    ``doubt``: the triangle inequality cannot rule out a link to a member of the
+    star: the distance to the centre is within the star's radius plus the limit
+    (which grows with the radius by at most a fifth of it).
+    """
+    own = labels.select("id", F.col("label").alias("l"))
+    its = labels.select(F.col("id").alias("centre"), F.col("label").alias("c"))
+    label, star = F.coalesce("l", "id"), F.coalesce("c", "centre")
+    radius = judged.groupBy("bucket").agg(F.max(F.when(F.col("linked"), F.col("dist"))).alias("radius"))
+    out = judged.join(own, "id", "left").join(its, "centre", "left").where(label != star).join(radius, "bucket")
+    reach = F.col("radius") + (1 - SIMILARITY) * (F.col("longer") + F.col("radius")) + 1
+    return out.select("bucket", "id", "n", "used", label.alias("label"), star.alias("star"),
+                      F.coalesce(F.col("dist") <= reach, F.lit(False)).alias("doubt"))
+
+
+def _refine(large: DataFrame, sketched: DataFrame, ways: int) -> DataFrame:
+    """Entries of large buckets under longer keys: the bucket's sketches and one more.
+
+    Each entry goes under ``ways`` further sketches of its own (the same ones for
+    all members of a bucket).  An entry without unused sketches stays as it is.
+    """
+    unused = F.array_except("keys", "used")
+    # An order of the hash functions that depends on the bucket only.
+    order = F.array_sort(F.transform(
+        F.sequence(F.lit(0), F.lit(SKETCHES - 1)), lambda i: F.struct(F.xxhash64("bucket", i).alias("h"), i.alias("i"))))
+    picked = F.slice(F.filter(F.transform(order, lambda x: F.get("keys", x["i"])), lambda k: F.array_contains("unused", k)), 1, ways)
+    rows = large.join(sketched.select("id", "keys"), "id").withColumn("unused", unused).select(
+        "bucket", "id", "n", "used", picked.alias("picked"))
+    longer = rows.select("id", "n", "used", F.explode("picked").alias("key")).select(
+        "id", "n", F.array_sort(F.array_append("used", F.col("key"))).alias("used"))
+    same = rows.where(F.size("picked") == 0).select("bucket", "id", "n", "used")
+    return longer.select(F.xxhash64("used").alias("bucket"), "id", "n", "used").unionByName(same).dropDuplicates(["bucket", "id"])
+
+
+def links(texts: DataFrame, sketched: DataFrame, entries: DataFrame, small: int = SMALL, ways: int = WAYS) -> DataFrame:
     """Verified links (id, centre) among the members of every bucket.
 
-    ``texts``: id, norm.  ``entries``: bucket, id, n (words); buckets with one member are allowed.
+    ``texts``: id, norm.  ``sketched``: id, keys.  ``entries``: bucket, id, n (words).
     """
-    found = None
-    first = True
-    while True:
-        sizes = entries.groupBy("bucket").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("members"))
-        sizes = stage(sizes.where(F.col("members") > 1), "near-stars")
-        largest = sizes.agg(F.max("members")).first()[0]
-        if largest is None:
-            return found if found is not None else _no_links(texts)
-        if not first and largest <= small:
+    found, rest = [], []
+    before = asked = None
+    entries = entries.withColumn("used", F.array("bucket"))
+    while (star := _star_round(entries, texts)) is not None:
+        found.append(star[0])
+        labels = components(reduce(DataFrame.union, found))
+        left = stage(_outside(star[1], labels), "near-outside")
+        doubt = stage(left.where("doubt").select(F.col("star").alias("label"), "id").distinct(), "near-doubt")
+        asking, parts = _not_asked(doubt, labels, before, asked)
+        if not asking.isEmpty():
+            found.append(stage(_against_groups(asking, parts, texts), "near-asked"))
+        before, asked = labels, doubt
+        sized = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
+        left = left.join(sized, "bucket")
+        rest.append(left.where(F.col("members") <= small).select("bucket", "id", "label"))
+        large = stage(left.where(F.col("members") > small).select("bucket", "id", "n", "used"), "near-large")
+        if large.isEmpty():
             break
-        first = False
-        centre_n = entries.select("bucket", F.col("id").alias("centre"), F.col("n").alias("centre_n"))
-        stars = sizes.join(centre_n, ["bucket", "centre"])
-        members = stage(entries.join(stars, "bucket").where(F.col("id") != F.col("centre")), "near-members")
-        longer = F.greatest("n", "centre_n")
-        apart = F.abs(F.col("n") - F.col("centre_n"))
-        close = apart <= (1 - SIMILARITY) * longer + 1e-9
-        pairs = members.where(close).select("id", "centre").distinct()
-        checked = stage(_verify(pairs, texts), "near-checked")
-        new = checked.where("linked").select("id", "centre")
-        found = new if found is None else found.union(new)
-        judged = members.join(checked, ["id", "centre"], "left").select(
-            "bucket", "id", "n", F.coalesce("linked", F.lit(False)).alias("linked"),
-            F.coalesce("dist", apart).alias("dist"), longer.alias("longer"))
-        # Nothing outside the star can be close to a member of it if every distance to the centre
-        # exceeds radius + limit; the limit grows with the radius by at most a fifth of it.
-        slack = F.min(F.when(~F.col("linked"), F.col("dist") - (1 - SIMILARITY) * F.col("longer")))
-        radius = F.max(F.when(F.col("linked"), F.col("dist")))
-        state = judged.groupBy("bucket").agg(slack.alias("slack"), radius.alias("radius"))
-        doubt = F.col("slack") <= (2 - SIMILARITY) * F.coalesce("radius", F.lit(0)) + 1
-        open_ = state.where(F.col("slack").isNotNull()).select("bucket", (doubt & F.col("radius").isNotNull()).alias("doubt"))
-        entries = stage(
-            judged.join(open_, "bucket").where(~F.col("linked") | F.col("doubt")).select("bucket", "id", "n"), "near-left")
-    rest = entries.join(sizes.select("bucket"), "bucket", "left_semi").join(texts, "id")
-    done = rest.groupBy("bucket").applyInPandas(_finish, "id long, centre long")  # at most ``small`` members each
-    return found.union(done)
+        entries = stage(_refine(large, sketched, ways), "near-refined")
+        ways = max(1, ways // 4)
+    if not found:
+        return _no_links(texts)
+    together = reduce(DataFrame.union, rest).join(texts, "id")
+    found.append(together.groupBy("bucket").applyInPandas(_finish, "id long, centre long"))  # at most ``small`` members each
+    return reduce(DataFrame.union, found)
 
 
 def _no_links(texts: DataFrame) -> DataFrame:
@@ -316,7 +431,7 @@ def _grouped(docs: DataFrame, text_col: str, id_col: str, small: int) -> DataFra
     entries = stage(entries.join(shared, "bucket"), "near-entries")
     involved = stage(
         texts.select("id", "norm").join(entries.select("id").distinct(), "id", "left_semi"), "near-involved")
-    labels = components(links(involved, entries, small))
+    labels = components(links(involved, sketched, entries, small))
     names = texts.select("digest", "id").join(labels, "id", "left").select(
         "digest", F.coalesce("label", "id").alias("label"))
     placed = stage(rows.join(names, "digest", "left").select(
