@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridegrid.session import configure, ensure_checkpoint_dir
+from ridegrid.session import configure, ensure_checkpoint_dir, remember
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -49,7 +49,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     Cuts the lineage, pins generated ids and survives lost executors.
     """
     base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
-    path = f"{base}/ridegrid-llm-{label}-{uuid.uuid4().hex}"
+    path = remember(f"{base}/ridegrid-llm-{label}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

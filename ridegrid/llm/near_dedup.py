@@ -20,7 +20,7 @@ when their word edit distance is at most ``1 - SIMILARITY`` of the longer one.
 * *Longer keys* where a passage is common: texts that share little but a frequent passage
   collide when all k-mers of a tuple fall into it, and such buckets grow with the corpus.
   What is left of a bucket of more than ``SMALL`` goes under longer keys, its own
-  sketch and one of ``WAYS`` further ones, and starts again (a forest of growing
+  sketch and ``WAYS`` pairs of further ones, and starts again (a forest of growing
   keys).  Near duplicates agree in many sketches, mostly outside the passage, and stay together.
 * The alignment is a bit-parallel edit distance inside a diagonal band;
   the band doubles until it holds the distance or exceeds the limit.
@@ -56,8 +56,8 @@ TUPLE = 3
 SKETCHES = 48
 SIMILARITY = 0.8
 SMALL = 96
-WAYS = 8
-BLOCK = 256
+WAYS = 12
+BLOCK = 96
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -141,6 +141,16 @@ def banded(a: list, b: list, band: int) -> int:
     return dist if dist <= band else band + 1
 
 
+def _trimmed(a: list, b: list) -> tuple[list, list]:
+    """Without the words that both begin or end with; the distance stays the same."""
+    start, end_a, end_b = 0, len(a), len(b)
+    while start < min(end_a, end_b) and a[start] == b[start]:
+        start += 1
+    while min(end_a, end_b) > start and a[end_a - 1] == b[end_b - 1]:
+        end_a, end_b = end_a - 1, end_b - 1
+    return a[start:end_a], b[start:end_b]
+
+
 def align(a: list, b: list, limit: int) -> tuple[bool, int]:
     """(within the limit, the distance; or a lower bound of it that exceeds the limit)."""
     low = abs(len(a) - len(b))
@@ -149,12 +159,7 @@ def align(a: list, b: list, limit: int) -> tuple[bool, int]:
         low = max((bag_a - bag_b).total(), (bag_b - bag_a).total())
     if low > limit:
         return False, low
-    start, end_a, end_b = 0, len(a), len(b)
-    while start < min(end_a, end_b) and a[start] == b[start]:
-        start += 1
-    while min(end_a, end_b) > start and a[end_a - 1] == b[end_b - 1]:
-        end_a, end_b = end_a - 1, end_b - 1
-    a, b = a[start:end_a], b[start:end_b]
+    a, b = _trimmed(a, b)
     band = max(8, low)
     while True:
         band = min(band, limit)
@@ -232,13 +237,19 @@ class _Texts:
         return list(zip(others[order].tolist(), limits[order].tolist(), strict=True))
 
     def linked(self, i: int, j: int, limit: int) -> bool:
-        return align(self.words[i], self.words[j], limit)[0]
+        a, b = _trimmed(self.words[i], self.words[j])
+        return banded(a, b, min(8, limit)) <= min(8, limit) or banded(a, b, limit) <= limit
 
 
 def _finish(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All links of one small bucket; pairs already in one group are not aligned again."""
+    """All links of one small bucket.
+
+    Pairs already in one group are not aligned again, and a pair that meets in several
+    buckets is aligned in the least of them only.
+    """
     pdf = pdf.sort_values("id")
-    ids, texts = pdf["id"].tolist(), _Texts(pdf["norm"].tolist())
+    bucket, ids, texts = pdf["bucket"].iloc[0], pdf["id"].tolist(), _Texts(pdf["norm"].tolist())
+    own = [set(x) for x in pdf["buckets"]]
     first: dict[int, int] = {}
     group = [first.setdefault(label, i) for i, label in enumerate(pdf["label"].tolist())]
 
@@ -251,7 +262,7 @@ def _finish(pdf: pd.DataFrame) -> pd.DataFrame:
     out = []
     for j in range(1, len(ids)):
         for i, limit in texts.near(j, np.arange(j)):
-            if root(i) != root(j) and texts.linked(i, j, limit):
+            if root(i) != root(j) and min(own[i] & own[j]) == bucket and texts.linked(i, j, limit):
                 out.append((ids[j], ids[i]))
                 group[root(j)] = root(i)
     return pd.DataFrame(out, columns=["id", "centre"]).astype("int64")
@@ -338,20 +349,22 @@ def _outside(judged: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _refine(large: DataFrame, sketched: DataFrame, ways: int) -> DataFrame:
-    """Entries of large buckets under longer keys: the bucket's sketches and one more.
+    """Entries of large buckets under longer keys: the bucket's sketches and two more.
 
-    Each entry goes under ``ways`` further sketches of its own (the same ones for
-    all members of a bucket).  An entry without unused sketches stays as it is.
+    Each entry goes under ``ways`` pairs of further sketches of its own (the same hash
+    functions for all members of a bucket).  An entry without unused sketches stays as it is.
     """
     unused = F.array_except("keys", "used")
     # An order of the hash functions that depends on the bucket only.
     order = F.array_sort(F.transform(
         F.sequence(F.lit(0), F.lit(SKETCHES - 1)), lambda i: F.struct(F.xxhash64("bucket", i).alias("h"), i.alias("i"))))
-    picked = F.slice(F.filter(F.transform(order, lambda x: F.get("keys", x["i"])), lambda k: F.array_contains("unused", k)), 1, ways)
-    rows = large.join(sketched.select("id", "keys"), "id").withColumn("unused", unused).select(
-        "bucket", "id", "n", "used", picked.alias("picked"))
-    longer = rows.select("id", "n", "used", F.explode("picked").alias("key")).select(
-        "id", "n", F.array_sort(F.array_append("used", F.col("key"))).alias("used"))
+    free = F.filter(F.transform(order, lambda x: F.get("keys", x["i"])), lambda k: F.array_contains("unused", k))
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(ways - 1)), lambda i: F.slice("free", i * 2 + 1, 2))
+    rows = large.join(sketched.select("id", "keys"), "id").withColumn("unused", unused)
+    rows = stage(rows.select("bucket", "id", "n", "used", free.alias("free")), "near-free").select(
+        "bucket", "id", "n", "used", F.filter(pairs, lambda p: F.size(p) > 0).alias("picked"))
+    longer = rows.select("id", "n", "used", F.explode("picked").alias("more")).select(
+        "id", "n", F.array_sort(F.concat("used", "more")).alias("used"))
     same = rows.where(F.size("picked") == 0).select("bucket", "id", "n", "used")
     return longer.select(F.xxhash64("used").alias("bucket"), "id", "n", "used").unionByName(same).dropDuplicates(["bucket", "id"])
 
@@ -361,18 +374,22 @@ def links(texts: DataFrame, sketched: DataFrame, entries: DataFrame, small: int
 
     ``texts``: id, norm.  ``sketched``: id, keys.  ``entries``: bucket, id, n (words).
     """
-    found, rest = [], []
-    before = asked = None
+    rest: list[DataFrame] = []
+    extra: list[DataFrame] = []
+    labels = asked = None
     entries = entries.withColumn("used", F.array("bucket"))
     while (star := _star_round(entries, texts)) is not None:
-        found.append(star[0])
-        labels = components(reduce(DataFrame.union, found))
+        before, new = labels, star[0]
+        if before is not None:  # the groups so far, as one link per member
+            new = new.union(before.select("id", F.col("label").alias("centre")))
+        labels = components(new)
         left = stage(_outside(star[1], labels), "near-outside")
         doubt = stage(left.where("doubt").select(F.col("star").alias("label"), "id").distinct(), "near-doubt")
         asking, parts = _not_asked(doubt, labels, before, asked)
+        asked = doubt
         if not asking.isEmpty():
-            found.append(stage(_against_groups(asking, parts, texts), "near-asked"))
-        before, asked = labels, doubt
+            answers = stage(_against_groups(asking, parts, texts), "near-asked")
+            extra.append(answers)
         sized = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
         left = left.join(sized, "bucket")
         rest.append(left.where(F.col("members") <= small).select("bucket", "id", "label"))
@@ -380,12 +397,18 @@ def links(texts: DataFrame, sketched: DataFrame, entries: DataFrame, small: int
         if large.isEmpty():
             break
         entries = stage(_refine(large, sketched, ways), "near-refined")
-        ways = max(1, ways // 4)
-    if not found:
+        ways = max(1, ways // 6)
+    if labels is None:
         return _no_links(texts)
-    together = reduce(DataFrame.union, rest).join(texts, "id")
-    found.append(together.groupBy("bucket").applyInPandas(_finish, "id long, centre long"))  # at most ``small`` members each
-    return reduce(DataFrame.union, found)
+    # Buckets whose members are all in one group are settled.
+    rows = stage(reduce(DataFrame.union, rest), "near-rest")
+    several = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(
+        F.col("low") != F.col("high")).select("bucket")
+    rows = rows.join(several, "bucket", "left_semi")
+    own = rows.groupBy("id").agg(F.collect_set("bucket").alias("buckets"))  # bounded by sketches and ways
+    together = rows.join(own, "id").join(texts, "id")
+    done = together.groupBy("bucket").applyInPandas(_finish, "id long, centre long")  # at most ``small`` members each
+    return reduce(DataFrame.union, [labels.select("id", F.col("label").alias("centre")), done, *extra])
 
 
 def _no_links(texts: DataFrame) -> DataFrame:
@@ -394,16 +417,22 @@ def _no_links(texts: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, label): the least id of each connected component, for all ids that have a link."""
-    both = stage(
-        edges.union(edges.select(F.col("centre").alias("id"), F.col("id").alias("centre"))).distinct(), "near-edges")
-    labels = stage(both.groupBy("id").agg(F.least(F.col("id"), F.min("centre")).alias("label")), "near-labels")
+    # First every id keeps the link to its least neighbour only and passes the others on to that
+    # neighbour: many links between a group's members become one per member.
+    ordered = edges.select(F.greatest("id", "centre").alias("id"), F.least("id", "centre").alias("to")).distinct()
+    ordered = stage(ordered.where(F.col("id") != F.col("to")), "near-links")
+    least = ordered.groupBy("id").agg(F.min("to").alias("least"))
+    passed = ordered.join(least, "id").where(F.col("to") != F.col("least")).select(F.col("to").alias("id"), F.col("least").alias("to"))
+    few = least.select("id", F.col("least").alias("to")).union(passed.distinct())
+    both = stage(few.union(few.select(F.col("to").alias("id"), F.col("id").alias("to"))).distinct(), "near-edges")
+    labels = stage(both.groupBy("id").agg(F.least(F.col("id"), F.min("to")).alias("label")), "near-labels")
     while True:
-        near = both.join(labels.select(F.col("id").alias("centre"), F.col("label").alias("other")), "centre")
+        near = both.join(labels.select(F.col("id").alias("to"), F.col("label").alias("other")), "to")
         low = near.groupBy("id").agg(F.min("other").alias("low"))
-        moved = labels.join(low, "id").select("id", "label", F.least("label", "low").alias("to"))
-        ahead = labels.select(F.col("id").alias("to"), F.col("label").alias("further"))
+        moved = labels.join(low, "id").select("id", "label", F.least("label", "low").alias("at"))
+        ahead = labels.select(F.col("id").alias("at"), F.col("label").alias("further"))
         step = stage(
-            moved.join(ahead, "to").select("id", F.least("to", "further").alias("label"), F.col("label").alias("was")),
+            moved.join(ahead, "at").select("id", F.least("at", "further").alias("label"), F.col("label").alias("was")),
             "near-labels")
         if step.where(F.col("label") != F.col("was")).isEmpty():
             return step.select("id", "label")
