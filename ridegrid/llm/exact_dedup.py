@@ -107,7 +107,8 @@ def exact_groups(
     )
     winner = rows.groupBy("key", "sha").agg(
         F.max(F.struct("doc_id", "rid")).alias("win"), F.count(F.lit(1)).alias("group_size"))
-    groups = index.join(winner, ["key", "sha"])
+    # Written first: a join of two plain scans is one that Spark can split where a text is hot.
+    groups = stage(index.join(winner, ["key", "sha"]), "dedup-groups")
     return rows.join(groups, ["key", "sha"]).select(
         "doc_id", F.col("win.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("win.rid")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"), "bucket", "chain_slot",
