@@ -39,7 +39,7 @@ def main() -> None:
     os.environ.setdefault("RIDEGRID_DRIVER_MEMORY", "16g")
 
     from ridegrid.plans.registry import queries
-    from ridegrid.session import get_session
+    from ridegrid.session import cleanup, get_session
 
     spark = get_session(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2)
     qs = queries()
@@ -56,6 +56,7 @@ def main() -> None:
         once()  # warm-up
         timings[key] = round(statistics.median(once() for _ in range(runs)), 3)
         rows[key] = fn(spark, sf_dir).count()
+        cleanup(spark)
     sf = os.path.basename(sf_dir).replace("sf", "")
     print(json.dumps({
         "metric": "headline_total_median_sec",

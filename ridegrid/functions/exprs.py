@@ -81,7 +81,7 @@ def money_text(amount: Column | str) -> Column:
 
 def non_blank(text: Column | str) -> Column:
     """Text present after trimming."""
-    return F.coalesce(F.trim(_c(text)) != F.lit(""), F.lit(False))
+    return F.coalesce(_c(text).rlike(r"\S"), F.lit(False))
 
 
 def assignment_vehicle_label(model: Column | str, registration: Column | str) -> Column:

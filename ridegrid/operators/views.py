@@ -13,7 +13,7 @@ Plan notes (checked with ``explain``):
 * dimension joins are plain equi-joins: AQE turns them into broadcast joins
   when the runtime size is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``
   and keeps sort-merge (with skew splitting) otherwise.  Only the three-row
-  plan table carries an explicit broadcast hint.
+  plan table is joined without an equality.
 """
 
 from __future__ import annotations
@@ -100,7 +100,7 @@ def user_profiles(users: DataFrame, plans: DataFrame, user_id: int | None = None
     u = users.select("UserID", "Name", "Email", "WalletBalance", "JoinDate", "Role", "PlanID")
     if user_id is not None:
         u = u.where(F.col("UserID") == user_id)
-    p = F.broadcast(plans.select(F.col("PlanID").alias("p_id"), "PlanName"))  # fixed 3-row table
+    p = plans.select(F.col("PlanID").alias("p_id"), "PlanName")
     return u.join(p, u.PlanID == p.p_id, "left").select(
         "UserID", "Name", "Email", "WalletBalance", "JoinDate", "Role", "PlanID", "PlanName",
         E.plan_discount("PlanName").alias("PlanDiscount"),
@@ -214,11 +214,11 @@ def deletable_technicians(technicians: DataFrame, assignments: DataFrame) -> Dat
 def affordable_plans(users: DataFrame, plans: DataFrame) -> DataFrame:
     """(user, plan) pairs where NOT(balance < cost); equality passes.
 
-    The plan table is fixed at three rows, so the broadcast side is bounded
-    and the join emits only the affordable pairs.
+    No hint: Spark broadcasts the plans while they are under its size threshold
+    (three rows in this model).  Only the affordable pairs come out.
     """
     u = users.select("UserID", "WalletBalance")
-    p = F.broadcast(plans.select("PlanID", "PlanName", F.col("Cost").alias("PlanCost")))
+    p = plans.select("PlanID", "PlanName", F.col("Cost").alias("PlanCost"))
     return u.join(p, ~(u.WalletBalance < p.PlanCost)).select("UserID", "WalletBalance", "PlanID", "PlanName",
                                                               "PlanCost")
 
@@ -229,9 +229,22 @@ def users_without_plan(users: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- aggregates
-def ride_counts(history: DataFrame) -> DataFrame:
-    """A3: rides per user (users with at least one ride)."""
-    return history.groupBy("UserID").agg(F.count(F.lit(1)).alias("TotalRides"))
+def ride_counts(trips: DataFrame, users: DataFrame, vehicles: DataFrame, stations: DataFrame) -> DataFrame:
+    """A3: rides per user (users with at least one ride), as many as the history (J3) lists.
+
+    Only keys are read: the history's three inner joins become semi joins and its
+    left join, which cannot change a count, goes.
+    """
+    def keys(df: DataFrame, col: str, name: str) -> DataFrame:
+        return df.select(F.col(col).alias(name))
+
+    return (
+        trips.select("UserID", "VehicleID", "StartStationID")
+        .join(keys(users, "UserID", "UserID"), "UserID", "left_semi")
+        .join(keys(vehicles, "VehicleID", "VehicleID"), "VehicleID", "left_semi")
+        .join(keys(stations, "StationID", "StartStationID"), "StartStationID", "left_semi")
+        .groupBy("UserID").agg(F.count(F.lit(1)).alias("TotalRides"))
+    )
 
 
 def _listed_vehicles(vehicles: DataFrame) -> DataFrame:
@@ -251,7 +264,7 @@ def fleet_counts(stations: DataFrame, vehicles: DataFrame) -> DataFrame:
                              fleet.select("AvailableVehicles").scalar().alias("AvailableVehicles"))
 
 
-def dashboard_kpis(stations: DataFrame, vehicles: DataFrame, history: DataFrame, users: DataFrame) -> DataFrame:
+def dashboard_kpis(stations: DataFrame, vehicles: DataFrame, trips: DataFrame, users: DataFrame) -> DataFrame:
     """A2: per user, the dashboard tiles; rides count is 0 for users without rides.
 
     The three global figures enter as scalar subqueries (computed once,
@@ -260,7 +273,7 @@ def dashboard_kpis(stations: DataFrame, vehicles: DataFrame, history: DataFrame,
     n_stations = stations.where(F.col("IsActive")).select(F.count(F.lit(1))).scalar()
     n_vehicles = _listed_vehicles(vehicles).select(F.count(F.lit(1))).scalar()
     n_available = _listed_vehicles(vehicles).select(F.count_if(F.col("Status") == "available")).scalar()
-    rides = ride_counts(history).withColumnRenamed("UserID", "r_user")
+    rides = ride_counts(trips, users, vehicles, stations).withColumnRenamed("UserID", "r_user")
     u = users.select("UserID")
     return u.join(rides, u.UserID == rides.r_user, "left").select(
         "UserID",

@@ -14,7 +14,7 @@ from ridegrid.operators import booking, commands as C, maintenance, purchases
 from ridegrid.plans.registry import register
 from ridegrid.sources.testdata import TestData
 
-FK = "Foreign key constraint fails: "
+FK = C.FK_REASON.format("")
 ADMIN = "coalesce(user_role, 'user') = 'admin'"
 
 
@@ -231,6 +231,25 @@ def cancel_trips_payments(td: TestData):
     return _cancel(td).tables["payments"].select("PaymentID", "Status")
 
 
+@register("cancel_trips_trips", """
+SELECT t.TripID, CASE WHEN ap.TripID IS NULL THEN t.Status ELSE 'Cancelled' END AS Status,
+       CASE WHEN ap.TripID IS NULL THEN t.EndTime ELSE ap.RequestTime END AS EndTime
+FROM trips t LEFT JOIN ap ON ap.TripID = t.TripID""", CANCEL_CTES)
+def cancel_trips_trips(td: TestData):
+    """M3 trips afterwards."""
+    return _cancel(td).tables["trips"].select("TripID", "Status", "EndTime")
+
+
+@register("cancel_trips_vehicles", """
+SELECT v.VehicleID, CASE WHEN l.tv IS NULL THEN v.Status ELSE 'available' END AS Status,
+       CASE WHEN l.tv IS NULL THEN v.CurrentStationID ELSE l.st END AS CurrentStationID
+FROM vehicles v LEFT JOIN (SELECT tv, arg_max(tss, RequestID) AS st FROM ap GROUP BY tv) l ON l.tv = v.VehicleID""",
+          CANCEL_CTES)
+def cancel_trips_vehicles(td: TestData):
+    """M3/J7 vehicles afterwards: back at the trip's start station."""
+    return _cancel(td).tables["vehicles"].select("VehicleID", "Status", "CurrentStationID")
+
+
 CANCEL_CH = """
 SELECT RequestID, 1 AS Step, 0 AS Sub, 'Trips' AS TableName, 'UPDATE' AS OperationType, TripID AS RecordID,
   'Trip updated from Status=' || ts || ' to Cancelled' AS msg, RequestTime AS ts, true AS fire FROM ap
@@ -297,6 +316,22 @@ def complete_maintenance_technicians(td: TestData):
     return _complete(td).tables["technicians"].select("TechnicianID", "ActiveAssignments")
 
 
+@register("complete_maintenance_logs", """
+SELECT m.LogID, CASE WHEN EXISTS (SELECT 1 FROM ap WHERE ap.LogID = m.LogID) THEN 'Completed' ELSE m.Status END AS Status
+FROM maintenance_logs m""", COMPLETE_CTES)
+def complete_maintenance_logs(td: TestData):
+    """M5 logs afterwards."""
+    return _complete(td).tables["maintenance_logs"].select("LogID", "Status")
+
+
+@register("complete_maintenance_vehicles", """
+SELECT v.VehicleID, CASE WHEN v.VehicleID IN (SELECT mv FROM ap) THEN 'available' ELSE v.Status END AS Status
+FROM vehicles v""", COMPLETE_CTES)
+def complete_maintenance_vehicles(td: TestData):
+    """M5/J8 vehicles afterwards."""
+    return _complete(td).tables["vehicles"].select("VehicleID", "Status")
+
+
 @register("audit_complete_maintenance", _audit_sql(""), COMPLETE_CTES + [("ch", """
 SELECT RequestID, 1 AS Step, 0 AS Sub, 'MaintenanceLogs' AS TableName, 'UPDATE' AS OperationType, LogID AS RecordID,
   'Maintenance log status changed from ' || ms || ' to Completed' AS msg, RequestTime AS ts, ms <> 'Completed' AS fire
@@ -357,6 +392,33 @@ def report_and_assign_technicians(td: TestData):
     return _report(td).tables["technicians"].select("TechnicianID", "ActiveAssignments")
 
 
+@register("report_and_assign_logs", """
+SELECT LogID, VehicleID, IssueReported, ReportedDate, Status FROM maintenance_logs
+UNION ALL
+SELECT LogID, VehicleID, IssueReported, CAST(RequestTime AS DATE),
+       CASE WHEN TechnicianID IS NULL THEN 'Pending' ELSE 'In-Progress' END FROM asg""", REPORT_CTES)
+def report_and_assign_logs(td: TestData):
+    """M4 maintenance logs afterwards."""
+    return _report(td).tables["maintenance_logs"]
+
+
+@register("report_and_assign_assignments", """
+SELECT AssignmentID, LogID, TechnicianID FROM technician_assignments
+UNION ALL SELECT AssignmentID, LogID, TechnicianID FROM asg WHERE TechnicianID IS NOT NULL""", REPORT_CTES)
+def report_and_assign_assignments(td: TestData):
+    """M4 assignments afterwards."""
+    return _report(td).tables["technician_assignments"]
+
+
+@register("report_and_assign_vehicles", """
+SELECT v.VehicleID, CASE WHEN v.Status = 'available' AND v.VehicleID IN (SELECT VehicleID FROM asg)
+                         THEN 'under-maintenance' ELSE v.Status END AS Status
+FROM vehicles v""", REPORT_CTES)
+def report_and_assign_vehicles(td: TestData):
+    """M4 vehicles afterwards."""
+    return _report(td).tables["vehicles"].select("VehicleID", "Status")
+
+
 @register("audit_report_and_assign", _audit_sql(""), REPORT_CTES + [("ch", """
 SELECT a.RequestID, 1 AS Step, 0 AS Sub, 'Vehicles' AS TableName, 'UPDATE' AS OperationType, a.VehicleID AS RecordID,
   'Vehicle status changed from available to under-maintenance' AS msg, a.RequestTime AS ts,
@@ -458,6 +520,48 @@ def book_rides(td: TestData):
     return _book(td).decisions
 
 
+BOOK_ACC = """,
+acc AS (SELECT q.*, row_number() OVER (ORDER BY q.RequestID) AS n FROM q JOIN walk w ON w.i = q.i
+        WHERE w.i > 0 AND w.Reason IS NULL)"""
+
+
+@register("book_rides_trips", BOOK_WALK + BOOK_ACC + """
+SELECT TripID, UserID, VehicleID, StartStationID, EndStationID, StartTime, EndTime, Cost, Status FROM trips
+UNION ALL
+SELECT CAST((SELECT max(TripID) FROM trips) + acc.n AS INT), acc.UserID, acc.VehicleID, b.StartStationID, NULL,
+       b.RequestTime, b.RequestTime + INTERVAL '1' HOUR * CAST(round(b.DurationHours) AS INT), acc.Cost, 'Ongoing'
+FROM acc JOIN booking_requests b ON b.RequestID = acc.RequestID""", BOOK_CTES)
+def book_rides_trips(td: TestData):
+    """M1 trips afterwards."""
+    return _book(td).tables["trips"]
+
+
+@register("book_rides_payments", BOOK_WALK + BOOK_ACC + """
+SELECT PaymentID, TripID, UserID, Amount, Timestamp, Status FROM payments
+UNION ALL
+SELECT CAST((SELECT max(PaymentID) FROM payments) + n AS INT), CAST((SELECT max(TripID) FROM trips) + n AS INT), UserID,
+       Cost, RequestTime, 'Success' FROM acc""", BOOK_CTES)
+def book_rides_payments(td: TestData):
+    """M1 payments afterwards."""
+    return _book(td).tables["payments"]
+
+
+@register("book_rides_vehicles", BOOK_WALK + BOOK_ACC + """
+SELECT v.VehicleID, CASE WHEN v.VehicleID IN (SELECT VehicleID FROM acc) THEN 'in-use' ELSE v.Status END AS Status
+FROM vehicles v""", BOOK_CTES)
+def book_rides_vehicles(td: TestData):
+    """M1 vehicles afterwards."""
+    return _book(td).tables["vehicles"].select("VehicleID", "Status")
+
+
+@register("book_rides_users", BOOK_WALK + BOOK_ACC + """
+SELECT u.UserID, CAST(u.WalletBalance - coalesce(s.spent, 0) AS DECIMAL(10,2)) AS WalletBalance
+FROM users u LEFT JOIN (SELECT UserID, sum(Cost) AS spent FROM acc GROUP BY UserID) s ON s.UserID = u.UserID""", BOOK_CTES)
+def book_rides_users(td: TestData):
+    """M1 wallets afterwards."""
+    return _book(td).tables["users"].select("UserID", "WalletBalance")
+
+
 @register("audit_book_rides", BOOK_WALK + """,
 acc AS (SELECT q.*, row_number() OVER (ORDER BY q.RequestID) AS n,
                q.bal0 - coalesce(sum(q.Cost) OVER (PARTITION BY q.UserID ORDER BY q.RequestID
@@ -601,6 +705,15 @@ def decommission_vehicles(td: TestData):
     return C.decommission_vehicles(td.decommission_requests(), td.vehicles()).decisions
 
 
+@register("decommission_vehicles_status", """
+SELECT v.VehicleID, CASE WHEN v.VehicleID IN (SELECT VehicleID FROM d WHERE Reason IS NULL) THEN 'decommissioned'
+                         ELSE v.Status END AS Status FROM vehicles v""", [("d", DECOM_D)])
+def decommission_vehicles_status(td: TestData):
+    """M14 vehicles afterwards."""
+    res = C.decommission_vehicles(td.decommission_requests(), td.vehicles())
+    return res.tables["vehicles"].select("VehicleID", "Status")
+
+
 @register("audit_decommission_vehicles", _audit_sql(""), [("d", DECOM_D), ("ch", """
 SELECT d.RequestID, 1 AS Step, 0 AS Sub, 'Vehicles' AS TableName, 'UPDATE' AS OperationType, d.VehicleID AS RecordID,
   'Vehicle status changed from ' || d.vs || ' to decommissioned' AS msg, d.RequestTime AS ts,
@@ -666,24 +779,48 @@ def update_technicians_rows(td: TestData):
     return res.tables["technicians"].select("TechnicianID", "Name", "Specialization", "IsAvailable")
 
 
-@register("delete_technicians", f"""
-SELECT r.RequestID, r.TechnicianID, Reason IS NULL AS Accepted, Reason FROM (
-  SELECT r.*, CASE WHEN NOT ({ADMIN}) THEN 'Admin access required'
+TECH_DEL = f"""
+SELECT r.*, CASE WHEN NOT ({ADMIN}) THEN 'Admin access required'
     WHEN t.TechnicianID IS NULL OR coalesce(f.first < r.RequestID, false) THEN 'Technician not found'
     WHEN t.ActiveAssignments > 0 THEN 'Cannot delete technician with active assignments'
     WHEN EXISTS (SELECT 1 FROM technician_assignments a WHERE a.TechnicianID = r.TechnicianID) THEN '{FK}TechnicianID'
     END AS Reason
-  FROM technician_delete_requests r LEFT JOIN technicians t ON t.TechnicianID = r.TechnicianID
-  LEFT JOIN (SELECT q.TechnicianID, min(q.RequestID) AS first FROM technician_delete_requests q
-             JOIN technicians t2 ON t2.TechnicianID = q.TechnicianID
-             WHERE coalesce(q.user_role, 'user') = 'admin' AND NOT coalesce(t2.ActiveAssignments > 0, false)
-               AND NOT EXISTS (SELECT 1 FROM technician_assignments a WHERE a.TechnicianID = q.TechnicianID)
-             GROUP BY q.TechnicianID) f ON f.TechnicianID = r.TechnicianID) r""")
+FROM technician_delete_requests r LEFT JOIN technicians t ON t.TechnicianID = r.TechnicianID
+LEFT JOIN (SELECT q.TechnicianID, min(q.RequestID) AS first FROM technician_delete_requests q
+           JOIN technicians t2 ON t2.TechnicianID = q.TechnicianID
+           WHERE coalesce(q.user_role, 'user') = 'admin' AND NOT coalesce(t2.ActiveAssignments > 0, false)
+             AND NOT EXISTS (SELECT 1 FROM technician_assignments a WHERE a.TechnicianID = q.TechnicianID)
+           GROUP BY q.TechnicianID) f ON f.TechnicianID = r.TechnicianID"""
+
+
+@register("delete_technicians", "SELECT RequestID, TechnicianID, Reason IS NULL AS Accepted, Reason FROM d",
+          [("d", TECH_DEL)])
 def delete_technicians(td: TestData):
     """M17 decisions."""
     return C.delete_technicians(td.technician_delete_requests(), td.technicians(), td.technician_assignments()).decisions
 
 
+@register("delete_technicians_rows", """
+SELECT * FROM technicians WHERE TechnicianID NOT IN (SELECT TechnicianID FROM d WHERE Reason IS NULL)""", [("d", TECH_DEL)])
+def delete_technicians_rows(td: TestData):
+    """M17 technicians afterwards."""
+    res = C.delete_technicians(td.technician_delete_requests(), td.technicians(), td.technician_assignments())
+    return res.tables["technicians"]
+
+
+# =============================================================================== T3
+@register("audit_trip_deletes", """
+SELECT CAST((SELECT max(LogID) FROM logs) + row_number() OVER (ORDER BY TripID) AS INT) AS LogID, 'Trips' AS TableName,
+       'DELETE' AS OperationType, TripID AS RecordID, CAST(NULL AS INT) AS ChangedBy,
+       'Trip record deleted' AS ChangeDescription, TIMESTAMP '2025-01-01 00:00:00' AS ChangeTimestamp
+FROM trips WHERE Status = 'Cancelled'""")
+def audit_trip_deletes(td: TestData):
+    """Audit rows of a purge of cancelled trips, from the two snapshots."""
+    kept = td.trips().where(F.col("Status") != "Cancelled")
+    at = F.lit("2025-01-01 00:00:00").cast("timestamp_ntz")
+    return A.audit(A.snapshot_audit("Trips", td.trips(), kept, "TripID", at), td.logs())
+
+
 # =============================================================================== M18 onboarding
 ONBOARD_CTES = [
     ("o0", """
@@ -710,3 +847,14 @@ FROM o LEFT JOIN d ON d.RequestID = o.RequestID LEFT JOIN acc ON acc.RequestID =
 def onboard_users(td: TestData):
     """Register -> top up -> buy plan, with the page's own checks first."""
     return C.onboard_users(td.onboard_requests(), td.users(), td.membership_plans()).decisions
+
+
+@register("onboard_users_rows", """
+SELECT UserID, Email, WalletBalance, PlanID FROM users
+UNION ALL
+SELECT CAST((SELECT max(UserID) FROM users) + n AS INT), email, CAST(top_value - Cost AS DECIMAL(10,2)), PlanID FROM acc""",
+          ONBOARD_CTES)
+def onboard_users_rows(td: TestData):
+    """M18 users afterwards."""
+    res = C.onboard_users(td.onboard_requests(), td.users(), td.membership_plans())
+    return res.tables["users"].select("UserID", "Email", "WalletBalance", "PlanID")

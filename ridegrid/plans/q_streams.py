@@ -6,9 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridegrid.operators import booking, purchases
 from ridegrid.operators import commands as C
 from ridegrid.plans import q_commands as QC
-from ridegrid.plans.registry import register
+from ridegrid.plans.registry import register, register_raw
 from ridegrid.sources.testdata import TestData
 from ridegrid.streaming import streams as S
 
@@ -32,6 +33,48 @@ def stream_topups_balances(td: TestData):
     return S.stream_topups(td.spark, td.topup_requests(), td.users()).select("UserID", "WalletBalance")
 
 
+def _oracle(key: str) -> str:
+    """The batch key's oracle: a stream of commands must leave the same tables."""
+    from ridegrid.plans.registry import ORACLES
+    return ORACLES[key]
+
+
+def _streamed(td: TestData, feed: DataFrame, names: tuple[str, ...], apply) -> dict[str, DataFrame]:
+    return S.stream_commands(td.spark, S.in_arrivals(feed), {n: td.table(n) for n in names}, apply)
+
+
+@register_raw("stream_book_rides_users", _oracle("book_rides_users"))
+def stream_book_rides_users(td: TestData):
+    """S2 with M1: wallets after bookings that arrive in two parts."""
+    out = _streamed(td, td.booking_requests(), ("users", "vehicles", "trips", "payments"), lambda batch, now: booking.book_rides(
+        batch, now["users"], now["vehicles"], td.stations(), td.membership_plans(), now["trips"], now["payments"]).tables)
+    return out["users"].select("UserID", "WalletBalance")
+
+
+@register_raw("stream_end_rides_vehicles", _oracle("end_rides_vehicles"))
+def stream_end_rides_vehicles(td: TestData):
+    """S2 with M2: vehicles after rides that end in two parts."""
+    out = _streamed(td, td.end_requests(), ("trips", "vehicles"), lambda batch, now: C.end_rides(
+        batch, now["trips"], now["vehicles"], td.stations()).tables)
+    return out["vehicles"].select("VehicleID", "Status", "CurrentStationID")
+
+
+@register_raw("stream_cancel_trips_balances", _oracle("cancel_trips_balances"))
+def stream_cancel_trips_balances(td: TestData):
+    """S2 with M3: wallets after cancellations that arrive in two parts."""
+    out = _streamed(td, td.cancel_requests(), ("trips", "vehicles", "users", "payments"), lambda batch, now: C.cancel_trips(
+        batch, now["trips"], now["vehicles"], now["users"], now["payments"]).tables)
+    return out["users"].select("UserID", "WalletBalance")
+
+
+@register_raw("stream_purchases_users", _oracle("purchase_memberships_users"))
+def stream_purchases_users(td: TestData):
+    """S2 with M8: wallets and plans after purchases that arrive in two parts."""
+    out = _streamed(td, td.purchase_requests(), ("users",), lambda batch, now: purchases.purchase_memberships(
+        batch, now["users"], td.membership_plans()).tables)
+    return out["users"].select("UserID", "WalletBalance", "PlanID")
+
+
 def decided_vehicle_events(td: TestData) -> DataFrame:
     """Accepted / applied requests of every vehicle-changing command as events."""
     ev = "VehicleID", "RequestID", "RequestTime", "Kind", "StationID"

@@ -39,6 +39,17 @@ def register(key: str, sql: str | None = None, ctes: list[tuple[str, str]] | Non
     return deco
 
 
+def register_raw(key: str, oracle: str):
+    """``register`` for an oracle that is complete already (another key's)."""
+
+    def deco(fn: Callable[[TestData], DataFrame]):
+        register(key)(fn)
+        ORACLES[key] = oracle
+        return fn
+
+    return deco
+
+
 def _load_all() -> None:
     # Importing the modules fills the registry.
     from ridegrid.plans import (  # noqa: F401

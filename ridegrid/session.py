@@ -63,9 +63,32 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/ridegrid-{label}-{uuid.uuid4().hex}"
+    path = remember(f"{base}/ridegrid-{label}-{uuid.uuid4().hex}")
     df.write.mode("error").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_folders: list[str] = []
+
+
+def remember(path: str) -> str:
+    """Note a folder of intermediate data for ``cleanup``."""
+    _folders.append(path)
+    return path
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Delete the intermediate folders written so far; returns how many.
+
+    Results are lazy and read those folders, so only the caller knows when they are
+    no longer needed: call this after the last result was written or collected.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    done = 0
+    while _folders:
+        path = jvm.org.apache.hadoop.fs.Path(_folders.pop())
+        done += bool(path.getFileSystem(conf).delete(path, True))
+    return done
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:

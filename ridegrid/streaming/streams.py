@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ridegrid.operators import audit as A
 from ridegrid.operators import commands as C
-from ridegrid.session import ensure_checkpoint_dir
+from ridegrid.session import ensure_checkpoint_dir, remember
 from ridegrid.sources.sinks import drop_snapshots, newest_version, read_snapshot, write_snapshot
 
 HORIZON = "30 days"  # how long after a request (in event time) its redelivery is recognised
@@ -39,7 +39,7 @@ FILES_PER_BATCH = 4
 
 
 def _folder(spark: SparkSession, label: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/ridegrid-{label}-{uuid.uuid4().hex}"
+    return remember(f"{ensure_checkpoint_dir(spark).rstrip('/')}/ridegrid-{label}-{uuid.uuid4().hex}")
 
 
 def stage_files(df: DataFrame, label: str) -> str:
@@ -76,24 +76,23 @@ def stream_audit(spark: SparkSession, changes: DataFrame, files_per_batch: int =
 
 
 # ----------------------------------------------------------------------------- S2
-def stream_commands(spark: SparkSession, requests: DataFrame, tables: dict[str, DataFrame],
+def stream_commands(spark: SparkSession, arrivals: list[DataFrame], tables: dict[str, DataFrame],
                     apply: Callable[[DataFrame, dict[str, DataFrame]], dict[str, DataFrame]],
-                    workdir: str | None = None, files_per_batch: int | None = FILES_PER_BATCH,
+                    workdir: str | None = None, files_per_batch: int | None = None,
                     horizon: str = HORIZON) -> dict[str, DataFrame]:
     """Apply a command operator to a stream of requests; returns the last snapshots of ``tables``.
 
-    ``apply(batch, tables)`` returns the tables that the batch changed.  Inside
-    a batch requests are applied in RequestID order, and batches in order of
-    arrival; ``files_per_batch=None`` takes all files at hand as one batch.
-    With ``workdir`` the source, state and checkpoint folders are fixed, so a
-    second call resumes from the checkpoint (and, with no new files, changes
+    Each element of ``arrivals`` is added to the source folder and worked off before
+    the next one comes.  ``apply(batch, tables)`` returns the tables that it changed.
+    Inside a micro-batch requests are applied in RequestID order, and batches in
+    order of arrival; a batch holds all files at hand, or ``files_per_batch`` where the order of
+    files does not matter.  With ``workdir`` the source, state and checkpoint folders are fixed, so a
+    second call resumes from the checkpoint (and, with no new arrivals, changes
     nothing); without it every call starts fresh.
     """
     work = workdir or _folder(spark, "commands")
     src, ckpt = f"{work}/source", f"{work}/checkpoint"
     state = {name: f"{work}/state/{name}" for name in tables}
-    if not _exists(spark, src):
-        requests.write.parquet(src)
     for name, df in tables.items():
         if not _exists(spark, state[name]):
             write_snapshot(df, state[name], -1)
@@ -102,25 +101,50 @@ def stream_commands(spark: SparkSession, requests: DataFrame, tables: dict[str,
         base = {name: newest_version(spark.read, path, batch_id) for name, path in state.items()}
         now = {name: read_snapshot(spark.read, path, base[name]) for name, path in state.items()}
         for name, df in apply(batch, now).items():
-            write_snapshot(df, state[name], batch_id)
-            drop_snapshots(spark, state[name], base[name])  # a replay of this batch needs ``base``
-
-    stream = spark.readStream.schema(spark.read.parquet(src).schema)
-    if files_per_batch is not None:
-        stream = stream.option("maxFilesPerTrigger", files_per_batch)
-    once = (stream.parquet(src)
-            .withColumn("__event_time", F.col("RequestTime").cast("timestamp"))  # watermarks need TIMESTAMP
-            .withWatermark("__event_time", horizon).dropDuplicatesWithinWatermark(["RequestID"])
-            .drop("__event_time"))
-    _run(once.writeStream.foreachBatch(step).option("checkpointLocation", ckpt))
+            if name in state:
+                write_snapshot(df, state[name], batch_id)
+        for name, path in state.items():
+            drop_snapshots(spark, path, base[name])  # a replay of this batch needs ``base``
+
+    def work_off() -> None:
+        stream = spark.readStream.schema(spark.read.parquet(src).schema)
+        if files_per_batch is not None:
+            stream = stream.option("maxFilesPerTrigger", files_per_batch)
+        once = (stream.parquet(src)
+                .withColumn("__event_time", F.col("RequestTime").cast("timestamp"))  # watermarks need TIMESTAMP
+                .withWatermark("__event_time", horizon).dropDuplicatesWithinWatermark(["RequestID"])
+                .drop("__event_time"))
+        _run(once.writeStream.foreachBatch(step).option("checkpointLocation", ckpt))
+
+    for arrival in arrivals:
+        arrival.write.mode("append").parquet(src)
+        work_off()
+    if not arrivals and _exists(spark, src):
+        work_off()
     return {name: read_snapshot(spark.read, path) for name, path in state.items()}
 
 
-def stream_topups(spark: SparkSession, requests: DataFrame, users: DataFrame, workdir: str | None = None) -> DataFrame:
+def in_arrivals(requests: DataFrame, parts: int = 2) -> list[DataFrame]:
+    """Consecutive ranges of RequestID, as they would arrive one after the other."""
+    cuts = requests.select(F.percentile_approx("RequestID", [i / parts for i in range(1, parts)])).first()[0] or []
+    edges = [None, *cuts, None]
+    out = []
+    for low, high in zip(edges, edges[1:], strict=False):
+        part = requests
+        if low is not None:
+            part = part.where(F.col("RequestID") > low)
+        if high is not None:
+            part = part.where(F.col("RequestID") <= high)
+        out.append(part)
+    return out
+
+
+def stream_topups(spark: SparkSession, requests: DataFrame, users: DataFrame, workdir: str | None = None,
+                  arrivals: list[DataFrame] | None = None) -> DataFrame:
     """M7 as a stream: the last users snapshot.  Top-ups commute, so files may arrive in any order."""
-    return stream_commands(spark, requests, {"users": users},
-                           lambda batch, now: {"users": C.wallet_topups(batch, now["users"]).tables["users"]},
-                           workdir)["users"]
+    return stream_commands(spark, [requests] if arrivals is None else arrivals, {"users": users},
+                           lambda batch, now: C.wallet_topups(batch, now["users"]).tables,
+                           workdir, FILES_PER_BATCH)["users"]
 
 
 # ----------------------------------------------------------------------------- S3

@@ -84,3 +84,138 @@ def replay_assignments(reports_accepted_in_order, technicians):
         load[tid] += 1
         out.append(tid)
     return out
+
+
+MAX_MONEY = Decimal("99999999.99")
+OUT_OF_RANGE = "Out of range value for a money column"
+
+
+def replay_topups(requests, users):
+    bal = {u["UserID"]: u["WalletBalance"] for u in users}
+    out = {}
+    for r in sorted(requests, key=lambda r: r["RequestID"]):
+        text = r["amount"]
+        try:
+            amount = None if text is None else money(Decimal(text.strip()))
+        except ArithmeticError:
+            amount = None
+        if text is None:
+            out[r["RequestID"]] = "Missing 'amount' field"
+        elif amount is None:
+            out[r["RequestID"]] = "Invalid amount"
+        elif amount <= 0:
+            out[r["RequestID"]] = "Amount must be positive"
+        elif r["UserID"] not in bal:
+            out[r["RequestID"]] = "User not found"
+        elif bal[r["UserID"]] is not None and bal[r["UserID"]] + amount > MAX_MONEY:
+            out[r["RequestID"]] = OUT_OF_RANGE
+        else:
+            out[r["RequestID"]] = None
+            if bal[r["UserID"]] is not None:
+                bal[r["UserID"]] += amount
+    return out, bal
+
+
+def replay_ends(requests, trips, vehicles, stations):
+    trip = {t["TripID"]: dict(t) for t in trips}
+    veh = {v["VehicleID"]: dict(v) for v in vehicles}
+    known = {s["StationID"] for s in stations}
+    out = {}
+    for r in sorted(requests, key=lambda r: r["RequestID"]):
+        t = trip.get(r["TripID"])
+        if t is not None and r["EndStationID"] is not None and r["EndStationID"] not in known:
+            out[r["RequestID"]] = FK + "EndStationID"
+            continue
+        out[r["RequestID"]] = None
+        if t is not None:
+            t.update(Status="Completed", EndTime=r["RequestTime"], EndStationID=r["EndStationID"])
+            veh[t["VehicleID"]].update(Status="available", CurrentStationID=r["EndStationID"])
+    return out, trip, veh
+
+
+def replay_cancels(requests, trips, vehicles, users, payments):
+    trip = {t["TripID"]: dict(t) for t in trips}
+    veh = {v["VehicleID"]: dict(v) for v in vehicles}
+    bal = {u["UserID"]: u["WalletBalance"] for u in users}
+    pay = {p["PaymentID"]: dict(p) for p in payments}
+    out = {}
+    for r in sorted(requests, key=lambda r: r["RequestID"]):
+        t = trip.get(r["TripID"])
+        if t is None:
+            out[r["RequestID"]] = None
+        elif t["Status"] != "Ongoing":
+            out[r["RequestID"]] = "Only ongoing trips can be cancelled"
+        elif bal[t["UserID"]] is not None and bal[t["UserID"]] + t["Cost"] > MAX_MONEY:
+            out[r["RequestID"]] = OUT_OF_RANGE
+        else:
+            out[r["RequestID"]] = None
+            t.update(Status="Cancelled", EndTime=r["RequestTime"])
+            veh[t["VehicleID"]].update(Status="available", CurrentStationID=t["StartStationID"])
+            if bal[t["UserID"]] is not None:
+                bal[t["UserID"]] += t["Cost"]
+            for p in pay.values():
+                if p["TripID"] == t["TripID"] and p["UserID"] == t["UserID"]:
+                    p["Status"] = "Refunded"
+    return out, trip, veh, bal, pay
+
+
+def replay_completions(requests, assignments, logs, technicians, vehicles):
+    log = {m["LogID"]: dict(m) for m in logs}
+    load = {t["TechnicianID"]: t["ActiveAssignments"] for t in technicians}
+    status = {v["VehicleID"]: v["Status"] for v in vehicles}
+    out = {}
+    for r in sorted(requests, key=lambda r: r["RequestID"]):
+        mine = sorted((a["AssignmentID"], a["TechnicianID"]) for a in assignments if a["LogID"] == r["LogID"])
+        if (r["user_role"] or "user") != "admin":
+            out[r["RequestID"]] = "Admin access required"
+        elif not mine or r["LogID"] not in log:
+            out[r["RequestID"]] = "Assignment not found"
+        elif log[r["LogID"]]["Status"] == "Completed":
+            out[r["RequestID"]] = "Maintenance log already completed"
+        else:
+            out[r["RequestID"]] = None
+            log[r["LogID"]]["Status"] = "Completed"
+            load[mine[0][1]] = max(0, load[mine[0][1]] - 1)
+            status[log[r["LogID"]]["VehicleID"]] = "available"
+    return out, {k: m["Status"] for k, m in log.items()}, load, status
+
+
+def replay_registrations(requests, users):
+    known = {u["Email"].lower() for u in users}
+    out = {}
+    for r in sorted(requests, key=lambda r: r["RequestID"]):
+        if r["password"] is None:
+            out[r["RequestID"]] = "'NoneType' object has no attribute 'encode'"
+        elif r["name"] is None or r["email"] is None or r["email"].lower() in known:
+            out[r["RequestID"]] = "Email already registered"
+        else:
+            out[r["RequestID"]] = None
+            known.add(r["email"].lower())
+    return out
+
+
+def replay_reviews(requests, trips, reviews):
+    trip = {t["TripID"]: t for t in trips}
+    done = {(v["UserID"], v["TripID"]) for v in reviews}
+    out, comments = {}, {}
+    for r in sorted(requests, key=lambda r: r["RequestID"]):
+        try:
+            rating = int(r["rating"])
+        except (TypeError, ValueError):
+            rating = None
+        t = trip.get(r["TripID"])
+        if rating is None:
+            out[r["RequestID"]] = "Invalid or missing 'rating'"
+        elif not 1 <= rating <= 5:
+            out[r["RequestID"]] = "Rating must be between 1 and 5"
+        elif t is None:
+            out[r["RequestID"]] = "Trip not found"
+        elif t["Status"] != "Completed":
+            out[r["RequestID"]] = "Can only review completed trips"
+        elif (t["UserID"], r["TripID"]) in done:
+            out[r["RequestID"]] = "A review for this trip already exists"
+        else:
+            out[r["RequestID"]] = None
+            done.add((t["UserID"], r["TripID"]))
+            comments[r["RequestID"]] = r["comment"] or ""
+    return out, comments

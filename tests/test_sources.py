@@ -77,3 +77,13 @@ def test_snapshot_versions_are_idempotent(spark):
     assert newest_version(spark.read, path) == 1 and newest_version(spark.read, path, 1) == 0
     drop_snapshots(spark, path, 1)
     assert spark.read.parquet(path).select("_version").distinct().count() == 1
+
+
+def test_cleanup_removes_intermediate_folders(spark):
+    from ridegrid.session import cleanup, materialize
+
+    df = materialize(spark.range(3), "test")
+    path = df.inputFiles()[0]
+    assert df.count() == 3 and cleanup(spark) >= 1
+    import os
+    assert not os.path.exists(path.removeprefix("file:").replace("//", "/"))
