@@ -359,9 +359,12 @@ def _refine(large: DataFrame, sketched: DataFrame, ways: int) -> DataFrame:
     order = F.array_sort(F.transform(
         F.sequence(F.lit(0), F.lit(SKETCHES - 1)), lambda i: F.struct(F.xxhash64("bucket", i).alias("h"), i.alias("i"))))
     free = F.filter(F.transform(order, lambda x: F.get("keys", x["i"])), lambda k: F.array_contains("unused", k))
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(ways - 1)), lambda i: F.slice("free", i * 2 + 1, 2))
-    rows = large.join(sketched.select("id", "keys"), "id").withColumn("unused", unused)
-    rows = stage(rows.select("bucket", "id", "n", "used", free.alias("free")), "near-free").select(
+
+    def cut(keys: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(ways - 1)), lambda i: F.slice(keys, i * 2 + 1, 2))
+
+    pairs = F.get(F.transform(F.array(free), cut), F.lit(0))  # a lambda's argument is computed once
+    rows = large.join(sketched.select("id", "keys"), "id").withColumn("unused", unused).select(
         "bucket", "id", "n", "used", F.filter(pairs, lambda p: F.size(p) > 0).alias("picked"))
     longer = rows.select("id", "n", "used", F.explode("picked").alias("more")).select(
         "id", "n", F.array_sort(F.concat("used", "more")).alias("used"))
@@ -384,9 +387,9 @@ def links(texts: DataFrame, sketched: DataFrame, entries: DataFrame, small: int
             new = new.union(before.select("id", F.col("label").alias("centre")))
         labels = components(new)
         left = stage(_outside(star[1], labels), "near-outside")
-        doubt = stage(left.where("doubt").select(F.col("star").alias("label"), "id").distinct(), "near-doubt")
+        doubt = left.where("doubt").select(F.col("star").alias("label"), "id").distinct()
         asking, parts = _not_asked(doubt, labels, before, asked)
-        asked = doubt
+        asking, asked = stage(asking, "near-asking"), doubt
         if not asking.isEmpty():
             answers = stage(_against_groups(asking, parts, texts), "near-asked")
             extra.append(answers)
@@ -417,13 +420,11 @@ def _no_links(texts: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, label): the least id of each connected component, for all ids that have a link."""
-    # First every id keeps the link to its least neighbour only and passes the others on to that
-    # neighbour: many links between a group's members become one per member.
-    ordered = edges.select(F.greatest("id", "centre").alias("id"), F.least("id", "centre").alias("to")).distinct()
-    ordered = stage(ordered.where(F.col("id") != F.col("to")), "near-links")
-    least = ordered.groupBy("id").agg(F.min("to").alias("least"))
-    passed = ordered.join(least, "id").where(F.col("to") != F.col("least")).select(F.col("to").alias("id"), F.col("least").alias("to"))
-    few = least.select("id", F.col("least").alias("to")).union(passed.distinct())
+    # First every id links itself and its centres to the least of them: many links between a
+    # group's members become one per member.  An id has at most one centre per bucket or group asked.
+    seen = edges.groupBy("id").agg(F.collect_set("centre").alias("centres"))
+    least = F.least(F.col("id"), F.array_min("centres"))
+    few = seen.select(F.explode(F.array_union("centres", F.array("id"))).alias("id"), least.alias("to")).where(F.col("id") != F.col("to"))
     both = stage(few.union(few.select(F.col("to").alias("id"), F.col("id").alias("to"))).distinct(), "near-edges")
     labels = stage(both.groupBy("id").agg(F.least(F.col("id"), F.min("to")).alias("label")), "near-labels")
     while True:
