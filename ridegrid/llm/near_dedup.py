@@ -185,8 +185,8 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Align (id, centre) pairs: adds linked and dist (a lower bound where not linked)."""
     one = texts.select(F.col("id"), F.col("norm").alias("a"))
     two = texts.select(F.col("id").alias("centre"), F.col("norm").alias("b"))
-    # The centres' texts come last: AQE splits a hot centre's pairs over many tasks.
-    joined = pairs.join(one, "id").join(two, "centre").select("id", "centre", F.array("a", "b").alias("text"))
+    # The members' texts come last: dealt by member, a hot centre's pairs are aligned in many tasks.
+    joined = pairs.join(two, "centre").join(one, "id").select("id", "centre", F.array("a", "b").alias("text"))
 
     def make():
         def run(both: list) -> dict[str, list]:
@@ -351,9 +351,12 @@ def _outside(judged: DataFrame, labels: DataFrame) -> DataFrame:
 def _refine(large: DataFrame, sketched: DataFrame, ways: int) -> DataFrame:
     """Entries of large buckets under longer keys: the bucket's sketches and two more.
 
-    Each entry goes under ``ways`` pairs of further sketches of its own (the same hash
-    functions for all members of a bucket).  An entry without unused sketches stays as it is.
+    Each entry goes under up to ``ways`` pairs of further sketches of its own (the same hash
+    functions, in the same order, for all members of a bucket).  A text in many large buckets
+    takes fewer in each, so that it has about as many keys as at first and the index stays
+    linear.  An entry without unused sketches stays as it is.
     """
+    spread = large.groupBy("id").agg(F.ceil(F.lit(SKETCHES) / F.count(F.lit(1))).cast("int").alias("share"))
     unused = F.array_except("keys", "used")
     # An order of the hash functions that depends on the bucket only.
     order = F.array_sort(F.transform(
@@ -361,10 +364,11 @@ def _refine(large: DataFrame, sketched: DataFrame, ways: int) -> DataFrame:
     free = F.filter(F.transform(order, lambda x: F.get("keys", x["i"])), lambda k: F.array_contains("unused", k))
 
     def cut(keys: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(ways - 1)), lambda i: F.slice(keys, i * 2 + 1, 2))
+        own = F.least(F.lit(ways), F.col("share"))
+        return F.transform(F.sequence(F.lit(0), own - 1), lambda i: F.slice(keys, i * 2 + 1, 2))
 
     pairs = F.get(F.transform(F.array(free), cut), F.lit(0))  # a lambda's argument is computed once
-    rows = large.join(sketched.select("id", "keys"), "id").withColumn("unused", unused).select(
+    rows = large.join(spread, "id").join(sketched.select("id", "keys"), "id").withColumn("unused", unused).select(
         "bucket", "id", "n", "used", F.filter(pairs, lambda p: F.size(p) > 0).alias("picked"))
     longer = rows.select("id", "n", "used", F.explode("picked").alias("more")).select(
         "id", "n", F.array_sort(F.concat("used", "more")).alias("used"))
