@@ -392,7 +392,7 @@ def test_suffix_automaton_knows_all_substrings():
     rng = random.Random(6)
     codes = [rng.randrange(3) for _ in range(60)]
     table_ = language_id.automaton(codes, 3)
-    inside = {tuple(codes[i:j]) for i in range(60) for j in range(i, min(60, i + 7))}
+    inside = {tuple(codes[i:j]) for i in range(60) for j in range(i, min(61, i + 7))}
     from itertools import product
 
     for n in range(1, 6):
