@@ -238,7 +238,9 @@ def learn(found: DataFrame) -> Boosted:
     """Fit on all proposals of ``proposals()``, through the counts per distinct feature vector."""
     each = found.select(F.explode("more").alias("x")).select("x.f", (F.col("x.taken") | F.col("x.named")).alias("yes"))
     counts = each.groupBy("f").agg(F.sum(F.col("yes").cast("int")).alias("pos"), F.count(F.lit(1)).alias("n")).collect()
-    counts = sorted(counts, key=lambda r: list(r.f))  # at most the product of RANGES rows
+    if len(counts) > math.prod(RANGES):
+        raise ValueError(f"{len(counts)} feature vectors, at most {math.prod(RANGES)} are possible")
+    counts = sorted(counts, key=lambda r: list(r.f))
     rows = np.array([list(r.f) for r in counts], int).reshape(-1, len(FEATURES))
     return Boosted(rows, np.array([r.pos for r in counts], float), np.array([r.n for r in counts], float))
 
