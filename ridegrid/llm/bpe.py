@@ -46,7 +46,7 @@ from ridegrid.llm.common import id_text, map_texts
 VOCABULARY = "word_bpe_49k.json"
 PIECE = 1 << 16  # characters handed to the transducer at a time
 HOLD = 256  # longest unfinished pre-token that is held back as a whole
-WORDS_KEPT = 400_000  # entries of each of the two generations of a worker's word table
+WORDS_KEPT = 150_000  # entries of each of the two generations of a worker's word table
 END = "</w>"
 
 # Unicode white space: what Python calls space, without the four ASCII separators.

@@ -90,7 +90,7 @@ def order_minhash(words: list[bytes], sketches: int = SKETCHES, size: int = TUPL
     seeds = _mix(np.arange(1, sketches + 1, dtype=np.uint64) * _MIX) | np.uint64(1)
     take = min(size, n)
     keys = np.empty(sketches, np.uint64)
-    step = max(1, 2_000_000 // n)  # hash functions at a time
+    step = max(1, 500_000 // n)  # hash functions at a time
     for at in range(0, sketches, step):
         some = seeds[at:at + step]
         hashed = grams[None, :] * some[:, None]
