@@ -17,19 +17,16 @@ when their word edit distance is at most ``1 - SIMILARITY`` of the longer one.
   cannot be ruled out are compared with the centre's whole group, in blocks.  The members left over still have to be
   compared with each other: buckets of at most ``SMALL`` of them are finished in
   one group, all pairs, without writing a pair list.
-* *Longer keys* where a passage is common: texts that share little but a frequent passage
-  collide when all k-mers of a tuple fall into it, and such buckets grow with the corpus.
-  What is left of a bucket of more than ``SMALL`` goes under longer keys, its own
-  sketch and ``WAYS`` pairs of further ones, and starts again (a forest of growing
-  keys).  Near duplicates agree in many sketches, mostly outside the passage, and stay together.
+* *Larger buckets* are compared all pairs too, in pairs of blocks of ``COUNTS`` members that hold
+  only word counts by hash class.  These bound the distance from below; pairs that the bound does
+  not rule out are aligned on whole texts.  The work grows with the square of such a bucket.
 * The alignment is a bit-parallel edit distance inside a diagonal band;
   the band doubles until it holds the distance or exceeds the limit.
 * Links are joined to groups by label propagation with pointer jumping.
 
 Recall is that of the sketches: a pair whose shared part of k-mers is J
 collides in one of ``SKETCHES`` keys with probability 1-(1-J^TUPLE)^SKETCHES, 0.99 at
-J = 0.45; a share f of passages so common that their buckets are large takes
-f^TUPLE from J^TUPLE in it, before longer keys.  Precision is exact: every link is verified on whole texts.
+J = 0.45, whatever the size of the bucket.  Precision is exact: every link is verified on whole texts.
 
 Defined results: null, empty and wordless texts are each a group of their own.
 The group's id is its least doc_id (null below all); of a group, the row with the
@@ -56,8 +53,8 @@ TUPLE = 3
 SKETCHES = 48
 SIMILARITY = 0.8
 SMALL = 96
-WAYS = 12
-BLOCK = 96
+BLOCK = 96  # texts
+COUNTS = 512  # word counts
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -217,15 +214,18 @@ def _map_pairs(joined: DataFrame, make) -> DataFrame:
     return joined.mapInArrow(run, "id long, centre long, linked boolean, dist int")
 
 
+def _counts(words: list[str]) -> np.ndarray:
+    """How many words fall into each of 256 hash classes."""
+    return np.bincount(np.fromiter((zlib.crc32(x.encode()) % 256 for x in words), np.int64, len(words)), minlength=256).astype(np.int32)
+
+
 class _Texts:
     """Texts of one task, ready for bounding distances from below by their words' hash classes."""
 
     def __init__(self, norms: list[str]):
         self.words = [t.split(" ") for t in norms]
         self.sizes = np.array([len(w) for w in self.words])
-        self.classes = np.stack([
-            np.bincount(np.fromiter((zlib.crc32(x.encode()) % 256 for x in w), np.int64, len(w)), minlength=256)
-            for w in self.words]).astype(np.int32)
+        self.classes = np.stack([_counts(w) for w in self.words])
 
     def near(self, j: int, others: np.ndarray) -> list[tuple[int, int]]:
         """(i, limit) of those ``others`` that may be close to text j, the likeliest first."""
@@ -297,18 +297,39 @@ def _against_groups(asking: DataFrame, members: DataFrame, texts: DataFrame) ->
     return rows.join(texts, "id").groupBy("part", "m", "a").applyInPandas(_compare, "id long, centre long")
 
 
-def _not_asked(asking: DataFrame, labels: DataFrame, before: DataFrame | None,
-               asked: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """``asking`` (label, id) and the groups' members by part: a group's parts are the groups of the last level
-    and its new members.  Parts that were asked for an id at the last level are left out."""
-    if before is None:
-        parts = labels.select("id", "label", F.struct("label", F.lit(None).cast("long").alias("was")).alias("part"))
-        return asking.select(F.struct("label", F.lit(None).cast("long").alias("was")).alias("part"), "id"), parts
-    was = before.select("id", F.col("label").alias("was"))
-    parts = labels.join(was, "id", "left").select("id", "label", F.struct("label", "was").alias("part"))
-    wanted = asking.join(parts.select("label", "part").distinct(), "label")
-    seen = asked.select(F.col("label").alias("s"), F.col("id").alias("i"))
-    return wanted.join(seen, (F.col("part.was") == F.col("s")) & (F.col("id") == F.col("i")), "left_anti").select("part", "id"), parts
+def _bounded(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of two blocks of a bucket (or of one) that may be within the limit and are not in one group."""
+    one, two = pdf["one"].iloc[0], pdf["two"].iloc[0]
+    ids, labels, sizes, block = (pdf[c].to_numpy() for c in ("id", "label", "n", "block"))
+    counts = np.frombuffer(b"".join(pdf["counts"]), np.int32).reshape(len(pdf), -1)
+    others = np.flatnonzero(block == two)
+    theirs = counts[others]
+    out = [np.zeros((0, 2), np.int64)]
+    for j in np.flatnonzero(block == one).tolist():
+        limits = ((1 - SIMILARITY) * np.maximum(sizes[others], sizes[j]) + 1e-9).astype(int)
+        low = np.maximum(sizes[others], sizes[j]) - np.minimum(theirs, counts[j]).sum(1)
+        found = ids[others[(low <= limits) & (labels[others] != labels[j])]]
+        if one == two:
+            found = found[found < ids[j]]
+        out.append(np.stack([np.maximum(found, ids[j]), np.minimum(found, ids[j])], 1))
+    return pd.DataFrame(np.concatenate(out), columns=["id", "centre"])
+
+
+def _all_pairs(members: DataFrame, texts: DataFrame, counts: int = COUNTS) -> DataFrame:
+    """Links (id, centre) between the groups among ``members`` (bucket, id, n, label) of each bucket, however large."""
+    def make():
+        return lambda norms: {"counts": [_counts(t.split(" ")).tobytes() for t in norms]}
+
+    wanted = texts.join(members.select("id").distinct(), "id", "left_semi")
+    counted = stage(map_texts(wanted, make, "counts binary", ["id"], text_col="norm"), "near-counts")
+    sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / counts).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "bucket").select(
+        "bucket", "id", "n", "label", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    dealt = dealt.select("bucket", "id", "n", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = dealt.select("bucket", "id", "n", "label", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+    near = rows.join(counted, "id").groupBy("bucket", "one", "two").applyInPandas(_bounded, "id long, centre long")
+    pairs = stage(near.distinct(), "near-pairs")
+    return stage(_verify(pairs, texts).where("linked").select("id", "centre"), "near-large")
 
 
 def _star_round(entries: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame] | None:
@@ -326,7 +347,7 @@ def _star_round(entries: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFr
     pairs = members.where(close).select("id", "centre").distinct()
     checked = stage(_verify(pairs, texts), "near-checked")
     judged = members.join(checked, ["id", "centre"], "left").select(
-        "bucket", "id", "centre", "n", "used", F.coalesce("linked", F.lit(False)).alias("linked"),
+        "bucket", "id", "centre", "n", F.coalesce("linked", F.lit(False)).alias("linked"),
         F.coalesce("dist", apart).alias("dist"), longer.alias("longer"))
     return checked.where("linked").select("id", "centre"), judged
 
@@ -344,78 +365,37 @@ def _outside(judged: DataFrame, labels: DataFrame) -> DataFrame:
     radius = judged.groupBy("bucket").agg(F.max(F.when(F.col("linked"), F.col("dist"))).alias("radius"))
     out = judged.join(own, "id", "left").join(its, "centre", "left").where(label != star).join(radius, "bucket")
     reach = F.col("radius") + (1 - SIMILARITY) * (F.col("longer") + F.col("radius")) + 1
-    return out.select("bucket", "id", "n", "used", label.alias("label"), star.alias("star"),
+    return out.select("bucket", "id", "n", label.alias("label"), star.alias("star"),
                       F.coalesce(F.col("dist") <= reach, F.lit(False)).alias("doubt"))
 
 
-def _refine(large: DataFrame, sketched: DataFrame, ways: int) -> DataFrame:
-    """Entries of large buckets under longer keys: the bucket's sketches and two more.
-
-    Each entry goes under up to ``ways`` pairs of further sketches of its own (the same hash
-    functions, in the same order, for all members of a bucket).  A text in many large buckets
-    takes fewer in each, so that it has about as many keys as at first and the index stays
-    linear.  An entry without unused sketches stays as it is.
-    """
-    spread = large.groupBy("id").agg(F.ceil(F.lit(SKETCHES) / F.count(F.lit(1))).cast("int").alias("share"))
-    unused = F.array_except("keys", "used")
-    # An order of the hash functions that depends on the bucket only.
-    order = F.array_sort(F.transform(
-        F.sequence(F.lit(0), F.lit(SKETCHES - 1)), lambda i: F.struct(F.xxhash64("bucket", i).alias("h"), i.alias("i"))))
-    free = F.filter(F.transform(order, lambda x: F.get("keys", x["i"])), lambda k: F.array_contains("unused", k))
-
-    def cut(keys: Column) -> Column:
-        own = F.least(F.lit(ways), F.col("share"))
-        return F.transform(F.sequence(F.lit(0), own - 1), lambda i: F.slice(keys, i * 2 + 1, 2))
-
-    pairs = F.get(F.transform(F.array(free), cut), F.lit(0))  # a lambda's argument is computed once
-    rows = large.join(spread, "id").join(sketched.select("id", "keys"), "id").withColumn("unused", unused).select(
-        "bucket", "id", "n", "used", F.filter(pairs, lambda p: F.size(p) > 0).alias("picked"))
-    longer = rows.select("id", "n", "used", F.explode("picked").alias("more")).select(
-        "id", "n", F.array_sort(F.concat("used", "more")).alias("used"))
-    same = rows.where(F.size("picked") == 0).select("bucket", "id", "n", "used")
-    return longer.select(F.xxhash64("used").alias("bucket"), "id", "n", "used").unionByName(same).dropDuplicates(["bucket", "id"])
-
-
-def links(texts: DataFrame, sketched: DataFrame, entries: DataFrame, small: int = SMALL, ways: int = WAYS) -> DataFrame:
+def links(texts: DataFrame, entries: DataFrame, small: int = SMALL) -> DataFrame:
     """Verified links (id, centre) among the members of every bucket.
 
-    ``texts``: id, norm.  ``sketched``: id, keys.  ``entries``: bucket, id, n (words).
+    ``texts``: id, norm.  ``entries``: bucket, id, n (words).
     """
-    rest: list[DataFrame] = []
-    extra: list[DataFrame] = []
-    labels = asked = None
-    entries = entries.withColumn("used", F.array("bucket"))
-    while (star := _star_round(entries, texts)) is not None:
-        before, new = labels, star[0]
-        if before is not None:  # the groups so far, as one link per member
-            new = new.union(before.select("id", F.col("label").alias("centre")))
-        labels = components(new)
-        left = stage(_outside(star[1], labels), "near-outside")
-        doubt = left.where("doubt").select(F.col("star").alias("label"), "id").distinct()
-        asking, parts = _not_asked(doubt, labels, before, asked)
-        asking, asked = stage(asking, "near-asking"), doubt
-        if not asking.isEmpty():
-            answers = stage(_against_groups(asking, parts, texts), "near-asked")
-            extra.append(answers)
-        sized = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
-        left = left.join(sized, "bucket")
-        rest.append(left.where(F.col("members") <= small).select("bucket", "id", "label"))
-        large = stage(left.where(F.col("members") > small).select("bucket", "id", "n", "used"), "near-large")
-        if large.isEmpty():
-            break
-        entries = stage(_refine(large, sketched, ways), "near-refined")
-        ways = max(1, ways // 6)
-    if labels is None:
+    star = _star_round(entries, texts)
+    if star is None:
         return _no_links(texts)
+    labels = components(star[0])
+    found = [labels.select("id", F.col("label").alias("centre"))]  # the groups so far, as one link per member
+    left = stage(_outside(star[1], labels), "near-outside")
+    asking = stage(left.where("doubt").select(F.col("star").alias("part"), "id").distinct(), "near-asking")
+    if not asking.isEmpty():
+        found.append(stage(_against_groups(asking, labels.select("id", F.col("label").alias("part")), texts), "near-asked"))
     # Buckets whose members are all in one group are settled.
-    rows = stage(reduce(DataFrame.union, rest), "near-rest")
-    several = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(
-        F.col("low") != F.col("high")).select("bucket")
-    rows = rows.join(several, "bucket", "left_semi")
-    own = rows.groupBy("id").agg(F.collect_set("bucket").alias("buckets"))  # bounded by sketches and ways
-    together = rows.join(own, "id").join(texts, "id")
-    done = together.groupBy("bucket").applyInPandas(_finish, "id long, centre long")  # at most ``small`` members each
-    return reduce(DataFrame.union, [labels.select("id", F.col("label").alias("centre")), done, *extra])
+    sized = left.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where(
+        F.col("low") != F.col("high")).select("bucket", "members")
+    rows = stage(left.join(sized, "bucket").select("bucket", "id", "n", "label", "members"), "near-rest")
+    few = rows.where(F.col("members") <= small)
+    own = few.groupBy("id").agg(F.collect_set("bucket").alias("buckets"))  # bounded by the keys of a text
+    together = few.select("bucket", "id", "label").join(own, "id").join(texts, "id")
+    found.append(together.groupBy("bucket").applyInPandas(_finish, "id long, centre long"))  # at most ``small`` members each
+    large = rows.where(F.col("members") > small)
+    if not large.isEmpty():
+        found.append(_all_pairs(large, texts))
+    return reduce(DataFrame.union, found)
 
 
 def _no_links(texts: DataFrame) -> DataFrame:
@@ -465,7 +445,7 @@ def _grouped(docs: DataFrame, text_col: str, id_col: str, small: int) -> DataFra
     entries = stage(entries.join(shared, "bucket"), "near-entries")
     involved = stage(
         texts.select("id", "norm").join(entries.select("id").distinct(), "id", "left_semi"), "near-involved")
-    labels = components(links(involved, sketched, entries, small))
+    labels = components(links(involved, entries, small))
     names = texts.select("digest", "id").join(labels, "id", "left").select(
         "digest", F.coalesce("label", "id").alias("label"))
     placed = stage(rows.join(names, "digest", "left").select(

@@ -253,6 +253,22 @@ def test_near_dedup_chains_and_hot_passages(spark):
         assert {r.doc_id: r.class_id for r in near_dedup.near_groups(df, small=small).collect()} == expected
 
 
+def test_near_dedup_large_bucket_loses_no_pair(spark):
+    """Near duplicates that agree in little but a passage which many texts hold, against all pairs."""
+    rng = random.Random(8)
+    prepare(spark)
+    passage = [f"p{i}" for i in range(100)]
+    rows = {}
+    for i in range(150):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+        rows[i] = passage + own
+        for at in rng.sample(range(40), 26):
+            own[at] = f"v{rng.randrange(10**6)}"
+        rows[1000 + i] = passage + own
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dedup.near_groups(df, small=20).collect()} == brute_groups(rows)
+
+
 def test_near_dedup_odd(odd, none):
     found = near_dedup.near_groups(odd).collect()
     assert len(found) == len(odd_rows())
