@@ -12,10 +12,10 @@ when their word edit distance is at most ``1 - SIMILARITY`` of the longer one.
   follow the edit similarity: they need the same k-mers in the same order.
 * *Verification* goes star by star: in each bucket all members are
   aligned with one centre, the least id, and links are joined to groups.  A member that is
-  in another group than the centre has no link into the star if it is further from the
+  in another group than the centre has no link to a member linked to the centre if it is further from the
   centre than the star's radius plus the limit (triangle inequality).  The few for which this
-  cannot be ruled out are compared with the centre's whole group, in blocks.  The members left over still have to be
-  compared with each other: buckets of at most ``SMALL`` of them are finished in
+  cannot be ruled out are compared with the centre's whole group, in blocks.  The members not linked to the
+  centre, in its group or not, still have to be compared with each other: buckets of at most ``SMALL`` of them are finished in
   one group, all pairs, without writing a pair list.
 * *Larger buckets* are compared all pairs too, in pairs of blocks of ``COUNTS`` members that hold
   only word counts by hash class.  These bound the distance from below; pairs that the bound does
@@ -353,20 +353,22 @@ def _star_round(entries: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def _outside(judged: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members that are in another group than their bucket's centre, with their own and the centre's label.
+    """Members that are not linked to their bucket's centre, with their own and the centre's label.
 
-    ``doubt``: the triangle inequality cannot rule out a link to a member of the
-    star: the distance to the centre is within the star's radius plus the limit
-    (which grows with the radius by at most a fifth of it).
+    Those that are in the centre's group through other texts only stay too: their distance
+    to the centre has no known upper bound.
+    ``doubt``: the member is in another group than the centre, and the triangle inequality cannot
+    rule out a link to a member of the star: the distance to the centre is within the star's
+    radius plus the limit (which grows with the radius by at most a fifth of it).
     """
     own = labels.select("id", F.col("label").alias("l"))
     its = labels.select(F.col("id").alias("centre"), F.col("label").alias("c"))
     label, star = F.coalesce("l", "id"), F.coalesce("c", "centre")
     radius = judged.groupBy("bucket").agg(F.max(F.when(F.col("linked"), F.col("dist"))).alias("radius"))
-    out = judged.join(own, "id", "left").join(its, "centre", "left").where(label != star).join(radius, "bucket")
+    out = judged.join(own, "id", "left").join(its, "centre", "left").where(~F.col("linked")).join(radius, "bucket")
     reach = F.col("radius") + (1 - SIMILARITY) * (F.col("longer") + F.col("radius")) + 1
     return out.select("bucket", "id", "n", label.alias("label"), star.alias("star"),
-                      F.coalesce(F.col("dist") <= reach, F.lit(False)).alias("doubt"))
+                      F.coalesce((label != star) & (F.col("dist") <= reach), F.lit(False)).alias("doubt"))
 
 
 def links(texts: DataFrame, entries: DataFrame, small: int = SMALL) -> DataFrame:

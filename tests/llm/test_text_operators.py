@@ -269,6 +269,21 @@ def test_near_dedup_large_bucket_loses_no_pair(spark):
     assert {r.doc_id: r.class_id for r in near_dedup.near_groups(df, small=20).collect()} == brute_groups(rows)
 
 
+def test_near_dedup_members_joined_by_others_stay_in_the_bucket(spark):
+    """c and m are one group through a in another bucket; x is linked to m alone, and only in the bucket of c, m and x."""
+    prepare(spark)
+    base = [f"w{i}" for i in range(40)]
+
+    def changed(*places):
+        return " ".join(f"v{i}" if i in places else w for i, w in enumerate(base))
+
+    rows = {0: changed(), 1: changed(*range(10)), 2: changed(*range(5)), 3: changed(*range(16))}  # c, m, a, x
+    texts = spark.createDataFrame(list(rows.items()), "id long, norm string")
+    entries = spark.createDataFrame([(7, 0), (7, 1), (7, 3), (8, 0), (8, 2), (9, 1), (9, 2)], "bucket long, id long").withColumn("n", F.lit(40))
+    found = near_dedup.components(near_dedup.links(texts, entries))
+    assert {(r.id, r.label) for r in found.collect()} == {(i, 0) for i in rows}
+
+
 def test_near_dedup_odd(odd, none):
     found = near_dedup.near_groups(odd).collect()
     assert len(found) == len(odd_rows())
