@@ -12,6 +12,8 @@ The whole text is parsed.  It is cut into stretches of ``STRETCH`` characters
 that are parsed side by side, each from the automaton's start, so one step
 of numpy advances many stretches at once; a cut ends a phrase in every
 language alike.  Letters are lower-cased, runs of other characters are one blank.
+Every letter of the samples counts, however many scripts there are: each language has codes for
+its own letters, and automata over large alphabets keep sorted lists instead of tables.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or
 if nothing was learned.  Ties go to the language first in order.  The score is
@@ -34,6 +36,7 @@ SAMPLE_CHARS = 400
 STRETCH = 256
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
+DENSE = 1 << 22  # entries of a transition table; larger ones are kept as sorted lists
 _CODES = 0x110000
 
 
@@ -56,8 +59,8 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     return [(lang, "\n".join(p for _, p in sorted(parts))) for lang, parts in sorted(by_lang.items())]
 
 
-def automaton(codes: list[int], width: int) -> np.ndarray:
-    """Transition table of the suffix automaton of a code sequence; -1 where no match goes on."""
+def transitions(codes: list[int]) -> list[dict[int, int]]:
+    """The states of the suffix automaton of a code sequence: the next state by code."""
     follow: list[dict[int, int]] = [{}]
     link, longest, last = [-1], [0], 0
     for c in codes:
@@ -83,6 +86,12 @@ def automaton(codes: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
+    return follow
+
+
+def automaton(codes: list[int], width: int) -> np.ndarray:
+    """Transition table of the suffix automaton of a code sequence; -1 where no match goes on."""
+    follow = transitions(codes)
     table = np.full((len(follow), width), -1, np.int32)
     for state, nexts in enumerate(follow):
         for c, to in nexts.items():
@@ -90,31 +99,63 @@ def automaton(codes: list[int], width: int) -> np.ndarray:
     return table
 
 
+class Dense:
+    """Suffix automaton as a table; ``other`` ends every match, ``pad`` stays."""
+
+    def __init__(self, codes: list[int], width: int, other: int, pad: int):
+        table = automaton(codes, width)
+        table[:, other] = -1
+        table[:, pad] = np.arange(len(table))
+        self.flat, self.width = table.ravel(), width
+        self.start = np.maximum(table[0], 0)  # where a new phrase is after its first character
+        self.start[pad] = 0
+
+    def step(self, state: np.ndarray, column: np.ndarray) -> np.ndarray:
+        return self.flat.take(state * self.width + column)
+
+
+class Sparse:
+    """The same for a large alphabet: the transitions as a list sorted by state and code."""
+
+    def __init__(self, codes: list[int], width: int, other: int, pad: int):
+        found = [(s * width + c, to) for s, nexts in enumerate(transitions(codes)) for c, to in nexts.items() if c != other]
+        found.append((np.iinfo(np.int64).max, -1))
+        keys, to = np.array(sorted(found), np.int64).T
+        self.keys, self.to, self.width, self.pad = keys.copy(), to.astype(np.int32), width, pad
+        begin = self.step(np.zeros(width, np.int32), np.arange(width, dtype=np.int32))
+        self.start = np.maximum(begin, 0)
+
+    def step(self, state: np.ndarray, column: np.ndarray) -> np.ndarray:
+        key = state.astype(np.int64) * self.width + column
+        at = np.searchsorted(self.keys, key)
+        return np.where(column == self.pad, state, np.where(self.keys[at] == key, self.to[at], -1))
+
+
 class CrossParser:
     """Parses texts with the automata of all languages."""
 
     BLANK, OTHER, PAD = 0, 1, 2  # codes; the letters of the samples follow
 
-    def __init__(self, samples: list[tuple[str, str]], stretch: int = STRETCH):
+    def __init__(self, samples: list[tuple[str, str]], stretch: int = STRETCH, dense: int = DENSE):
         self.stretch, self.langs = stretch, [lang for lang, _ in samples]
         self.lower = np.fromiter((ord(x) if len(x := chr(c).lower()) == 1 else c for c in range(_CODES)), np.uint32, _CODES)
         self.letter = np.fromiter((chr(c).isalpha() for c in range(_CODES)), bool, _CODES)
         seen = [np.unique(self.lower[self._points(text)]) for _, text in samples]
         known = np.unique(np.concatenate([*seen, np.zeros(0, np.uint32)]))
-        known = known[self.letter[known]][:200]
-        code = np.where(self.letter, self.OTHER, self.BLANK).astype(np.uint8)
+        known = known[self.letter[known]]
+        code = np.where(self.letter, self.OTHER, self.BLANK).astype(np.int32)
         code[known] = np.arange(3, 3 + len(known))
         self.code = code[self.lower]
-        self.width = 3 + len(known)
         self.tables, self.weights = [], []
         for _, text in samples:
-            codes = self._squeeze(self.code[self._points(text)], np.array([0]))[0].tolist()
-            table = automaton(codes, self.width)
-            table[:, self.OTHER] = -1
-            table[:, self.PAD] = np.arange(len(table))
-            start = np.maximum(table[0], 0)  # where a new phrase is after its first character
-            start[self.PAD] = 0
-            self.tables.append((table.ravel(), start))
+            codes = self._squeeze(self.code[self._points(text)], np.array([0]))[0]
+            letters = np.setdiff1d(codes, [self.BLANK, self.OTHER])
+            own = np.full(3 + len(known), self.OTHER, np.int32)  # the language's own codes: letters it lacks are OTHER
+            own[[self.BLANK, self.PAD]] = self.BLANK, self.PAD
+            own[letters] = np.arange(3, 3 + len(letters))
+            width = 3 + len(letters)
+            kind = Dense if 2 * len(codes) * width <= dense else Sparse
+            self.tables.append((own, kind(own[codes].tolist(), width, self.OTHER, self.PAD)))
             self.weights.append(math.log2(len(codes) + 2))
 
     @staticmethod
@@ -143,16 +184,17 @@ class CrossParser:
         first = np.repeat(starts[:-1], many) + (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)) * self.stretch
         left = np.repeat(starts[1:], many) - first
         at = first[:, None] + np.arange(self.stretch)[None, :]
-        padded = np.append(codes, np.uint8(self.PAD))
-        grid = padded[np.where(np.arange(self.stretch)[None, :] < left[:, None], at, len(codes))].T.astype(np.int32).copy()
+        padded = np.append(codes, np.int32(self.PAD))
+        grid = padded[np.where(np.arange(self.stretch)[None, :] < left[:, None], at, len(codes))].T.copy()
         cost = np.empty((len(self.langs), n))
-        for k, (table, start) in enumerate(self.tables):
+        for k, (own, table) in enumerate(self.tables):
             state, phrases = np.zeros(len(doc), np.int32), np.ones(len(doc), np.int32)
             for column in grid:
-                nxt = table.take(state * self.width + column)
+                column = own.take(column)
+                nxt = table.step(state, column)
                 ended = nxt < 0
                 phrases += ended
-                state = np.where(ended, start.take(column), nxt)
+                state = np.where(ended, table.start.take(column), nxt)
             total = np.bincount(doc, phrases, n)
             cost[k] = total * self.weights[k] / np.maximum(sizes, 1)
         order = np.argsort(cost, axis=0, kind="stable")

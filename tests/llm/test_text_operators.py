@@ -461,6 +461,23 @@ def test_cross_parsing_counts_longest_matches():
     assert phrases("abcabdabc") == "x" and phrases("ddddd") == "y" and phrases("123") == "und"
 
 
+def test_scripts_with_many_letters_are_told_apart():
+    rng = random.Random(9)
+
+    def words_of(first, size):
+        letters = [chr(first + i) for i in range(size)]
+        return ["".join(rng.choices(letters, k=3)) for _ in range(200)]
+
+    # Han, two languages in the same Hangul letters, Greek, Latin
+    held = {"zh": words_of(0x4E00, 300), "k1": words_of(0xAC00, 90), "k2": words_of(0xAC00, 90),
+            "el": words_of(0x3B1, 17), "en": words_of(0x61, 26)}
+    samples = sorted((lang, " ".join(rng.choices(w, k=400))) for lang, w in held.items())
+    texts = {lang: " ".join(rng.choices(w, k=100)) for lang, w in held.items()}
+    found = [language_id.CrossParser(samples, dense=n).predict([*texts.values(), "\u0416"]) for n in (language_id.DENSE, 0)]
+    assert found[0]["lang_pred"][:-1] == list(texts)
+    assert found[0] == found[1]
+
+
 def test_quality(spark, docs, odd, none):
     label = {r.doc_id: r.quality for r in table(spark, SF, "labels").collect()}
     found = queries()["op10_attention_quality"](spark, SF).collect()
