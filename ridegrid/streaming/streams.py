@@ -7,8 +7,8 @@
   operator and writes the next version (partition ``_version=<batch id>``) with
   dynamic partition overwrite, so a replayed batch rewrites its own version and
   nothing else (idempotent); versions that no replay can need any more are
-  removed.  Redelivered requests are removed with
-  ``dropDuplicatesWithinWatermark`` on RequestID.
+  removed.  Redelivered requests are removed by an anti join with the ids that
+  earlier batches applied, however late they come; no request is dropped for its time.
 * ``stream_vehicle_state`` (S3): per-vehicle status and station from the
   decided events of the commands, by built-in streaming aggregates.  Per
   vehicle the state keeps the last status-setting event, the last moving event and
@@ -28,13 +28,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ridegrid.operators import audit as A
 from ridegrid.operators import commands as C
 from ridegrid.session import ensure_checkpoint_dir, remember
-from ridegrid.sources.sinks import drop_snapshots, newest_version, read_snapshot, write_snapshot
+from ridegrid.sources.sinks import VERSION, drop_snapshots, newest_version, read_snapshot, write_snapshot
 
-HORIZON = "30 days"  # how long after a request (in event time) its redelivery is recognised
 FILES_PER_BATCH = 4
 
 
@@ -78,8 +78,7 @@ def stream_audit(spark: SparkSession, changes: DataFrame, files_per_batch: int =
 # ----------------------------------------------------------------------------- S2
 def stream_commands(spark: SparkSession, arrivals: list[DataFrame], tables: dict[str, DataFrame],
                     apply: Callable[[DataFrame, dict[str, DataFrame]], dict[str, DataFrame]],
-                    workdir: str | None = None, files_per_batch: int | None = None,
-                    horizon: str = HORIZON) -> dict[str, DataFrame]:
+                    workdir: str | None = None, files_per_batch: int | None = None) -> dict[str, DataFrame]:
     """Apply a command operator to a stream of requests; returns the last snapshots of ``tables``.
 
     Each element of ``arrivals`` is added to the source folder and worked off before
@@ -91,18 +90,30 @@ def stream_commands(spark: SparkSession, arrivals: list[DataFrame], tables: dict
     nothing); without it every call starts fresh.
     """
     work = workdir or _folder(spark, "commands")
-    src, ckpt = f"{work}/source", f"{work}/checkpoint"
+    src, ckpt, applied = f"{work}/source", f"{work}/checkpoint", f"{work}/applied"
     state = {name: f"{work}/state/{name}" for name in tables}
     for name, df in tables.items():
         if not _exists(spark, state[name]):
             write_snapshot(df, state[name], -1)
 
+    def first_deliveries(batch: DataFrame, batch_id: int) -> DataFrame:
+        once = batch.dropDuplicates(["RequestID"])
+        if not _exists(spark, applied):
+            return once
+        low, high = batch.agg(F.min("RequestID"), F.max("RequestID")).first()
+        ids = T.StructType([batch.schema["RequestID"], T.StructField(VERSION, T.LongType())])
+        seen = spark.read.schema(ids).parquet(applied).where(
+            (F.col(VERSION) < batch_id) & (F.col("RequestID").isNull() | F.col("RequestID").between(low, high)))
+        return once.join(seen.select(F.col("RequestID").alias("__seen")), F.col("RequestID").eqNullSafe(F.col("__seen")), "left_anti")
+
     def step(batch: DataFrame, batch_id: int) -> None:
+        batch = first_deliveries(batch, batch_id)
         base = {name: newest_version(spark.read, path, batch_id) for name, path in state.items()}
         now = {name: read_snapshot(spark.read, path, base[name]) for name, path in state.items()}
         for name, df in apply(batch, now).items():
             if name in state:
                 write_snapshot(df, state[name], batch_id)
+        write_snapshot(batch.select("RequestID"), applied, batch_id)
         for name, path in state.items():
             drop_snapshots(spark, path, base[name])  # a replay of this batch needs ``base``
 
@@ -110,11 +121,7 @@ def stream_commands(spark: SparkSession, arrivals: list[DataFrame], tables: dict
         stream = spark.readStream.schema(spark.read.parquet(src).schema)
         if files_per_batch is not None:
             stream = stream.option("maxFilesPerTrigger", files_per_batch)
-        once = (stream.parquet(src)
-                .withColumn("__event_time", F.col("RequestTime").cast("timestamp"))  # watermarks need TIMESTAMP
-                .withWatermark("__event_time", horizon).dropDuplicatesWithinWatermark(["RequestID"])
-                .drop("__event_time"))
-        _run(once.writeStream.foreachBatch(step).option("checkpointLocation", ckpt))
+        _run(stream.parquet(src).writeStream.foreachBatch(step).option("checkpointLocation", ckpt))
 
     for arrival in arrivals:
         arrival.write.mode("append").parquet(src)

@@ -30,6 +30,20 @@ def test_redelivered_topups_change_nothing(spark, td):
     assert streamed == batch
 
 
+def test_topups_of_any_age_are_applied_once(spark, td):
+    """Events over several years in shuffled files, some redelivered in a later batch."""
+    from pyspark.sql import functions as F
+
+    requests = td.topup_requests()
+    batch = {r.UserID: r.WalletBalance for r in C.wallet_topups(requests, td.users()).tables["users"].collect()}
+    years = F.expr("RequestTime + make_dt_interval(cast(pmod(hash(RequestID), 1500) as int))")
+    spread = requests.withColumn("RequestTime", years.cast(requests.schema["RequestTime"].dataType))
+    work = f"{ensure_checkpoint_dir(spark).rstrip('/')}/test-ages-{uuid.uuid4().hex}"
+    arrivals = [spread.repartition(9, F.rand(3)), spread.where("RequestID % 5 = 0")]
+    streamed = {r.UserID: r.WalletBalance for r in S.stream_topups(spark, requests, td.users(), work, arrivals).collect()}
+    assert streamed == batch
+
+
 def test_vehicle_state_does_not_depend_on_delivery(spark, td):
     """Shuffled files, repeated events and one event per batch give the batch state."""
     from pyspark.sql import functions as F
