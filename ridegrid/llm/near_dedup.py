@@ -9,7 +9,8 @@ when their word edit distance is at most ``1 - SIMILARITY`` of the longer one.
 * *Order MinHash*: the k-mers (``K`` words) of a sequence are labelled with
   their occurrence number; for each of ``SKETCHES`` hash functions the
   ``TUPLE`` least of them, taken in text order, are one bucket key.  Collisions
-  follow the edit similarity: they need the same k-mers in the same order.
+  follow the edit similarity: they need the same k-mers in the same order.  Sequences of at most
+  ``SHORT`` words have all their k-mers as keys.
 * *Verification* goes star by star: in each bucket all members are
   aligned with one centre, the least id, and links are joined to groups.  A member that is
   in another group than the centre has no link to a member linked to the centre if it is further from the
@@ -24,9 +25,12 @@ when their word edit distance is at most ``1 - SIMILARITY`` of the longer one.
   the band doubles until it holds the distance or exceeds the limit.
 * Links are joined to groups by label propagation with pointer jumping.
 
-Recall is that of the sketches: a pair whose shared part of k-mers is J
-collides in one of ``SKETCHES`` keys with probability 1-(1-J^TUPLE)^SKETCHES, 0.99 at
-J = 0.45, whatever the size of the bucket.  Precision is exact: every link is verified on whole texts.
+Recall: cut into limit + 1 pieces, the longer of two near duplicates keeps one piece unchanged.
+Up to ``SHORT`` words that piece has ``K`` words (2 of 5), so with all k-mers as keys every pair is found.
+Above, recall is that of the sketches: a pair whose shared part of k-mers is J
+collides in one of ``SKETCHES`` keys with probability 1-(1-J^TUPLE)^SKETCHES, whatever the size of the
+bucket.  A distance of 0.2 leaves J = 0.34 if the changed words are scattered at random (0.99) and
+0.25 if every fifth word is changed (0.95).  Precision is exact: every link is verified on whole texts.
 
 Defined results: null, empty and wordless texts are each a group of their own.
 The group's id is its least doc_id (null below all); of a group, the row with the
@@ -48,10 +52,11 @@ from pyspark.sql import functions as F
 
 from ridegrid.llm.common import ascii_lower, fresh, map_texts, stage
 
-K = 5
-TUPLE = 3
+K = 3
+TUPLE = 2
 SKETCHES = 48
 SIMILARITY = 0.8
+SHORT = 50  # words; near duplicates of up to so many share K words in a row (2 where the longer one has 5)
 SMALL = 96
 BLOCK = 96  # texts
 COUNTS = 512  # word counts
@@ -69,13 +74,32 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def order_minhash(words: list[bytes], sketches: int = SKETCHES, size: int = TUPLE, k: int = K) -> np.ndarray:
-    """The bucket keys of a word sequence."""
-    codes = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+def _grams(codes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k codes (of the whole sequence if it is shorter)."""
     n = max(1, len(codes) - k + 1)
     grams = np.zeros(n, np.uint64)
     for i in range(min(k, len(codes))):
         grams = grams * _MIX + codes[i:i + n] + np.uint64(1)
+    return grams
+
+
+def bucket_keys(words: list[bytes]) -> np.ndarray:
+    """All keys of a word sequence: sketches, and below ``SHORT`` words its k-mers."""
+    n, keys = len(words), []
+    if n > SIMILARITY * SHORT:  # may have a near duplicate of more than SHORT words
+        keys.append(order_minhash(words))
+    if n <= SHORT:
+        codes = np.fromiter(map(zlib.crc32, words), np.uint64, n)
+        for k in (2, K) if n <= 5 else (K,):
+            keys.append(_mix(_grams(codes, k) + np.uint64(k)).view(np.int64))
+    return np.unique(np.concatenate(keys))
+
+
+def order_minhash(words: list[bytes], sketches: int = SKETCHES, size: int = TUPLE, k: int = K) -> np.ndarray:
+    """The bucket keys of a word sequence."""
+    codes = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+    grams = _grams(codes, k)
+    n = len(grams)
     order = np.argsort(grams, kind="stable")
     runs = grams[order]
     again = np.zeros(n, np.uint64)
@@ -173,7 +197,7 @@ def _norm(text: Column) -> Column:
 def _sketch():
     def run(texts: list) -> dict[str, list]:
         words = [t.encode().split(b" ") for t in texts]
-        return {"n": list(map(len, words)), "keys": [order_minhash(w) for w in words]}
+        return {"n": list(map(len, words)), "keys": [bucket_keys(w) for w in words]}
 
     return run
 

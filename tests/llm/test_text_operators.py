@@ -253,6 +253,20 @@ def test_near_dedup_chains_and_hot_passages(spark):
         assert {r.doc_id: r.class_id for r in near_dedup.near_groups(df, small=small).collect()} == expected
 
 
+@pytest.mark.parametrize(("size", "least"), [(5, 1), (12, 1), (30, 1), (50, 1), (51, 0.9), (100, 0.9), (300, 0.9)])
+def test_near_dedup_keys_find_pairs_at_the_limit(size, least):
+    rng, sketch, d = random.Random(size), near_dedup._sketch(), near_dedup.limit_of(size)
+    found = 0
+    for n in range(200):
+        a = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        b = list(a)
+        for at in rng.sample(range(size), d) if n % 2 else [(2 * i + 1) * size // (2 * d) for i in range(d)]:
+            b[at] = f"v{rng.randrange(10**6)}"
+        one, two = sketch([" ".join(a), " ".join(b)])["keys"]
+        found += bool({int(x) for x in one} & {int(x) for x in two})
+    assert found >= least * 200
+
+
 def test_near_dedup_large_bucket_loses_no_pair(spark):
     """Near duplicates that agree in little but a passage which many texts hold, against all pairs."""
     rng = random.Random(8)
