@@ -159,7 +159,7 @@ class TestSuffixes:
 def blocks(bench: DataFrame, text_col: str = "text", id_col: str = "item_id", block_bytes: int = BLOCK_BYTES) -> list:
     """The benchmark as broadcasts of bounded size."""
     spark = bench.sparkSession
-    items = bench.select(F.col(id_col).cast("string").alias("name"), F.col(text_col).cast("string").alias("text"))
+    items = bench.select(F.col(id_col).cast("string").alias("name"), F.col(text_col).cast("string").alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 + 2 * total // block_bytes  # half full on average
     keyed = items.withColumn("block", F.pmod(F.xxhash64("name", "text"), F.lit(n)))
@@ -169,7 +169,7 @@ def blocks(bench: DataFrame, text_col: str = "text", id_col: str = "item_id", bl
         size, largest = part.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
         if (size or 0) > block_bytes + (largest or 0):
             raise ValueError(f"benchmark block {b} holds {size} bytes, more than {block_bytes}")
-        rows = [(r.name_, r.text) for r in part.select(F.col("name").alias("name_"), "text").distinct().collect()]
+        rows = [(r.name_, r.text) for r in part.select(F.col("name").alias("name_"), "text").collect()]
         out.append(spark.sparkContext.broadcast(rows))
     return out
 

@@ -550,6 +550,12 @@ def test_decontaminate(spark, docs, texts):
         assert r.items_sha256 == hashlib.sha256(",".join(names).encode()).hexdigest()
 
 
+def test_benchmark_blocks_hold_a_repeated_item_once(spark):
+    bench = spark.createDataFrame([("a", "one two three")] * 50 + [("b", "four")], "item_id string, text string")
+    rows = [r for block in decontaminate.blocks(bench, block_bytes=100) for r in block.value]
+    assert sorted(rows) == [("a", "one two three"), ("b", "four")]
+
+
 def test_decontaminate_odd(spark, odd, none):
     bench = spark.createDataFrame(
         [(1, "THE cat"), (2, "a"), (None, "sat"), (4, None), (5, "..."), (1, "the cat"), (6, "two three four five six seven eight nine ten eleven")],
