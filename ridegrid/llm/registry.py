@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ridegrid.llm import oracle_queries
 from ridegrid.llm.common import prepare, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +85,27 @@ def op10_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ridegrid.llm.periodic_runs import periodic_runs
+
+    prepare(spark)
+    return periodic_runs(table(spark, sf_dir, "documents"), plant=True)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ridegrid.llm.conversation_repair import repair
+
+    prepare(spark)
+    return repair(table(spark, sf_dir, "conversations"), harmed=True)
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ridegrid.llm.toxicity import score_toxicity
+
+    prepare(spark)
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,7 +115,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, QueryFn] = {
     f.__name__: f for f in (
         op1_exact_dedup, op2_chat_format, op3_order_minhash, op4_hilbert_shards, op5_bpe_stream, op6_language_id,
-        op7_token_counts, op8_decontaminate, op9_pii_boosting, op10_attention_quality, pipeline,
+        op7_token_counts, op8_decontaminate, op9_pii_boosting, op10_attention_quality, op11_periodic_runs,
+        op12_conversation_repair, op13_toxicity, pipeline,
     )
 }
 
@@ -106,6 +129,8 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, text_sha256
 FROM d WINDOW g AS (PARTITION BY text_sha256)
 """,
+    "op11_periodic_runs": oracle_queries.PERIODIC_RUNS,
+    "op12_conversation_repair": oracle_queries.CONVERSATION_REPAIR,
 }
 
 
