@@ -57,16 +57,16 @@ def assign_ids(df: DataFrame, order_cols: list[str | Column], existing_max: Colu
 
 def prefix_aggs(df: DataFrame, keys: list[str], order_col: str, aggs: dict[str, tuple[str, Column]],
                 inclusive: bool = False, block: int = PREFIX_BLOCK) -> DataFrame:
-    """Running ``sum`` / ``min`` columns per ``keys`` in ``order_col`` order (exclusive by default).
+    """Running ``sum`` / ``min`` / ``max`` columns per ``keys`` in ``order_col`` order (exclusive by default).
 
-    ``aggs`` maps an output column to ("sum" or "min", value).  ``order_col``
+    ``aggs`` maps an output column to ("sum", "min" or "max", value).  ``order_col``
     is a unique integer (RequestID).  Rows are dealt by (keys, block of ``block``
     consecutive order values): the window inside a block holds at most
     ``block`` rows and the window over block totals one row per block of a
     key.  The explicit repartition keeps it so when the input is already dealt
     by the keys alone (after a join on them).  NULL values do not count; a sum of nothing is 0.
     """
-    fns = {"sum": F.sum, "min": F.min}
+    fns = {"sum": F.sum, "min": F.min, "max": F.max}
     end = 0 if inclusive else -1
     blk = F.floor(F.col(order_col) / F.lit(block)).cast("long")
     names = list(aggs)
@@ -84,7 +84,8 @@ def prefix_aggs(df: DataFrame, keys: list[str], order_col: str, aggs: dict[str,
     def whole(i: int, kind: str) -> Column:
         if kind == "sum":
             return F.coalesce(F.col(f"__o{i}"), F.lit(0)) + F.coalesce(F.col(f"__l{i}"), F.lit(0))
-        return F.coalesce(F.least(f"__o{i}", f"__l{i}"), F.col(f"__o{i}"), F.col(f"__l{i}"))
+        # least and greatest leave NULLs out
+        return (F.least if kind == "min" else F.greatest)(f"__o{i}", f"__l{i}")
 
     return local.join(offsets, cond, "left").select(
         *df.columns, *[whole(i, aggs[n][0]).alias(n) for i, n in enumerate(names)])

@@ -171,6 +171,33 @@ SELECT event_id AS RequestID, ts AS RequestTime, 'Onboard ' || CAST(event_id AS
       ELSE CAST(CAST(CAST(value AS DECIMAL(10,2))*100 AS DECIMAL(10,2)) AS VARCHAR) END AS topup,
  CASE WHEN event_id%7=0 THEN NULL ELSE CAST(1+event_id%4 AS INT) END AS PlanID
 FROM events WHERE event_type='signup'""",
+    "mixed_events": """
+SELECT *, last_value(CASE WHEN Kind='book' THEN {'r': RequestID, 'u': u, 'v': v} END IGNORE NULLS) OVER near AS booked,
+ last_value(CASE WHEN Kind='report' THEN RequestID END IGNORE NULLS) OVER near AS reported
+FROM (SELECT event_id AS RequestID, ts AS RequestTime, value, props, CAST(user_id+1 AS INT) AS u,
+ CAST(1+(event_id*13)%greatest((SELECT count(*) FROM part)//10, 1) AS INT) AS v,
+ CASE event_type WHEN 'purchase' THEN 'book' WHEN 'view' THEN CASE WHEN event_id%3<2 THEN 'end' ELSE 'review' END
+  WHEN 'signup' THEN CASE WHEN event_id%2=0 THEN 'cancel' ELSE 'register' END
+  WHEN 'click' THEN CASE WHEN event_id%3<2 THEN 'topup' ELSE 'purchase' END
+  ELSE CASE WHEN event_id%2=0 THEN 'report' ELSE 'complete' END END AS Kind FROM events)
+WINDOW near AS (PARTITION BY RequestID//64 ORDER BY RequestID ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+    "mixed_requests": """
+SELECT RequestID, RequestTime, Kind, CASE WHEN Kind='report' AND RequestID%5=0 THEN booked.u ELSE u END AS UserID,
+ CASE WHEN RequestID%5=0 THEN 'user' ELSE 'admin' END AS user_role,
+ CASE WHEN Kind='report' AND RequestID%5=0 THEN booked.v ELSE v END AS VehicleID,
+ CAST(1+RequestID%(SELECT count(*)+1 FROM supplier) AS INT) AS StationID, CAST(0.25*(1+RequestID%16) AS DECIMAL(5,2)) AS DurationHours,
+ CAST(1+(RequestID*7)%(SELECT count(*)+50 FROM orders) AS INT) AS TripID, CAST(1+RequestID-RequestID%8 AS INT) AS LogID,
+ CAST(1+RequestID%4 AS INT) AS PlanID,
+ CASE WHEN Kind IN ('end','cancel','review') AND RequestID%4<>0 THEN booked.r
+      WHEN Kind='complete' AND RequestID%4<>1 THEN reported END AS Ref,
+ CASE WHEN RequestID%20=0 THEN 'abc' WHEN RequestID%20=1 THEN '-5' WHEN RequestID%20=2 THEN NULL
+      ELSE CAST(CAST(value*20 AS DECIMAL(10,2)) AS VARCHAR) END AS amount,
+ CASE WHEN RequestID%40=6 THEN '   ' ELSE 'fault ' || props END AS IssueReported,
+ CASE WHEN RequestID%25=0 THEN 'x' ELSE CAST(RequestID%7 AS VARCHAR) END AS rating, props AS comment,
+ 'New User ' || CAST(RequestID AS VARCHAR) AS name,
+ CASE WHEN RequestID%4=1 THEN 'USER' ELSE 'user' END || CAST((RequestID*3)%(SELECT 2*count(*) FROM customer) AS VARCHAR) || '@example.com' AS email,
+ props AS password
+FROM mixed_events""",
     # dirty copies
     "redelivered_requests": """
 SELECT RequestID, UserID FROM booking_requests

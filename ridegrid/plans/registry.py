@@ -55,6 +55,7 @@ def _load_all() -> None:
     from ridegrid.plans import (  # noqa: F401
         q_commands,
         q_quality,
+        q_replay,
         q_streams,
         q_views,
     )

@@ -13,7 +13,7 @@ Ids start at 1 (the source keys start at 0) because the rental model treats id
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridegrid.schemas import MONEY, RATE, SCHEMAS
@@ -311,6 +311,55 @@ class TestData:
         )
 
 
+    def mixed_requests(self) -> DataFrame:
+        """All kinds M1 to M9 in one table, in event order.
+
+        ``Ref`` is the nearest booking (of completions: report) before the event among its 64
+        neighbours; a tenth of the vehicles takes all bookings, so most are booked, freed and booked again.
+        """
+        key, kind = F.col("event_id"), F.col("event_type")
+        name = (
+            F.when(kind == "purchase", "book")
+            .when(kind == "view", F.when(key % 3 < 2, "end").otherwise("review"))
+            .when(kind == "signup", F.when(key % 2 == 0, "cancel").otherwise("register"))
+            .when(kind == "click", F.when(key % 3 < 2, "topup").otherwise("purchase"))
+            .otherwise(F.when(key % 2 == 0, "report").otherwise("complete")))
+        vehicle = F.lit(1) + (key * 13) % F.greatest(F.floor(self._count("part") / 10).cast("bigint"), F.lit(1))
+        ev = self.raw("events").select(
+            key.alias("RequestID"), F.col("ts").alias("RequestTime"), name.alias("Kind"), (F.col("user_id") + 1).cast("int").alias("__user"),
+            vehicle.cast("int").alias("__vehicle"), "value", "props")
+        near = Window.partitionBy(F.floor(F.col("RequestID") / 64)).orderBy("RequestID").rowsBetween(Window.unboundedPreceding, -1)
+
+        def last(what: str) -> Column:
+            return F.last(F.when(F.col("Kind") == what, F.struct("RequestID", "__user", "__vehicle")), ignorenulls=True).over(near)
+
+        rid = F.col("RequestID")
+        ev = ev.withColumn("__booked", last("book")).withColumn("__reported", last("report"))
+        own = (F.col("Kind") == "report") & (rid % 5 == 0)  # riders report the vehicle they booked
+        ref = (F.when(F.col("Kind").isin("end", "cancel", "review") & (rid % 4 != 0), F.col("__booked.RequestID"))
+               .when((F.col("Kind") == "complete") & (rid % 4 != 1), F.col("__reported.RequestID")))
+        return ev.select(
+            "RequestID", "RequestTime", "Kind",
+            F.when(own, F.col("__booked.__user")).otherwise(F.col("__user")).alias("UserID"),
+            F.when(rid % 5 == 0, "user").otherwise("admin").alias("user_role"),
+            F.when(own, F.col("__booked.__vehicle")).otherwise(F.col("__vehicle")).alias("VehicleID"),
+            (F.lit(1) + rid % self._count("supplier", 1)).cast("int").alias("StationID"),
+            (F.lit(0.25) * (F.lit(1) + rid % 16)).cast(RATE).alias("DurationHours"),
+            (F.lit(1) + (rid * 7) % self._count("orders", 50)).cast("int").alias("TripID"),
+            (F.lit(1) + rid - rid % 8).cast("int").alias("LogID"),
+            (F.lit(1) + rid % 4).cast("int").alias("PlanID"),
+            ref.alias("Ref"),
+            F.when(rid % 20 == 0, "abc").when(rid % 20 == 1, "-5").when(rid % 20 == 2, F.lit(None).cast("string"))
+            .otherwise((F.col("value") * 20).cast(MONEY).cast("string")).alias("amount"),
+            F.when(rid % 40 == 6, "   ").otherwise(F.concat(F.lit("fault "), F.col("props"))).alias("IssueReported"),
+            F.when(rid % 25 == 0, "x").otherwise((rid % 7).cast("string")).alias("rating"),
+            F.col("props").alias("comment"),
+            F.concat(F.lit("New User "), rid.cast("string")).alias("name"),
+            F.concat(F.when(rid % 4 == 1, "USER").otherwise("user"), ((rid * 3) % (self._count("customer") * 2)).cast("string"),
+                     F.lit("@example.com")).alias("email"),
+            F.col("props").alias("password"),
+        )
+
     # -- feeds for the admin / profile commands (M10-M17) -----------------------
     def profile_requests(self) -> DataFrame:
         key = F.col("event_id")

@@ -219,3 +219,162 @@ def replay_reviews(requests, trips, reviews):
             done.add((t["UserID"], r["TripID"]))
             comments[r["RequestID"]] = r["comment"] or ""
     return out, comments
+
+
+def replay_mixed(requests, world):
+    """All kinds in one batch, one request after the other.  ``world``: lists of dicts per table.
+
+    Returns (RequestID -> (Reason, Applied, Cost, technician), final state).
+    """
+    users = {u["UserID"]: dict(u) for u in world["users"]}
+    vehicles = {v["VehicleID"]: dict(v) for v in world["vehicles"]}
+    stations = {s["StationID"] for s in world["stations"]}
+    plans = {p["PlanID"]: p for p in world["plans"]}
+    trips = {("T", t["TripID"]): dict(t) for t in world["trips"]}
+    pays = [dict(p, key=("T", p["TripID"])) for p in world["payments"]]
+    logs = {("L", m["LogID"]): dict(m) for m in world["logs"]}
+    for a in sorted(world["assignments"], key=lambda a: -a["AssignmentID"]):
+        if ("L", a["LogID"]) in logs:
+            logs[("L", a["LogID"])]["tech"] = a["TechnicianID"]
+    techs = {t["TechnicianID"]: dict(t) for t in world["technicians"]}
+    reviewed = {(v["UserID"], ("T", v["TripID"])) for v in world["reviews"]}
+    emails = {u["Email"].lower() for u in world["users"]}
+    reviews = []
+    kinds = {r["RequestID"]: r["Kind"] for r in requests}
+    out = {}
+    for r in sorted(requests, key=lambda r: r["RequestID"]):
+        rid, kind, why, applied, cost, tech = r["RequestID"], r["Kind"], None, True, None, None
+        ref = r["Ref"] if r["Ref"] is not None and r["Ref"] < rid else None
+        if r["Ref"] is None:
+            trip, log = trips.get(("T", r["TripID"])), logs.get(("L", r["LogID"]))
+            tkey, lkey = ("T", r["TripID"]), ("L", r["LogID"])
+        else:
+            trip = trips.get(("B", ref)) if kinds.get(ref) == "book" else None
+            log = logs.get(("R", ref)) if kinds.get(ref) == "report" else None
+            tkey, lkey = ("B", ref), ("R", ref)
+        user = users.get(r["UserID"])
+        if kind == "book":
+            v = vehicles.get(r["VehicleID"])
+            bal = user["WalletBalance"] if user else None
+            if v is None or v["Status"] != "available":
+                why = "Vehicle not available"
+            else:
+                plan = plans.get(user["PlanID"]) if user else None
+                disc = DISCOUNT.get(plan["PlanName"] if plan else None, Decimal("0.00"))
+                cost = money(v["RatePerHour"] * r["DurationHours"] * (1 - disc))
+                if abs(cost) > MAX_MONEY:
+                    why = OUT_OF_RANGE
+                elif bal is not None and bal < cost:
+                    why = "Insufficient balance"
+                elif bal is not None and bal - cost > MAX_MONEY:
+                    why = OUT_OF_RANGE
+                elif user is None:
+                    why = FK + "UserID"
+                elif r["StationID"] not in stations:
+                    why = FK + "StartStationID"
+                else:
+                    v["Status"] = "in-use"
+                    if bal is not None:
+                        user["WalletBalance"] = bal - cost
+                    trips[("B", rid)] = dict(UserID=r["UserID"], VehicleID=r["VehicleID"], StartStationID=r["StationID"], Cost=cost,
+                                             Status="Ongoing", EndStationID=None)
+                    pays.append(dict(key=("B", rid), UserID=r["UserID"], Status="Success", Amount=cost))
+            if why:
+                cost = None
+        elif kind == "end":
+            if trip is None:
+                applied = False
+            elif r["StationID"] is not None and r["StationID"] not in stations:
+                why = FK + "EndStationID"
+            else:
+                trip.update(Status="Completed", EndStationID=r["StationID"], EndTime=r["RequestTime"])
+                vehicles[trip["VehicleID"]].update(Status="available", CurrentStationID=r["StationID"])
+        elif kind == "cancel":
+            if trip is None:
+                applied = False
+            elif trip["Status"] != "Ongoing":
+                why = "Only ongoing trips can be cancelled"
+            else:
+                owner = users[trip["UserID"]]
+                bal = owner["WalletBalance"]
+                if bal is not None and bal + trip["Cost"] > MAX_MONEY:
+                    why = OUT_OF_RANGE
+                else:
+                    if bal is not None:
+                        owner["WalletBalance"] = bal + trip["Cost"]
+                    trip.update(Status="Cancelled", EndTime=r["RequestTime"])
+                    vehicles[trip["VehicleID"]].update(Status="available", CurrentStationID=trip["StartStationID"])
+                    for p in pays:
+                        if p["key"] == tkey and p["UserID"] == trip["UserID"]:
+                            p["Status"] = "Refunded"
+        elif kind == "topup":
+            why = replay_topups([r], list(users.values()))[0][rid]
+            if why is None and user["WalletBalance"] is not None:
+                user["WalletBalance"] += money(Decimal(r["amount"].strip()))
+        elif kind == "purchase":
+            why = replay_purchases([r], list(users.values()), world["plans"])[0][rid]
+            if why is None:
+                user["WalletBalance"] -= plans[r["PlanID"]]["Cost"]
+                user["PlanID"] = r["PlanID"]
+        elif kind == "report":
+            issue = r["IssueReported"]
+            holds = any(t["UserID"] == r["UserID"] and t["VehicleID"] == r["VehicleID"] and t["Status"] == "Ongoing" for t in trips.values())
+            if issue is not None and not issue.strip():
+                why = "Please describe the issue"
+            elif not r["UserID"]:
+                why = "User ID required"
+            elif (r["user_role"] or "user") != "admin" and not holds:
+                why = "You can only report issues for vehicles you have an ongoing ride with"
+            elif issue is None:
+                why = "Column 'IssueReported' cannot be null"
+            elif r["VehicleID"] not in vehicles:
+                why = FK + "VehicleID"
+            else:
+                if vehicles[r["VehicleID"]]["Status"] == "available":
+                    vehicles[r["VehicleID"]]["Status"] = "under-maintenance"
+                free = [(t["ActiveAssignments"], k) for k, t in techs.items() if t["IsAvailable"]]
+                logs[("R", rid)] = dict(VehicleID=r["VehicleID"], Status="Pending")
+                if free:
+                    tech = min(free)[1]
+                    techs[tech]["ActiveAssignments"] += 1
+                    logs[("R", rid)].update(Status="In-Progress", tech=tech)
+        elif kind == "complete":
+            if (r["user_role"] or "user") != "admin":
+                why = "Admin access required"
+            elif log is None or "tech" not in log:
+                why = "Assignment not found"
+            elif log["Status"] == "Completed":
+                why = "Maintenance log already completed"
+            else:
+                log["Status"] = "Completed"
+                tech = log["tech"]
+                if tech in techs:
+                    techs[tech]["ActiveAssignments"] = max(0, techs[tech]["ActiveAssignments"] - 1)
+                vehicles[log["VehicleID"]]["Status"] = "available"
+        elif kind == "review":
+            try:
+                rating = int(r["rating"])
+            except (TypeError, ValueError):
+                rating = None
+            if rating is None:
+                why = "Invalid or missing 'rating'"
+            elif not 1 <= rating <= 5:
+                why = "Rating must be between 1 and 5"
+            elif trip is None:
+                why = "Trip not found"
+            elif trip["Status"] != "Completed":
+                why = "Can only review completed trips"
+            elif (trip["UserID"], tkey) in reviewed:
+                why = "A review for this trip already exists"
+            else:
+                reviewed.add((trip["UserID"], tkey))
+                reviews.append((trip["UserID"], trip["VehicleID"], rating, r["comment"] or ""))
+        else:
+            if r["password"] is None:
+                why = "'NoneType' object has no attribute 'encode'"
+            elif r["name"] is None or r["email"] is None or r["email"].lower() in emails:
+                why = "Email already registered"
+            else:
+                emails.add(r["email"].lower())
+        out[rid] = (why, applied and why is None, cost, tech)
+    return out, dict(users=users, vehicles=vehicles, trips=trips, payments=pays, logs=logs, technicians=techs, reviews=reviews)
