@@ -185,15 +185,13 @@ def _illegal(initials: list[str]) -> int:
     return sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:], strict=False))
 
 
-def _pieces(pdf: pd.DataFrame) -> Iterator[tuple[str, pd.DataFrame]]:
+def _pieces(pdf: pd.DataFrame, *columns: str) -> Iterator[tuple[str, list[list]]]:
+    """(conversation, values of each column in order) of the pieces in one block."""
     pdf = pdf.sort_values("gid")
-    key = pdf["ck"].to_numpy()
-    at = 0
-    while at < len(pdf):
-        end = at + 1
-        while end < len(pdf) and key[end] == key[at]:
-            end += 1
-        yield key[at], pdf.iloc[at:end]
+    values, at = [pdf[c].tolist() for c in columns], 0
+    for ck, own in groupby(pdf["ck"].tolist()):
+        end = at + sum(1 for _ in own)
+        yield ck, [v[at:end] for v in values]
         at = end
 
 
@@ -204,18 +202,17 @@ _PIECE = ("ck string, block long, open boolean, matrix array<long>, entry int, l
 def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
     """Per conversation in one block: the edits, or the piece's matrix if the conversation may go on in other blocks."""
     table, out = Transitions(), []
-    pieces = list(_pieces(pdf))
-    for i, (ck, part) in enumerate(pieces):
-        initials, faults = part["initial"].tolist(), part["fault"].tolist()
+    pieces, block = list(_pieces(pdf, "initial", "fault", "gid")), int(pdf["block"].iloc[0])
+    for i, (ck, (initials, faults, gids)) in enumerate(pieces):
         symbols = [symbol_of(a, b) for a, b in zip(initials, faults, strict=True)]
-        row = {"ck": ck, "block": int(part["block"].iloc[0]), "open": i in (0, len(pieces) - 1), "matrix": None, "entry": 0,
+        row = {"ck": ck, "block": block, "open": i in (0, len(pieces) - 1), "matrix": None, "entry": 0,
                "leave": None, "cost": None, "acts": None, "gids": None, "illegal": _illegal(initials), "first": initials[0],
                "last": initials[-1], "blank": faults.count(1), "duplicate": faults.count(2), "truncated": faults.count(3)}
         if row["open"]:
             row["matrix"] = [x for line in piece_matrix(table, symbols) for x in line]
         else:
             row["acts"], row["leave"], row["cost"] = unroll(table, symbols, 0, END, True)
-            row["gids"] = part["gid"].tolist()
+            row["gids"] = gids
         out.append(row)
     return pd.DataFrame(out)
 
@@ -233,14 +230,12 @@ def _backwards(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _try_entries(pdf: pd.DataFrame) -> pd.DataFrame:
     """Edits of each open piece of a block for every entry state."""
-    table, out = Transitions(), []
-    for ck, part in _pieces(pdf):
-        symbols = [symbol_of(a, b) for a, b in zip(part["initial"], part["fault"], strict=True)]
-        after, gids = tuple(int(x) for x in part["after"].iloc[0]), part["gid"].tolist()
+    table, out, block = Transitions(), [], int(pdf["block"].iloc[0])
+    for ck, (initials, faults, gids, afters, lasts) in _pieces(pdf, "initial", "fault", "gid", "after", "last"):
+        symbols = [symbol_of(a, b) for a, b in zip(initials, faults, strict=True)]
         for entry in STATES:
-            acts, leave, cost = unroll(table, symbols, entry, after, bool(part["last"].iloc[0]))
-            out.append({"ck": ck, "block": int(part["block"].iloc[0]), "entry": entry, "leave": leave, "cost": cost,
-                        "acts": acts, "gids": gids})
+            acts, leave, cost = unroll(table, symbols, entry, tuple(int(x) for x in afters[0]), bool(lasts[0]))
+            out.append({"ck": ck, "block": block, "entry": entry, "leave": leave, "cost": cost, "acts": acts, "gids": gids})
     return pd.DataFrame(out)
 
 
@@ -293,7 +288,9 @@ def _symbols(rows: DataFrame) -> DataFrame:
 
 def _edits(symbols: DataFrame) -> DataFrame:
     """Settled pieces (see ``_PIECE``) of all conversations."""
-    cells = symbols.select("ck", "gid", "block", "initial", "fault")
+    # As many tasks as the session shuffles with: the rows are small, the work on them is not.
+    tasks = int(symbols.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = symbols.select("ck", "gid", "block", "initial", "fault").repartition(tasks, "block")
     pieces = stage(cells.groupBy("block").applyInPandas(_settle, _PIECE), "repair-pieces")
     open_ = pieces.where("open")
     behind = open_.select("ck", "block", "matrix").groupBy("ck").applyInPandas(
@@ -395,7 +392,7 @@ def repair_rows(rows: DataFrame) -> DataFrame:
 
 def repair(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
            text_col: str = "text", harmed: bool = False) -> DataFrame:
-    """One row per conversation: conv_id, gaps, blank, duplicate, illegal, truncated, cost, audit, repaired_sha256.
+    """One row per conversation: conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256.
 
     ``harmed``: apply the planned damage first.
     """
