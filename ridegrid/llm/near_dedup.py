@@ -18,9 +18,15 @@ when their word edit distance is at most ``1 - SIMILARITY`` of the longer one.
   cannot be ruled out are compared with the centre's whole group, in blocks.  The members not linked to the
   centre, in its group or not, still have to be compared with each other: buckets of at most ``SMALL`` of them are finished in
   one group, all pairs, without writing a pair list.
-* *Larger buckets* are compared all pairs too, in pairs of blocks of ``COUNTS`` members that hold
+* *Larger buckets* are hot passages: many texts that share some text and little else.  Their members get
+  second keys: the rarest ones of their word pairs (with occurrence numbers).  At a distance of d words, all but 2d of the longer
+  text's word pairs are shared, so whatever order the word pairs are taken in, near duplicates share one of the first
+  ``2 * limit + 2`` of both; in the order of frequency a common passage is not among them.  The order comes from a table of
+  ``SLOTS`` hashed counts over these texts; a word pair that no other text can hold is no key.  Buckets of
+  the second keys are treated like those of the first.
+* What is left of a large bucket of second keys is compared all pairs, in pairs of blocks of ``COUNTS`` members that hold
   only word counts by hash class.  These bound the distance from below; pairs that the bound does
-  not rule out are aligned on whole texts.  The work grows with the square of such a bucket.
+  not rule out are aligned on whole texts.  That work grows with the square of such a bucket.
 * The alignment is a bit-parallel edit distance inside a diagonal band;
   the band doubles until it holds the distance or exceeds the limit.
 * Links are joined to groups by label propagation with pointer jumping.
@@ -60,6 +66,7 @@ SHORT = 50  # words; near duplicates of up to so many share K words in a row (2
 SMALL = 96
 BLOCK = 96  # texts
 COUNTS = 512  # word counts
+SLOTS = 1 << 20  # of the table of word pair counts
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -395,15 +402,16 @@ def _outside(judged: DataFrame, labels: DataFrame) -> DataFrame:
                       F.coalesce((label != star) & (F.col("dist") <= reach), F.lit(False)).alias("doubt"))
 
 
-def links(texts: DataFrame, entries: DataFrame, small: int = SMALL) -> DataFrame:
+def links(texts: DataFrame, entries: DataFrame, small: int = SMALL, known: DataFrame | None = None) -> DataFrame:
     """Verified links (id, centre) among the members of every bucket.
 
-    ``texts``: id, norm.  ``entries``: bucket, id, n (words).
+    ``texts``: id, norm.  ``entries``: bucket, id, n (words).  ``known``: links found
+    before; then the buckets are those of second keys.
     """
     star = _star_round(entries, texts)
     if star is None:
         return _no_links(texts)
-    labels = components(star[0])
+    labels = components(star[0] if known is None else star[0].union(known))
     found = [labels.select("id", F.col("label").alias("centre"))]  # the groups so far, as one link per member
     left = stage(_outside(star[1], labels), "near-outside")
     asking = stage(left.where("doubt").select(F.col("star").alias("part"), "id").distinct(), "near-asking")
@@ -420,10 +428,76 @@ def links(texts: DataFrame, entries: DataFrame, small: int = SMALL) -> DataFrame
     found.append(together.groupBy("bucket").applyInPandas(_finish, "id long, centre long"))  # at most ``small`` members each
     large = rows.where(F.col("members") > small)
     if not large.isEmpty():
-        found.append(_all_pairs(large, texts))
+        found.append(_all_pairs(large, texts) if known is not None else links(texts, _second_keys(large, texts), small, found[0]))
     return reduce(DataFrame.union, found)
 
 
+def _word_pairs(norm: str) -> np.ndarray:
+    """One hash per pair of words in a row, labelled with its occurrence number."""
+    words = norm.encode().split(b" ")
+    codes = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+    if len(codes) < 2:
+        return np.zeros(0, np.uint64)
+    grams = _mix(_grams(codes, 2))
+    order = np.argsort(grams, kind="stable")
+    runs = grams[order]
+    new = np.concatenate([[True], runs[1:] != runs[:-1]])
+    number = np.arange(len(grams))
+    again = np.zeros(len(grams), np.uint64)
+    again[order] = (number - np.maximum.accumulate(np.where(new, number, 0))).astype(np.uint64)
+    return _mix(grams + again * _MIX)
+
+
+def _slot_counts(texts: DataFrame) -> np.ndarray:
+    """How many word pairs of all texts fall into each of ``SLOTS`` hash classes."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for norm in batch.column(0).to_pylist():
+                np.add.at(total, (_word_pairs(norm) % np.uint64(SLOTS)).astype(np.int64), 1)
+        slots = np.flatnonzero(total)
+        for at in range(0, len(slots), 65_536):
+            some = slots[at:at + 65_536]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slot", "many"])
+
+    counts = texts.select("norm").mapInArrow(run, "slot long, many long").groupBy("slot").agg(F.sum("many").alias("many")).toPandas()
+    out = np.zeros(SLOTS, np.int64)  # at most SLOTS rows came to the driver
+    out[counts["slot"].to_numpy()] = counts["many"].to_numpy()
+    return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
+
+
+def rare_keys(norm: str, counts: np.ndarray) -> np.ndarray:
+    """Second keys of a text: its rarest word pairs, as many as near duplicates must share one of."""
+    pairs = _word_pairs(norm)
+    often = counts[(pairs % np.uint64(SLOTS)).astype(np.int64)]
+    first = np.lexsort((pairs, often))[:2 * limit_of(len(pairs) + 1) + 2]
+    return np.unique(pairs[first][often[first] > 1]).view(np.int64)
+
+
+def _second_keys(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Buckets (bucket, id, n) of the rarest word pairs of the ``members``' texts."""
+    wanted = stage(texts.join(members.select("id").distinct(), "id", "left_semi"), "near-hot")
+    counts = wanted.sparkSession.sparkContext.broadcast(_slot_counts(wanted))
+
+    def make():
+        def run(norms: list) -> dict[str, list]:
+            return {"n": [t.count(" ") + 1 for t in norms], "keys": [rare_keys(t, counts.value) for t in norms]}
+
+        return run
+
+    keyed = stage(map_texts(wanted, make, "n int, keys array<long>", ["id"], text_col="norm"), "near-rare")
+    return _shared(keyed)
+
+
+def _shared(keyed: DataFrame) -> DataFrame:
+    """Buckets (bucket, id, n) of at least two texts."""
+    entries = keyed.select(F.explode("keys").alias("bucket"), "id", "n")
+    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).select("bucket")
+    return stage(entries.join(shared, "bucket"), "near-entries")
+
+
 def _no_links(texts: DataFrame) -> DataFrame:
     return texts.select("id", F.col("id").alias("centre")).where(F.lit(False))
 
@@ -466,9 +540,7 @@ def _grouped(docs: DataFrame, text_col: str, id_col: str, small: int) -> DataFra
         .withColumn("id", F.monotonically_increasing_id()), "near-texts")
     sketched = stage(
         map_texts(texts.select("id", "norm"), _sketch, "n int, keys array<long>", ["id"], text_col="norm"), "near-sketches")
-    entries = sketched.select(F.explode("keys").alias("bucket"), "id", "n")
-    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).select("bucket")
-    entries = stage(entries.join(shared, "bucket"), "near-entries")
+    entries = _shared(sketched)
     involved = stage(
         texts.select("id", "norm").join(entries.select("id").distinct(), "id", "left_semi"), "near-involved")
     labels = components(links(involved, entries, small))
