@@ -9,8 +9,9 @@ its most toxic window.
   its character trigrams (hashed), and the word's log odds between the labels.
 * One gated recurrent network reads the window forwards, one backwards; attention
   weights over the words pool their states; a logistic layer gives the score.
-* Training is in numpy (back-propagation through time, Adam).  The label is the
-  document's: in every step the most toxic window of each document learns.
+* Training is in numpy (back-propagation through time, Adam), in one task.  The label is the
+  document's: in every epoch the most toxic window of each document learns.  After ``WARM`` epochs documents whose
+  label the network does not see count less, as labels may be wrong.
   In training a document's own share is taken out of the counts behind the log odds, so
   that words seen once do not give the label away.
 
@@ -27,16 +28,19 @@ an empty table gives an empty result; only the named columns are read.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridegrid.llm.common import fold_of, id_text, map_texts
+from ridegrid.llm.common import fold_of, id_text, map_texts, stage
 
-WINDOW, STRIDE = 48, 32
+WINDOW, STRIDE = 48, 40
 PIECE = 32
 FOLDS, HELD_OUT = 5, 0
 TRAIN_DOCS = 600
@@ -45,8 +49,12 @@ BUCKETS = 1 << 16
 WORDS, GRAMS = 1 << 12, 1 << 11  # rows of the learned tables; row 0 is "no word"
 WORD_DIM, GRAM_DIM = 6, 8
 INPUT = WORD_DIM + GRAM_DIM + 1
-HIDDEN, ATTENTION = 12, 8
-EPOCHS, RATE = 24, 0.02
+HIDDEN, ATTENTION = 8, 6
+EPOCHS, STEPS, RATE = 12, 25, 0.01
+WARM, TRUST = 4, 1.0  # epochs with equal weights; then a document counts by (probability of its label) ** TRUST
+TABLES_RATE = 0.3  # the learned word and trigram tables learn slower, for the words of a few documents should not decide
+PRIOR = 2.0
+TOXIC_SHARE = 0.3  # of the loss: clean documents weigh more, as one wrong window is enough to mark them
 CACHE = 200_000  # words whose inputs a task remembers
 
 _WORD = re.compile(rf"[^\W_]{{1,{PIECE}}}")
@@ -72,16 +80,21 @@ def window_starts(n: int) -> np.ndarray:
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray, toxic_docs: float, clean_docs: float) -> np.ndarray:
-    """Smoothed log odds of a word's document counts, in standard errors, scaled to about -1 to 1."""
-    a, b = np.maximum(toxic, 0) + 0.5, np.maximum(clean, 0) + 0.5
-    odds = np.log(a / (toxic_docs + 1)) - np.log(b / (clean_docs + 1))
-    return (np.clip(odds / np.sqrt(1 / a + 1 / b), -5, 5) / 5).astype(np.float32)
+    """Log odds of a word's document counts between the labels, shrunk towards 0 as if ``PRIOR`` more documents held it."""
+    share = toxic_docs / max(toxic_docs + clean_docs, 1)
+    a = (np.maximum(toxic, 0) + PRIOR * share) / max(toxic_docs, 1)
+    b = (np.maximum(clean, 0) + PRIOR * (1 - share)) / max(clean_docs, 1)
+    return np.clip(np.log(a) - np.log(b), -5, 5).astype(np.float32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def _tanh(x: np.ndarray) -> np.ndarray:
+    return 2 / (1 + np.exp(-2 * x)) - 1  # numpy's exp is vectorised where its tanh is not
+
+
 class Network:
     """The model; parameters are plain arrays.  Time runs along the first axis, windows along the second."""
 
@@ -110,10 +123,13 @@ class Network:
         out, held = np.zeros((steps, x.shape[1], HIDDEN), np.float32), []
         for t in (range(steps) if way == "f" else range(steps - 1, -1, -1)):
             own = h @ u[:, :2 * HIDDEN]
-            gates = _sigmoid(x[t, :, :2 * HIDDEN] + own)
+            own += x[t, :, :2 * HIDDEN]
+            gates = _sigmoid(own)
             z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
             past = r * h
-            n = np.tanh(x[t, :, 2 * HIDDEN:] + past @ u[:, 2 * HIDDEN:])
+            n = past @ u[:, 2 * HIDDEN:]
+            n += x[t, :, 2 * HIDDEN:]
+            n = _tanh(n)
             new = (h + z * (n - h)) if mask is None else h + mask[t][:, None] * z * (n - h)
             if keep:
                 held.append((t, h, z, r, n, past))
@@ -153,7 +169,7 @@ class Network:
         hf, held_f = self._read("f", forth, full, keep)
         hb, held_b = self._read("b", back, full, keep)
         h = np.concatenate([hf, hb], 2)
-        t = np.tanh(h @ p["A"] + p["a"])
+        t = _tanh(h @ p["A"] + p["a"])
         e = t @ p["v"]
         e = np.where(mask > 0, e, -1e9)
         if steps:
@@ -206,7 +222,7 @@ class Network:
 
 
 def fit(windows: list[list[str]], owner: np.ndarray, label: np.ndarray, odds: dict[int, np.ndarray], epochs: int = EPOCHS,
-        rate: float = RATE, batch: int = 300) -> Network:
+        rate: float = RATE, steps: int = STEPS) -> Network:
     """Learn from windows of documents: ``owner`` gives each window's document (ascending), ``label`` each document's label.
 
     ``odds``: the log odds of the word buckets as documents of each label see them.
@@ -225,19 +241,27 @@ def fit(windows: list[list[str]], owner: np.ndarray, label: np.ndarray, odds: di
     sees = {value: np.where(np.arange(len(known)) > 0, table[buckets], 0).astype(np.float32) for value, table in odds.items()}
     seen = np.stack([sees[0], sees[1]])
     firsts = np.searchsorted(owner, np.arange(len(label) + 1))
-    balance = np.where(label > 0, 0.5 / max(label.sum(), 1), 0.5 / max((1 - label).sum(), 1)) * len(label)
     r = np.random.default_rng(5)
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0
     for epoch in range(epochs):
         # The most toxic window of every document, under the network so far.
+        projected = []
+        for value in (0, 1):
+            x = net.inputs(rows, grams, seen[value])
+            projected.append((net.project("f", x), net.project("b", x)))
         scores = np.concatenate([
-            _window_scores(net, tokens[at:at + 4096], grams, rows, seen, label[owner[at:at + 4096]].astype(int))
-            for at in range(0, len(tokens), 4096)])
+            _window_scores(net, tokens[at:at + 1024], projected, label[owner[at:at + 1024]].astype(int))
+            for at in range(0, len(tokens), 1024)])
         by = np.lexsort((-scores, owner))
         top = by[firsts[:-1]]
+        # Labels may be wrong: documents whose label the network does not see count less among those of their label.
+        agrees = np.where(label > 0, scores[top], 1 - scores[top]) ** (TRUST if epoch >= WARM else 0.0)
+        share = np.where(label > 0, TOXIC_SHARE / agrees[label > 0].sum(), (1 - TOXIC_SHARE) / agrees[label == 0].sum())
+        trust = share * agrees * len(label)
         order = r.permutation(len(label))
+        batch = max(8, -(-len(order) // steps))
         slower = rate * 0.5 * (1 + np.cos(np.pi * epoch / epochs))
         for at in range(0, len(order), batch):
             docs = order[at:at + batch]
@@ -245,25 +269,25 @@ def fit(windows: list[list[str]], owner: np.ndarray, label: np.ndarray, odds: di
             mask = (t > 0).astype(np.float32)
             value = label[docs].astype(np.float32)
             _, grads = net.loss_grads(rows[t], grams[t], seen[label[docs].astype(int)[None, :], t], mask, value,
-                                      (balance[docs] / len(docs)).astype(np.float32))
+                                      (trust[docs] / len(docs)).astype(np.float32))
             step += 1
             for k, g in grads.items():
                 g = g + (1e-3 if k in ("words", "grams") else 1e-4) * net.p[k]
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.999 * second[k] + 0.001 * g * g
-                net.p[k] -= (slower * (first[k] / (1 - 0.9 ** step)) / (np.sqrt(second[k] / (1 - 0.999 ** step)) + 1e-8)).astype(np.float32)
+                net.p[k] -= (slower * (TABLES_RATE if k in ("words", "grams") else 1) * (first[k] / (1 - 0.9 ** step)) / (np.sqrt(second[k] / (1 - 0.999 ** step)) + 1e-8)).astype(np.float32)
     return net
 
 
-def _window_scores(net: Network, tokens: np.ndarray, grams: np.ndarray, rows: np.ndarray, seen: np.ndarray, label: np.ndarray) -> np.ndarray:
-    both = []
+def _window_scores(net: Network, tokens: np.ndarray, projected: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray) -> np.ndarray:
+    """Scores of the windows as their documents' labels see the log odds."""
+    out = np.zeros(len(tokens), np.float32)
     for value in (0, 1):
-        x = net.inputs(rows, grams, seen[value])
-        both.append((net.project("f", x), net.project("b", x)))
-    t = tokens.T
-    forth = np.where(label[None, :, None] > 0, both[1][0][t], both[0][0][t])
-    back = np.where(label[None, :, None] > 0, both[1][1][t], both[0][1][t])
-    return net.forward(forth, back, (t > 0).astype(np.float32))["y"]
+        some = np.flatnonzero(label == value)
+        t = tokens[some].T
+        if len(some):
+            out[some] = net.forward(projected[value][0][t], projected[value][1][t], (t > 0).astype(np.float32))["y"]
+    return out
 
 
 class Scorer:
@@ -290,7 +314,7 @@ class Scorer:
             self.forth = np.concatenate([self.forth, self.net.project("f", x)])
             self.back = np.concatenate([self.back, self.net.project("b", x)])
 
-    def score(self, texts: list[str | None], at_once: int = 4096) -> np.ndarray:
+    def score(self, texts: list[str | None], at_once: int = 1024) -> np.ndarray:
         """The score of every text's most toxic window."""
         if len(self.known) > CACHE:
             self._clear()
@@ -345,8 +369,6 @@ def _picked(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, labe
 def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic",
           train_docs: int = TRAIN_DOCS) -> tuple[Network, np.ndarray] | float:
     """(network, log odds of the word buckets); a constant score if fewer than two labels are there."""
-    from ridegrid.llm.common import stage
-
     rows = stage(_picked(docs, labels, text_col, id_col, label_col, train_docs), "toxic-train")
 
     def make_buckets():
@@ -381,11 +403,17 @@ def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
 
         return run
 
-    bags = map_texts(rows, make_windows, "windows array<string>", ["label"]).collect()  # at most 2 * train_docs * TRAIN_WINDOWS windows
-    bags.sort(key=lambda r: (r.label, r.windows))
-    windows = [w.split() for r in bags for w in r.windows]
-    owner = np.repeat(np.arange(len(bags)), [len(r.windows) for r in bags])
-    net = fit(windows, owner, np.array([r.label for r in bags], float), odds)
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bags = sorted((row["label"], row["windows"]) for b in batches for row in b.to_pylist())
+        windows = [w.split() for _, own in bags for w in own]
+        owner = np.repeat(np.arange(len(bags)), [len(own) for _, own in bags])
+        net = fit(windows, owner, np.array([label for label, _ in bags], float), odds)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net.p)], pa.binary())], names=["model"])
+
+    # At most 2 * train_docs rows of TRAIN_WINDOWS windows are learned from, in one task.
+    bags = map_texts(rows, make_windows, "windows array<string>", ["label"])
+    net = Network()
+    net.p = pickle.loads(bags.repartition(1).mapInArrow(train, "model binary").first().model)
     return net, log_odds(toxic, clean, totals[1], totals[0])
 
 
