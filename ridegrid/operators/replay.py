@@ -22,9 +22,9 @@ logs (existence, status).  Requests are decided in rounds from *two-sided bounds
 
 Whatever both bounds agree on is decided.  The earliest open request always is, so
 every round makes progress; the number of rounds is the length of the longest chain of
-requests whose outcomes really hinge on each other.  A round is two block-split prefix passes
-(by vehicle and by user, side by side over the written rows), one aggregate by trip, joins by RequestID, and one write;
-between two of them the wallets alone are passed once more.  No key's requests are gathered in one place.
+requests whose outcomes really hinge on each other.  A round is one statement: passes by vehicle and by user, one aggregate by
+trip, one write.  Rows are dealt by key and block of ``ID_BLOCK`` ids; a batch of several blocks adds the totals
+of a key's earlier blocks, so a key with a third of all requests is spread over as many tasks as it spans blocks.
 
 Technicians are then dispatched over the accepted reports and completions (``operators.dispatch``).
 """
@@ -58,6 +58,7 @@ NO_TRIP = "Trip not found"
 EMAIL_TAKEN = "Email already registered"
 
 _FIRST = -(1 << 60)  # before every RequestID
+ID_BLOCK = 1 << 20
 
 
 class Replay:
@@ -180,162 +181,160 @@ def _loop_rows(all_: DataFrame, trips: DataFrame) -> DataFrame:
 
 _FREES, _TAKES = ("end", "cancel", "complete"), ("book", "report")
 
-
-def _vehicle_marks(rows: DataFrame) -> DataFrame:
-    """Latest sure / possible event before each request on its vehicle."""
-    here = rows.where(F.col("__veh").isNotNull() & _is(*_FREES, *_TAKES)).select("RequestID", "Kind", "__veh", "__out", "__dead", "__then")
-    rid, open_, sure = F.col("RequestID"), F.col("__out").isNull(), E.holds(F.col("__out"))
-    possible = open_ & ~F.col("__dead") & F.col("__then").isNull()
-    marks = prefix_aggs(here, ["__veh"], "RequestID", {
-        "__freed": ("max", F.when(sure & _is(*_FREES), rid)), "__took": ("max", F.when(sure & _is(*_TAKES), rid)),
-        "__may_free": ("max", F.when(open_ & _is(*_FREES), rid)), "__may_take": ("max", F.when(possible & _is(*_TAKES), rid))})
-    return marks.select("RequestID", "__freed", "__took", "__may_free", "__may_take")
-
-
-def _wallet_bounds(rows: DataFrame) -> DataFrame:
-    """Bounds of what each request's user gained before it, and the latest sure and possible purchase."""
-    here = rows.where(F.col("__usr").isNotNull() & _is("book", "cancel", "topup", "purchase")).select(
-        "RequestID", "Kind", "__usr", "__out", "__dead", "__amt", "__lo", "__hi", "__plandisc")
-    open_, sure, zero = F.col("__out").isNull(), E.holds(F.col("__out")), _wide(F.lit(0))
-    low = (F.when(_is("book"), -F.col("__hi")).when(_is("cancel"), F.col("__lo")).when(_is("topup"), F.col("__amt")).otherwise(-F.col("__amt")))
-    high = (F.when(_is("book"), -F.col("__lo")).when(_is("cancel"), F.col("__hi")).when(_is("topup"), F.col("__amt")).otherwise(-F.col("__amt")))
-    maybe = open_ & ~F.col("__dead")
-    sums = prefix_aggs(here, ["__usr"], "RequestID", {
-        "__gain_lo": ("sum", F.when(sure, low).when(maybe, F.least(low, zero))),
-        "__gain_hi": ("sum", F.when(sure, high).when(maybe, F.greatest(high, zero))),
-        "__plan": ("max", F.when(sure & _is("purchase"), F.struct("RequestID", "__plandisc"))),
-        "__may_plan": ("max", F.when(open_ & _is("purchase"), F.col("RequestID")))})
-    return sums.select("RequestID", "__gain_lo", "__gain_hi", "__plan", "__may_plan")
-
-
-def _targets(rows: DataFrame) -> DataFrame:
-    """Per trip or log: whether it is made, its price, and the cancellation that counts."""
-    open_, sure = F.col("__out").isNull(), E.holds(F.col("__out"))
-    maker = _is("book", "report")
-    return rows.where(F.col("__key").isNotNull() & _is("book", "report", "cancel")).groupBy("__key").agg(
-        F.max(F.when(maker, F.when(open_, 1).when(sure, 2).otherwise(0))).alias("__state"),
-        F.max(F.when(_is("book"), F.col("__lo"))).alias("__klo"), F.max(F.when(_is("book"), F.col("__hi"))).alias("__khi"),
-        F.min(F.when(_is("cancel") & (open_ | sure), F.col("RequestID"))).alias("__m"),
-        F.min(F.when(_is("cancel") & sure, F.col("RequestID"))).alias("__closed"))
-
-
-def _made() -> Column:
-    """2 surely, 1 possibly, 0 not: the trip or log of this request."""
-    return F.when(F.col("__target") == 2, 2).when(F.col("__target") == 0, 0).otherwise(F.coalesce("__state", F.lit(0)))
-
-
-def _holding(rows: DataFrame) -> DataFrame:
-    """Bounds of the ongoing trips that a reporting user holds on the vehicle. ``rows`` carry the trip columns."""
-    one, nil, rid = F.lit(1), F.lit(0), F.col("RequestID")
-    open_, sure = F.col("__out").isNull(), E.holds(F.col("__out"))
-    counted = F.col("__counted")
-    low_open, high_open = counted & (F.col("__made") == 2), counted & (F.col("__made") > 0)
-    low = (F.when(_is("book"), F.when(sure, one).otherwise(nil))
-           .when(_is("cancel") & (rid == F.col("__m")), F.when(low_open, -one).otherwise(nil))
-           .when(_is("end") & (rid == F.col("__e")) & F.col("__m").isNull(), F.when(low_open, -one).otherwise(nil)))
-    high = (F.when(_is("book"), F.when(sure | (open_ & ~F.col("__dead")), one).otherwise(nil))
-            .when(_is("cancel") & (rid == F.col("__closed")), F.when(high_open, -one).otherwise(nil))
-            .when(_is("end") & (rid == F.col("__e")) & F.col("__closed").isNull(), F.when(high_open, -one).otherwise(nil)))
-    held = prefix_aggs(rows.where(F.col("__pair").isNotNull()), ["__pair"], "RequestID", {"__held_lo": ("sum", low), "__held_hi": ("sum", high)})
-    return held.where(_is("report")).select("RequestID", "__held_lo", "__held_hi")
-
-
-def _decide(p: DataFrame, columns: list[str], held: bool) -> DataFrame:
-    """New outcome, reason and price bounds of each request."""
-    first = F.lit(_FIRST)
-    freed = F.coalesce("__freed", F.when(F.col("__free0"), first).otherwise(first - 1))
-    took = F.coalesce("__took", F.when(F.col("__free0"), first - 1).otherwise(first))
-    is_free = (freed > took) & (freed > F.coalesce("__may_take", first - 2))
-    is_taken = (took > freed) & (took > F.coalesce("__may_free", first - 2))
-
-    # Prices: exact once no open purchase lies between the last sure one and the booking.
-    plan_known = E.holds(F.col("__plan.RequestID") > F.col("__may_plan")) | F.col("__may_plan").isNull()
-    disc = F.when(F.col("__has_user"), F.coalesce("__plan.__plandisc", "__disc0")).otherwise(F.lit(E.NO_DISCOUNT).cast(RATE))
-    price = _price(disc)
-    lo = F.when(_is("book") & plan_known, price).when(_is("cancel") & (F.col("__target") == 1), F.coalesce("__klo", "__lo")).otherwise(F.col("__lo"))
-    hi = F.when(_is("book") & plan_known, price).when(_is("cancel") & (F.col("__target") == 1), F.coalesce("__khi", "__hi")).otherwise(F.col("__hi"))
-    p = p.withColumns({"__lo": lo, "__hi": hi, "__free": is_free, "__taken": is_taken,
-                       "__bal_lo": F.col("__bal0") + F.coalesce("__gain_lo", F.lit(0)), "__bal_hi": F.col("__bal0") + F.coalesce("__gain_hi", F.lit(0))})
-    lo, hi, b_lo, b_hi = (F.col(c) for c in ("__lo", "__hi", "__bal_lo", "__bal_hi"))
-    top = _wide(MONEY_MAX if isinstance(MONEY_MAX, Column) else F.lit(MONEY_MAX))
-    purse = F.col("__has_user") & F.col("__bal0").isNotNull()
-    over, fits = (lo > top) | (hi < -top), (hi <= top) & (lo >= -top)
-    poor, rich = purse & (b_hi < lo), ~purse | (b_lo >= hi)
-    big, not_big = purse & (b_lo - hi > top), ~purse | (b_hi - lo <= top)
-    missing = first_failure((~F.col("__has_user"), FK_REASON.format("UserID")), (~F.col("__has_station"), FK_REASON.format("StartStationID")))
-    yes, no, unknown = F.lit(True), F.lit(False), F.lit(None).cast("boolean")
-
-    def verdict(*cases: tuple[Column, Column, Column | None]) -> Column:
-        """First case that holds: (condition, outcome, reason)."""
-        expr = None
-        for cond, outcome, reason in cases:
-            pair = F.struct(outcome.alias("out"), (reason if reason is not None else F.lit(None).cast("string")).alias("why"))
-            expr = F.when(E.holds(cond), pair) if expr is None else expr.when(E.holds(cond), pair)
-        return expr.otherwise(F.struct(unknown.alias("out"), F.lit(None).cast("string").alias("why")))
-
-    book = verdict(
-        (F.col("__taken"), no, F.lit(B.NOT_AVAILABLE)),
-        (F.col("__free") & over, no, F.lit(OUT_OF_RANGE)),
-        (F.col("__free") & fits & poor, no, F.lit(B.NO_BALANCE)),
-        (F.col("__free") & fits & rich & big, no, F.lit(OUT_OF_RANGE)),
-        (F.col("__free") & fits & rich & not_big, missing.isNull(), missing))
-    dead = ~F.col("__has_user") | ~F.col("__has_station") | over | poor | big
-    cancel = verdict(
-        (F.col("__made") == 0, no, None),
-        ((F.col("__made") == 2) & (F.col("__closed") < F.col("RequestID")), no, F.lit(NOT_ONGOING)),
-        ((F.col("__made") == 2) & (F.col("__m") == F.col("RequestID")) & (~purse | (b_hi + hi <= top)), yes, None),
-        ((F.col("__made") == 2) & (F.col("__m") == F.col("RequestID")) & purse & (b_lo + lo > top), no, F.lit(OUT_OF_RANGE)))
-    topup = verdict((b_hi + F.col("__amt") <= top, yes, None), (b_lo + F.col("__amt") > top, no, F.lit(OUT_OF_RANGE)))
-    purchase = verdict((b_lo >= F.col("__amt"), yes, None), (b_hi < F.col("__amt"), no, F.lit(NO_FUNDS)))
-    if held:
-        ongoing_lo, ongoing_hi = (F.col("__open0") + F.coalesce(c, F.lit(0)) for c in ("__held_lo", "__held_hi"))
-        report = verdict((ongoing_lo > 0, F.col("__then").isNull(), F.col("__then")), (ongoing_hi <= 0, no, F.lit(M.NOT_YOUR_VEHICLE)))
-    else:
-        report = verdict((F.lit(False), no, None))
-    end = verdict((F.col("__made") == 2, yes, None), (F.col("__made") == 0, no, None))
-    complete = verdict((F.col("__made") == 2, yes, None), (F.col("__made") == 0, no, F.lit(NO_ASSIGNMENT)))
-    new = (F.when(_is("book"), book).when(_is("cancel"), cancel).when(_is("topup"), topup).when(_is("purchase"), purchase)
-           .when(_is("report"), report).when(_is("end"), end).otherwise(complete))
-    p = p.withColumn("__new", F.when(F.col("__out").isNull(), new))
-    return p.withColumns({
-        "__out": F.coalesce("__out", "__new.out"), "Reason": F.coalesce("Reason", "__new.why"),
-        "__dead": F.col("__dead") | (_is("book") & E.holds(dead))}).select(*columns)
-
-
-_MARKS = ["__freed", "__took", "__may_free", "__may_take", "__made", "__m", "__closed", "__klo", "__khi"]
-
-
-def _round(rows: DataFrame, columns: list[str], reports: bool) -> DataFrame:
-    """All bounds anew, and what they decide."""
-    base = rows.select(*columns)
-    p = base.join(_targets(base), "__key", "left").withColumn("__made", _made())
-    held = _holding(p) if reports else None
-    p = p.join(_vehicle_marks(base), "RequestID", "left").join(_wallet_bounds(base), "RequestID", "left")
-    if held is not None:
-        p = p.join(held, "RequestID", "left")
-    return _decide(p, [*columns, *_MARKS], reports)
-
-
-def _wallets_again(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """The wallets' bounds anew; the other marks are those of the round before and still hold."""
-    return _decide(rows.join(_wallet_bounds(rows.select(*columns)), "RequestID", "left"), [*columns, *_MARKS], False)
-
-
-def decide_mixed(rows: DataFrame) -> tuple[DataFrame, int]:
-    """(RequestID, Kind, __key, __out, Reason, __lo) of every row, and the number of rounds."""
-    columns = rows.columns
+# A round is one SQL statement, so that Spark analyses it once.  Shorthands of its expressions:
+_SURE, _OPEN = "coalesce(__out, false)", "__out IS NULL"
+_FREEING, _TAKING = "Kind IN ('end', 'cancel', 'complete')", "Kind IN ('book', 'report')"
+_LOW = "CASE Kind WHEN 'book' THEN -__hi WHEN 'cancel' THEN __lo WHEN 'topup' THEN __amt WHEN 'purchase' THEN -__amt END"
+_HIGH = "CASE Kind WHEN 'book' THEN -__lo WHEN 'cancel' THEN __hi WHEN 'topup' THEN __amt WHEN 'purchase' THEN -__amt END"
+_COUNTS = "__counted AND __made = 2", "__counted AND __made > 0"
+
+#: Latest sure / possible event before each request on its vehicle.
+_VEHICLE = {
+    "__freed": ("max", f"CASE WHEN {_SURE} AND {_FREEING} THEN RequestID END"),
+    "__took": ("max", f"CASE WHEN {_SURE} AND {_TAKING} THEN RequestID END"),
+    "__may_free": ("max", f"CASE WHEN {_OPEN} AND {_FREEING} THEN RequestID END"),
+    "__may_take": ("max", f"CASE WHEN {_OPEN} AND NOT __dead AND __then IS NULL AND {_TAKING} THEN RequestID END")}
+#: Bounds of what each request's user gained before it, and the latest sure and possible purchase.
+_WALLET = {
+    "__gain_lo": ("sum", f"CASE WHEN {_SURE} THEN {_LOW} WHEN {_OPEN} AND NOT __dead THEN least({_LOW}, 0) END"),
+    "__gain_hi": ("sum", f"CASE WHEN {_SURE} THEN {_HIGH} WHEN {_OPEN} AND NOT __dead THEN greatest({_HIGH}, 0) END"),
+    "__plan": ("max", f"CASE WHEN {_SURE} AND Kind = 'purchase' THEN struct(RequestID, __plandisc) END"),
+    "__may_plan": ("max", f"CASE WHEN {_OPEN} AND Kind = 'purchase' THEN RequestID END")}
+#: Bounds of the ongoing trips that a reporting user holds on the vehicle.
+_HOLDING = {
+    "__held_lo": ("sum", f"""CASE WHEN Kind = 'book' THEN int({_SURE}) WHEN Kind = 'cancel' AND RequestID = __m AND {_COUNTS[0]} THEN -1
+        WHEN Kind = 'end' AND RequestID = __e AND __m IS NULL AND {_COUNTS[0]} THEN -1 END"""),
+    "__held_hi": ("sum", f"""CASE WHEN Kind = 'book' THEN int({_SURE} OR ({_OPEN} AND NOT __dead))
+        WHEN Kind = 'cancel' AND RequestID = __closed AND {_COUNTS[1]} THEN -1
+        WHEN Kind = 'end' AND RequestID = __e AND __closed IS NULL AND {_COUNTS[1]} THEN -1 END""")}
+
+#: Per trip or log: whether it is made, its price, and the cancellation that counts.
+_TARGETS = f"""SELECT __key AS __k, max(CASE WHEN {_TAKING} THEN CASE WHEN {_OPEN} THEN 1 WHEN {_SURE} THEN 2 ELSE 0 END END) AS __state,
+    max(CASE WHEN Kind = 'book' THEN __lo END) AS __klo, max(CASE WHEN Kind = 'book' THEN __hi END) AS __khi,
+    min(CASE WHEN Kind = 'cancel' AND ({_OPEN} OR {_SURE}) THEN RequestID END) AS __m,
+    min(CASE WHEN Kind = 'cancel' AND {_SURE} THEN RequestID END) AS __closed
+  FROM {{rows}} WHERE __key IS NOT NULL AND Kind IN ('book', 'report', 'cancel') GROUP BY __key"""
+
+
+def _passed(source: str, key: str, kinds: str, marks: dict[str, tuple[str, str]], blocks: int, totals_from: str) -> str:
+    """``source`` with running ``marks`` per ``key`` in RequestID order (before the row).
+
+    Rows are dealt by key and block of ids; where the batch spans several blocks, the totals of a key's
+    earlier blocks are added.  Rows that have no such key are dealt each on its own.
+    """
+    # The exchange by (key, block) comes from the window; a hot key is dealt over its blocks.
+    own = f"CASE WHEN {key} IS NOT NULL AND {kinds} THEN string({key}) ELSE concat('-', RequestID) END"
+    over = f"OVER (PARTITION BY {own}, __blk ORDER BY RequestID ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    local = ", ".join(f"{fn}({value}) {over} AS {name}" for name, (fn, value) in marks.items())
+    if blocks == 1:
+        return f"SELECT *, {local} FROM {source}"
+    sums = ", ".join(f"{fn}({value}) AS {name}" for name, (fn, value) in marks.items())
+    before = "OVER (PARTITION BY o_key ORDER BY o_blk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    carried = ", ".join(f"{fn}({name}) {before} AS o{name}" for name, (fn, _) in marks.items())
+    both = ", ".join(f"coalesce(o{n}, 0) + coalesce({n}, 0) AS {n}" if fn == "sum" else f"greatest(o{n}, {n}) AS {n}" for n, (fn, _) in marks.items())
+    return f"""SELECT l.* EXCEPT ({", ".join(marks)}, __own), {both} FROM (SELECT *, {own} AS __own, {local} FROM {source}) l
+      LEFT JOIN (SELECT o_key, o_blk, {carried} FROM (SELECT string({key}) AS o_key, __blk AS o_blk, {sums} FROM {totals_from}
+        WHERE {key} IS NOT NULL AND {kinds} GROUP BY {key}, __blk)) o ON o_key = __own AND o_blk = __blk"""
+
+
+def _decided(source: str, columns: list[str]) -> str:
+    """``source`` with new outcome, reason and price bounds of each request."""
+    text = "'{}'".format
+    esc = {k: text(v.replace("'", "\\'")) for k, v in {
+        "taken": B.NOT_AVAILABLE, "range": OUT_OF_RANGE, "poor": B.NO_BALANCE, "user": FK_REASON.format("UserID"),
+        "station": FK_REASON.format("StartStationID"), "closed": NOT_ONGOING, "funds": NO_FUNDS, "ride": M.NOT_YOUR_VEHICLE,
+        "log": NO_ASSIGNMENT}.items()}
+    price = ("CAST((__rate * DurationHours) * (1 - CASE WHEN __has_user THEN coalesce(__plan.__plandisc, __disc0) "
+             f"ELSE CAST({E.NO_DISCOUNT} AS DECIMAL(5,2)) END) AS {WIDE})")
+    keep = [c for c in columns if c not in ("__out", "Reason", "__lo", "__hi", "__dead")]
+
+    def case(*whens: tuple[str, str, str]) -> str:
+        return "CASE " + " ".join(f"WHEN {cond} THEN struct({out} AS out, string({why}) AS why)" for cond, out, why in whens) + " END"
+
+    book = case(("__taken", "false", esc["taken"]), ("__free AND __over", "false", esc["range"]),
+                ("__free AND __fits AND __poor", "false", esc["poor"]), ("__free AND __fits AND __rich AND __big", "false", esc["range"]),
+                ("__free AND __fits AND __rich AND __small AND NOT __has_user", "false", esc["user"]),
+                ("__free AND __fits AND __rich AND __small AND NOT __has_station", "false", esc["station"]),
+                ("__free AND __fits AND __rich AND __small", "true", "NULL"))
+    counts = "__made = 2 AND __m = RequestID"
+    cancel = case(("__made = 0", "false", "NULL"), ("__made = 2 AND __closed < RequestID", "false", esc["closed"]),
+                  (f"{counts} AND (NOT __purse OR __bal_hi + __hi <= {MONEY_MAX})", "true", "NULL"),
+                  (f"{counts} AND __purse AND __bal_lo + __lo > {MONEY_MAX}", "false", esc["range"]))
+    topup = case((f"__bal_hi + __amt <= {MONEY_MAX}", "true", "NULL"), (f"__bal_lo + __amt > {MONEY_MAX}", "false", esc["range"]))
+    purchase = case(("__bal_lo >= __amt", "true", "NULL"), ("__bal_hi < __amt", "false", esc["funds"]))
+    report = case(("__open0 + coalesce(__held_lo, 0) > 0", "__then IS NULL", "__then"), ("__open0 + coalesce(__held_hi, 0) <= 0", "false", esc["ride"]))
+    end = case(("__made = 2", "true", "NULL"), ("__made = 0", "false", "NULL"))
+    complete = case(("__made = 2", "true", "NULL"), ("__made = 0", "false", esc["log"]))
+    return f"""
+      SELECT {", ".join(keep)}, __blk, __lo, __hi, coalesce(__out, __new.out) AS __out, coalesce(Reason, __new.why) AS Reason,
+        __dead OR (Kind = 'book' AND coalesce(NOT __has_user OR NOT __has_station OR __over OR __poor OR __big, false)) AS __dead
+      FROM (SELECT *, CASE WHEN __out IS NULL THEN CASE Kind WHEN 'book' THEN {book} WHEN 'cancel' THEN {cancel} WHEN 'topup' THEN {topup}
+          WHEN 'purchase' THEN {purchase} WHEN 'report' THEN {report} WHEN 'end' THEN {end} ELSE {complete} END END AS __new
+      FROM (SELECT *, __lo > {MONEY_MAX} OR __hi < -{MONEY_MAX} AS __over, __hi <= {MONEY_MAX} AND __lo >= -{MONEY_MAX} AS __fits,
+          __purse AND __bal_hi < __lo AS __poor, NOT __purse OR __bal_lo >= __hi AS __rich, __purse AND __bal_lo - __hi > {MONEY_MAX} AS __big,
+          NOT __purse OR __bal_hi - __lo <= {MONEY_MAX} AS __small
+      FROM (SELECT * EXCEPT (__lo, __hi, __price),
+          CASE WHEN Kind = 'book' AND __known THEN __price WHEN Kind = 'cancel' AND __target = 1 THEN coalesce(__klo, __lo) ELSE __lo END AS __lo,
+          CASE WHEN Kind = 'book' AND __known THEN __price WHEN Kind = 'cancel' AND __target = 1 THEN coalesce(__khi, __hi) ELSE __hi END AS __hi,
+          __last_free > __last_take AND __last_free > coalesce(__may_take, {_FIRST - 2}) AS __free,
+          __last_take > __last_free AND __last_take > coalesce(__may_free, {_FIRST - 2}) AS __taken
+      FROM (SELECT *, coalesce(__plan.RequestID > __may_plan, false) OR __may_plan IS NULL AS __known, coalesce({price}, 0) AS __price,
+          coalesce(__freed, CASE WHEN __free0 THEN {_FIRST} ELSE {_FIRST - 1} END) AS __last_free,
+          coalesce(__took, CASE WHEN __free0 THEN {_FIRST - 1} ELSE {_FIRST} END) AS __last_take,
+          __has_user AND __bal0 IS NOT NULL AS __purse, __bal0 + coalesce(__gain_lo, 0) AS __bal_lo, __bal0 + coalesce(__gain_hi, 0) AS __bal_hi
+      FROM ({source})))))"""
+
+
+_PAYING = "Kind IN ('book', 'cancel', 'topup', 'purchase')"
+_AGAIN = 3  # passes by vehicle and by user in one statement
+
+
+def _made_now(columns: list[str]) -> str:
+    """``{rows}`` with the state of their trips and logs, ends and completions decided by it."""
+    made = "CASE __target WHEN 2 THEN 2 WHEN 0 THEN 0 ELSE coalesce(__state, 0) END AS __made"
+    reason = f"CASE WHEN __out IS NULL AND Kind = 'complete' AND __made = 0 THEN '{NO_ASSIGNMENT}' ELSE Reason END AS Reason"
+    out = "CASE WHEN __out IS NULL AND Kind IN ('end', 'complete') AND __made <> 1 THEN __made = 2 ELSE __out END AS __out"
+    return f"""SELECT * EXCEPT (__out, Reason), {out}, {reason} FROM (
+      SELECT {", ".join("r." + c for c in columns)}, r.__blk, t.__klo, t.__khi, t.__m, t.__closed, {made}
+      FROM {{rows}} r LEFT JOIN ({_TARGETS}) t ON r.__key = t.__k)"""
+
+
+def _passes(source: str, columns: list[str], reports: bool, blocks: int) -> str:
+    """All bounds of ``source`` anew, and what they decide."""
+    p = _passed(source, "__veh", f"({_FREEING} OR {_TAKING})", _VEHICLE, blocks, source)
+    p = _passed(f"({p})", "__usr", _PAYING, _WALLET, blocks, source)
+    p = _passed(f"({p})", "__pair", "true", _HOLDING, blocks, source) if reports else f"SELECT *, 0 AS __held_lo, 1 AS __held_hi FROM ({p})"
+    return _decided(p, columns)
+
+
+def decide_mixed(rows: DataFrame, block: int = ID_BLOCK) -> tuple[DataFrame, int]:
+    """(RequestID, Kind, __key, __out, Reason, __price) of every row, and the number of rounds.
+
+    ``block``: ids per block; no window holds more rows of one key.
+    """
+    columns, spark = rows.columns, rows.sparkSession
+    rows = materialize(rows.withColumn("__blk", F.floor(F.col("RequestID") / block)), "replay-rows")
+    waiting = _is("report") & F.col("__out").isNull()
+    facts = rows.agg(F.count_if(waiting).alias("reports"), (F.max("__blk") - F.min("__blk") + 1).alias("blocks")).first()
+    made, reports, blocks = _made_now(columns), facts.reports > 0, facts.blocks or 1
+    known = [*columns, "__made", "__m", "__closed", "__klo", "__khi"]
     open_ = F.col("__out").isNull() | (E.holds(F.col("__out")) & _is("book") & (F.col("__lo") != F.col("__hi")))
     rounds, left = 0, None
-    rows = materialize(rows, "replay-rows")
-    reports = not rows.where(_is("report") & F.col("__out").isNull()).isEmpty()
     while True:
         now = rows.where(open_).count()
-        if not now or (left is not None and now >= left and rounds > 1):
+        if not now:
             break
+        if left is not None and now >= left and rounds > 1:
+            raise RuntimeError(f"{now} requests stay undecided")
         rounds, left = rounds + 1, now
-        rows = materialize(_wallets_again(materialize(_round(rows, columns, reports), "replay-round"), columns), "replay-wallets")
-    if now:
-        raise RuntimeError(f"{now} requests stay undecided")
+        if blocks == 1:  # one statement: each pass reads the one before it alone
+            p = made
+            for _ in range(_AGAIN):
+                p = _passes(f"({p})", known, reports, 1)
+            rows = materialize(spark.sql(f"SELECT {', '.join(columns)}, __blk FROM ({p})", rows=rows), "replay-round")
+        else:  # the totals of earlier blocks are a second reader of the rows
+            rows = materialize(spark.sql(made, rows=rows), "replay-made")
+            rows = materialize(spark.sql(_passes("{rows}", columns, reports, blocks), rows=rows), "replay-round")
     return rows.select("RequestID", "Kind", "__key", "__out", "Reason", F.col("__lo").alias("__price")), rounds
 
 
@@ -380,14 +379,14 @@ def _registrations(r: DataFrame, users: DataFrame) -> DataFrame:
     return mine.select("RequestID", F.coalesce("__s", F.when(again, EMAIL_TAKEN)).alias("__why"))
 
 
-def replay_commands(requests: DataFrame, tables: dict[str, DataFrame], block: int = BLOCK) -> Replay:
+def replay_commands(requests: DataFrame, tables: dict[str, DataFrame], block: int = BLOCK, id_block: int = ID_BLOCK) -> Replay:
     """Decide a mixed batch; see the module text.
 
     ``requests``: RequestID (unique), RequestTime, Kind, UserID, user_role, VehicleID, StationID, DurationHours,
     TripID, LogID, PlanID, Ref, amount, IssueReported, rating, comment, name, email, password.
     """
     all_ = materialize(prepare(requests, tables), "replay-requests")
-    decided, rounds = decide_mixed(_loop_rows(all_.where(~_is("register", "review")), tables["trips"]))
+    decided, rounds = decide_mixed(_loop_rows(all_.where(~_is("register", "review")), tables["trips"]), id_block)
     r = materialize(_late_reasons(all_, decided), "replay-reasons")
     late = _reviews(r, tables["reviews"]).unionByName(_registrations(r, tables["users"]))
     r = r.join(late, "RequestID", "left").withColumn("Reason", F.coalesce("Reason", "__why")).withColumn(

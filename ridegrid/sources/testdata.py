@@ -38,17 +38,20 @@ class TestData:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
-        self._counts: dict[str, Column] = {}
+        self._counts: dict[str, int] = {}
 
     # -- raw source tables -------------------------------------------------
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.schema(SOURCE_SCHEMAS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
     def _count(self, name: str, plus: int = 0) -> Column:
-        """Row count of a source table as a scalar subquery Column, the same one at every call."""
+        """Row count of a source table (read from the file footers, once per instance) as a literal.
+
+        As a scalar subquery it would be planned again in every feed and every reference that uses it.
+        """
         if name not in self._counts:
-            self._counts[name] = self.raw(name).select(F.count(F.lit(1))).scalar()
-        return self._counts[name] + F.lit(plus)
+            self._counts[name] = self.raw(name).count()
+        return F.lit(self._counts[name] + plus).cast("bigint")
 
     def _events(self, event_type: str) -> DataFrame:
         return self.raw("events").where(F.col("event_type") == event_type)
