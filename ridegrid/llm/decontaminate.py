@@ -20,6 +20,8 @@ clean.  Rows that repeat are each reported.  Only the named columns are read.
 
 from __future__ import annotations
 
+import uuid
+from functools import partial
 from itertools import repeat
 
 import numpy as np
@@ -54,6 +56,7 @@ class TestSuffixes:
         self.window = window
         self.vocab: dict[bytes, int] = {}
         self.names: list[str] = []
+        self._items: dict[tuple[int, int], frozenset] = {}
         seen: dict[tuple[int, ...], list[tuple[int, int]]] = {}
         for name, text in items:
             ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)]
@@ -76,8 +79,12 @@ class TestSuffixes:
         """Rows of big-endian ids as byte strings, whose order is the order of the id sequences."""
         return np.ascontiguousarray(rows).view(f"S{4 * self.window}").ravel()
 
-    def search(self, texts: list[str | None]) -> dict[str, list]:
-        """Matches of all test suffixes in the shard made of ``texts``."""
+    def search(self, texts: list[str | None], places: bool = True) -> dict[str, list]:
+        """Matches of all test suffixes in the shard made of ``texts``.
+
+        Hit words and items come from window numbers alone.  Only with ``places`` every occurrence is laid against
+        every place of its window in the items, to give the longest matches; on periodic texts and items that is their product.
+        """
         get, flat, starts, counts, at = self.vocab.get, [np.zeros(1, np.int32)], [], [], 1
         for text in texts:
             words = words_of(text)
@@ -91,9 +98,16 @@ class TestSuffixes:
         begin = np.asarray(starts, dtype=np.int64)
         cover = np.zeros(len(ids) + 1, np.int32)
         pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]] = []
+        items: list[set] = [set() for _ in texts]
         for size, pos, window_ids, holders in found:
-            np.add.at(cover, pos, 1)
-            np.add.at(cover, pos + size, -1)
+            cover += np.bincount(pos, minlength=len(cover)).astype(np.int32)
+            cover -= np.bincount(pos + size, minlength=len(cover)).astype(np.int32)
+            doc = np.searchsorted(begin, pos, "right") - 1
+            once = np.unique(doc * len(holders) + window_ids)  # each window of a document once
+            for d, w in zip((once // len(holders)).tolist(), (once % len(holders)).tolist(), strict=True):
+                items[d].update(self.items_of(holders, size, w))
+            if not places:
+                continue
             many = np.fromiter(map(len, holders), np.int64, len(holders))
             flat_holders = np.asarray([h for hs in holders for h in hs], dtype=np.int64).reshape(-1, 2)
             first = np.concatenate([[0], np.cumsum(many)])
@@ -107,7 +121,6 @@ class TestSuffixes:
         spans: list[list] = [[] for _ in range(n)]
         for (a, b), d in zip(edges.tolist(), (np.searchsorted(begin, edges[:, 0], "right") - 1).tolist(), strict=True):
             spans[d].append({"begin": a - starts[d], "end": b - starts[d]})
-        names: list[set] = [set() for _ in range(n)]
         matches: list[list] = [[] for _ in range(n)]
         for pos, item, where, size in pairs:
             if not len(pos):
@@ -121,13 +134,19 @@ class TestSuffixes:
             docs = np.searchsorted(begin, pos[heads], "right") - 1
             for d, p, i, w, r in zip(docs.tolist(), pos[heads].tolist(), item[heads].tolist(),
                                      where[heads].tolist(), runs.tolist(), strict=True):
-                names[d].add(self.names[i])
                 matches[d].append({"item_id": self.names[i], "doc_word": p - starts[d], "item_word": w, "words": r + size - 1})
         return {
             "n_words": counts, "n_hit": [sum(s["end"] - s["begin"] for s in x) for x in spans],
-            "item_ids": [sorted(x) for x in names], "spans": spans, "matches": matches,
+            "item_ids": [sorted({self.names[i] for i in x}) for x in items], "spans": spans, "matches": matches,
         }
 
+    def items_of(self, holders: list[list[tuple[int, int]]], size: int, window: int) -> frozenset:
+        """Numbers of the items that hold a window, remembered."""
+        known = self._items.get((size, window))
+        if known is None:
+            known = self._items[size, window] = frozenset(item for item, _ in holders[window])
+        return known
+
     def _occurrences(self, ids: np.ndarray):
         """(window length, positions, window number at each, holders by window) found in the suffix array."""
         if not self.lengths:
@@ -157,40 +176,54 @@ class TestSuffixes:
 
 
 def blocks(bench: DataFrame, text_col: str = "text", id_col: str = "item_id", block_bytes: int = BLOCK_BYTES) -> list:
-    """The benchmark as broadcasts of bounded size."""
+    """The benchmark as broadcasts of bounded size: more blocks, until none holds more than ``block_bytes`` and one item."""
     spark = bench.sparkSession
     items = bench.select(F.col(id_col).cast("string").alias("name"), F.col(text_col).cast("string").alias("text")).distinct()
+    items = stage(items, "decon-items")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 + 2 * total // block_bytes  # half full on average
-    keyed = items.withColumn("block", F.pmod(F.xxhash64("name", "text"), F.lit(n)))
+    while True:
+        keyed = items.withColumn("block", F.pmod(F.xxhash64("name", "text"), F.lit(n)))
+        sizes = keyed.groupBy("block").agg(F.sum(F.octet_length("text")).alias("size"), F.max(F.octet_length("text")).alias("largest"))
+        if sizes.where(F.col("size") > block_bytes + F.col("largest")).isEmpty():
+            break
+        n *= 2
     out = []
     for b in range(n):
-        part = keyed.where(F.col("block") == b)
-        size, largest = part.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
-        if (size or 0) > block_bytes + (largest or 0):
-            raise ValueError(f"benchmark block {b} holds {size} bytes, more than {block_bytes}")
-        rows = [(r.name_, r.text) for r in part.select(F.col("name").alias("name_"), "text").collect()]
+        rows = [(r.name_, r.text) for r in keyed.where(F.col("block") == b).select(F.col("name").alias("name_"), "text").collect()]
         out.append(spark.sparkContext.broadcast(rows))
     return out
 
 
-def _searcher(block, window: int):
-    return lambda: TestSuffixes(sorted(block.value, key=str), window).search
+_indexes: dict[tuple[str, int], TestSuffixes] = {}
+
+
+def _searcher(block, window: int, places: bool):
+    """What a task calls once; the index of a benchmark block is built once per worker process (one is kept)."""
+    name = (uuid.uuid4().hex, window)
+
+    def make():
+        if name not in _indexes:
+            _indexes.clear()
+            _indexes[name] = TestSuffixes(sorted(block.value, key=str), window)
+        return partial(_indexes[name].search, places=places)
+
+    return make
 
 
 def contamination(
     docs: DataFrame, bench: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = WINDOW,
-    bench_text: str = "text", bench_id: str = "item_id", block_bytes: int = BLOCK_BYTES,
+    bench_text: str = "text", bench_id: str = "item_id", block_bytes: int = BLOCK_BYTES, places: bool = True,
 ) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, item_ids, spans (hit words), matches (longest, with locations)."""
+    """One row per document: doc_id, n_words, n_hit, item_ids, spans (hit words), matches (longest, with locations; none without ``places``)."""
     parts = blocks(bench, bench_text, bench_id, block_bytes)
     slim = id_text(docs, text_col, id_col, keep_null=True)
     if len(parts) == 1:
-        return map_texts(slim, _searcher(parts[0], window), SCHEMA, ["doc_id"])
+        return map_texts(slim, _searcher(parts[0], window, places), SCHEMA, ["doc_id"])
     pinned = stage(slim.withColumn("rid", F.monotonically_increasing_id()), "decon-docs")
     found = None
     for part in parts:
-        one = map_texts(pinned, _searcher(part, window), SCHEMA, ["rid", "doc_id"])
+        one = map_texts(pinned, _searcher(part, window, places), SCHEMA, ["rid", "doc_id"])
         found = one if found is None else found.union(one)
     merged = found.groupBy("rid", "doc_id", "n_words").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
@@ -222,8 +255,8 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text",
     out = docs
     for part in blocks(bench, bench_text, bench_id, block_bytes):
 
-        def make(part=part):
-            search = TestSuffixes(sorted(part.value, key=str), window).search
+        def make(ready=_searcher(part, window, False)):
+            search = ready()
 
             def clean(texts: list) -> list:
                 keep, begin = [], 0

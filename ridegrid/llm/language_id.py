@@ -24,18 +24,21 @@ Rows that repeat are each returned; only the named columns are read.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridegrid.llm.common import filter_rows, fold_of, id_text, map_texts
+from ridegrid.llm.common import fold_of, id_text, map_texts
 
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 400
 STRETCH = 256
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
+SURE = 0.6  # from this score on a prediction outweighs a declared language
 DENSE = 1 << 22  # entries of a transition table; larger ones are kept as sorted lists
 _CODES = 0x110000
 
@@ -233,24 +236,36 @@ def identify(docs: DataFrame, samples: list[tuple[str, str]] | None = None, text
                      chars=2_000_000)
 
 
-def drop_unidentified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
-    """Documents with an identified language, all columns; those that get ``und`` go."""
-    held = docs.sparkSession.sparkContext.broadcast(learn(docs, text_col, lang_col, id_col))
+def drop_unidentified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
+                      sure: float = SURE) -> DataFrame:
+    """Documents whose language is identified and is not another one than they declare, all columns.
 
-    def make():
-        predict = _parser(held.value).predict
+    Rejected are documents that get ``und``, and those whose declared language is
+    one of the learned ones while another is predicted with a score of at least ``sure``.  A document
+    that declares nothing is only asked to have a language.  If no row has a language to learn
+    from, nothing can be predicted and all documents stay.
+    """
+    samples = learn(docs, text_col, lang_col, id_col)
+    if not samples:
+        return docs
+    held = docs.sparkSession.sparkContext.broadcast(samples)
 
-        def keep(texts: list) -> list:
-            out, begin = [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict, learned = _parser(held.value).predict, {lang for lang, _ in held.value}
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            declared = batch.column(batch.schema.get_field_index(lang_col)).to_pylist()
+            keep, begin = [], 0
             while begin < len(texts):
                 end, size = begin, 0
                 while end < len(texts) and (end == begin or size + len(texts[end] or "") <= 2_000_000):
                     size += len(texts[end] or "")
                     end += 1
-                out += [lang != UNKNOWN for lang in predict(texts[begin:end])["lang_pred"]]
+                got = predict(texts[begin:end])
+                for lang, score, own in zip(got["lang_pred"], got["score"], declared[begin:end], strict=True):
+                    other = own is not None and str(own) in learned and lang != str(own) and score >= sure
+                    keep.append(lang != UNKNOWN and not other)
                 begin = end
-            return out
-
-        return keep
+            yield batch.filter(pa.array(keep, type=pa.bool_()))
 
-    return filter_rows(docs, make, text_col)
+    return docs.mapInArrow(run, docs.schema)

@@ -18,7 +18,8 @@ Built from DataFrame functions only.
   least ``PRECISION`` of the counted proposals are positive.
 
 Positions are in code points, end exclusive.  Matches of a pattern are placed
-by cutting the text at the same pattern and adding up lengths.
+by cutting the text at the same pattern and adding up lengths by a window over the text's matches; overlaps
+are found by windows over its spans in order.  So the cost is linear in the text and (but for sorting) in its matches.
 
 Defined results: null text counts as empty.  Rows that repeat are each
 returned.  An empty table, or one without proposals, adds no spans.  Only the
@@ -31,7 +32,7 @@ import math
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridegrid.llm.common import stage
@@ -54,6 +55,7 @@ PATTERNS = {
 #: A cheap test that every match of the pattern passes.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+", "secret": None, "number": None, "address": "@"}
 NAMES = r"(?i)(?:token|secret|passw(?:or)?d|api.?key|access.?key|auth)\W{1,6}$"
+SHORTEST = {"secret": 16, "number": 7, "address": 4}  # characters of a match
 CONTEXT = 24
 PRECISION = 0.9
 ROUNDS, SHRINK, LEAST = 24, 0.4, 4.0
@@ -73,22 +75,6 @@ def _cut(text: Column, kind: str) -> tuple[Column, Column]:
     )
 
 
-def _placed(kind: str, found: str, pieces: str) -> Column:
-    """Matches as (kind, begin, end, found)."""
-    each = F.zip_with(
-        F.col(found), F.slice(F.col(pieces), F.lit(1), F.size(found)),
-        lambda m, p: F.struct(F.char_length(p).alias("gap"), F.char_length(m).alias("size"), m.alias("found")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:int,begin:int,end:int,found:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        span = F.struct(F.lit(KINDS.index(kind)).alias("kind"), begin.alias("begin"), (begin + x["size"]).alias("end"), x["found"].alias("found"))
-        return F.struct((begin + x["size"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    return F.when(F.size(found) > 0, F.aggregate(each, start, step, lambda acc: acc["out"])).otherwise(
-        F.array().cast("array<struct<kind:int,begin:int,end:int,found:string>>"))
-
-
 def _digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
@@ -103,8 +89,7 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(digits))), F.lit(0), step) % 10 == 0
 
 
-def _valid(kind: str, span: Column) -> Column:
-    found = span["found"]
+def _valid(kind: str, found: Column) -> Column:
     if kind == "ip":
         return F.forall(F.split(found, r"\."), lambda x: x.rlike("^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"))
     if kind in ("card", "phone"):
@@ -115,14 +100,6 @@ def _valid(kind: str, span: Column) -> Column:
     return F.lit(True)
 
 
-def _check(kind: str):
-    return lambda span: _valid(kind, span)
-
-
-def _overlaps(a: Column, b: Column) -> Column:
-    return (a["begin"] < b["end"]) & (b["begin"] < a["end"])
-
-
 def _level(value: Column, *cuts: int) -> Column:
     """How many cuts the value reaches."""
     return reduce(lambda acc, c: acc + (value >= c).cast("int"), cuts, F.lit(0))
@@ -133,45 +110,87 @@ def _look(x: Column) -> Column:
     return F.when(x == "", 0).when(x.rlike(r"^\s$"), 1).when(x.rlike(r"^[\p{L}\p{N}]$"), 2).otherwise(3)
 
 
-def _features(text: Column, span: Column) -> Column:
-    found = span["found"]
+def _features(kind: int, found: Column, before: Column, after: Column) -> list[Column]:
     n = F.char_length(found)
-    before = F.substring(text, F.greatest(F.lit(1), span["begin"] - CONTEXT + 1), F.least(F.lit(CONTEXT), span["begin"]))
-    after = F.substring(text, span["end"] + 1, F.lit(1))
     digits = F.char_length(_digits(found))
     letters = F.char_length(F.regexp_replace(found, "[^A-Za-z]", ""))
     values = [
-        span["kind"] - len(BASE), _level(n, 10, 14, 17, 24, 36), _level(digits, 1, 7, 10, 14, 20),
+        F.lit(kind - len(BASE)), _level(n, 10, 14, 17, 24, 36), _level(digits, 1, 7, 10, 14, 20),
         _level(letters * 4 / n, 1, 3), F.least(F.lit(3), n - digits - letters),
         F.when(before.endswith('"') & after.startswith('"'), 2).when(before.endswith('"') | after.startswith('"'), 1).otherwise(0),
         before.rlike(r"[=:]\W{0,3}$").cast("int"),
         _look(F.right(before, F.lit(1))), _look(after),
     ]
-    return F.struct(
-        span["kind"].alias("kind"), span["begin"].alias("begin"), span["end"].alias("end"),
-        F.array(*[v.cast("int") for v in values]).alias("f"),
-        before.rlike(NAMES).alias("named"),
-    )
+    return [F.array(*[v.cast("int") for v in values]).alias("f"), before.rlike(NAMES).alias("named")]
+
+
+def _item(kind: int, found: Column, piece: Column, good: Column, f: list[Column]) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), F.char_length(piece).alias("gap"), F.char_length(found).alias("size"), good.alias("good"), *f)
+
+
+def _no_features() -> list[Column]:
+    return [F.lit(None).cast("array<int>").alias("f"), F.lit(False).alias("named")]
+
+
+def _items(df: DataFrame, kind: str) -> DataFrame:
+    """Replace the cut text of a kind by its matches in order, as ``i_<kind>``: gap to the match before, size, verdicts.
+
+    Everything is read from neighbouring pieces, passed side by side as arrays, so the cost is linear in the matches.
+    """
+    number, found, pieces = KINDS.index(kind), f"m_{kind}", f"p_{kind}"
+    rest = [c for c in df.columns if c not in (found, pieces)]
+    before = F.slice(F.col(pieces), F.lit(1), F.size(found))
+    if kind in BASE:
+        return df.select(*rest, F.zip_with(F.col(found), before, lambda m, p: _item(number, m, p, _valid(kind, m), _no_features())).alias(f"i_{kind}"))
+    back = -(-CONTEXT // SHORTEST[kind])  # so many earlier matches can lie in a match's context
+    df = df.select(*df.columns, F.transform(pieces, lambda p: F.right(p, F.lit(CONTEXT))).alias("pt"),
+                   F.transform(found, lambda m: F.right(m, F.lit(CONTEXT))).alias("mt"), F.transform(pieces, lambda p: F.left(p, F.lit(1))).alias("ph"),
+                   F.transform(found, lambda m: F.left(m, F.lit(1))).alias("mh"))
+    blank = F.lit("").cast("string")
+    shifted = []
+    for k in range(back + 1):
+        shifted.append(F.concat(F.array_repeat(blank, k), F.slice("pt", F.lit(1), F.size(found))).alias(f"p{k}"))
+        if k:
+            shifted.append(F.concat(F.array_repeat(blank, k), F.col("mt")).alias(f"m{k}"))
+    df = df.select(*rest, F.col(found).alias("m"), before.alias("p"), F.slice("ph", F.lit(2), F.size(found)).alias("next"),
+                   F.concat(F.slice("mh", F.lit(2), F.greatest(F.lit(1), F.size(found))), F.array(blank)).alias("then"), *shifted)
+    parts = [f"{c}{k}" for k in range(back, 0, -1) for c in ("p", "m")] + ["p0"]
+    names = ["m", "p", "next", "then", *parts]
+    df = df.select(*rest, F.arrays_zip(*[F.col(c) for c in names]).alias("z"), F.size("m").alias("many"))
+
+    def one(x: Column) -> Column:
+        ahead = F.right(F.concat(*[F.coalesce(x[c], blank) for c in parts]), F.lit(CONTEXT))
+        behind = F.when(x["next"] != "", x["next"]).otherwise(F.coalesce(x["then"], blank))
+        return _item(number, x["m"], x["p"], F.lit(True), _features(number, x["m"], ahead, behind))
+
+    return df.select(*rest, F.transform(F.slice("z", F.lit(1), F.col("many")), one).alias(f"i_{kind}"))
+
 
+def proposals(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(documents: rid, doc_id) and (spans: rid, kind, begin, end, f, named, taken).
 
-def proposals(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per document: doc_id, base spans, and proposals with features and rule verdict."""
+    Spans are valid base ones and all proposals; ``taken`` proposals overlap a base span.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    df = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    df = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), text.alias("text"))
     for kind in KINDS:
         found, pieces = _cut(F.col("text"), kind)
         df = df.withColumn(f"m_{kind}", found).withColumn(f"p_{kind}", pieces)
-    df = df.select("doc_id", "text", *[_placed(k, f"m_{k}", f"p_{k}").alias(f"s_{k}") for k in KINDS])
-    df = df.select(
-        "doc_id", "text",
-        F.concat(*[F.filter(F.col(f"s_{k}"), _check(k)) for k in BASE]).alias("base"),
-        F.concat(*[F.col(f"s_{k}") for k in ADDED]).alias("more"))
-    df = df.select("doc_id", "base", F.transform("more", lambda x: _features(F.col("text"), x)).alias("more"))
-    positive = F.transform("more", lambda x: F.struct(
-        x["kind"].alias("kind"), x["begin"].alias("begin"), x["end"].alias("end"), x["f"].alias("f"),
-        F.exists("base", lambda b: _overlaps(b, x)).alias("taken"), x["named"].alias("named")))
-    return df.select("doc_id", F.transform("base", lambda b: F.struct(
-        b["kind"].alias("kind"), b["begin"].alias("begin"), b["end"].alias("end"))).alias("base"), positive.alias("more"))
+        df = _items(df, kind)
+    marked = stage(df.select("rid", "doc_id", *[f"i_{k}" for k in KINDS]), "pii-matches")
+    each = F.explode(F.concat(*[F.transform(f"i_{k}", lambda x, i: F.struct(i.alias("i"), x.alias("x"))) for k in KINDS]))
+    rows = marked.select("rid", each.alias("y")).select("rid", "y.i", "y.x.*")
+    # One text's matches are one task's work, as the text itself is; both windows use this dealing.
+    upto = Window.partitionBy("rid", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.col("gap") + F.col("size")).over(upto).cast("int")
+    placed = rows.repartition("rid").withColumn("end", end).withColumn("begin", F.col("end") - F.col("size")).where("good")
+    base = F.col("kind") < len(BASE)
+    by = Window.partitionBy("rid").orderBy("begin", "kind")
+    last = F.max(F.when(base, F.col("end"))).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    following = F.min(F.when(base, F.col("begin"))).over(by.rowsBetween(0, Window.unboundedFollowing))
+    taken = F.coalesce(last > F.col("begin"), F.lit(False)) | F.coalesce(following < F.col("end"), F.lit(False))
+    spans = placed.select("rid", "kind", "begin", "end", "f", "named", (~base & taken).alias("taken"))
+    return marked.select("rid", "doc_id"), stage(spans, "pii-spans")
 
 
 class Boosted:
@@ -229,14 +248,14 @@ class Boosted:
 
         return reduce(lambda a, t: a + tree(t), self.trees, F.lit(self.bias))
 
-    def passes(self, x: Column) -> Column:
-        limit = F.element_at(F.array(*[F.lit(v) for v in self.limits]), F.get(x["f"], F.lit(0)) + 1)
-        return self.expression(x["f"]) >= limit
+    def passes(self, f: Column) -> Column:
+        limit = F.element_at(F.array(*[F.lit(v) for v in self.limits]), F.get(f, F.lit(0)) + 1)
+        return self.expression(f) >= limit
 
 
-def learn(found: DataFrame) -> Boosted:
+def learn(spans: DataFrame) -> Boosted:
     """Fit on all proposals of ``proposals()``, through the counts per distinct feature vector."""
-    each = found.select(F.explode("more").alias("x")).select("x.f", (F.col("x.taken") | F.col("x.named")).alias("yes"))
+    each = spans.where(F.col("kind") >= len(BASE)).select("f", (F.col("taken") | F.col("named")).alias("yes"))
     counts = each.groupBy("f").agg(F.sum(F.col("yes").cast("int")).alias("pos"), F.count(F.lit(1)).alias("n")).collect()
     if len(counts) > math.prod(RANGES):
         raise ValueError(f"{len(counts)} feature vectors, at most {math.prod(RANGES)} are possible")
@@ -247,18 +266,24 @@ def learn(found: DataFrame) -> Boosted:
 
 def find_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, base (spans), spans (base and selected ones; kind, begin, end)."""
-    found = stage(proposals(docs, text_col, id_col), "pii-proposals")
-    model = learn(found)
-    chosen = F.filter("more", lambda x: ~x["taken"] & (x["named"] | model.passes(x)))
-    bare = F.transform(chosen, lambda x: F.struct(x["begin"].alias("begin"), x["end"].alias("end"), x["kind"].alias("kind")))
-    df = found.select(
-        "doc_id", F.array_sort(F.transform("base", lambda x: F.struct(
-            x["begin"].alias("begin"), x["kind"].alias("kind"), x["end"].alias("end")))).alias("base"), bare.alias("extra"))
+    rows, spans = proposals(docs, text_col, id_col)
+    model = learn(spans)
+    base = F.col("kind") < len(BASE)
+    chosen = spans.where(base | (~F.col("taken") & (F.col("named") | model.passes(F.col("f")))))
     # Of selected spans that overlap, the generator listed first wins; base spans never overlap them.
-    kept = F.filter("extra", lambda x: ~F.exists(
-        "extra", lambda y: (y["kind"] < x["kind"]) & (y["begin"] < x["end"]) & (x["begin"] < y["end"])))
-    added = F.transform(kept, lambda x: F.struct(x["begin"].alias("begin"), x["kind"].alias("kind"), x["end"].alias("end")))
-    return df.select("doc_id", "base", F.array_sort(F.concat("base", added)).alias("spans"))
+    by = Window.partitionBy("rid").orderBy("begin", "kind")
+    beaten = F.lit(False)
+    for number in range(len(BASE) + 1, len(KINDS)):
+        first = F.col("kind").between(len(BASE), number - 1)
+        last = F.max(F.when(first, F.col("end"))).over(by.rowsBetween(Window.unboundedPreceding, 0))
+        following = F.min(F.when(first, F.col("begin"))).over(by.rowsBetween(0, Window.unboundedFollowing))
+        hit = F.coalesce(last > F.col("begin"), F.lit(False)) | F.coalesce(following < F.col("end"), F.lit(False))
+        beaten = beaten | ((F.col("kind") == number) & hit)
+    kept = chosen.withColumn("beaten", beaten).where(~F.col("beaten"))
+    span = F.struct("begin", "kind", "end")
+    per = kept.groupBy("rid").agg(F.array_sort(F.collect_list(F.when(base, span))).alias("base"), F.array_sort(F.collect_list(span)).alias("spans"))
+    none = F.array().cast("array<struct<begin:int,kind:int,end:int>>")
+    return rows.join(per, "rid", "left").select("doc_id", F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"))
 
 
 def _listing(spans: str) -> Column:

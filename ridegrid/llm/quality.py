@@ -7,7 +7,7 @@ learned from the document labels alone, sum the passage representations; a
 logistic layer scores the sum.
 
 Learning uses at most ``TRAIN_DOCS`` labelled documents per label (least hash
-of the id) and at most ``TRAIN_PASSAGES`` evenly spread passages of each; it
+of the id; of rows with one id the least text hash) and at most ``TRAIN_PASSAGES`` evenly spread passages of each; it
 runs in numpy on their features.  Scoring reads every passage of every text.
 
 Defined results: null text counts as empty; an empty text is one empty
@@ -76,7 +76,7 @@ def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     for d, text in enumerate(texts):
         if not text:
             continue
-        lines_seen: set[str] = set()
+        lines_seen: set[int] = set()  # hashes of all its lines so far: no more than the text itself holds
         words_seen: set[str] = set()
         for i in range(int(many[d])):
             part = text[i * PASSAGE:(i + 1) * PASSAGE]
@@ -87,11 +87,10 @@ def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
                 extra[bases[d] + i, 1] = len(own & words_seen) / len(own) if i else 0
                 extra[bases[d] + i, 2] = min(len(part) / len(words) / 16, 4)
                 words_seen = own  # the passage before
-            long = [x for x in lines if len(x) > 8]
+            long = [hash(x) for x in lines if len(x) > 8]
             if long:
                 extra[bases[d] + i, 3] = sum(x in lines_seen for x in long) / len(long) + 1 - len(set(long)) / len(long)
-                if len(lines_seen) < 1 << 16:
-                    lines_seen.update(long)
+                lines_seen.update(long)
     return out, many
 
 
@@ -168,7 +167,9 @@ def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
         some = marked.where(F.col("label") == value).orderBy(*order).limit(train_docs)
         picked = some if picked is None else picked.union(some)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(picked), texts["doc_id"] == picked["id"]).select("label", "text")  # at most 2 * train_docs rows
+    # At most 2 * train_docs ids are broadcast; rows that repeat an id become one, so no more rows come out.
+    joined = texts.join(F.broadcast(picked), texts["doc_id"] == picked["id"])
+    rows = joined.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("label", "text")
 
     def make():
         def run(batch: list) -> dict[str, list]:

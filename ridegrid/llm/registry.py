@@ -68,7 +68,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ridegrid.llm.decontaminate import contamination, digest
 
     prepare(spark)
-    return digest(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return digest(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), places=False))
 
 
 def op9_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:

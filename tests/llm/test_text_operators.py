@@ -464,6 +464,22 @@ def test_language_id(spark, docs, odd, none):
     assert kept.columns == odd.columns and kept.count() == sum(r.lang_pred != "und" for r in rows)
 
 
+def test_language_stage_acts_on_the_prediction(spark):
+    prepare(spark)
+    rng = random.Random(4)
+    one, two = ["bala", "tiro", "mesu"], ["wxyk", "qvzz", "kwqx"]
+    rows = [(i, " ".join(rng.choice(one) for _ in range(60)), "aa") for i in range(30)]
+    rows += [(i, " ".join(rng.choice(two) for _ in range(60)), "bb") for i in range(100, 130)]
+    rows += [(200, " ".join(one * 20), "bb"), (201, " ".join(one * 20), None), (202, " ".join(two * 20), "zz"), (203, "123", "aa"), (204, None, "aa")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in language_id.drop_unidentified(df).collect()}
+    # 200 is not what it declares; 201 declares nothing; "zz" was learned from the other language's text or not at all
+    assert 200 not in kept and 201 in kept and not {203, 204} & kept
+    assert set(range(30)) | set(range(100, 130)) <= kept
+    bare = df.withColumn("lang", F.lit(None).cast("string"))
+    assert language_id.drop_unidentified(bare).count() == df.count()  # nothing to learn from: the corpus stays
+
+
 def test_cross_parsing_counts_longest_matches():
     parser = language_id.CrossParser([("x", "abcabd"), ("y", "ddd")], stretch=1000)
     table_, start = parser.tables[0]
@@ -561,14 +577,35 @@ def test_decontaminate_odd(spark, odd, none):
         [(1, "THE cat"), (2, "a"), (None, "sat"), (4, None), (5, "..."), (1, "the cat"), (6, "two three four five six seven eight nine ten eleven")],
         "item_id long, text string")
     items = [(r.item_id, words(r.text)) for r in bench.collect()]
-    found = decontaminate.contamination(odd.where("coalesce(length(text), 0) < 20000"), bench).collect()
-    expected = sorted(brute_hits(r[1], items) for r in odd_rows() if len(r[1] or "") < 20000)
-    assert sorted((r.n_words, r.n_hit, r.item_ids) for r in found) == expected
+    expected = sorted(brute_hits(r[1], items) for r in odd_rows())
+    for places in (True, False):
+        found = decontaminate.contamination(odd, bench, places=places).collect()
+        assert sorted((r.n_words, r.n_hit, r.item_ids) for r in found) == expected
     assert decontaminate.contamination(none, bench).count() == 0
     assert decontaminate.contamination(odd, bench.limit(0)).where("n_hit > 0").count() == 0
     assert decontaminate.drop_contaminated(odd, bench).columns == odd.columns
 
 
+def test_periodic_text_and_item_need_no_product():
+    """100,000 words against an item of 10,000, both of period two: hits from window numbers alone."""
+    import tracemalloc
+
+    search = decontaminate.TestSuffixes([("i", "a b " * 5000), ("j", "a b a b a b a b a b")]).search
+    tracemalloc.start()
+    got = search(["a b " * 50_000, "b a " * 4], places=False)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got["n_hit"] == [100_000, 0] and got["item_ids"] == [["i", "j"], []]
+    assert most < 200 << 20
+
+
+def test_unbalanced_benchmark_blocks_are_cut_further(spark):
+    bench = spark.createDataFrame([(str(i), "word " * 40) for i in range(60)], "item_id string, text string")
+    parts = decontaminate.blocks(bench, block_bytes=250)
+    assert sum(len(p.value) for p in parts) == 60
+    assert all(sum(len(t) for _, t in p.value) <= 250 + 200 for p in parts)
+
+
 def test_longest_matches_have_their_place():
     search = decontaminate.TestSuffixes([("i", " ".join(f"w{k}" for k in range(30)))]).search
     text = "x y " + " ".join(f"w{k}" for k in range(5, 25)) + " z"
@@ -632,6 +669,21 @@ def test_pii_base_spans(spark, docs, texts, odd, none):
     assert pii.digest(pii.find_spans(none)).count() == 0
 
 
+def test_pii_stays_linear_in_hits(spark):
+    """A megabyte with 40,000 hits: base spans as by brute force, in seconds."""
+    import time
+
+    prepare(spark)
+    line = "+1 (555) 010-9999 a.b{}@mail.example.org\n"
+    text = "".join(line.format(i % 97) for i in range(20_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    begun = time.monotonic()
+    got = pii.digest(pii.find_spans(df)).collect()
+    assert time.monotonic() - begun < 30
+    check_pii([(1, text)], got)
+    assert (got[0].n_phone, got[0].n_email) == (20_000, 20_000)
+
+
 def test_pii_trees_add_secrets_and_spare_prose(spark):
     prepare(spark)
     rng = random.Random(8)
