@@ -2,36 +2,11 @@
 
 An accepted booking takes a vehicle *and* lowers a wallet; a rejected one does
 neither, so the decisions couple two keys and no single running sum gives
-them.  The operator decides requests in rounds:
-
-(a) a pending request whose vehicle is not available (initially, or taken by
-    an accepted booking) is rejected: vehicles never come back within the run;
-(b) only the earliest pending *possible taker* of a vehicle can take it
-    (requests certain to be rejected -- unknown user or station, or a cost
-    above the opening balance -- never take it and do not block it), so the
-    vehicle is surely free for every request up to that one.  For each
-    user, the *run* of its pending requests before the first one that still
-    waits for its vehicle is decided at once: a block-split prefix sum gives
-    every run member the exact balance left by accepted requests and earlier
-    run members, so the run is accepted up to its first failure, which is
-    rejected; the rest waits.  Requests whose balance check cannot fail
-    (unknown user, NULL balance, or "balance-safe": the opening balance minus
-    the positive costs of all the user's earlier requests still covers it)
-    need only be the earliest of their vehicle.  After a run's first failure,
-    later run members costing more than the balance there are rejected too
-    (with no negative costs the balance cannot rise), so a user without money
-    is finished in one round;
-(c) accepted bookings mark their vehicle taken and add their cost to the
-    user's spent total.
-
-The earliest pending request is always decidable, so every round makes
-progress; in practice the number of rounds is the length of the longest
-chain of requests competing for one vehicle or one wallet.  A round is one
-aggregate and one join by vehicle, two block-split passes by user and one
-write of the requests still pending or just accepted; it runs alike at every size.  That frame is
-all the next round reads: accepted requests stay in it for one round, in which
-their vehicle and cost are taken from the others.  It lies in the shared
-checkpoint folder, so lineage stays short and a lost executor recomputes one round at most.
+them.  ``operators.bounds`` decides them in rounds: a vehicle is surely taken once an accepted booking lies before the request,
+surely free if none and no possible taker does; a balance lies between what is left if every open
+booking before the request is accepted and what is left if none is.  Whatever both bounds agree on is
+decided, the earliest open request always.  Requests that can no longer succeed
+(unknown user or station, a price above the upper bound) hold up neither vehicle nor wallet.
 
 A price or balance that the money type cannot hold rejects its request alone.
 """
@@ -42,14 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridegrid.functions import exprs as E
-from ridegrid.operators.commands import FK_REASON, OUT_OF_RANGE, CommandResult, _max_id, _replace, change_rows, \
-    decide, first_failure, union_changes
-from ridegrid.operators.ids import global_rank, prefix_aggs, prefix_sum
-from ridegrid.schemas import MONEY, MONEY_MAX
+from ridegrid.operators.bounds import ID_BLOCK, WIDE
+from ridegrid.operators.bounds import decide as decide_by_bounds
+from ridegrid.operators.commands import CommandResult, _max_id, _replace, change_rows, decide, union_changes
+from ridegrid.operators.ids import global_rank, prefix_sum
+from ridegrid.schemas import MONEY, RATE
 from ridegrid.session import materialize
 
-NOT_AVAILABLE = "Vehicle not available"
-NO_BALANCE = "Insufficient balance"
 SPENT = "decimal(22,2)"
 
 
@@ -67,6 +41,7 @@ def price_requests(requests: DataFrame, users: DataFrame, vehicles: DataFrame, s
     return r.select(
         "RequestID", "RequestTime", "UserID", "VehicleID", "StartStationID", "DurationHours",
         E.ride_cost("RatePerHour", "DurationHours", E.plan_discount("PlanName")).alias("Cost"),
+        F.col("RatePerHour").alias("__rate"), E.plan_discount("PlanName").alias("__disc"),
         E.holds(F.col("__vs") == "available").alias("__free0"),
         F.col("__u").isNotNull().alias("__has_user"),
         F.col("__s").isNotNull().alias("__has_station"),
@@ -74,100 +49,17 @@ def price_requests(requests: DataFrame, users: DataFrame, vehicles: DataFrame, s
     )
 
 
-def decide_bookings(priced: DataFrame) -> tuple[DataFrame, int]:
-    """Rounds (a)-(c); returns (RequestID, Reason) for every request and the round count."""
-    base = priced.select("RequestID", "UserID", "VehicleID", "Cost", "__free0", "__has_user", "__has_station", "__bal0")
-    # Static lower bound of the balance each request can meet: the opening balance minus the
-    # positive costs of *all* earlier requests of the user.  If that still covers the cost, the
-    # balance check passes whatever the earlier requests decide ("balance-safe").
-    bound = prefix_sum(base, ["UserID"], "RequestID", F.greatest(F.col("Cost").cast(SPENT), F.lit(0)), "__pos_before")
-    raising = base.where(F.col("Cost") < 0).select(F.col("UserID").alias("__nu")).distinct()
-    nonneg = F.col("__nu").isNull()
-    # Requests certain to be rejected can never take their vehicle: unknown user, unknown station, no
-    # price, or (no negative costs) a cost above the opening balance, since balances only fall.
-    non_taker = (~F.col("__has_user") | ~F.col("__has_station") | F.col("Cost").isNull()
-                 | E.holds(nonneg & (F.col("Cost") > F.col("__bal0"))))
-    rows = materialize(
-        bound.join(raising, F.col("UserID") == F.col("__nu"), "left").select(
-            *base.columns, nonneg.alias("__nonneg"), non_taker.alias("__non_taker"),
-            E.holds(nonneg & (F.col("__bal0") - F.col("__pos_before") >= F.col("Cost"))).alias("__safe"),
-            F.lit(0).cast(SPENT).alias("__spent"), F.lit("pending").alias("__state"),
-            F.lit(None).cast("string").alias("Reason")), "book-pending")
-    decided: list[DataFrame] = []
-    rounds = 0
-    while not rows.where(F.col("__state") == "pending").isEmpty():
-        rounds += 1
-        out = materialize(_round(rows), "book-round")
-        decided.append(out.where(F.col("__state") != "pending").select("RequestID", "Reason"))
-        rows = out.where(F.col("__state") != "rejected")  # pending ones, and those that were just accepted
-    if not decided:
-        return priced.select("RequestID", F.lit(None).cast("string").alias("Reason")).limit(0), 0
-    return _union(decided), rounds
-
-
-def _round(rows: DataFrame) -> DataFrame:
-    """Decide what can be decided now.
-
-    ``rows`` are the pending requests and those accepted in the round before
-    (still needed: they take their vehicle and their cost from later
-    requests); the result holds the pending ones with their new state.
-    """
-    pending = F.col("__state") == "pending"
-    won = F.col("__state") == "accepted"
-    # A vehicle is unavailable only for requests after the one that took it, and surely free for
-    # requests up to its earliest pending possible taker.
-    vehicle = rows.groupBy(F.col("VehicleID").alias("__v")).agg(
-        F.min(F.when(won, F.col("RequestID"))).alias("__taken_by"),
-        F.min(F.when(pending & F.col("__free0") & ~F.col("__non_taker"), F.col("RequestID"))).alias("__fv"))
-    p = rows.join(vehicle, F.col("VehicleID") == F.col("__v"), "left")
-    gone = pending & (~F.col("__free0") | E.holds(F.col("__taken_by") < F.col("RequestID")))
-    surely = F.col("__taken_by").isNotNull() | F.col("__fv").isNull() | (F.col("RequestID") <= F.col("__fv"))
-    free = pending & ~gone & surely
-    exact = F.col("__has_user") & F.col("__bal0").isNotNull()
-    p = p.select(*rows.columns, gone.alias("__gone"), free.alias("__vf"), (free & exact).alias("__member"))
-    # A user's "run": its pending requests before its first one that still waits for a vehicle.  The
-    # balance before a run member, assuming the members before it are accepted, is the opening
-    # balance minus accepted costs (earlier rounds) and member costs with smaller RequestID.
-    cost = F.col("Cost").cast(SPENT)
-    p = prefix_aggs(p, ["UserID"], "RequestID", {
-        "__waits": ("sum", F.when(pending & ~F.col("__gone") & ~F.col("__vf"), 1)),
-        "__won_before": ("sum", F.when(won, cost)),
-        "__run_before": ("sum", F.when(F.col("__member"), cost)),
-    })
-    in_run = F.col("__member") & (F.col("__waits") == 0)
-    balance = F.col("__bal0") - F.col("__spent") - F.col("__won_before") - F.col("__run_before")
-    p = p.withColumn("__in_run", in_run).withColumn("__bal", balance.cast(SPENT))
-    too_big = F.col("Cost").isNull() | (F.col("__bal") - F.col("Cost") > MONEY_MAX)
-    ok = ~too_big & (F.col("__bal") >= F.col("Cost")) & F.col("__has_station")
-    p = prefix_aggs(p, ["UserID"], "RequestID", {
-        "__fail": ("min", F.when(F.col("__in_run") & ~ok, F.struct("RequestID", "__bal")))})
-    # The run is decided up to and including its first failure.  After it the balance is at most its
-    # balance there (a rejection consumes nothing and, with no negative costs, nothing adds money):
-    # any later run member costing more must fail too, whatever is decided in between.
-    up_to_failure = F.col("__in_run") & F.col("__fail").isNull()
-    hopeless = F.col("__in_run") & E.holds(F.col("__nonneg") & (F.col("Cost") > F.col("__fail.__bal")))
-    free_now = F.col("__vf") & (~F.col("__has_user") | F.col("__bal0").isNull() | F.col("__safe"))
-    reason = (
-        F.when(F.col("__gone"), F.lit(NOT_AVAILABLE))
-        .when(up_to_failure & F.col("Cost").isNull(), F.lit(OUT_OF_RANGE))
-        .when((up_to_failure & (F.col("__bal") < F.col("Cost"))) | hopeless, F.lit(NO_BALANCE))
-        .when(up_to_failure & too_big, F.lit(OUT_OF_RANGE))
-        .when(up_to_failure | free_now, first_failure(
-            (F.col("Cost").isNull(), OUT_OF_RANGE),
-            (~F.col("__has_user"), FK_REASON.format("UserID")),
-            (~F.col("__has_station"), FK_REASON.format("StartStationID")))))
-    decided = F.col("__gone") | up_to_failure | hopeless | free_now
-    p = p.where(pending).withColumn("Reason", reason)
-    state = F.when(~decided, F.lit("pending")).when(F.col("Reason").isNull(), F.lit("accepted")).otherwise(F.lit("rejected"))
-    spent = (F.col("__spent") + F.col("__won_before")).cast(SPENT)
-    return p.withColumn("__state", state).withColumn("__spent", spent).select(*rows.columns)
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def decide_bookings(priced: DataFrame, block: int = ID_BLOCK) -> tuple[DataFrame, int]:
+    """(RequestID, Reason) of every request and the number of rounds (see ``operators.bounds``)."""
+    zero = F.lit(E.NO_DISCOUNT).cast(RATE)
+    price = ((F.col("__rate") * F.col("DurationHours")) * (F.lit(1) - F.col("__disc"))).cast(WIDE)
+    rows = priced.select(
+        "RequestID", F.lit("book").alias("Kind"), F.lit(None).alias("__key"), F.col("UserID").alias("__usr"), F.col("VehicleID").alias("__veh"),
+        F.lit(0).alias("__target"), "__bal0", F.coalesce("__disc", zero).alias("__disc0"), "__rate", "DurationHours", "__free0", "__has_user",
+        "__has_station", *(F.lit(None).alias(c) for c in ("__amt", "__plandisc", "__then", "__e", "__pair", "__open0", "__counted", "__out", "Reason")),
+        F.coalesce(price, F.lit(0)).alias("__lo"), F.coalesce(price, F.lit(0)).alias("__hi"), F.lit(False).alias("__dead"))
+    decided, rounds = decide_by_bounds(rows, block, linked=False)
+    return decided.select("RequestID", "Reason"), rounds
 
 
 def book_rides(requests: DataFrame, users: DataFrame, vehicles: DataFrame, stations: DataFrame, plans: DataFrame,

@@ -49,6 +49,23 @@ def global_rank(df: DataFrame, order_cols: list[str | Column], out: str = "Rank"
     )
 
 
+def running_count(df: DataFrame, order_cols: list[str | Column], flag: Column, out: str) -> DataFrame:
+    """Add how many rows with ``flag`` come up to and with each row in ``order_cols`` order (a total order).
+
+    As ``global_rank``: counted inside each range partition, plus the counts of the
+    partitions before it, which are one broadcast row per partition.
+    """
+    staged = materialize(
+        df.withColumn("__flag", flag.cast("long")).repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
+        .withColumn("__pid", F.spark_partition_id()).withColumn("__mono", F.monotonically_increasing_id()), "running")
+    before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = staged.groupBy("__pid").agg(F.sum("__flag").alias("__n")).select(
+        "__pid", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    within = Window.partitionBy("__pid").orderBy("__mono").rowsBetween(Window.unboundedPreceding, 0)
+    return (staged.withColumn("__in", F.sum("__flag").over(within)).join(F.broadcast(offsets), "__pid")
+            .withColumn(out, F.col("__off") + F.col("__in")).drop("__flag", "__pid", "__mono", "__off", "__in"))
+
+
 def assign_ids(df: DataFrame, order_cols: list[str | Column], existing_max: Column, out: str) -> DataFrame:
     """New surrogate ids continuing after ``existing_max`` (a scalar Column), in ``order_cols`` order."""
     ranked = global_rank(df, order_cols, "__rank")

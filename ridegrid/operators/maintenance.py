@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridegrid.functions import exprs as E
+from ridegrid.operators.bounds import NOT_YOUR_VEHICLE
 from ridegrid.operators.commands import FK_REASON, CommandResult, _max_id, _replace, _with_first, change_rows, decide, \
     first_failure, union_changes
 from ridegrid.operators.ids import global_rank
@@ -22,7 +23,6 @@ from ridegrid.session import materialize
 
 # Rejection texts.
 BLANK_ISSUE = "Please describe the issue"
-NOT_YOUR_VEHICLE = "You can only report issues for vehicles you have an ongoing ride with"
 
 
 SLOT_BLOCK = 4096

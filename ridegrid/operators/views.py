@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridegrid.functions import exprs as E
+from ridegrid.operators.ids import global_rank, running_count
 
 
 def _ci_equals(col: str, value: str) -> F.Column:
@@ -211,16 +212,28 @@ def deletable_technicians(technicians: DataFrame, assignments: DataFrame) -> Dat
     return technicians.where(~(F.col("ActiveAssignments") > 0)).join(used, "TechnicianID", "left_anti")
 
 
+PLAN_BLOCK = 1024
+
+
 def affordable_plans(users: DataFrame, plans: DataFrame) -> DataFrame:
-    """(user, plan) pairs where NOT(balance < cost); equality passes.
+    """(user, plan) pairs where NOT(balance < cost); equality passes, a NULL balance gives no pair.
 
-    No hint: Spark broadcasts the plans while they are under its size threshold
-    (three rows in this model).  Only the affordable pairs come out.
+    A range join by sorted thresholds, for any number of plans: plans are ranked by cost; one sorted pass over plans and
+    balances together tells how many plans each user can pay.  Those are the ranks up to that
+    count, so the pairs come from equi joins on the rank.  A user's ranks are opened block by block.
     """
-    u = users.select("UserID", "WalletBalance")
-    p = plans.select("PlanID", "PlanName", F.col("Cost").alias("PlanCost"))
-    return u.join(p, ~(u.WalletBalance < p.PlanCost)).select("UserID", "WalletBalance", "PlanID", "PlanName",
-                                                              "PlanCost")
+    u = users.where(F.col("WalletBalance").isNotNull()).select("UserID", "WalletBalance")
+    p = plans.where(F.col("Cost").isNotNull()).select("PlanID", "PlanName", F.col("Cost").alias("PlanCost"))
+    ranked = global_rank(p, ["PlanCost", "PlanID"], "__rank")
+    both = u.select(F.col("WalletBalance").alias("__at"), F.lit(1).alias("__kind"), F.col("UserID").alias("__id")).unionByName(
+        p.select(F.col("PlanCost").alias("__at"), F.lit(0).alias("__kind"), F.col("PlanID").alias("__id")))
+    can = running_count(both, ["__at", "__kind", "__id"], F.col("__kind") == 0, "__can").where("__kind = 1 AND __can > 0")
+    blocks = can.select(F.col("__id").alias("UserID"), F.col("__at").alias("WalletBalance"), "__can", F.explode(
+        F.sequence(F.lit(0), F.floor((F.col("__can") - 1) / PLAN_BLOCK))).alias("__block"))
+    first = F.col("__block") * PLAN_BLOCK + 1
+    ranks = blocks.repartition("UserID", "__block").select("UserID", "WalletBalance", F.explode(
+        F.sequence(first, F.least(first + PLAN_BLOCK - 1, "__can"))).alias("__rank"))
+    return ranks.join(ranked, "__rank").select("UserID", "WalletBalance", "PlanID", "PlanName", "PlanCost")
 
 
 def users_without_plan(users: DataFrame) -> DataFrame:

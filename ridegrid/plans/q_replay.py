@@ -6,8 +6,13 @@ status, logs, loads), i.e. it is the sequential definition.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from ridegrid.functions.exprs import PLAN_DISCOUNTS
-from ridegrid.operators import booking as B
+from ridegrid.operators import bounds as B
 from ridegrid.operators import commands as C
 from ridegrid.operators import maintenance as M
 from ridegrid.operators import replay as R
@@ -98,12 +103,12 @@ WITH RECURSIVE walk(i, RequestID, Reason, Applied, Cost, tech, tstat, bal, plan,
           WHEN amount_value <= 0 THEN 'Amount must be positive' WHEN NOT has_user THEN 'User not found'
           WHEN purse + amount_value > {TOP} THEN {_txt(C.OUT_OF_RANGE)} END
         WHEN 'purchase' THEN CASE WHEN coalesce(UserID, 0) = 0 OR coalesce(PlanID, 0) = 0 THEN 'user_id and plan_id are required'
-          WHEN NOT has_plan THEN 'Plan not found' WHEN NOT has_user THEN 'User not found' WHEN purse < plan_cost THEN {_txt(R.NO_FUNDS)} END
+          WHEN NOT has_plan THEN 'Plan not found' WHEN NOT has_user THEN 'User not found' WHEN purse < plan_cost THEN {_txt(B.NO_FUNDS)} END
         WHEN 'report' THEN CASE WHEN trim(IssueReported) = '' THEN {_txt(M.BLANK_ISSUE)} WHEN coalesce(UserID, 0) = 0 THEN 'User ID required'
           WHEN coalesce(user_role, 'user') <> 'admin' AND open0 + coalesce(opens[pair], 0) <= 0 THEN {_txt(M.NOT_YOUR_VEHICLE)}
           WHEN NOT has_vehicle THEN '{FK}VehicleID' END
         WHEN 'complete' THEN CASE WHEN coalesce(user_role, 'user') <> 'admin' THEN {_txt(C.ADMIN_REQUIRED)}
-          WHEN target = 0 OR (target = 1 AND lt[k] IS NULL) THEN {_txt(R.NO_ASSIGNMENT)}
+          WHEN target = 0 OR (target = 1 AND lt[k] IS NULL) THEN {_txt(B.NO_ASSIGNMENT)}
           WHEN coalesce(done[k], lstatus = 'Completed', false) THEN {_txt(R.LOG_DONE)} END END AS Reason
       FROM (
         SELECT q.*, w.bal, w.plan, w.vs, w.ts, w.fare, w.lt, w.done, w.loads, w.opens,
@@ -132,6 +137,9 @@ f AS (
 final AS (SELECT *, Reason IS NULL AND (Applied OR Kind IN ('review', 'register')) AS Done FROM f)"""
 
 
+LAST = "(SELECT * FROM walk ORDER BY i DESC LIMIT 1)"
+
+
 def _replay(td: TestData) -> R.Replay:
     return R.replay_commands(td.mixed_requests(), {name: td.table(name) for name in TABLES})
 
@@ -146,33 +154,30 @@ def replay_commands(td: TestData):
     return _replay(td).decisions
 
 
-LAST = "(SELECT * FROM walk ORDER BY i DESC LIMIT 1)"
-
-
-@register("replay_commands_users", WALK + f"""
-SELECT u.UserID, CAST(u.WalletBalance + coalesce(w.bal[u.UserID], 0) AS DECIMAL(10,2)) AS WalletBalance,
-  coalesce(w.plan[u.UserID], u.PlanID) AS PlanID
-FROM users u, {LAST} w""", CTES)
-def replay_commands_users(td: TestData):
-    """Wallets and plans after a mixed batch."""
-    return _replay(td).tables["users"].select("UserID", "WalletBalance", "PlanID")
-
-
-@register("replay_commands_vehicles", WALK + f""",
+@register("replay_commands_state", WALK + f""",
 moved AS (
   SELECT q.veh, arg_max(CASE WHEN q.Kind = 'end' THEN {{'at': q.StationID}} ELSE {{'at': q.start}} END, q.RequestID).at AS at
   FROM final JOIN q ON q.RequestID = final.RequestID WHERE Done AND q.Kind IN ('end', 'cancel') GROUP BY q.veh)
-SELECT v.VehicleID, coalesce(w.vs[v.VehicleID], v.Status) AS Status,
-  CASE WHEN m.veh IS NOT NULL THEN m.at ELSE v.CurrentStationID END AS CurrentStationID
-FROM vehicles v LEFT JOIN moved m ON m.veh = v.VehicleID, {LAST} w""", CTES)
-def replay_commands_vehicles(td: TestData):
-    """Status and station of the vehicles after a mixed batch."""
-    return _replay(td).tables["vehicles"].select("VehicleID", "Status", "CurrentStationID")
-
-
-@register("replay_commands_technicians", WALK + f"""
-SELECT t.TechnicianID, t.IsAvailable, CAST(coalesce(w.loads[t.TechnicianID], t.ActiveAssignments) AS INT) AS ActiveAssignments
-FROM technicians t, {LAST} w""", CTES)
-def replay_commands_technicians(td: TestData):
-    """Loads after reports and completions of a mixed batch."""
-    return _replay(td).tables["technicians"].select("TechnicianID", "IsAvailable", "ActiveAssignments")
+SELECT 'users' AS TableName, u.UserID AS Key, CAST(CAST(u.WalletBalance + coalesce(w.bal[u.UserID], 0) AS DECIMAL(10,2)) AS VARCHAR) AS Value,
+  CAST(coalesce(w.plan[u.UserID], u.PlanID) AS VARCHAR) AS Other
+FROM users u, {LAST} w
+UNION ALL
+SELECT 'vehicles', v.VehicleID, coalesce(w.vs[v.VehicleID], v.Status),
+  CAST(CASE WHEN m.veh IS NOT NULL THEN m.at ELSE v.CurrentStationID END AS VARCHAR)
+FROM vehicles v LEFT JOIN moved m ON m.veh = v.VehicleID, {LAST} w
+UNION ALL
+SELECT 'technicians', t.TechnicianID, CAST(coalesce(w.loads[t.TechnicianID], t.ActiveAssignments) AS VARCHAR), CAST(t.IsAvailable AS VARCHAR)
+FROM technicians t, {LAST} w
+UNION ALL
+SELECT 'trips', t.TripID, coalesce(w.ts['T' || t.TripID], t.Status), CAST(t.Cost AS VARCHAR) FROM trips t, {LAST} w
+UNION ALL
+SELECT 'trips', CAST((SELECT max(TripID) FROM trips) + row_number() OVER (ORDER BY f.RequestID) AS INT), w.ts[f.k], CAST(CAST(f.Cost AS DECIMAL(10,2)) AS VARCHAR)
+FROM final f, {LAST} w WHERE f.Kind = 'book' AND f.Done""", CTES)
+def replay_commands_state(td: TestData):
+    """Wallets and plans, vehicles, technicians' loads and trips after a mixed batch."""
+    tables = _replay(td).tables
+    rows = [("users", "UserID", "WalletBalance", "PlanID"), ("vehicles", "VehicleID", "Status", "CurrentStationID"),
+            ("technicians", "TechnicianID", "ActiveAssignments", "IsAvailable"), ("trips", "TripID", "Status", "Cost")]
+    parts = [tables[t].select(F.lit(t).alias("TableName"), F.col(key).alias("Key"), F.col(value).cast("string").alias("Value"),
+                              F.col(other).cast("string").alias("Other")) for t, key, value, other in rows]
+    return reduce(DataFrame.unionByName, parts)

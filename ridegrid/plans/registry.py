@@ -54,6 +54,7 @@ def _load_all() -> None:
     # Importing the modules fills the registry.
     from ridegrid.plans import (  # noqa: F401
         q_commands,
+        q_incremental,
         q_quality,
         q_replay,
         q_streams,
