@@ -21,9 +21,9 @@ when their word edit distance is at most ``1 - SIMILARITY`` of the longer one.
 * *Larger buckets* are hot passages: many texts that share some text and little else.  Their members get
   second keys: the rarest ones of their word pairs (with occurrence numbers).  At a distance of d words, all but 2d of the longer
   text's word pairs are shared, so whatever order the word pairs are taken in, near duplicates share one of the first
-  ``2 * limit + 2`` of both; in the order of frequency a common passage is not among them.  The order comes from a table of
-  ``SLOTS`` hashed counts over these texts; a word pair that no other text can hold is no key.  Buckets of
-  the second keys are treated like those of the first.
+  ``2 * limit + 2`` of both; in the order of frequency a common passage is not among them.  The order comes from counts of
+  ``CLASSES`` hash classes of words over all these texts.  Keys that only one text has are left out by a Bloom filter of
+  fixed size before anything is dealt by key.  Buckets of the second keys are treated like those of the first.
 * What is left of a large bucket of second keys is compared all pairs, in pairs of blocks of ``COUNTS`` members that hold
   only word counts by hash class.  These bound the distance from below; pairs that the bound does
   not rule out are aligned on whole texts.  That work grows with the square of such a bucket.
@@ -66,7 +66,9 @@ SHORT = 50  # words; near duplicates of up to so many share K words in a row (2
 SMALL = 96
 BLOCK = 96  # texts
 COUNTS = 512  # word counts
-SLOTS = 1 << 20  # of the table of word pair counts
+CLASSES = 4096  # of words, for the order of rarity
+CHUNK = 1 << 20  # second keys compared at a time
+BLOOM = 1 << 22  # bits
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -448,42 +450,104 @@ def _word_pairs(norm: str) -> np.ndarray:
     return _mix(grams + again * _MIX)
 
 
-def _slot_counts(texts: DataFrame) -> np.ndarray:
-    """How many word pairs of all texts fall into each of ``SLOTS`` hash classes."""
+def _word_classes(norm: str) -> np.ndarray:
+    """A hash class for each word."""
+    words = norm.encode().split(b" ")
+    return (np.fromiter(map(zlib.crc32, words), np.uint64, len(words)) % np.uint64(CLASSES)).astype(np.int64)
+
+
+def _class_counts(texts: DataFrame) -> np.ndarray:
+    """How many texts' words fall into each of ``CLASSES`` hash classes, over all texts."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
+        total = np.zeros(CLASSES, np.int64)
         for batch in batches:
             for norm in batch.column(0).to_pylist():
-                np.add.at(total, (_word_pairs(norm) % np.uint64(SLOTS)).astype(np.int64), 1)
-        slots = np.flatnonzero(total)
-        for at in range(0, len(slots), 65_536):
-            some = slots[at:at + 65_536]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slot", "many"])
+                total += np.bincount(_word_classes(norm), minlength=CLASSES)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(total)], names=["slot", "many"])
 
-    counts = texts.select("norm").mapInArrow(run, "slot long, many long").groupBy("slot").agg(F.sum("many").alias("many")).toPandas()
-    out = np.zeros(SLOTS, np.int64)  # at most SLOTS rows came to the driver
-    out[counts["slot"].to_numpy()] = counts["many"].to_numpy()
-    return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
+    counts = texts.select("norm").mapInArrow(run, "slot long, many long").groupBy("slot").agg(F.sum("many").alias("many")).collect()
+    out = np.zeros(CLASSES, np.int64)  # CLASSES rows came to the driver
+    for r in counts:
+        out[r.slot] = r.many
+    return out
 
 
 def rare_keys(norm: str, counts: np.ndarray) -> np.ndarray:
     """Second keys of a text: its rarest word pairs, as many as near duplicates must share one of."""
-    pairs = _word_pairs(norm)
-    often = counts[(pairs % np.uint64(SLOTS)).astype(np.int64)]
-    first = np.lexsort((pairs, often))[:2 * limit_of(len(pairs) + 1) + 2]
-    return np.unique(pairs[first][often[first] > 1]).view(np.int64)
+    pairs, own = _word_pairs(norm), counts[_word_classes(norm)]
+    often = np.minimum(own[:-1], own[1:])  # a word pair is as rare as its rarer word
+    return np.unique(pairs[np.lexsort((pairs, often))[:2 * limit_of(len(own)) + 2]])
+
+
+def _shared_filter(texts: DataFrame, counts) -> np.ndarray:
+    """A Bloom filter of the second keys that at least two texts have, ``BLOOM`` bits whatever the input's size.
+
+    Each task sends its keys, at most twice each, packed by hash chunk; a chunk's task finds the
+    repeated ones.  Chunks hold about ``CHUNK`` keys.
+    """
+    import pyarrow as pa
+
+    words = texts.agg(F.sum(F.length("norm")).alias("n")).first()["n"] or 0
+    chunks = 1 + words // (10 * CHUNK)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            keys, many = np.unique(np.concatenate(held), return_counts=True)
+            keys = np.repeat(keys, np.minimum(many, 2))
+            own = (keys % np.uint64(chunks)).astype(np.int64)
+            by = np.argsort(own, kind="stable")
+            edges = np.searchsorted(own[by], np.arange(chunks + 1))
+            some = np.flatnonzero(np.diff(edges))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(some), pa.array([keys[by][edges[c]:edges[c + 1]].tobytes() for c in some], pa.binary())], names=["chunk", "keys"])
+
+        for batch in batches:
+            for norm in batch.column(0).to_pylist():
+                held.append(rare_keys(norm, counts.value))
+                if len(held) >= 4096:
+                    yield from out()
+                    held.clear()
+        if held:
+            yield from out()
+
+    def repeated(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, many = np.unique(np.frombuffer(b"".join(pdf["keys"]), np.uint64), return_counts=True)
+        bits = np.unique(_bloom_bits(keys[many > 1]))
+        slots, first = np.unique(bits // 32, return_index=True)
+        masks = np.bitwise_or.reduceat(np.int64(1) << (bits % 32), first) if len(bits) else bits
+        return pd.DataFrame({"slot": slots, "mask": masks}).astype("int64")
+
+    packed = texts.select("norm").mapInArrow(pack, "chunk long, keys binary").groupBy("chunk").applyInPandas(repeated, "slot long, mask long")
+    out = np.zeros(BLOOM // 32, np.int64)
+    for row in packed.groupBy("slot").agg(F.bit_or("mask").alias("mask")).collect():  # at most BLOOM / 32 rows
+        out[row.slot] = row.mask
+    return out
+
+
+def _bloom_bits(keys: np.ndarray) -> np.ndarray:
+    return np.concatenate([_mix(keys + np.uint64(i) * _MIX) % np.uint64(BLOOM) for i in range(2)]).astype(np.int64)
 
 
 def _second_keys(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Buckets (bucket, id, n) of the rarest word pairs of the ``members``' texts."""
     wanted = stage(texts.join(members.select("id").distinct(), "id", "left_semi"), "near-hot")
-    counts = wanted.sparkSession.sparkContext.broadcast(_slot_counts(wanted))
+    sc = wanted.sparkSession.sparkContext
+    counts = sc.broadcast(_class_counts(wanted))
+    bloom = sc.broadcast(_shared_filter(wanted, counts))
 
     def make():
+        def one(norm: str) -> np.ndarray:
+            keys = rare_keys(norm, counts.value)
+            bits = _bloom_bits(keys)
+            there = bloom.value[bits // 32] >> (bits % 32) & 1
+            return keys[there.reshape(2, -1).all(0)].view(np.int64)  # the others no other text has
+
         def run(norms: list) -> dict[str, list]:
-            return {"n": [t.count(" ") + 1 for t in norms], "keys": [rare_keys(t, counts.value) for t in norms]}
+            return {"n": [t.count(" ") + 1 for t in norms], "keys": [one(t) for t in norms]}
 
         return run
 

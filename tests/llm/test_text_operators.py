@@ -12,6 +12,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -283,6 +284,42 @@ def test_near_dedup_large_bucket_loses_no_pair(spark):
     assert {r.doc_id: r.class_id for r in near_dedup.near_groups(df, small=20).collect()} == brute_groups(rows)
 
 
+def test_near_duplicates_share_a_rare_word_pair():
+    rng = random.Random(6)
+    counts = np.array([rng.randrange(1000) for _ in range(near_dedup.CLASSES)])
+    for _ in range(1500):
+        a = [f"w{rng.randrange(60)}" for _ in range(rng.randint(1, 80))]
+        b = edited(rng, a)
+        if a != b and near_dedup.align(a, b, near_dedup.limit_of(max(len(a), len(b))))[0]:
+            assert set(near_dedup.rare_keys(" ".join(a), counts)) & set(near_dedup.rare_keys(" ".join(b), counts))
+
+
+def edited(rng, words):
+    out = list(words)
+    for _ in range(rng.randint(0, max(1, len(words) // 5))):
+        i, what = rng.randrange(len(out)), rng.randrange(3)
+        if what == 0 and len(out) > 1:
+            out.pop(i)
+        else:
+            out[i:i + (what == 1)] = [f"w{rng.randrange(60)}"]
+    return out
+
+
+def test_hot_passage_costs_rows_in_proportion(spark, monkeypatch):
+    """Texts that share one passage and nothing else: no block comparison of all their pairs, and no links."""
+    prepare(spark)
+    used = []
+    monkeypatch.setattr(near_dedup, "_all_pairs", lambda members, texts: used.append(1) or near_dedup._no_links(texts))
+    rng = random.Random(12)
+    passage = " ".join(f"common{i}" for i in range(30))
+    rows = [(i, " ".join(f"x{rng.randrange(10**6)}" for _ in range(35)) + " " + passage) for i in range(400)]
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_groups(df, small=20).collect()}
+    assert got == {i: i for i in range(400)} | {1000 + i: i for i in range(5)}
+    assert not used
+
+
 def test_near_dedup_members_joined_by_others_stay_in_the_bucket(spark):
     """c and m are one group through a in another bucket; x is linked to m alone, and only in the bucket of c, m and x."""
     prepare(spark)
