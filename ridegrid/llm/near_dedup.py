@@ -18,15 +18,16 @@ when their word edit distance is at most ``1 - SIMILARITY`` of the longer one.
   cannot be ruled out are compared with the centre's whole group, in blocks.  The members not linked to the
   centre, in its group or not, still have to be compared with each other: buckets of at most ``SMALL`` of them are finished in
   one group, all pairs, without writing a pair list.
-* *Larger buckets* are hot passages: many texts that share some text and little else.  Their members get
+* *Larger buckets* are compared all pairs, in pairs of blocks of ``COUNTS`` members that hold only word counts by hash
+  class.  These bound the distance from below; pairs that the bound does not rule out are aligned on whole texts.
+* Buckets of more than ``HOT`` are hot passages: many texts that share some text and little else.  Their members get
   second keys: the rarest ones of their word pairs (with occurrence numbers).  At a distance of d words, all but 2d of the longer
   text's word pairs are shared, so whatever order the word pairs are taken in, near duplicates share one of the first
   ``2 * limit + 2`` of both; in the order of frequency a common passage is not among them.  The order comes from counts of
   ``CLASSES`` hash classes of words over all these texts.  Keys that only one text has are left out by a Bloom filter of
   fixed size before anything is dealt by key.  Buckets of the second keys are treated like those of the first.
-* What is left of a large bucket of second keys is compared all pairs, in pairs of blocks of ``COUNTS`` members that hold
-  only word counts by hash class.  These bound the distance from below; pairs that the bound does
-  not rule out are aligned on whole texts.  That work grows with the square of such a bucket.
+* What is left of a large bucket of second keys is compared all pairs in blocks, however large; that work grows with the
+  square of such a bucket.
 * The alignment is a bit-parallel edit distance inside a diagonal band;
   the band doubles until it holds the distance or exceeds the limit.
 * Links are joined to groups by label propagation with pointer jumping.
@@ -67,6 +68,7 @@ SMALL = 96
 BLOCK = 96  # texts
 COUNTS = 512  # word counts
 CLASSES = 4096  # of words, for the order of rarity
+HOT = 2 * COUNTS  # members of a bucket from which on second keys are used; below, blocks repeat a member at most twice
 CHUNK = 1 << 20  # second keys compared at a time
 BLOOM = 1 << 22  # bits
 
@@ -404,7 +406,7 @@ def _outside(judged: DataFrame, labels: DataFrame) -> DataFrame:
                       F.coalesce((label != star) & (F.col("dist") <= reach), F.lit(False)).alias("doubt"))
 
 
-def links(texts: DataFrame, entries: DataFrame, small: int = SMALL, known: DataFrame | None = None) -> DataFrame:
+def links(texts: DataFrame, entries: DataFrame, small: int = SMALL, hot: int = HOT, known: DataFrame | None = None) -> DataFrame:
     """Verified links (id, centre) among the members of every bucket.
 
     ``texts``: id, norm.  ``entries``: bucket, id, n (words).  ``known``: links found
@@ -428,19 +430,24 @@ def links(texts: DataFrame, entries: DataFrame, small: int = SMALL, known: DataF
     own = few.groupBy("id").agg(F.collect_set("bucket").alias("buckets"))  # bounded by the keys of a text
     together = few.select("bucket", "id", "label").join(own, "id").join(texts, "id")
     found.append(together.groupBy("bucket").applyInPandas(_finish, "id long, centre long"))  # at most ``small`` members each
-    large = rows.where(F.col("members") > small)
+    large, hottest = rows.where(F.col("members") > small), F.col("members") > hot
+    if known is None:
+        spread = large.where(hottest)
+        if not spread.isEmpty():
+            found.append(links(texts, _second_keys(spread, texts), small, hot, found[0]))
+        large = large.where(~hottest)
     if not large.isEmpty():
-        found.append(_all_pairs(large, texts) if known is not None else links(texts, _second_keys(large, texts), small, found[0]))
+        found.append(_all_pairs(large, texts))
     return reduce(DataFrame.union, found)
 
 
-def _word_pairs(norm: str) -> np.ndarray:
-    """One hash per pair of words in a row, labelled with its occurrence number."""
+def _word_grams(norm: str, k: int) -> np.ndarray:
+    """One hash per k words in a row, labelled with its occurrence number."""
     words = norm.encode().split(b" ")
     codes = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
-    if len(codes) < 2:
+    if len(codes) < k:
         return np.zeros(0, np.uint64)
-    grams = _mix(_grams(codes, 2))
+    grams = _mix(_grams(codes, k) + np.uint64(k))
     order = np.argsort(grams, kind="stable")
     runs = grams[order]
     new = np.concatenate([[True], runs[1:] != runs[:-1]])
@@ -476,7 +483,7 @@ def _class_counts(texts: DataFrame) -> np.ndarray:
 
 def rare_keys(norm: str, counts: np.ndarray) -> np.ndarray:
     """Second keys of a text: its rarest word pairs, as many as near duplicates must share one of."""
-    pairs, own = _word_pairs(norm), counts[_word_classes(norm)]
+    pairs, own = _word_grams(norm, 2), counts[_word_classes(norm)]
     often = np.minimum(own[:-1], own[1:])  # a word pair is as rare as its rarer word
     return np.unique(pairs[np.lexsort((pairs, often))[:2 * limit_of(len(own)) + 2]])
 
@@ -588,26 +595,26 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.select("id", "label")
 
 
-def near_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", small: int = SMALL) -> DataFrame:
+def near_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", small: int = SMALL, hot: int = HOT) -> DataFrame:
     """One row per input row: doc_id, class_id, class_size, kept."""
-    return _grouped(docs, text_col, id_col, small).select("doc_id", "class_id", "class_size", "kept")
+    return _grouped(docs, text_col, id_col, small, hot).select("doc_id", "class_id", "class_size", "kept")
 
 
-def _grouped(docs: DataFrame, text_col: str, id_col: str, small: int) -> DataFrame:
+def _grouped(docs: DataFrame, text_col: str, id_col: str, small: int, hot: int = HOT) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     norm = docs.select(F.col(id_col).alias("doc_id"), _norm(text).alias("norm"))
     digest = F.unhex(F.md5(F.col("norm").cast("binary")))
-    rows = stage(norm.select("doc_id", digest.alias("digest"), (F.col("norm") == "").alias("wordless"),
-                             F.monotonically_increasing_id().alias("rid")), "near-rows")
+    normal = stage(norm.select("doc_id", digest.alias("digest"), "norm", F.monotonically_increasing_id().alias("rid")), "near-rows")
+    rows = normal.select("doc_id", "digest", "rid")
     texts = stage(
-        norm.where(F.col("norm") != "").select(digest.alias("digest"), "norm").distinct()
+        normal.where(F.col("norm") != "").select("digest", "norm").distinct()
         .withColumn("id", F.monotonically_increasing_id()), "near-texts")
     sketched = stage(
         map_texts(texts.select("id", "norm"), _sketch, "n int, keys array<long>", ["id"], text_col="norm"), "near-sketches")
     entries = _shared(sketched)
     involved = stage(
         texts.select("id", "norm").join(entries.select("id").distinct(), "id", "left_semi"), "near-involved")
-    labels = components(links(involved, entries, small))
+    labels = components(links(involved, entries, small, hot))
     names = texts.select("digest", "id").join(labels, "id", "left").select(
         "digest", F.coalesce("label", "id").alias("label"))
     placed = stage(rows.join(names, "digest", "left").select(

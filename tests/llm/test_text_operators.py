@@ -284,7 +284,7 @@ def test_near_dedup_large_bucket_loses_no_pair(spark):
     assert {r.doc_id: r.class_id for r in near_dedup.near_groups(df, small=20).collect()} == brute_groups(rows)
 
 
-def test_near_duplicates_share_a_rare_word_pair():
+def test_near_duplicates_share_a_rare_key():
     rng = random.Random(6)
     counts = np.array([rng.randrange(1000) for _ in range(near_dedup.CLASSES)])
     for _ in range(1500):
@@ -315,7 +315,7 @@ def test_hot_passage_costs_rows_in_proportion(spark, monkeypatch):
     rows = [(i, " ".join(f"x{rng.randrange(10**6)}" for _ in range(35)) + " " + passage) for i in range(400)]
     rows += [(1000 + i, rows[i][1] + " more") for i in range(5)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.class_id for r in near_dedup.near_groups(df, small=20).collect()}
+    got = {r.doc_id: r.class_id for r in near_dedup.near_groups(df, small=20, hot=20).collect()}
     assert got == {i: i for i in range(400)} | {1000 + i: i for i in range(5)}
     assert not used
 
