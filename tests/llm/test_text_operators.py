@@ -507,11 +507,11 @@ def test_language_stage_acts_on_the_prediction(spark):
     one, two = ["bala", "tiro", "mesu"], ["wxyk", "qvzz", "kwqx"]
     rows = [(i, " ".join(rng.choice(one) for _ in range(60)), "aa") for i in range(30)]
     rows += [(i, " ".join(rng.choice(two) for _ in range(60)), "bb") for i in range(100, 130)]
-    rows += [(200, " ".join(one * 20), "bb"), (201, " ".join(one * 20), None), (202, " ".join(two * 20), "zz"), (203, "123", "aa"), (204, None, "aa")]
+    liar = next(i for i in range(300, 400) if zlib.crc32(str(i).encode()) % 4 == 2)  # nothing is learned from it
+    rows += [(liar, " ".join(one * 20), "bb"), (201, " ".join(one * 20), None), (202, " ".join(two * 20), "zz"), (203, "123", "aa"), (204, None, "aa")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     kept = {r.doc_id for r in language_id.drop_unidentified(df).collect()}
-    # 200 is not what it declares; 201 declares nothing; "zz" was learned from the other language's text or not at all
-    assert 200 not in kept and 201 in kept and not {203, 204} & kept
+    assert liar not in kept and 201 in kept  # not what it declares; declares nothing and not {203, 204} & kept
     assert set(range(30)) | set(range(100, 130)) <= kept
     bare = df.withColumn("lang", F.lit(None).cast("string"))
     assert language_id.drop_unidentified(bare).count() == df.count()  # nothing to learn from: the corpus stays
