@@ -66,9 +66,9 @@ SIMILARITY = 0.8
 SHORT = 50  # words; near duplicates of up to so many share K words in a row (2 where the longer one has 5)
 SMALL = 96
 BLOCK = 96  # texts
-COUNTS = 512  # word counts
+COUNTS = 1024  # word counts
 CLASSES = 4096  # of words, for the order of rarity
-HOT = 2 * COUNTS  # members of a bucket from which on second keys are used; below, blocks repeat a member at most twice
+HOT = COUNTS  # a bucket of more members than one block holds gets second keys
 CHUNK = 1 << 20  # second keys compared at a time
 BLOOM = 1 << 22  # bits
 
