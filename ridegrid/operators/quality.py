@@ -177,23 +177,30 @@ def dq_fk(td) -> DataFrame:
         by_child.setdefault((child, PRIMARY_KEYS[child]), []).append((col, parent, pcol))
     for child, col, parent, pcol in FEED_FOREIGN_KEYS:
         by_child.setdefault((child, "RequestID"), []).append((col, parent, pcol))
-    refs = []
-    for (child, key), fks in by_child.items():
-        arr = F.array(*[F.struct(F.lit(parent).alias("Parent"), F.col(col).cast("long").alias("Value"),
-                                 F.lit(f"{col}=").alias("Col"), F.lit(f" not in {parent}.{pcol}").alias("Target"))
-                        for col, parent, pcol in fks])
-        refs.append(td.table(child).select(F.lit(child).alias("TableName"), _keyed(key).alias("RecordKey"),
-                                           F.explode(arr).alias("r")))
+    # References travel as numbers (rule, parent, key, value); their texts are made for the orphans alone.
     parents = sorted({(parent, pcol) for fks in by_child.values() for _, parent, pcol in fks})
-    keys = _union([td.table(p).select(F.lit(p).alias("Parent"), F.col(pc).cast("long").alias("Value"))
-                   for p, pc in parents])
-    r = _union(refs).select("TableName", "RecordKey", "r.*").where(F.col("Value").isNotNull())
+    at = {p: i for i, p in enumerate(parents)}
+    refs, texts = [], []
+    for (child, key), fks in by_child.items():
+        each = []
+        for col, parent, pcol in fks:
+            each.append(F.struct(F.lit(len(texts)).alias("Fk"), F.lit(at[parent, pcol]).alias("Parent"), F.col(col).cast("long").alias("Value")))
+            texts.append((child, f"{key}=", f"{col}=", f" not in {parent}.{pcol}"))
+        refs.append(td.table(child).select(F.col(key).cast("long").alias("Key"), F.explode(F.array(*each)).alias("r")))
+    keys = _union([td.table(p).select(F.lit(i).alias("Parent"), F.col(pc).cast("long").alias("Value"))
+                   for (p, pc), i in at.items()])
+    r = _union(refs).select("Key", "r.*").where(F.col("Value").isNotNull())
     # Distinct references first (combined map-side: a common value is one row per task), then the
     # few dangling ones back to their rows.
     dangling = r.select("Parent", "Value").distinct().join(keys, ["Parent", "Value"], "left_anti")
     orphans = r.join(dangling, ["Parent", "Value"], "left_semi")
-    return orphans.select(F.lit("foreign_key").alias("Rule"), "TableName", "RecordKey",
-                          F.concat(F.col("Col"), F.col("Value").cast("string"), F.col("Target")).alias("Detail"))
+
+    def text(i: int) -> Column:
+        return F.element_at(F.array(*[F.lit(t[i]) for t in texts]), F.col("Fk") + 1)
+
+    return orphans.select(F.lit("foreign_key").alias("Rule"), text(0).alias("TableName"),
+                          F.concat(text(1), F.col("Key").cast("string")).alias("RecordKey"),
+                          F.concat(text(2), F.col("Value").cast("string"), text(3)).alias("Detail"))
 
 
 def dq_enum(td) -> DataFrame:
