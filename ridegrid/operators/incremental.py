@@ -56,6 +56,12 @@ class CountStore:
         rows = self.spark.read.schema(f"{self.schema}, {VERSION} long").parquet(self.path)
         return rows if before is None else rows.where(F.col(VERSION) < before)
 
+    def _begun(self, before: int) -> bool:
+        """Whether there is a version under ``before``."""
+        from ridegrid.streaming.streams import _exists
+
+        return _exists(self.spark, self.path) and not self._rows(before).isEmpty()
+
     def _newest(self, rows: DataFrame) -> DataFrame:
         return rows.groupBy(*self.keys).agg(F.max_by("n", VERSION).alias("n")).where("n <> 0")
 
@@ -76,6 +82,9 @@ class CountStore:
     def add(self, deltas: DataFrame, batch: int) -> DataFrame:
         """Apply ``deltas`` (keys and Sign) as a batch; returns the keys whose count changed, with ``n`` and ``was``."""
         moved = deltas.groupBy(*self.keys).agg(F.sum(SIGN).alias("d")).where("d <> 0")
+        if not self._begun(batch):  # no counts before: the deltas are the counts, written once
+            write_snapshot(moved.withColumnRenamed("d", "n"), self.path, batch)
+            return self._rows().where(F.col(VERSION) == batch).select(*self.keys, "n", F.lit(0).cast("long").alias("was"))
         moved = materialize(moved, "count-deltas")
         old = self._newest(self._only(self._rows(batch), moved)).select(*(F.col(c).alias(f"__{c}") for c in self.keys), F.col("n").alias("was"))
         match = None
