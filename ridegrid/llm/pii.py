@@ -166,6 +166,11 @@ def _items(df: DataFrame, kind: str) -> DataFrame:
     return df.select(*rest, F.transform(F.slice("z", F.lit(1), F.col("many")), one).alias(f"i_{kind}"))
 
 
+def _onwards():
+    """A text's spans from each one to the last, read backwards: a frame that ends at the last row is added up anew for every row."""
+    return Window.partitionBy("rid").orderBy(F.desc("begin"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def proposals(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(documents: rid, doc_id) and (spans: rid, kind, begin, end, f, named, taken).
 
@@ -187,7 +192,7 @@ def proposals(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
     base = F.col("kind") < len(BASE)
     by = Window.partitionBy("rid").orderBy("begin", "kind")
     last = F.max(F.when(base, F.col("end"))).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    following = F.min(F.when(base, F.col("begin"))).over(by.rowsBetween(0, Window.unboundedFollowing))
+    following = F.min(F.when(base, F.col("begin"))).over(_onwards())
     taken = F.coalesce(last > F.col("begin"), F.lit(False)) | F.coalesce(following < F.col("end"), F.lit(False))
     spans = placed.select("rid", "kind", "begin", "end", "f", "named", (~base & taken).alias("taken"))
     return marked.select("rid", "doc_id"), stage(spans, "pii-spans")
@@ -276,7 +281,7 @@ def find_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     for number in range(len(BASE) + 1, len(KINDS)):
         first = F.col("kind").between(len(BASE), number - 1)
         last = F.max(F.when(first, F.col("end"))).over(by.rowsBetween(Window.unboundedPreceding, 0))
-        following = F.min(F.when(first, F.col("begin"))).over(by.rowsBetween(0, Window.unboundedFollowing))
+        following = F.min(F.when(first, F.col("begin"))).over(_onwards())
         hit = F.coalesce(last > F.col("begin"), F.lit(False)) | F.coalesce(following < F.col("end"), F.lit(False))
         beaten = beaten | ((F.col("kind") == number) & hit)
     kept = chosen.withColumn("beaten", beaten).where(~F.col("beaten"))
