@@ -18,8 +18,9 @@ when their word edit distance is at most ``1 - SIMILARITY`` of the longer one.
   cannot be ruled out are compared with the centre's whole group, in blocks.  The members not linked to the
   centre, in its group or not, still have to be compared with each other: buckets of at most ``SMALL`` of them are finished in
   one group, all pairs, without writing a pair list.
-* *Larger buckets* are compared all pairs, in pairs of blocks of ``COUNTS`` members that hold only word counts by hash
-  class.  These bound the distance from below; pairs that the bound does not rule out are aligned on whole texts.
+* What follows the stars reads the texts of members of unsettled buckets and of their groups only; these are put aside once.
+* *Larger buckets* are compared all pairs, in pairs of blocks of ``COUNTS`` members that hold only word counts by
+  ``CLASSES`` hash classes.  These bound the distance from below; pairs that the bound does not rule out are aligned on whole texts.
 * Buckets of more than ``HOT`` are hot passages: many texts that share some text and little else.  Their members get
   second keys: the rarest ones of their word pairs (with occurrence numbers).  At a distance of d words, all but 2d of the longer
   text's word pairs are shared, so whatever order the word pairs are taken in, near duplicates share one of the first
@@ -67,7 +68,8 @@ SHORT = 50  # words; near duplicates of up to so many share K words in a row (2
 SMALL = 96
 BLOCK = 96  # texts
 COUNTS = 1024  # word counts
-CLASSES = 4096  # of words, for the order of rarity
+COARSE = 256  # classes of a first look at word counts
+CLASSES = 4096  # of words, for the order of rarity and for word counts
 HOT = COUNTS  # a bucket of more members than one block holds gets second keys
 CHUNK = 1 << 20  # second keys compared at a time
 BLOOM = 1 << 22  # bits
@@ -249,26 +251,47 @@ def _map_pairs(joined: DataFrame, make) -> DataFrame:
     return joined.mapInArrow(run, "id long, centre long, linked boolean, dist int")
 
 
-def _counts(words: list[str]) -> np.ndarray:
-    """How many words fall into each of 256 hash classes."""
-    return np.bincount(np.fromiter((zlib.crc32(x.encode()) % 256 for x in words), np.int64, len(words)), minlength=256).astype(np.int32)
+def _counts(words: list[str]) -> bytes:
+    """How many words fall into each hash class: the classes that occur (16 bits each), then their counts (32 bits each)."""
+    codes = np.fromiter((zlib.crc32(x.encode()) % CLASSES for x in words), np.uint16, len(words))
+    classes, many = np.unique(codes, return_counts=True)
+    return classes.tobytes() + many.astype(np.int32).tobytes()
+
+
+class _Bags:
+    """Word counts of the texts of one task, for bounding their distances from below."""
+
+    def __init__(self, sizes: np.ndarray, counts: list[bytes]):
+        self.sizes, self.fine, self.coarse = sizes, [], np.zeros((len(counts), COARSE), np.int32)
+        for i, x in enumerate(counts):
+            own = len(x) // 6
+            self.fine.append((np.frombuffer(x, np.uint16, own), np.frombuffer(x, np.int32, own, 2 * own)))
+            self.coarse[i] = np.bincount(self.fine[i][0] % COARSE, self.fine[i][1], COARSE)
+
+    def near(self, j: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Those ``others`` that may be within the limit of text j, their limits and least distances."""
+        longer = np.maximum(self.sizes[others], self.sizes[j])
+        limits = ((1 - SIMILARITY) * longer + 1e-9).astype(int)
+        may = longer - np.minimum(self.coarse[others], self.coarse[j]).sum(1) <= limits
+        others, longer, limits = others[may], longer[may], limits[may]
+        own = np.zeros(CLASSES, np.int32)
+        own[self.fine[j][0]] = self.fine[j][1]
+        shared = np.array([np.minimum(own[classes], many).sum() for classes, many in (self.fine[i] for i in others.tolist())], np.int64)
+        may = longer - shared <= limits
+        return others[may], limits[may], (longer - shared)[may]
 
 
 class _Texts:
-    """Texts of one task, ready for bounding distances from below by their words' hash classes."""
+    """Texts of one task, ready for alignment."""
 
     def __init__(self, norms: list[str]):
         self.words = [t.split(" ") for t in norms]
-        self.sizes = np.array([len(w) for w in self.words])
-        self.classes = np.stack([_counts(w) for w in self.words])
+        self.bags = _Bags(np.array([len(w) for w in self.words]), [_counts(w) for w in self.words])
 
     def near(self, j: int, others: np.ndarray) -> list[tuple[int, int]]:
         """(i, limit) of those ``others`` that may be close to text j, the likeliest first."""
-        limits = ((1 - SIMILARITY) * np.maximum(self.sizes[others], self.sizes[j]) + 1e-9).astype(int)
-        more = np.maximum(self.classes[others] - self.classes[j], 0).sum(1)
-        low = np.maximum(more, more + self.sizes[j] - self.sizes[others])
+        others, limits, low = self.bags.near(j, others)
         order = np.argsort(low, kind="stable")
-        order = order[low[order] <= limits[order]]
         return list(zip(others[order].tolist(), limits[order].tolist(), strict=True))
 
     def linked(self, i: int, j: int, limit: int) -> bool:
@@ -336,16 +359,11 @@ def _bounded(pdf: pd.DataFrame) -> pd.DataFrame:
     """Pairs of two blocks of a bucket (or of one) that may be within the limit and are not in one group."""
     one, two = pdf["one"].iloc[0], pdf["two"].iloc[0]
     ids, labels, sizes, block = (pdf[c].to_numpy() for c in ("id", "label", "n", "block"))
-    counts = np.frombuffer(b"".join(pdf["counts"]), np.int32).reshape(len(pdf), -1)
-    others = np.flatnonzero(block == two)
-    theirs = counts[others]
+    bags, others = _Bags(sizes, pdf["counts"].tolist()), np.flatnonzero(block == two)
     out = [np.zeros((0, 2), np.int64)]
     for j in np.flatnonzero(block == one).tolist():
-        limits = ((1 - SIMILARITY) * np.maximum(sizes[others], sizes[j]) + 1e-9).astype(int)
-        low = np.maximum(sizes[others], sizes[j]) - np.minimum(theirs, counts[j]).sum(1)
-        found = ids[others[(low <= limits) & (labels[others] != labels[j])]]
-        if one == two:
-            found = found[found < ids[j]]
+        wanted = others[labels[others] != labels[j]]
+        found = ids[bags.near(j, wanted[ids[wanted] < ids[j]] if one == two else wanted)[0]]
         out.append(np.stack([np.maximum(found, ids[j]), np.minimum(found, ids[j])], 1))
     return pd.DataFrame(np.concatenate(out), columns=["id", "centre"])
 
@@ -353,7 +371,7 @@ def _bounded(pdf: pd.DataFrame) -> pd.DataFrame:
 def _all_pairs(members: DataFrame, texts: DataFrame, counts: int = COUNTS) -> DataFrame:
     """Links (id, centre) between the groups among ``members`` (bucket, id, n, label) of each bucket, however large."""
     def make():
-        return lambda norms: {"counts": [_counts(t.split(" ")).tobytes() for t in norms]}
+        return lambda norms: {"counts": [_counts(t.split(" ")) for t in norms]}
 
     wanted = texts.join(members.select("id").distinct(), "id", "left_semi")
     counted = stage(map_texts(wanted, make, "counts binary", ["id"], text_col="norm"), "near-counts")
@@ -406,6 +424,17 @@ def _outside(judged: DataFrame, labels: DataFrame) -> DataFrame:
                       F.coalesce((label != star) & (F.col("dist") <= reach), F.lit(False)).alias("doubt"))
 
 
+def _late_texts(texts: DataFrame, rows: DataFrame, asking: DataFrame, labels: DataFrame) -> DataFrame:
+    """Texts of the members of unsettled buckets, of what asks, and of whole groups that have such members or are asked.
+
+    All later steps read these only, those on second keys too: the members that get second keys are among ``rows``, so a group
+    that grows or is asked there has one of them.  Dealing all texts by id for each step would move them many times.
+    """
+    parts = rows.select("label").union(asking.select(F.col("part").alias("label"))).distinct()
+    ids = labels.join(parts, "label", "left_semi").select("id").union(rows.select("id")).union(asking.select("id")).distinct()
+    return stage(texts.join(ids, "id", "left_semi"), "near-late")
+
+
 def links(texts: DataFrame, entries: DataFrame, small: int = SMALL, hot: int = HOT, known: DataFrame | None = None) -> DataFrame:
     """Verified links (id, centre) among the members of every bucket.
 
@@ -419,13 +448,15 @@ def links(texts: DataFrame, entries: DataFrame, small: int = SMALL, hot: int = H
     found = [labels.select("id", F.col("label").alias("centre"))]  # the groups so far, as one link per member
     left = stage(_outside(star[1], labels), "near-outside")
     asking = stage(left.where("doubt").select(F.col("star").alias("part"), "id").distinct(), "near-asking")
-    if not asking.isEmpty():
-        found.append(stage(_against_groups(asking, labels.select("id", F.col("label").alias("part")), texts), "near-asked"))
     # Buckets whose members are all in one group are settled.
     sized = left.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where(
         F.col("low") != F.col("high")).select("bucket", "members")
     rows = stage(left.join(sized, "bucket").select("bucket", "id", "n", "label", "members"), "near-rest")
+    if known is None:
+        texts = _late_texts(texts, rows, asking, labels)
+    if not asking.isEmpty():
+        found.append(stage(_against_groups(asking, labels.select("id", F.col("label").alias("part")), texts), "near-asked"))
     few = rows.where(F.col("members") <= small)
     own = few.groupBy("id").agg(F.collect_set("bucket").alias("buckets"))  # bounded by the keys of a text
     together = few.select("bucket", "id", "label").join(own, "id").join(texts, "id")

@@ -320,6 +320,52 @@ def test_hot_passage_costs_rows_in_proportion(spark, monkeypatch):
     assert not used
 
 
+def staged_rows(monkeypatch):
+    """Rows of what near_dedup stages from now on, by label."""
+    rows, plain = defaultdict(list), near_dedup.stage
+
+    def stage(df, label):
+        out = plain(df, label)
+        rows[label].append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "stage", stage)
+    return rows
+
+
+def test_texts_that_share_a_long_passage_are_few_pairs(spark, monkeypatch):
+    """A large bucket of texts just beyond the limit: word counts rule most pairs out before any text is dealt out; no link is lost."""
+    prepare(spark)
+    rng = random.Random(21)
+    rows = {i: [f"p{k}" for k in range(560)] + [f"w{rng.randrange(3000)}" for _ in range(200)] for i in range(60)}
+    rows[100] = rows[7][:700] + [f"v{k}" for k in range(60)]
+    texts = spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "id long, norm string")
+    members = texts.select(F.lit(5).cast("long").alias("bucket"), "id", F.lit(760).alias("n"), F.col("id").alias("label"))
+    staged = staged_rows(monkeypatch)
+    found = {(r.id, r.centre) for r in near_dedup._all_pairs(members, texts).collect()}
+    limit = near_dedup.limit_of(760)
+    assert found == {(i, j) for i in rows for j in rows if j < i and near_dedup.align(rows[i], rows[j], limit)[0]} != set()
+    assert staged["near-pairs"][0] < 61 * 60 / 2 / 4
+
+
+def test_settled_texts_are_not_read_again(spark, monkeypatch):
+    """After the stars only the texts of unsettled buckets and their groups are put aside and read."""
+    prepare(spark)
+    rng = random.Random(22)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows = {}
+    for i in range(150):
+        rows[i] = [word() for _ in range(60)]
+        rows[1000 + i] = [*rows[i], word()]
+    passage = [word() for _ in range(40)]
+    rows |= {2000 + i: passage + [word() for _ in range(50)] for i in range(40)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string")
+    staged = staged_rows(monkeypatch)
+    assert {r.doc_id: r.class_id for r in near_dedup.near_groups(df, small=10).collect()} == brute_groups(rows)
+    assert staged["near-involved"] == [340]
+    assert len(staged["near-late"]) == 1 and staged["near-late"][0] <= 40
+
+
 def test_near_dedup_members_joined_by_others_stay_in_the_bucket(spark):
     """c and m are one group through a in another bucket; x is linked to m alone, and only in the bucket of c, m and x."""
     prepare(spark)
