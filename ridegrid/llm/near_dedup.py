@@ -355,15 +355,25 @@ def _against_groups(asking: DataFrame, members: DataFrame, texts: DataFrame) ->
     return rows.join(texts, "id").groupBy("part", "m", "a").applyInPandas(_compare, "id long, centre long")
 
 
+def _by_text(members: DataFrame) -> DataFrame:
+    """One row per text of ``members`` (bucket, id, n, label) with its ``buckets`` (bounded by the keys of a text), to join once."""
+    return members.groupBy("id").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.collect_set("bucket").alias("buckets"))
+
+
 def _bounded(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of two blocks of a bucket (or of one) that may be within the limit and are not in one group."""
-    one, two = pdf["one"].iloc[0], pdf["two"].iloc[0]
+    """Pairs of two blocks of a bucket (or of one) that may be within the limit and are not in one group.
+
+    A pair that meets in several buckets comes from the least of them only.
+    """
+    bucket, one, two = pdf["bucket"].iloc[0], pdf["one"].iloc[0], pdf["two"].iloc[0]
+    own = [set(x) for x in pdf["buckets"]]
     ids, labels, sizes, block = (pdf[c].to_numpy() for c in ("id", "label", "n", "block"))
     bags, others = _Bags(sizes, pdf["counts"].tolist()), np.flatnonzero(block == two)
     out = [np.zeros((0, 2), np.int64)]
     for j in np.flatnonzero(block == one).tolist():
         wanted = others[labels[others] != labels[j]]
-        found = ids[bags.near(j, wanted[ids[wanted] < ids[j]] if one == two else wanted)[0]]
+        near = bags.near(j, wanted[ids[wanted] < ids[j]] if one == two else wanted)[0]
+        found = ids[[i for i in near.tolist() if min(own[i] & own[j]) == bucket]]
         out.append(np.stack([np.maximum(found, ids[j]), np.minimum(found, ids[j])], 1))
     return pd.DataFrame(np.concatenate(out), columns=["id", "centre"])
 
@@ -376,11 +386,12 @@ def _all_pairs(members: DataFrame, texts: DataFrame, counts: int = COUNTS) -> Da
     wanted = texts.join(members.select("id").distinct(), "id", "left_semi")
     counted = stage(map_texts(wanted, make, "counts binary", ["id"], text_col="norm"), "near-counts")
     sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / counts).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "bucket").select(
-        "bucket", "id", "n", "label", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-    dealt = dealt.select("bucket", "id", "n", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = dealt.select("bucket", "id", "n", "label", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
-    near = rows.join(counted, "id").groupBy("bucket", "one", "two").applyInPandas(_bounded, "id long, centre long")
+    dealt = _by_text(members).join(counted, "id").withColumn("bucket", F.explode("buckets")).join(sizes, "bucket")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = dealt.select("bucket", "id", "n", "label", "buckets", "counts", "block",
+                        F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+    near = rows.groupBy("bucket", "one", "two").applyInPandas(_bounded, "id long, centre long")
     pairs = stage(near.distinct(), "near-pairs")
     return stage(_verify(pairs, texts).where("linked").select("id", "centre"), "near-large")
 
@@ -458,8 +469,7 @@ def links(texts: DataFrame, entries: DataFrame, small: int = SMALL, hot: int = H
     if not asking.isEmpty():
         found.append(stage(_against_groups(asking, labels.select("id", F.col("label").alias("part")), texts), "near-asked"))
     few = rows.where(F.col("members") <= small)
-    own = few.groupBy("id").agg(F.collect_set("bucket").alias("buckets"))  # bounded by the keys of a text
-    together = few.select("bucket", "id", "label").join(own, "id").join(texts, "id")
+    together = _by_text(few).join(texts, "id").withColumn("bucket", F.explode("buckets"))
     found.append(together.groupBy("bucket").applyInPandas(_finish, "id long, centre long"))  # at most ``small`` members each
     large, hottest = rows.where(F.col("members") > small), F.col("members") > hot
     if known is None:
